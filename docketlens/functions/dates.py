@@ -17,18 +17,23 @@ TWO_DIGIT_YEAR_PIVOT = 70
 
 
 def extract_date(value: Column) -> Column:
-    """``MM/DD/YYYY`` or ``YYYY-MM-DD``; blank, ``-8``, other text and years below 100 are null."""
-    text = clean_text(value)
-    parsed = F.when(
-        text.rlike(r"^\d{2}/\d{2}/\d{4}$"), F.try_to_date(text, "MM/dd/yyyy")
-    ).when(text.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.try_to_date(text, "yyyy-MM-dd"))
-    return F.when(F.year(parsed) >= 100, parsed)
+    """``MM/DD/YYYY`` or ``YYYY-MM-DD``; blank, ``-8``, other text and years below 100 are null.
+
+    Both shapes are rearranged to ISO text and cast: the cast checks the calendar and, unlike a
+    pattern parser, does not raise and catch an exception for each bad value.
+    """
+    text = F.trim(value)
+    iso = F.when(
+        text.rlike(r"^\d{2}/\d{2}/\d{4}$"),
+        F.concat(text.substr(7, 4), F.lit("-"), text.substr(1, 2), F.lit("-"), text.substr(4, 2)),
+    ).when(text.rlike(r"^\d{4}-\d{2}-\d{2}$"), text)
+    return F.when(iso >= "0100", iso.try_cast("date"))
 
 
 def iso_date(value: Column) -> Column:
     """``YYYY-MM-DD`` only."""
     text = clean_text(value)
-    return F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.try_to_date(text, "yyyy-MM-dd"))
+    return F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}$"), text.try_cast("date"))
 
 
 def claim_date(value: Column) -> Column:
@@ -43,7 +48,7 @@ def claim_date(value: Column) -> Column:
     iso = F.concat_ws(
         "-", F.lpad(full_year.cast("string"), 4, "0"), F.lpad(part(1), 2, "0"), F.lpad(part(2), 2, "0")
     )
-    return F.when(full_year.isNotNull(), F.try_to_date(iso, "yyyy-MM-dd"))
+    return F.when(full_year.isNotNull(), iso.try_cast("date"))
 
 
 def month_date(value: Column) -> Column:

@@ -14,6 +14,16 @@ def _row(columns: list[str]) -> Column:
     return F.struct(*[F.col(c) for c in columns])
 
 
+def computed_once(df: DataFrame, **columns: Column) -> DataFrame:
+    """Add ``columns`` behind a one-row generator.
+
+    Spark copies a projected expression into every filter and projection above it; for parsing
+    expressions that multiplies the work. It does not copy the output of a generator.
+    """
+    made = F.struct(*[column.alias(name) for name, column in columns.items()])
+    return df.select("*", F.inline(F.array(made)))
+
+
 def keep_first(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """One row for each key: the first in ``order``."""
     return _pick(df, keys, order, F.min_by)

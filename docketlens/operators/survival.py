@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docketlens.functions.dates import days_to_months, extract_date
+from docketlens.operators.keyed import computed_once
 
 # Fixed values of the court extract.
 REQUIRED_COLUMNS = [
@@ -61,13 +62,13 @@ def classify_rows(rows: DataFrame, snapshot: str) -> DataFrame:
     end = snapshot_literal(snapshot)
     is_class = field("CLASSACT") == "1"
     pending = (field("STATUSCD") == "S") | (field("TAPEYEAR") == "2099")
-    base = rows.select(
-        "*",
-        is_class.alias("is_class"),
-        pending.alias("pending"),
-        extract_date(F.col("FILEDATE")).alias("filed"),
-        F.when(~pending, extract_date(F.col("TERMDATE"))).alias("terminated"),
-        field("TERMDATE").alias("raw_termination"),
+    base = computed_once(
+        rows,
+        is_class=is_class,
+        pending=pending,
+        filed=extract_date(F.col("FILEDATE")),
+        terminated=F.when(~pending, extract_date(F.col("TERMDATE"))),
+        raw_termination=field("TERMDATE"),
     )
     blank = F.col("raw_termination").isin("", "-8")
     last = F.when(F.col("pending"), end).otherwise(F.col("terminated"))
@@ -97,7 +98,7 @@ def collapse_dockets(classified: DataFrame, order: list[str], snapshot: str) ->
     disposition = field("DISP")
     mdl = field("MDLDOCK")
     end = snapshot_literal(snapshot)
-    valid = classified.filter(F.col("row_status") == "valid")
+    valid = classified.filter(F.col("is_class") & (F.col("row_status") == "valid"))
     lifecycles = valid.groupBy("docket_key").agg(
         F.min("filed").alias("filed_at"),
         F.max("terminated").alias("final_terminated_at"),
