@@ -22,6 +22,11 @@ def words(pattern: str) -> str:
     return f"{WORD_START}(?:{pattern}){WORD_END}"
 
 
+def bind(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` evaluated once, however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def clean_text(value: Column) -> Column:
     """Whitespace runs become one space, ends are trimmed, null becomes the empty string."""
     return F.trim(F.regexp_replace(F.coalesce(value.cast("string"), F.lit("")), WHITESPACE + "+", " "))

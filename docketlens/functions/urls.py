@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from docketlens.functions.text import clean_text
+from docketlens.functions.text import bind, clean_text
 
 # Query parameters dropped besides those starting with utm_.
 TRACKING_PARAMETERS = ["fbclid", "gclid", "mc_cid", "mc_eid", "ref", "source"]
@@ -73,48 +73,72 @@ def _canonical_query(query: Column) -> Column:
     )
 
 
+def _part(url: Column, at: int) -> Column:
+    return F.regexp_extract(url, _PARTS, at)
+
+
 def resolve_url(value: Column, base: Column | None = None) -> Column:
     """Absolute URL text of ``value`` against ``base``; null when there is nothing to resolve against."""
-    text = clean_text(value)
-    absolute = text.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:")
+    is_absolute = lambda text: text.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:")
     if base is None:
-        return F.when(absolute, text)
-    scheme = F.regexp_extract(base, _PARTS, 1)
-    origin = F.concat(scheme, F.lit("://"), F.regexp_extract(base, _PARTS, 2))
-    base_path = F.regexp_extract(base, _PARTS, 3)
-    folder = F.regexp_replace(F.when(base_path == "", "/").otherwise(base_path), "[^/]*$", "")
-    return (
-        F.when(text == "", None)
-        .when(absolute, text)
-        .when(text.startswith("//"), F.concat(scheme, F.lit(":"), text))
-        .when(text.startswith("/"), F.concat(origin, text))
-        .when(text.startswith("?"), F.concat(origin, base_path, text))
-        .when(text.startswith("#"), F.concat(origin, base_path, F.regexp_extract(base, _PARTS, 4), text))
-        .otherwise(F.concat(origin, folder, text))
+        return bind(clean_text(value), lambda text: F.when(is_absolute(text), text))
+
+    def resolve(b: Column) -> Column:
+        text, scheme, path = b["text"], b["scheme"], b["path"]
+        origin = F.concat(scheme, F.lit("://"), b["authority"])
+        folder = F.regexp_replace(F.when(path == "", "/").otherwise(path), "[^/]*$", "")
+        return (
+            F.when(text == "", None)
+            .when(is_absolute(text), text)
+            .when(text.startswith("//"), F.concat(scheme, F.lit(":"), text))
+            .when(text.startswith("/"), F.concat(origin, text))
+            .when(text.startswith("?"), F.concat(origin, path, text))
+            .when(text.startswith("#"), F.concat(origin, path, b["query"], text))
+            .otherwise(F.concat(origin, folder, text))
+        )
+
+    return bind(
+        F.struct(
+            clean_text(value).alias("text"), _part(base, 1).alias("scheme"),
+            _part(base, 2).alias("authority"), _part(base, 3).alias("path"), _part(base, 4).alias("query"),
+        ),
+        resolve,
     )
 
 
 def canonical_url(value: Column, base: Column | None = None) -> Column:
     """Canonical http(s) URL: no fragment, tracking parameters, default port or trailing slash."""
-    url = resolve_url(value, base)
-    scheme = F.lower(F.regexp_extract(url, _PARTS, 1))
-    authority = F.regexp_extract(url, _PARTS, 2)
-    user = F.regexp_extract(authority, "^(.*@)", 1)
-    host = F.lower(F.regexp_replace(authority, "^.*@", ""))
-    default_port = F.when(scheme == "http", ":80$").otherwise(":443$")
-    host = F.regexp_replace(F.regexp_replace(host, default_port, ""), ":$", "")
-    path = F.regexp_extract(url, _PARTS, 3)
-    path = _drop_dots(_encode_path(F.when(path == "", "/").otherwise(path)))
-    path = F.when(path == "/", path).otherwise(F.regexp_replace(path, "/+$", ""))
-    path = F.when(path == "", "/").otherwise(path)
-    query = F.substring(F.regexp_extract(url, _PARTS, 4), 2, 1 << 30)
-    query = F.when(query.isNull() | (query == ""), "").otherwise(_canonical_query(query))
-    whole = F.concat(
-        scheme, F.lit("://"), user, host, path,
-        F.when(query == "", "").otherwise(F.concat(F.lit("?"), query)),
+    return bind(
+        bind(
+            resolve_url(value, base),
+            lambda url: F.struct(
+                F.lower(_part(url, 1)).alias("scheme"), _part(url, 2).alias("authority"),
+                _part(url, 3).alias("path"), F.substring(_part(url, 4), 2, 1 << 30).alias("query"),
+            ),
+        ),
+        _canonical,
+    )
+
+
+def _canonical(u: Column) -> Column:
+    scheme = u["scheme"]
+    user = F.regexp_extract(u["authority"], "^(.*@)", 1)
+    port = F.when(scheme == "http", ":(80)?$").otherwise(":(443)?$")
+    host = F.lower(F.regexp_replace(F.regexp_replace(u["authority"], "^.*@", ""), port, ""))
+    path = bind(F.when(u["path"] == "", "/").otherwise(u["path"]), _encode_path)
+    path = bind(bind(path, _drop_dots), lambda p: F.when(p == "/", p).otherwise(F.regexp_replace(p, "/+$", "")))
+    path = bind(path, lambda p: F.when(p == "", "/").otherwise(p))
+    query = bind(
+        F.when(u["query"] == "", "").otherwise(_canonical_query(u["query"])),
+        lambda q: F.when(q == "", "").otherwise(F.concat(F.lit("?"), q)),
+    )
+    return bind(
+        host,
+        lambda h: F.when(
+            scheme.isin("http", "https") & (h != "") & ~h.rlike(r"[\s<>\\^|%]"),
+            F.concat(scheme, F.lit("://"), user, h, path, query),
+        ),
     )
-    usable = scheme.isin("http", "https") & (host != "") & ~host.rlike(r"[\s<>\\^|%]")
-    return F.when(usable, whole)
 
 
 def url_host(url: Column) -> Column:
@@ -127,18 +151,22 @@ def url_path(url: Column) -> Column:
 
 def pinned_url(value: Column, fallback_path: Column, origin: str) -> Column:
     """``value`` resolved against ``origin`` when it stays on that origin, else the fallback path there."""
-    text = clean_text(value)
-    url = resolve_url(F.when(text == "", fallback_path).otherwise(text), F.lit(origin + "/"))
-    same = F.concat(
-        F.lower(F.regexp_extract(url, _PARTS, 1)), F.lit("://"), F.lower(F.regexp_extract(url, _PARTS, 2))
-    ) == F.lit(origin)
-    return F.when(same, url).otherwise(F.concat(F.lit(origin), fallback_path))
+    stays = lambda url: F.concat(F.lower(_part(url, 1)), F.lit("://"), F.lower(_part(url, 2))) == F.lit(origin)
+    text = F.coalesce(F.when(clean_text(value) != "", value), fallback_path)
+    return bind(
+        F.struct(resolve_url(text, F.lit(origin + "/")).alias("url"), fallback_path.alias("path")),
+        lambda b: F.when(stays(b["url"]), b["url"]).otherwise(F.concat(F.lit(origin), b["path"])),
+    )
 
 
 def is_listing_detail(url: Column, hosts: list[str], prefixes: list[str], excluded: str) -> Column:
     """Detail-page predicate: allowed host, one of the path prefixes, and not an excluded ending."""
-    host, path = F.lower(url_host(url)), url_path(url)
-    under = F.lit(False)
-    for prefix in prefixes:
-        under = under | path.startswith(prefix)
-    return F.coalesce(host.isin(hosts) & under & ~path.rlike(excluded), F.lit(False))
+
+    def fits(b: Column) -> Column:
+        under = F.lit(False)
+        for prefix in prefixes:
+            under = under | b["path"].startswith(prefix)
+        return b["host"].isin(hosts) & under & ~b["path"].rlike(excluded)
+
+    parts = bind(url, lambda u: F.struct(F.lower(url_host(u)).alias("host"), url_path(u).alias("path")))
+    return F.coalesce(bind(parts, fits), F.lit(False))

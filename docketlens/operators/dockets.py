@@ -6,9 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docketlens.functions.dates import iso_date
-from docketlens.functions.text import clean_text, null_if_blank, words
+from docketlens.functions.text import bind, clean_text, null_if_blank, words
 from docketlens.functions.urls import pinned_url
-from docketlens.operators.keyed import keep_first, without_keys
+from docketlens.operators.keyed import computed_once, keep_first, without_keys
 
 # Fixed values of the docket source.
 ORIGIN = "https://www.courtlistener.com"
@@ -40,11 +40,15 @@ FILING_KEY = ["docket_id", "document_id", "docket_entry_id"]
 
 def is_class_complaint(description: Column) -> Column:
     """A class complaint phrase anywhere, or a header that opens as a complaint and mentions a class."""
-    text = clean_text(description)
-    header = F.substring(F.element_at(F.split(text, ATTACHMENTS, 2), 1), 1, HEADER_LENGTH)
-    return text.rlike(COMPLAINT_ANYWHERE) | (
-        header.rlike(OPENS_AS_COMPLAINT) & header.rlike(MENTIONS_CLASS)
-    )
+
+    def header_fits(header: Column) -> Column:
+        return header.rlike(OPENS_AS_COMPLAINT) & header.rlike(MENTIONS_CLASS)
+
+    def fits(text: Column) -> Column:
+        header = F.substring(F.element_at(F.split(text, ATTACHMENTS, 2), 1), 1, HEADER_LENGTH)
+        return text.rlike(COMPLAINT_ANYWHERE) | bind(header, header_fits)
+
+    return bind(clean_text(description), fits)
 
 
 def filing_sort_key(filing: Column) -> Column:
@@ -83,7 +87,7 @@ def normalize_hits(hits: DataFrame, observed_at: str) -> DataFrame:
     path = F.concat(F.lit("/docket/"), F.col("docket_id").cast("string"), F.lit("/"))
     accepted = (
         hits.filter((F.col("docket_id") > 0) & (F.col("docket_id") <= MAX_SAFE_ID))
-        .withColumn("_matched", matched)
+        .transform(lambda df: computed_once(df, _matched=matched))
         .filter(F.size("_matched") > 0)
     )
     terminated = iso_date(F.col("dateTerminated"))

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from docketlens.plans import docket_merging, docket_survival, source_lifecycle
+from docketlens.plans import docket_merging, docket_survival, page_listings, source_lifecycle
 
-_MODULES = [docket_survival, docket_merging, source_lifecycle]
+_MODULES = [docket_survival, docket_merging, source_lifecycle, page_listings]
 
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: sql for module in _MODULES for name, sql in module.ORACLES.items()}
