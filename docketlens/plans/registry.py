@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
-from docketlens.plans import docket_merging, docket_survival, page_listings, source_lifecycle
+from docketlens.plans import (
+    docket_merging,
+    docket_survival,
+    page_listings,
+    source_lifecycle,
+    text_classifiers,
+)
 
-_MODULES = [docket_survival, docket_merging, source_lifecycle, page_listings]
+_MODULES = [docket_survival, docket_merging, source_lifecycle, page_listings, text_classifiers]
 
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: sql for module in _MODULES for name, sql in module.ORACLES.items()}
