@@ -99,9 +99,13 @@ def running_position(
     )
 
 
-def top_k(df: DataFrame, keys: list[str], order: list[Column], k: int) -> DataFrame:
-    """At most ``k`` rows for each key. Spark limits each partition before the shuffle."""
+def top_k(df: DataFrame, keys: list[str], order: list[Column], k: int, rank: str | None = None) -> DataFrame:
+    """At most ``k`` rows for each key, numbered in ``rank`` if named.
+
+    Spark limits each partition before the shuffle.
+    """
     if k < 1:
         raise ValueError("k must be at least 1")
-    ranked = df.withColumn("_rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
-    return ranked.filter(F.col("_rank") <= k).drop("_rank")
+    numbered = df.withColumn(rank or "_rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+    kept = numbered.filter(F.col(rank or "_rank") <= k)
+    return kept if rank else kept.drop("_rank")
