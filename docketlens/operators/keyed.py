@@ -109,3 +109,26 @@ def top_k(df: DataFrame, keys: list[str], order: list[Column], k: int, rank: str
     numbered = df.withColumn(rank or "_rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
     kept = numbered.filter(F.col(rank or "_rank") <= k)
     return kept if rank else kept.drop("_rank")
+
+
+def fill_forward(
+    df: DataFrame, keys: list[str], order: list[Column], block: Column, columns: list[str]
+) -> DataFrame:
+    """Replace nulls in ``columns`` by the last value before them in the same key, block by block."""
+    blocked = df.withColumn("_block", block)
+    so_far = (
+        Window.partitionBy(*keys, "_block").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    )
+    inside = blocked.withColumns({c: F.last(c, ignorenulls=True).over(so_far) for c in columns})
+    ends = blocked.groupBy(*keys, "_block").agg(
+        *[F.max_by(c, F.when(F.col(c).isNotNull(), F.struct(*order))).alias(c) for c in columns]
+    )
+    before = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    carried = ends.select(
+        *keys, "_block", *[F.last(c, ignorenulls=True).over(before).alias(f"_carry_{c}") for c in columns]
+    )
+    return (
+        inside.join(carried, [*keys, "_block"], "left")
+        .withColumns({c: F.coalesce(F.col(c), F.col(f"_carry_{c}")) for c in columns})
+        .drop("_block", *[f"_carry_{c}" for c in columns])
+    )

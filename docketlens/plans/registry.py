@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from docketlens.plans import (
+    catalog_browsing,
+    claim_ledger,
     docket_merging,
     docket_survival,
     finder_matching,
@@ -11,7 +13,7 @@ from docketlens.plans import (
     text_classifiers,
 )
 
-_MODULES = [docket_survival, docket_merging, source_lifecycle, page_listings, text_classifiers, finder_matching]
+_MODULES = [docket_survival, docket_merging, source_lifecycle, page_listings, text_classifiers, finder_matching, catalog_browsing, claim_ledger]
 
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: sql for module in _MODULES for name, sql in module.ORACLES.items()}
