@@ -141,8 +141,13 @@ def current_claims(versions: DataFrame, order: list[Column]) -> DataFrame:
     return keep_last(versions, ["claim_id"], order).withColumn("updated_at", F.col("at"))
 
 
-def claim_activity(versions: DataFrame, order: list[Column], block: Column) -> DataFrame:
-    """The activity log derived from row versions: at most one event for each change, by precedence."""
+def claim_activity(
+    versions: DataFrame, order: list[Column], block: Column, extra: tuple[str, ...] = ()
+) -> DataFrame:
+    """The activity log derived from row versions: at most one event for each change, by precedence.
+
+    ``extra`` names columns of the versions to keep.
+    """
     rows = previous_row(versions, ["claim_id"], order, block, VERSION_COLUMNS, "_old")
     old = lambda c: F.col(f"_old.{c}")
     differs = lambda *cs: ~F.struct(*cs).eqNullSafe(F.struct(*[old(c).alias(c) for c in cs]))
@@ -166,7 +171,7 @@ def claim_activity(versions: DataFrame, order: list[Column], block: Column) -> D
         .when(event == "submission_recorded", F.col("submitted_at"))
     )
     return named.select(
-        *[c for c in ("user_id", "claim_id") if c in versions.columns],
+        *[c for c in ("user_id", "claim_id") if c in versions.columns], *extra,
         "event_type", "personal_status", F.col("status_provenance").alias("provenance"), "confirmation_number",
         amount.alias("amount_cents"),
         F.when(amount.isNotNull(), F.when(event == "payment_recorded", "received").otherwise("approved")).alias("amount_kind"),

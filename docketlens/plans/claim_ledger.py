@@ -57,17 +57,17 @@ def versions(spark, folder):
     return L.apply_operations(operations(spark, folder), _order(), _block())
 
 
-def _shown(df):
+def shown(df):
     times = [c for c in ("submitted_at", "approved_at", "paid_at", "occurred_at", "at", "updated_at") if c in df.columns]
     return df.withColumns({c: stamp(F.col(c)) for c in times})
 
 
 def ledger_apply(spark, folder):
-    return _shown(versions(spark, folder))
+    return shown(versions(spark, folder))
 
 
 def claim_activity(spark, folder):
-    return _shown(L.claim_activity(versions(spark, folder), _order(), _block()))
+    return shown(L.claim_activity(versions(spark, folder), _order(), _block()))
 
 
 def current_claims(spark, folder):
@@ -75,7 +75,7 @@ def current_claims(spark, folder):
 
 
 def ledger_current(spark, folder):
-    return _shown(current_claims(spark, folder).drop("at"))
+    return shown(current_claims(spark, folder).drop("at"))
 
 
 def ledger_stats(spark, folder):

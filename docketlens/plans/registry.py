@@ -8,12 +8,13 @@ from docketlens.plans import (
     docket_merging,
     docket_survival,
     finder_matching,
+    incremental,
     page_listings,
     source_lifecycle,
     text_classifiers,
 )
 
-_MODULES = [docket_survival, docket_merging, source_lifecycle, page_listings, text_classifiers, finder_matching, catalog_browsing, claim_ledger]
+_MODULES = [docket_survival, docket_merging, source_lifecycle, page_listings, text_classifiers, finder_matching, catalog_browsing, claim_ledger, incremental]
 
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: sql for module in _MODULES for name, sql in module.ORACLES.items()}

@@ -9,23 +9,26 @@ from docketlens.sources.schemas import HIT_PAGE
 
 
 def hits_of(pages: DataFrame) -> DataFrame:
-    """One row for each hit, in page order. A page without a ``results`` array fails the job."""
+    """One row for each hit with its ``hit_order``. A page without a ``results`` array fails the job.
+
+    Pages read from files are ordered by file; else by their place in the input.
+    """
     checked = F.assert_true(F.col("results").isNotNull(), F.lit("unexpected response shape"))
+    file = F.col("_file") if "_file" in pages.columns else F.lit("")
     return (
         pages.withColumn("_page", F.monotonically_increasing_id())
         .filter(checked.isNull())
-        .select("_page", F.posexplode("results").alias("_at", "_hit"))
-        .select("_hit.*", F.struct("_page", "_at").alias("hit_order"))
+        .select(file.alias("_in"), "_page", F.posexplode("results").alias("_at", "_hit"))
+        .select("_hit.*", F.struct("_in", "_page", "_at").alias("hit_order"))
     )
 
 
 def read_hits(spark: SparkSession, path: str) -> DataFrame:
-    return hits_of(spark.read.schema(HIT_PAGE).option("mode", "FAILFAST").json(path))
+    pages = spark.read.schema(HIT_PAGE).option("mode", "FAILFAST").json(path)
+    return hits_of(pages.withColumn("_file", F.col("_metadata.file_path")))
 
 
-def stream_hits(spark: SparkSession, path: str, max_files: int = 100) -> DataFrame:
-    """The same source as a stream; ``max_files`` bounds the work of one micro-batch."""
-    return (
-        spark.readStream.schema(HIT_PAGE).option("maxFilesPerTrigger", max_files).json(path)
-        .select(F.inline("results"))
-    )
+def stream_pages(spark: SparkSession, path: str, max_files: int = 100) -> DataFrame:
+    """The same pages as a stream; ``max_files`` bounds the work of one micro-batch."""
+    pages = spark.readStream.schema(HIT_PAGE).option("maxFilesPerTrigger", max_files).json(path)
+    return pages.withColumn("_file", F.col("_metadata.file_path"))

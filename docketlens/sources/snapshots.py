@@ -21,7 +21,7 @@ def append_history(events: DataFrame, path: str) -> None:
     events.write.mode("append").parquet(path)
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+def path_exists(spark: SparkSession, path: str) -> bool:
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
 
@@ -33,7 +33,7 @@ def read_snapshot(
 
     A row of another schema version makes the reading job fail.
     """
-    if not _exists(spark, path):
+    if not path_exists(spark, path):
         return spark.createDataFrame([], schema)
     rows = spark.read.schema(f"{schema}, schema_version int").parquet(path)
     checked = F.assert_true(
@@ -47,7 +47,7 @@ def read_json_catalog(
     spark: SparkSession, path: str, schema: str, schema_version: int = SCHEMA_VERSION
 ) -> DataFrame:
     """Records of a JSON catalog document ``{schemaVersion, records: [...]}``, empty when absent."""
-    if not _exists(spark, path):
+    if not path_exists(spark, path):
         return spark.createDataFrame([], schema)
     document = spark.read.option("multiLine", "true").schema(
         f"schemaVersion int, records array<struct<{schema}>>"
