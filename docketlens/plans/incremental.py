@@ -42,14 +42,14 @@ def hit_pages(spark, folder, period: int):
 
 
 def run_docket_stream(spark, folder, degraded_batch: int | None = 2) -> DocketStream:
-    """Three periods as three files; the last run is degraded."""
+    """Three periods arriving one after the other; the last run is degraded."""
     root = run_dir(spark, "docket-stream")
+    stream = DocketStream(f"{root}/state")
     for period in range(3):
         pages = hit_pages(spark, folder, period)
-        # One range-ordered file for each period keeps hits in event order within a micro-batch.
-        pages.repartitionByRange(1, "event_id").sortWithinPartitions("event_id").drop("event_id").write.json(f"{root}/pages/p{period}")
-    stream = DocketStream(f"{root}/state")
-    stream.run(spark, f"{root}/pages/*", lambda batch: STAMPS[batch], lambda batch: batch == degraded_batch, max_files=1)
+        # Files in range order keep the hits of a period in event order.
+        pages.repartitionByRange("event_id").sortWithinPartitions("event_id").drop("event_id").write.json(f"{root}/pages/p{period}")
+        stream.run(spark, f"{root}/pages/*", lambda batch: STAMPS[batch], lambda batch: batch == degraded_batch, max_files=100_000)
     return stream
 
 
@@ -66,7 +66,6 @@ def docket_stream_totals(spark, folder):
 def survival_stream(spark, folder):
     root = run_dir(spark, "survival-stream")
     observed = observations(docket_survival.members(spark, folder))
-    # Not one file: the stream reads the files Spark wrote, some at a time.
     observed.write.parquet(f"{root}/observed")
     stream = SurvivalStream(f"{root}/state")
     stream.run(spark, f"{root}/observed", max_files=4)
@@ -78,11 +77,11 @@ def activity_stream(spark, folder):
     versions = claim_ledger.versions(spark, folder)
     versions.write.parquet(f"{root}/all")
     written = spark.read.parquet(f"{root}/all")
+    stream = ActivityStream(f"{root}/state")
     for period in range(3):
         start, end = (F.lit(d).cast("timestamp_ntz") for d in BOUNDS[period:period + 2])
-        written.filter((F.col("at") >= start) & (F.col("at") < end)).coalesce(1).write.parquet(f"{root}/versions/p{period}")
-    stream = ActivityStream(f"{root}/state")
-    stream.run(spark, f"{root}/versions/*", max_files=1)
+        written.filter((F.col("at") >= start) & (F.col("at") < end)).write.parquet(f"{root}/versions/p{period}")
+        stream.run(spark, f"{root}/versions/*", max_files=100_000)
     return claim_ledger.shown(stream.events(spark))
 
 

@@ -8,27 +8,29 @@ from pyspark.sql import functions as F
 from docketlens.sources.schemas import HIT_PAGE
 
 
+def _placed(pages: DataFrame) -> DataFrame:
+    return pages.withColumns({"_file": F.col("_metadata.file_path"), "_block": F.col("_metadata.file_block_start")})
+
+
 def hits_of(pages: DataFrame) -> DataFrame:
     """One row for each hit with its ``hit_order``. A page without a ``results`` array fails the job.
 
-    Pages read from files are ordered by file; else by their place in the input.
+    Pages read from files are ordered by file and place in it; others by their place in the input.
     """
     checked = F.assert_true(F.col("results").isNotNull(), F.lit("unexpected response shape"))
-    file = F.col("_file") if "_file" in pages.columns else F.lit("")
+    place = ["_file", "_block"] if "_file" in pages.columns else []
     return (
         pages.withColumn("_page", F.monotonically_increasing_id())
         .filter(checked.isNull())
-        .select(file.alias("_in"), "_page", F.posexplode("results").alias("_at", "_hit"))
-        .select("_hit.*", F.struct("_in", "_page", "_at").alias("hit_order"))
+        .select(*place, "_page", F.posexplode("results").alias("_at", "_hit"))
+        .select("_hit.*", F.struct(*place, "_page", "_at").alias("hit_order"))
     )
 
 
 def read_hits(spark: SparkSession, path: str) -> DataFrame:
-    pages = spark.read.schema(HIT_PAGE).option("mode", "FAILFAST").json(path)
-    return hits_of(pages.withColumn("_file", F.col("_metadata.file_path")))
+    return hits_of(_placed(spark.read.schema(HIT_PAGE).option("mode", "FAILFAST").json(path)))
 
 
 def stream_pages(spark: SparkSession, path: str, max_files: int = 100) -> DataFrame:
     """The same pages as a stream; ``max_files`` bounds the work of one micro-batch."""
-    pages = spark.readStream.schema(HIT_PAGE).option("maxFilesPerTrigger", max_files).json(path)
-    return pages.withColumn("_file", F.col("_metadata.file_path"))
+    return _placed(spark.readStream.schema(HIT_PAGE).option("maxFilesPerTrigger", max_files).json(path))

@@ -28,7 +28,8 @@ class DocketStream:
         """Merge one batch of pages: only the dockets it names are read, merged and written."""
         spark = pages.sparkSession
         hits = hits_of(pages)
-        accepted = D.normalize_hits(hits, observed_at)
+        # Read by several writes below; a lost cached part is computed again.
+        accepted = D.normalize_hits(hits, observed_at).persist()
         observed, filings = D.dedupe_dockets(accepted), D.filings_of(accepted)
         before = self.records.current(spark, batch_id, observed).drop("batch")
         before_filings = self.filings.current(spark, batch_id, observed).drop("batch")
@@ -40,6 +41,7 @@ class DocketStream:
             "raw_results_seen", "accepted_results",
         )
         self.runs.write(counts, batch_id)
+        accepted.unpersist()
 
     def run(
         self, spark: SparkSession, pages_path: str, stamp: Callable[[int], str],
