@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from docketlens.functions.text import clean_text
+from docketlens.functions.text import bind, clean_text
 
 # Month names in calendar order, and mean days per month (365.2425 / 12).
 MONTHS = [
@@ -24,54 +24,64 @@ def extract_date(value: Column) -> Column:
     """
     text = F.trim(value)
     iso = F.when(
-        text.rlike(r"^\d{2}/\d{2}/\d{4}$"),
+        text.rlike(r"^\d{2}/\d{2}/(?!00)\d{4}$"),
         F.concat(text.substr(7, 4), F.lit("-"), text.substr(1, 2), F.lit("-"), text.substr(4, 2)),
-    ).when(text.rlike(r"^\d{4}-\d{2}-\d{2}$"), text)
-    return F.when(iso >= "0100", iso.try_cast("date"))
+    ).when(text.rlike(r"^(?!00)\d{4}-\d{2}-\d{2}$"), text)
+    return iso.try_cast("date")
 
 
 def iso_date(value: Column) -> Column:
     """``YYYY-MM-DD`` only."""
-    text = clean_text(value)
-    return F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}$"), text.try_cast("date"))
+    return bind(
+        clean_text(value), lambda t: F.when(t.rlike(r"^\d{4}-\d{2}-\d{2}$"), t.try_cast("date"))
+    )
 
 
 def claim_date(value: Column) -> Column:
     """``M/D/YY`` or ``M/D/YYYY``; two-digit years pivot at 70."""
-    text = clean_text(value)
-    pattern = r"^(\d{1,2})/(\d{1,2})/(\d{2}|\d{4})$"
-    part = lambda i: F.regexp_extract(text, pattern, i)
-    year = F.when(text.rlike(pattern), part(3)).cast("int")
-    full_year = F.when(
-        year < 100, year + F.when(year >= TWO_DIGIT_YEAR_PIVOT, 1900).otherwise(2000)
-    ).otherwise(year)
-    iso = F.concat_ws(
-        "-", F.lpad(full_year.cast("string"), 4, "0"), F.lpad(part(1), 2, "0"), F.lpad(part(2), 2, "0")
-    )
-    return F.when(full_year.isNotNull(), iso.try_cast("date"))
+
+    def from_parts(parts: Column) -> Column:
+        year = parts[2].cast("int")
+        full = F.when(year >= 100, year).otherwise(
+            year + F.when(year >= TWO_DIGIT_YEAR_PIVOT, 1900).otherwise(2000)
+        )
+        iso = F.concat_ws(
+            "-", F.lpad(full.cast("string"), 4, "0"), F.lpad(parts[0], 2, "0"), F.lpad(parts[1], 2, "0")
+        )
+        return iso.try_cast("date")
+
+    def parse(text: Column) -> Column:
+        fits = text.rlike(r"^\d{1,2}/\d{1,2}/(\d{2}|\d{4})$")
+        return F.when(fits, bind(F.split(text, "/"), from_parts))
+
+    return bind(clean_text(value), parse)
 
 
 def month_date(value: Column) -> Column:
     """``Month YYYY`` as ``YYYY-MM`` text."""
-    text = clean_text(value)
-    pattern = rf"(?i)^({'|'.join(MONTHS)})\s+(\d{{4}})$"
-    month = F.array_position(
-        F.array(*[F.lit(m) for m in MONTHS]), F.lower(F.regexp_extract(text, pattern, 1))
-    )
-    return F.when(
-        month > 0,
-        F.concat_ws("-", F.regexp_extract(text, pattern, 2), F.lpad(month.cast("string"), 2, "0")),
+    names = F.array(*[F.lit(m) for m in MONTHS])
+
+    def from_parts(parts: Column) -> Column:
+        return bind(
+            F.array_position(names, F.lower(parts[0])),
+            lambda month: F.when(month > 0, F.concat_ws("-", parts[1], F.lpad(month.cast("string"), 2, "0"))),
+        )
+
+    return bind(
+        clean_text(value),
+        lambda text: F.when(text.rlike(r"^[A-Za-z]+ \d{4}$"), bind(F.split(text, " "), from_parts)),
     )
 
 
 def claim_deadline(raw: Column, as_of: Column) -> Column:
     """Struct (raw, date, status past/upcoming/unknown); null when the text is blank."""
-    text = clean_text(raw)
-    date = claim_date(raw)
-    status = F.when(date.isNull(), "unknown").when(date < as_of, "past").otherwise("upcoming")
-    return F.when(
-        text != "", F.struct(text.alias("raw"), date.alias("date"), status.alias("status"))
-    )
+
+    def judge(parsed: Column) -> Column:
+        date = parsed["date"]
+        status = F.when(date.isNull(), "unknown").when(date < as_of, "past").otherwise("upcoming")
+        return F.when(parsed["raw"] != "", F.struct(parsed["raw"].alias("raw"), date.alias("date"), status.alias("status")))
+
+    return bind(F.struct(clean_text(raw).alias("raw"), claim_date(raw).alias("date")), judge)
 
 
 def days_between(start: Column, end: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from docketlens.functions.text import WHITESPACE, WORD_END, WORD_START, words
+from docketlens.functions.text import WHITESPACE, WORD_END, WORD_START, bind, matches_any, words
 from docketlens.functions.wording import first_match
 
 # Word lists, state names and patterns, in deciding order.
@@ -44,17 +44,17 @@ ISSUES = [
     ("finance", "bank|credit|debit|loan|mortgage|securit|broker|invest|payment app|financial|interest rate"),
 ]
 GOALS = [
-    ("government_redress", "(?i)government|agency|ftc|cfpb|sec|official refund|redress"),
-    ("watch_cases", "(?i)watch|track|lawsuit|docket|proposed case|pending case"),
-    ("explore", "(?i)every catalog|everything|all source|mix of"),
-    ("open_claims", "(?i)act on|file|claim form|open claim|deadline|submit"),
+    ("government_redress", "government|agency|ftc|cfpb|sec|official refund|redress"),
+    ("watch_cases", "watch|track|lawsuit|docket|proposed case|pending case"),
+    ("explore", "every catalog|everything|all source|mix of"),
+    ("open_claims", "act on|file|claim form|open claim|deadline|submit"),
 ]
-NO_PROOF = "(?i)no (?:receipt|receipts|proof|document|documents)|without (?:proof|receipts|documents)"
+NO_PROOF = "no (?:receipt|receipts|proof|document|documents)|without (?:proof|receipts|documents)"
 DENIES_NOTICE = (
-    "(?i)" + words(rf"(?:no|never|did not|didn't){WHITESPACE}+(?:receive[A-Za-z0-9_]*{WHITESPACE}+)?(?:a{WHITESPACE}+)?notice")
+    words(rf"(?:no|never|did not|didn't){WHITESPACE}+(?:receive[A-Za-z0-9_]*{WHITESPACE}+)?(?:a{WHITESPACE}+)?notice")
 )
-MENTIONS_NOTICE = "(?i)notice|claim id|notice id|confirmation"
-MENTIONS_RECORDS = "(?i)receipt|record|invoice|statement"
+MENTIONS_NOTICE = "notice|claim id|notice id|confirmation"
+MENTIONS_RECORDS = "receipt|record|invoice|statement"
 YEAR = words(r"(?:19|20)\d{2}")
 
 _SEP = rf"(?:{WHITESPACE}|[.-])?"
@@ -120,21 +120,25 @@ def location_of(message: Column) -> Column:
 
 
 def goal_of(message: Column) -> Column:
-    return first_match(message, GOALS, None)
+    return first_match(F.lower(message), GOALS, None)
 
 
 def proof_of(message: Column) -> Column:
-    return (
-        F.when(message.rlike(NO_PROOF), "No documents stated")
-        .when(message.rlike(MENTIONS_NOTICE) & ~message.rlike(DENIES_NOTICE), "Notice or ID")
-        .when(message.rlike(MENTIONS_RECORDS), "Records may be requested")
-    )
+    def judge(text: Column) -> Column:
+        return (
+            F.when(matches_any(text, NO_PROOF), "No documents stated")
+            .when(matches_any(text, MENTIONS_NOTICE) & ~text.rlike(DENIES_NOTICE), "Notice or ID")
+            .when(matches_any(text, MENTIONS_RECORDS), "Records may be requested")
+        )
+
+    return bind(F.lower(message), judge)
 
 
 def issues_of(message: Column) -> Column:
-    return F.array_compact(
-        F.array(*[F.when(message.rlike("(?i)" + pattern), F.lit(name)) for name, pattern in ISSUES])
-    )
+    def judge(text: Column) -> Column:
+        return F.array_compact(F.array(*[F.when(matches_any(text, p), F.lit(name)) for name, p in ISSUES]))
+
+    return bind(F.lower(message), judge)
 
 
 def years_of(value: Column) -> Column:
@@ -143,17 +147,39 @@ def years_of(value: Column) -> Column:
     )
 
 
+# What a text must hold before the pattern of the reason is worth trying, in lower case.
+SENSITIVE_WORDS = {
+    "email address": ["@"],
+    "private identifier": ["claim", "notice", "confirmation", "account", "routing", "tax"],
+    "account credential": ["password", "passcode", "bank credential"],
+    "sensitive personal detail": [
+        "my diagnosis", "medical record", "patient id", "information about my child", "minor's information",
+    ],
+}
+SENSITIVE_DIGITS = ["phone number", "payment-card-like number", "private number", "street address"]
+
+
 def sensitive_reason(value: Column) -> Column:
-    """The first reason a text must not be kept, else null. Cheap literal tests guard the wide patterns."""
-    guards = {"email address": value.contains("@")}
-    digit = value.rlike("[0-9]")
-    for name in ("phone number", "payment-card-like number", "private number", "street address"):
-        guards[name] = digit
-    chain = None
-    for name, pattern in SENSITIVE:
-        hit = guards[name] & value.rlike(pattern) if name in guards else value.rlike(pattern)
-        chain = F.when(hit, name) if chain is None else chain.when(hit, name)
-    return chain
+    """The first reason a text must not be kept, else null. Literal lookups guard the wide patterns."""
+
+    def judge(v: Column) -> Column:
+        chain = None
+        for name, pattern in SENSITIVE:
+            hit = v["text"].rlike(pattern)
+            if name in SENSITIVE_DIGITS:
+                hit = v["digits"] & hit
+            elif name in SENSITIVE_WORDS:
+                held = F.lit(False)
+                for word in SENSITIVE_WORDS[name]:
+                    held = held | v["lower"].contains(word)
+                hit = held & hit
+            else:
+                hit = (v["digits"] | v["lower"].contains("ssn") | v["lower"].contains("social security")) & hit
+            chain = F.when(hit, name) if chain is None else chain.when(hit, name)
+        return chain
+
+    parts = F.struct(value.alias("text"), F.lower(value).alias("lower"), value.rlike("[0-9]").alias("digits"))
+    return bind(parts, judge)
 
 
 def parse_message(message: Column) -> dict[str, Column]:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 import pandas as pd
@@ -36,12 +37,34 @@ def null_if_blank(value: Column) -> Column:
     return F.when(value != "", value)
 
 
-def _decompose(value: Column) -> Column:
+def matches_any(text: Column, pattern: str) -> Column:
+    """Whether ``pattern`` occurs in ``text``; its plain alternatives are looked up without a regex."""
+    alternatives, depth, part = [], 0, ""
+    for ch in pattern:
+        depth += {"(": 1, ")": -1}.get(ch, 0)
+        if ch == "|" and depth == 0:
+            alternatives.append(part)
+            part = ""
+        else:
+            part += ch
+    alternatives.append(part)
+    plain = [a for a in alternatives if re.fullmatch(r"[a-z0-9 \-]+", a)]
+    rest = "|".join(a for a in alternatives if a not in plain)
+    found = F.lit(False)
+    for literal in plain:
+        found = found | text.contains(literal)
+    return found | text.rlike(rest) if rest else found
+
+
+def _without_accents(value: Column) -> Column:
     # Defined inside, so that executors receive the code itself and need no copy of this package.
-    def nfkd(values: pd.Series) -> pd.Series:
-        return values.map(lambda text: None if text is None else unicodedata.normalize("NFKD", text))
+    def strip(values: pd.Series) -> pd.Series:
+        marks = re.compile("[\u0300-\u036f]")
+        return values.map(
+            lambda text: None if text is None else marks.sub("", unicodedata.normalize("NFKD", text))
+        )
 
-    return F.pandas_udf(nfkd, StringType())(value)
+    return F.pandas_udf(strip, StringType())(value)
 
 
 def slugify(value: Column) -> Column:
@@ -50,12 +73,10 @@ def slugify(value: Column) -> Column:
     Spark has no Unicode decomposition, so that step alone runs in Python, and only texts
     with a non-ASCII character are handed over (the others are passed as null).
     """
-    text = clean_text(value)
-    decomposed = _decompose(F.when(text.rlike(r"[^\x00-\x7f]"), text))
-    plain = F.regexp_replace(F.coalesce(decomposed, text), r"[\x{0300}-\x{036f}]", "")
-    spelled = F.replace(F.lower(plain), F.lit("&"), F.lit(" and "))
-    dashed = F.regexp_replace(spelled, "[^a-z0-9]+", "-")
-    return F.substring(F.regexp_replace(dashed, "^-+|-+$", ""), 1, 100)
+    text = F.coalesce(value.cast("string"), F.lit(""))
+    plain = F.coalesce(_without_accents(F.when(text.rlike(r"[^\x00-\x7f]"), text)), text)
+    dashed = F.regexp_replace(F.replace(F.lower(plain), F.lit("&"), F.lit(" and ")), "[^a-z0-9]+", "-")
+    return F.substring(F.btrim(dashed, F.lit("-")), 1, 100)
 
 
 def short_hash(value: Column, length: int = 16) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from docketlens.functions.text import WHITESPACE, clean_text, words
+from docketlens.functions.text import WHITESPACE, bind, clean_text, matches_any, words
 
 # Label and pattern in deciding order, over lower-cased clean text.
 SETTLEMENT_CATEGORIES = [
@@ -39,11 +39,16 @@ PROOF_ANSWERS = [("yes", "^yes(?![A-Za-z0-9_])"), ("no", "^no(?![A-Za-z0-9_])")]
 
 
 def first_match(text: Column, rules: list[tuple[str, str]], otherwise: str | None) -> Column:
-    chain = None
-    for label, pattern in rules:
-        hit = text.rlike(pattern)
-        chain = F.when(hit, label) if chain is None else chain.when(hit, label)
-    return chain.otherwise(F.lit(otherwise))
+    """The label of the first rule whose pattern occurs in ``text``, which is evaluated once."""
+
+    def judge(bound: Column) -> Column:
+        chain = None
+        for label, pattern in rules:
+            hit = matches_any(bound, pattern)
+            chain = F.when(hit, label) if chain is None else chain.when(hit, label)
+        return chain.otherwise(F.lit(otherwise))
+
+    return bind(text, judge)
 
 
 def settlement_category(*values: Column) -> Column:
@@ -61,9 +66,8 @@ def participation_mode(wording: Column) -> Column:
 
 
 def window_status(wording: Column, mode: Column) -> Column:
-    text = F.lower(clean_text(wording))
-    from_mode = F.when(mode == "automatic_distribution", "not_applicable").otherwise("unknown")
-    return F.coalesce(first_match(text, WINDOW_STATUSES, None), from_mode)
+    stated = first_match(F.lower(clean_text(wording)), WINDOW_STATUSES, None)
+    return F.coalesce(stated, F.when(mode == "automatic_distribution", "not_applicable").otherwise("unknown"))
 
 
 def proof_answer(value: Column) -> Column:

@@ -16,11 +16,14 @@ same as ranking all pairs.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docketlens.functions import finder as N
 from docketlens.operators.keyed import top_k
+from docketlens.session import written_once
 
 # Kinds in rank order, reasons, labels, weights and bands.
 KINDS = ["settlement_claims_open", "government_redress", "potential_class_case", "legal_counsel_intake"]
@@ -298,7 +301,7 @@ def _known_sets(tokens: DataFrame, known: DataFrame) -> DataFrame:
             level = level.join(tokens, "session_id").filter(F.col("token") > F.col("last")).select(
                 "session_id", F.concat_ws(" ", "set_key", "token").alias("set_key"), F.col("token").alias("last")
             )
-        level = level.join(known.filter(F.col("size") == size).select("set_key"), "set_key", "left_semi")
+        level = level.join(known, "set_key", "left_semi")
         sized = level.select("session_id", "set_key")
         found = sized if found is None else found.unionByName(sized)
     return found
@@ -320,13 +323,16 @@ def _related_matches(profiled: DataFrame, tokens: DataFrame, cases: DataFrame, k
     # The sets of a case come from its own few tokens; the sets of a session only extend known ones.
     hot_case = tagged.filter("hot").groupBy("case_id").agg(F.array_sort(F.collect_set("token")).alias("_hot"))
     sets = hot_case.select("case_id", F.explode(_subsets(F.col("_hot"))).alias("set_key"))
-    slots = top_k(
-        sets.join(related.drop("identity"), "case_id"), ["set_key", "kind", "freshness"],
-        [F.col("deadline").asc_nulls_last(), F.col("case_id")], k,
-    )
-    known = slots.select("set_key").distinct().withColumn("size", F.size(F.split("set_key", " ")))
+    slots = written_once(
+        top_k(
+            sets.join(related.drop("identity"), "case_id"), ["set_key", "kind", "freshness"],
+            [F.col("deadline").asc_nulls_last(), F.col("case_id")], k,
+        ).select("set_key", "case_id"),
+        "related-slots",
+    )
+    known = slots.select("set_key").distinct()
     session_sets = _known_sets(session_tokens.filter("hot").select("session_id", "token"), known)
-    frequent = session_sets.join(slots.select("set_key", "case_id"), "set_key").select("session_id", "case_id").distinct()
+    frequent = session_sets.join(slots, "set_key").select("session_id", "case_id").distinct()
 
     candidates = rare.unionByName(frequent).distinct().join(related, "case_id").join(seekers, "session_id")
     candidates = candidates.filter(
@@ -361,20 +367,39 @@ def _subsets(tokens: Column) -> Column:
 # ---- ranking ----
 
 
-def rank_cases(
-    cases: DataFrame, sessions: DataFrame, texts: DataFrame, tokens: DataFrame, k: int = 3, hot_df: int = 256
-) -> DataFrame:
-    """The best ``k`` cases of each session: session_id, rank, case_id, score, kind, signal, layer.
+@dataclass(frozen=True)
+class MatchInputs:
+    """Cases and sessions made ready once for ranking and explaining."""
+
+    cases: DataFrame
+    profiled: DataFrame
+    hits: DataFrame
+    tokens: DataFrame
+
+
+def prepare(cases: DataFrame, sessions: DataFrame, texts: DataFrame, tokens: DataFrame) -> MatchInputs:
+    """Write the tables that ranking reads several times.
 
     ``cases`` has the FINDER_CASE columns with ``id`` renamed to ``case_id``; ``sessions`` has
     session_id, goal, goal_explicit, experiences, location and proof; ``texts`` and ``tokens`` are the
-    keyword tables. A session without any specific wish has no rows.
+    keyword tables.
+    """
+    return MatchInputs(
+        cases,
+        written_once(_profiles(sessions, texts, tokens), "match-profiles"),
+        written_once(alias_hits(texts, cases), "match-aliases"),
+        tokens,
+    )
+
+
+def rank_cases(inputs: MatchInputs, k: int = 3, hot_df: int = 256) -> DataFrame:
+    """The best ``k`` cases of each session: session_id, rank, case_id, score, kind, signal, layer.
+
+    A session without any specific wish has no rows.
     """
     k = max(1, k)
-    profiled = _profiles(sessions, texts, tokens)
-    hits = alias_hits(texts, cases)
-    claims = _claim_matches(profiled, hits, cases, k)
-    related = _related_matches(profiled, tokens, cases, k, hot_df)
+    claims = _claim_matches(inputs.profiled, inputs.hits, inputs.cases, k)
+    related = _related_matches(inputs.profiled, inputs.tokens, inputs.cases, k, hot_df)
     best = _best(claims.unionByName(related), ["session_id"], k, "rank")
     signal = F.lit(BROAD)
     for floor, label in reversed(BANDS):
@@ -385,21 +410,19 @@ def rank_cases(
     )
 
 
-def explain_matches(
-    ranked: DataFrame, cases: DataFrame, sessions: DataFrame, texts: DataFrame, tokens: DataFrame
-) -> DataFrame:
+def explain_matches(ranked: DataFrame, inputs: MatchInputs) -> DataFrame:
     """Add ``reasons`` (at most five) and ``questions`` (at most two) to ranked matches."""
-    profiled = _profiles(sessions, texts, tokens).drop("profile")
+    ranked, cases, tokens = written_once(ranked, "match-ranked"), inputs.cases, inputs.tokens
     detail = (
         ranked.join(cases.drop("kind", "signal"), "case_id")
-        .join(profiled.withColumnRenamed("proof", "proof_wanted"), "session_id")
+        .join(inputs.profiled.drop("profile").withColumnRenamed("proof", "proof_wanted"), "session_id")
     )
     alias = (
         ranked.select("session_id", "case_id").join(cases.select("case_id", "kind", "aliases"), "case_id")
         .filter(F.col("kind") == CLAIM)
         .select("session_id", "case_id", F.posexplode("aliases").alias("_at", "alias"))
         .withColumn("alias_key", N.normalize(F.col("alias")))
-        .join(alias_hits(texts, cases), ["session_id", "alias_key"])
+        .join(inputs.hits, ["session_id", "alias_key"])
         .groupBy("session_id", "case_id").agg(F.min_by("alias", "_at").alias("alias"))
     )
     shared = (

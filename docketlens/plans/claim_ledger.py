@@ -9,6 +9,7 @@ from docketlens.operators import ledger as L
 from docketlens.operators.keyed import keep_first
 from docketlens.plans.finder_matching import catalog as part_cases
 from docketlens.plans.tables import pick, sql_pick, sql_stamp, stamp, table
+from docketlens.session import written_once
 
 SPLIT = "2024-01-16"
 ROLES = ["verified_official_settlement_site", "source_only", "legal_intake", "agency_program", "publisher_labeled_destination"]
@@ -57,6 +58,10 @@ def versions(spark, folder):
     return L.apply_operations(operations(spark, folder), _order(), _block())
 
 
+def written_versions(spark, folder):
+    return written_once(versions(spark, folder), "claim-versions")
+
+
 def shown(df):
     times = [c for c in ("submitted_at", "approved_at", "paid_at", "occurred_at", "at", "updated_at") if c in df.columns]
     return df.withColumns({c: stamp(F.col(c)) for c in times})
@@ -74,6 +79,10 @@ def current_claims(spark, folder):
     return L.current_claims(versions(spark, folder), _order())
 
 
+def written_claims(spark, folder):
+    return written_once(current_claims(spark, folder), "claims")
+
+
 def ledger_current(spark, folder):
     return shown(current_claims(spark, folder).drop("at"))
 
@@ -134,7 +143,7 @@ def _entitled(spark, folder, rest):
 
 def purge_subjects(spark, folder):
     """Rows left in each table after the customers of some nations are purged."""
-    claims = current_claims(spark, folder).select("claim_id", "user_id", "case_id")
+    claims = written_claims(spark, folder).select("claim_id", "user_id", "case_id")
     tables = {
         "profiles": table(spark, folder, "customer").select(F.col("c_custkey").cast("string").alias("user_id")),
         "saved_cases": _started(spark, folder).select("user_id", "case_id"),
@@ -150,7 +159,7 @@ def purge_subjects(spark, folder):
 
 def delete_owned(spark, folder):
     """Claims left after removals, half of which name the wrong owner."""
-    claims = current_claims(spark, folder).select("claim_id", "user_id", "personal_status")
+    claims = written_claims(spark, folder).select("claim_id", "user_id", "personal_status")
     removals = claims.filter(F.col("claim_id").endswith("-1")).select(
         "claim_id", F.when(F.col("user_id").cast("bigint") % 2 == 0, F.col("user_id")).otherwise("nobody").alias("user_id")
     )
@@ -191,12 +200,13 @@ def quality_violations(spark, folder):
         F.lit("").alias("city"), F.lit("").alias("region"), F.repeat(F.lit("9"), (key % 45).cast("int")).alias("postal_code"),
         pick(key % 4, ["US", "us", "USA", "DE"]).alias("country_code"),
     )
-    claims = current_claims(spark, folder).select(
+    all_versions = written_versions(spark, folder)
+    claims = L.current_claims(all_versions, _order()).select(
         "*", F.repeat(F.col("case_id"), (F.col("user_id").cast("bigint") % 60).cast("int")).alias("case_title_snapshot"), F.lit("x").alias("company_snapshot"),
     ).withColumn("submitted_at", F.when(F.col("user_id").cast("bigint") % 5 == 0, F.timestamp_add("DAY", F.lit(20), F.col("submitted_at"))).otherwise(F.col("submitted_at"))).withColumn(
         "received_amount_cents", F.when(F.col("user_id").cast("bigint") % 7 == 0, -F.col("received_amount_cents")).otherwise(F.col("received_amount_cents"))
     )
-    activity = L.claim_activity(versions(spark, folder), _order(), _block()).withColumn(
+    activity = L.claim_activity(all_versions, _order(), _block()).withColumn(
         "amount_kind", F.when(F.col("user_id").cast("bigint") % 3 == 0, F.lit(None)).otherwise(F.col("amount_kind"))
     )
     saved = openings(spark, folder).select("user_id", "case_id", F.col("case_id").alias("case_title_snapshot"), F.lit(None).cast("string").alias("source_url_snapshot"))

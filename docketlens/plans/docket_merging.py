@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from docketlens.operators import dockets as D
 from docketlens.plans.tables import day, pick, sql_pick, table
-from docketlens.session import run_dir
+from docketlens.session import run_dir, written_once
 from docketlens.sources.search_hits import read_hits
 
 SPLIT = "2024-01-16"
@@ -163,7 +163,7 @@ def hit_metrics(spark, folder):
     path = run_dir(spark, "search-hits")
     hit_pages(spark, folder).write.json(path)
     hits = read_hits(spark, path)
-    accepted = D.normalize_hits(hits, AFTER)
+    accepted = written_once(D.normalize_hits(hits, AFTER).select("docket_id"), "accepted-hits")
     return D.run_metrics(hits, accepted, D.run_metrics(hits, accepted))
 
 

@@ -10,6 +10,7 @@ from docketlens.operators import sessions as S
 from docketlens.operators.keyed import keep_last
 from docketlens.plans.tables import pick, sql_list, sql_pick, table
 from docketlens.plans.text_classifiers import _SESSIONS, messages
+from docketlens.session import written_once
 
 AS_OF = "1999-01-01 12:00:00"
 PROOFS = ["No documents stated", "Notice or ID", "Records may be requested", "Requirements not stated"]
@@ -67,30 +68,32 @@ def sessions(spark, folder):
     )
 
 
-def ranked(spark, folder):
-    cases, people = catalog(spark, folder), sessions(spark, folder)
-    texts, tokens = M.keyword_tables(people)
-    return M.rank_cases(cases, people, texts, tokens, TOP), (cases, people, texts, tokens)
+def inputs(spark, folder):
+    people = sessions(spark, folder)
+    return M.prepare(catalog(spark, folder), people, *M.keyword_tables(people))
 
 
 def ranked_matches(spark, folder):
-    return ranked(spark, folder)[0]
+    return M.rank_cases(inputs(spark, folder), TOP)
 
 
 def ranked_followups(spark, folder):
-    rows, inputs = ranked(spark, folder)
-    return M.explain_matches(rows, *inputs).select(
+    ready = inputs(spark, folder)
+    return M.explain_matches(M.rank_cases(ready, TOP), ready).select(
         "session_id", "rank", "case_id", "layer", F.array_join("reasons", " / ").alias("reasons"), F.array_join("questions", " / ").alias("questions")
     )
 
 
 def conversation_matches(spark, folder):
     """Messages folded into preferences, their keywords as bounded chunks, then ranked."""
-    parsed = S.message_preferences(messages(spark, folder).filter("role = 'user'"))
+    said = messages(spark, folder).filter("role = 'user'")
+    parsed = written_once(S.message_preferences(said).drop("text"), "parsed-messages")
     people = S.session_preferences(parsed, "conv_id", "turn").withColumnRenamed("conv_id", "session_id")
-    tokens = S.session_keywords(parsed, "conv_id", "turn").withColumnRenamed("conv_id", "session_id")
-    texts = M.keyword_chunks(tokens, longest_alias=4)
-    return M.rank_cases(catalog(spark, folder), people, texts, tokens, TOP, hot_df=16).select("session_id", "rank", "case_id", "score", "signal")
+    tokens = written_once(
+        S.session_keywords(parsed, "conv_id", "turn").withColumnRenamed("conv_id", "session_id"), "session-keywords"
+    )
+    ready = M.prepare(catalog(spark, folder), people, M.keyword_chunks(tokens, longest_alias=4), tokens)
+    return M.rank_cases(ready, TOP, hot_df=16).select("session_id", "rank", "case_id", "score", "signal")
 
 
 def situation_candidates(spark, folder):

@@ -10,6 +10,7 @@ from docketlens.operators import agency as A
 from docketlens.operators import identity as I
 from docketlens.operators.lifecycle import check_sources
 from docketlens.plans.tables import pick, sql_pick, table
+from docketlens.session import written_once
 from docketlens.sources.pages import anchors_of, extract_elements, page_modified_dates
 
 CHECKED_AT = "2024-01-31T00:00:00.000Z"
@@ -123,7 +124,7 @@ def listing_pages(spark, folder):
 
 
 def agency_listing(spark, folder):
-    elements = extract_elements(listing_pages(spark, folder))
+    elements = written_once(extract_elements(listing_pages(spark, folder)), "page-elements")
     source = listing_source()
     entries = A.listing_entries(elements, source)
     records = A.agency_records(entries, source, CHECKED_AT, page_modified_dates(elements))
@@ -136,7 +137,7 @@ def agency_listing(spark, folder):
 
 def listing_checks(spark, folder):
     """The listing's row counts against its minimum and parse share, beside a source that finds nothing."""
-    elements = extract_elements(listing_pages(spark, folder))
+    elements = written_once(extract_elements(listing_pages(spark, folder)), "page-elements")
     counts = None
     for source in (listing_source(), A.distributions_source()):
         entries = A.listing_entries(elements, source)

@@ -6,8 +6,20 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+# The column that identifies a row, for tables whose rows are costly to process.
+SPREAD_KEYS = {"lineitem": "l_orderkey", "documents": "doc_id", "pages": "page_id", "conversations": "conv_id"}
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    """A table; one of fewer splits than cores is spread over the cores by its key.
+
+    A large table has more splits than that and is scanned as it is, without a shuffle.
+    """
+    rows = spark.read.parquet(f"{folder}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    if name in SPREAD_KEYS and rows.rdd.getNumPartitions() < cores:
+        return rows.repartition(cores, SPREAD_KEYS[name])
+    return rows
 
 
 def pick(at: Column, values: list) -> Column:

@@ -10,11 +10,13 @@ from docketlens.functions import dates as D
 from docketlens.functions import finder as N
 from docketlens.functions import wording as W
 from docketlens.functions.text import short_hash, slugify, stable_bucket
+from docketlens.operators.keyed import computed_once
 from docketlens.operators.sessions import message_preferences as parsed_messages
 from docketlens.operators.sessions import session_keywords as keywords_of
 from docketlens.operators.sessions import session_preferences as preferences_of
 from docketlens.plans.page_listings import sql_clean, sql_slug
 from docketlens.plans.tables import day, pick, sql_list, sql_pick, table
+from docketlens.session import written_once
 
 AS_OF = "1999-01-01"
 
@@ -65,8 +67,7 @@ def wording_modes(spark, folder):
     docs = table(spark, folder, "documents").select(
         "doc_id", F.concat_ws(" ", pick(F.col("doc_id") % len(WORDINGS), WORDINGS), "text").alias("wording")
     )
-    mode = W.participation_mode(F.col("wording"))
-    return docs.withColumn("mode", mode).select(
+    return computed_once(docs, mode=W.participation_mode(F.col("wording"))).select(
         "doc_id", "mode", W.window_status(F.col("wording"), F.col("mode")).alias("window_status"),
         W.proof_answer(F.col("wording")).alias("proof"),
     )
@@ -78,7 +79,8 @@ def dollar_amounts(spark, folder):
         F.lit("Pays $"), F.format_number(price, 2), F.lit(" now, $ "), quantity, F.lit(" later, $"), F.format_number(price, 2),
         F.lit(" again and $"), quantity, F.lit(".5 or $x"),
     )
-    lines = table(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", W.dollar_amounts(text).alias("a"))
+    lines = table(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity")
+    lines = computed_once(lines, a=W.dollar_amounts(text))
     return lines.select(
         "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.array_join(F.transform("a", lambda x: x["raw"]), ";").alias("raw"),
         F.round(F.aggregate("a", F.lit(0.0), lambda acc, x: acc + x["value"]), 2).alias("total"),
@@ -112,12 +114,14 @@ def message_preferences(spark, folder):
 
 
 def session_preferences(spark, folder):
-    parsed = parsed_messages(messages(spark, folder).filter("role = 'user'"))
+    said = messages(spark, folder).filter("role = 'user'")
+    parsed = written_once(parsed_messages(said).drop("text"), "parsed-messages")
     return preferences_of(parsed, "conv_id", "turn").withColumn("experiences", F.array_join("experiences", ","))
 
 
 def session_keywords(spark, folder):
-    parsed = parsed_messages(messages(spark, folder).filter("role = 'user'"))
+    said = messages(spark, folder).filter("role = 'user'")
+    parsed = written_once(parsed_messages(said).drop("text"), "parsed-messages")
     return keywords_of(parsed, "conv_id", "turn")
 
 
@@ -146,7 +150,7 @@ def deadline_status(spark, folder):
     as_of = F.lit(dt.date.fromisoformat(AS_OF))
     key, date = F.col("o_orderkey"), F.col("o_orderdate").cast("date")
     raw = F.when(key % 11 == 0, "soon").when(key % 11 == 1, " ").otherwise(F.date_format(date, "M/d/yy"))
-    orders = table(spark, folder, "orders").select("o_orderkey", date.alias("d"), D.claim_deadline(raw, as_of).alias("deadline"))
+    orders = computed_once(table(spark, folder, "orders").select("o_orderkey", date.alias("d"), raw.alias("text")), deadline=D.claim_deadline(F.col("text"), as_of))
     days = D.days_until(F.col("deadline.date"), as_of)
     return orders.select(
         "o_orderkey", F.col("deadline.raw").alias("raw"), day(F.col("deadline.date")).alias("date"), F.col("deadline.status").alias("status"),
@@ -199,7 +203,7 @@ tokens AS (
   SELECT *, list_filter(string_split(trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')), ' '),
     lambda t: length(t) >= 2 AND t NOT IN {_IGNORED}) AS all_tokens FROM talk),
 parsed AS (
-  SELECT conv_id, turn, role, {_sql_first('text', N.GOALS, 'NULL')} AS goal,
+  SELECT conv_id, turn, role, {_sql_first('lower(text)', N.GOALS, 'NULL')} AS goal,
     list_filter([{', '.join(f"CASE WHEN regexp_matches(text, '{p}', 'i') THEN '{n}' END" for n, p in N.ISSUES)}], lambda x: x IS NOT NULL) AS experiences,
     list_filter(all_tokens, lambda t, i: list_position(all_tokens, t) = i) AS keywords,
     coalesce(list_filter({_STATES}, lambda s: regexp_matches(lower(text), '\\b' || replace(s, ' ', '\\s+') || '\\b'))[1],
