@@ -17,12 +17,12 @@ def hits_of(pages: DataFrame) -> DataFrame:
 
     Pages read from files are ordered by file and place in it; others by their place in the input.
     """
-    checked = F.assert_true(F.col("results").isNotNull(), F.lit("unexpected response shape"))
+    # Inside the explode, so that no inferred filter can drop the malformed page before the check.
+    results = F.coalesce("results", F.raise_error(F.lit("unexpected response shape")))
     place = ["_file", "_block"] if "_file" in pages.columns else []
     return (
         pages.withColumn("_page", F.monotonically_increasing_id())
-        .filter(checked.isNull())
-        .select(*place, "_page", F.posexplode("results").alias("_at", "_hit"))
+        .select(*place, "_page", F.posexplode(results).alias("_at", "_hit"))
         .select("_hit.*", F.struct(*place, "_page", "_at").alias("hit_order"))
     )
 
