@@ -198,10 +198,13 @@ def agency_records(
 
 def listing_counts(entries: DataFrame, records: DataFrame, source: ListingSource) -> DataFrame:
     """Raw and parsed rows of a source, for ``check_sources``; a source without entries counts zero."""
-    one = F.lit(1).alias("_k")
-    raw = entries.agg(F.count(F.lit(1)).alias("raw_rows")).select(one, "*")
-    parsed = records.agg(F.count(F.lit(1)).alias("parsed_rows")).select(one, "*")
-    return raw.join(parsed, "_k").select(
+    sides = entries.select(F.lit(1).alias("raw"), F.lit(0).alias("parsed")).unionByName(
+        records.select(F.lit(0).alias("raw"), F.lit(1).alias("parsed"))
+    )
+    counted = sides.agg(
+        F.coalesce(F.sum("raw"), F.lit(0)).alias("raw_rows"), F.coalesce(F.sum("parsed"), F.lit(0)).alias("parsed_rows")
+    )
+    return counted.select(
         F.lit(source.source_id).alias("source_id"), F.lit(source.required).alias("required"),
         F.lit(source.minimum_records).alias("minimum_records"), "raw_rows", "parsed_rows",
     )

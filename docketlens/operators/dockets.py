@@ -39,14 +39,18 @@ FILING_KEY = ["docket_id", "document_id", "docket_entry_id"]
 
 
 def is_class_complaint(description: Column) -> Column:
-    """A class complaint phrase anywhere, or a header that opens as a complaint and mentions a class."""
+    """A class complaint phrase anywhere, or a header that opens as a complaint and mentions a class.
+
+    The wide patterns run only on texts that hold the words, or the opening, they need.
+    """
 
     def header_fits(header: Column) -> Column:
         return header.rlike(OPENS_AS_COMPLAINT) & header.rlike(MENTIONS_CLASS)
 
     def fits(text: Column) -> Column:
         header = F.substring(F.element_at(F.split(text, ATTACHMENTS, 2), 1), 1, HEADER_LENGTH)
-        return text.rlike(COMPLAINT_ANYWHERE) | bind(header, header_fits)
+        anywhere = F.lower(text).contains("action complaint") & text.rlike(COMPLAINT_ANYWHERE)
+        return anywhere | (text.rlike(OPENS_AS_COMPLAINT) & bind(header, header_fits))
 
     return bind(clean_text(description), fits)
 
@@ -226,21 +230,18 @@ def docket_order() -> list[Column]:
 
 def run_metrics(hits: DataFrame, accepted: DataFrame, previous_totals: DataFrame | None = None) -> DataFrame:
     """Raw and accepted counts of a run, with totals carried over from earlier runs."""
-    one = F.lit(1).alias("_k")
-    run = (
-        hits.agg(F.count(F.lit(1)).alias("raw_results_seen")).select(one, "*")
-        .join(accepted.agg(F.count(F.lit(1)).alias("accepted_results")).select(one, "*"), "_k")
-    )
-    if previous_totals is None:
-        carried = run.withColumn("_raw", F.lit(0)).withColumn("_accepted", F.lit(0))
-    else:
-        carried = run.join(
-            previous_totals.select(
-                one, F.col("raw_results_seen_total").alias("_raw"), F.col("accepted_results_total").alias("_accepted")
-            ), "_k", "left",
-        ).fillna(0)
-    return carried.select(
-        "raw_results_seen", "accepted_results",
-        (F.col("raw_results_seen") + F.col("_raw")).cast("bigint").alias("raw_results_seen_total"),
-        (F.col("accepted_results") + F.col("_accepted")).cast("bigint").alias("accepted_results_total"),
+
+    def counted(raw: Column, accepted: Column, raw_before: Column, accepted_before: Column) -> list[Column]:
+        return [raw.alias("raw"), accepted.alias("accepted"), raw_before.alias("raw_b"), accepted_before.alias("accepted_b")]
+
+    none, one = F.lit(0).cast("bigint"), F.lit(1).cast("bigint")
+    rows = hits.select(*counted(one, none, none, none)).unionByName(accepted.select(*counted(none, one, none, none)))
+    if previous_totals is not None:
+        rows = rows.unionByName(previous_totals.select(
+            *counted(none, none, F.col("raw_results_seen_total"), F.col("accepted_results_total"))
+        ))
+    total = lambda *names: sum((F.coalesce(F.sum(n), F.lit(0)) for n in names), F.lit(0)).cast("bigint")
+    return rows.agg(
+        total("raw").alias("raw_results_seen"), total("accepted").alias("accepted_results"),
+        total("raw", "raw_b").alias("raw_results_seen_total"), total("accepted", "accepted_b").alias("accepted_results_total"),
     )

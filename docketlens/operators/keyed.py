@@ -59,20 +59,18 @@ def previous_row(
     within each block, and only one summary row for each block is ordered across blocks. A hot key
     is thus sorted by as many tasks as it has blocks.
     """
-    blocked = df.withColumn("_block", block)
     inside = Window.partitionBy(*keys, "_block").orderBy(*order)
-    with_lag = blocked.withColumn("_prev", F.lag(_row(columns)).over(inside)).withColumn(
-        "_first", F.row_number().over(inside) == 1
-    )
-    ends = blocked.groupBy(*keys, "_block").agg(
-        F.max_by(_row(columns), F.struct(*order)).alias("_end")
-    )
+    placed = df.withColumn("_block", block).withColumns({
+        "_prev": F.lag(_row(columns)).over(inside),
+        "_first": F.row_number().over(inside) == 1,
+        "_last": F.lead(F.lit(1)).over(inside).isNull(),
+    })
     across = Window.partitionBy(*keys).orderBy("_block")
-    carried = ends.select(*keys, "_block", F.lag("_end").over(across).alias("_carry"))
+    ends = placed.filter("_last").select(*keys, "_block", F.lag(_row(columns)).over(across).alias("_carry"))
     return (
-        with_lag.join(carried, [*keys, "_block"], "left")
+        placed.join(ends, [*keys, "_block"])
         .withColumn(into, F.when(F.col("_first"), F.col("_carry")).otherwise(F.col("_prev")))
-        .drop("_block", "_prev", "_first", "_carry")
+        .drop("_block", "_prev", "_first", "_last", "_carry")
     )
 
 
@@ -115,20 +113,18 @@ def fill_forward(
     df: DataFrame, keys: list[str], order: list[Column], block: Column, columns: list[str]
 ) -> DataFrame:
     """Replace nulls in ``columns`` by the last value before them in the same key, block by block."""
-    blocked = df.withColumn("_block", block)
-    so_far = (
-        Window.partitionBy(*keys, "_block").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    )
-    inside = blocked.withColumns({c: F.last(c, ignorenulls=True).over(so_far) for c in columns})
-    ends = blocked.groupBy(*keys, "_block").agg(
-        *[F.max_by(c, F.when(F.col(c).isNotNull(), F.struct(*order))).alias(c) for c in columns]
+    inside = Window.partitionBy(*keys, "_block").orderBy(*order)
+    so_far = inside.rowsBetween(Window.unboundedPreceding, 0)
+    filled = df.withColumn("_block", block).withColumns(
+        {c: F.last(c, ignorenulls=True).over(so_far) for c in columns}
+        | {"_last": F.lead(F.lit(1)).over(inside).isNull()}
     )
     before = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    carried = ends.select(
+    ends = filled.filter("_last").select(
         *keys, "_block", *[F.last(c, ignorenulls=True).over(before).alias(f"_carry_{c}") for c in columns]
     )
     return (
-        inside.join(carried, [*keys, "_block"], "left")
+        filled.join(ends, [*keys, "_block"])
         .withColumns({c: F.coalesce(F.col(c), F.col(f"_carry_{c}")) for c in columns})
-        .drop("_block", *[f"_carry_{c}" for c in columns])
+        .drop("_block", "_last", *[f"_carry_{c}" for c in columns])
     )

@@ -148,19 +148,21 @@ def coverage(
         .withColumn("last_success_at", F.when(ok, F.lit(checked_at)).otherwise(F.col("_before")))
         .drop("_before")
     )
-    overall = sources.agg(
+    # One row for each configured source, so all of them fit the one row of the overall status.
+    whole = sources.agg(
+        F.collect_list(F.struct(*sources.columns)).alias("_sources"),
         F.count_if("required").alias("required_source_count"),
         F.count_if(F.col("required") & ok).alias("required_success_count"),
         F.coalesce(F.bool_and(~F.col("required") | ok), F.lit(True)).alias("all_required_sources_succeeded"),
         F.coalesce(F.bool_or(ok | (F.col("stale_retention_count") > 0)), F.lit(False)).alias("_any"),
-    ).withColumn(
+    )
+    overall = (
+        F.when(F.col("all_required_sources_succeeded"), "complete").when(F.col("_any"), "degraded").otherwise("failed")
+    )
+    return whole.withColumn("overall_status", overall).select(
+        F.inline("_sources"), "required_source_count", "required_success_count", "all_required_sources_succeeded",
         "overall_status",
-        F.when(F.col("all_required_sources_succeeded"), "complete")
-        .when(F.col("_any"), "degraded")
-        .otherwise("failed"),
     )
-    one = F.lit(1).alias("_k")
-    return sources.select(one, "*").join(overall.drop("_any").select(one, "*"), "_k").drop("_k")
 
 
 def counts_by_agency(records: DataFrame, agency: str = "source_id") -> DataFrame:

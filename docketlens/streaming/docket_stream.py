@@ -56,12 +56,13 @@ class DocketStream:
 
     def current(self, spark: SparkSession) -> DataFrame:
         """Current records. A record not seen since the last degraded run is stale."""
-        last_bad = self.runs.deltas(spark).filter("degraded").agg(F.max("run").alias("_bad")).select(
-            F.lit(1).alias("_k"), "_bad"
-        )
-        records = self.records.current(spark).withColumn("_k", F.lit(1)).join(last_bad, "_k", "left")
-        stale = F.coalesce(F.col("batch") < F.col("_bad"), F.lit(False))
-        return records.withColumn("freshness", F.when(stale, "stale").otherwise(F.col("freshness"))).drop("_k", "_bad", "batch")
+        # One number of the run log, which has one row for each micro-batch.
+        last_bad = self.runs.deltas(spark).filter("degraded").agg(F.max("run")).first()[0]
+        records = self.records.current(spark)
+        if last_bad is not None:
+            fresh = F.when(F.col("batch") < last_bad, "stale").otherwise(F.col("freshness"))
+            records = records.withColumn("freshness", fresh)
+        return records.drop("batch")
 
     def current_filings(self, spark: SparkSession) -> DataFrame:
         return self.filings.current(spark).drop("batch")
