@@ -34,7 +34,7 @@ def clean_text(value: Column) -> Column:
 
 
 def null_if_blank(value: Column) -> Column:
-    return F.when(value != "", value)
+    return bind(value, lambda v: F.when(v != "", v))
 
 
 def matches_any(text: Column, pattern: str) -> Column:

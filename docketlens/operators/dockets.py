@@ -78,10 +78,14 @@ def _filing(document: Column, fallback: Column) -> Column:
 
 def _distinct_filings(filings: Column) -> Column:
     key = lambda f: F.struct(f["document_id"], f["docket_entry_id"])
-    keys = F.transform(filings, key)
-    first = F.filter(filings, lambda f, at: F.array_position(keys, key(f)) == at + 1)
-    keyed = F.transform(first, lambda f: F.struct(filing_sort_key(f).alias("k"), f.alias("f")))
-    return F.transform(F.array_sort(keyed), lambda e: e["f"])
+
+    def firsts(b: Column) -> Column:
+        first = F.filter(b["filings"], lambda f, at: F.array_position(b["keys"], key(f)) == at + 1)
+        keyed = F.transform(first, lambda f: F.struct(filing_sort_key(f).alias("k"), f.alias("f")))
+        return F.transform(F.array_sort(keyed), lambda e: e["f"])
+
+    with_keys = bind(filings, lambda fs: F.struct(fs.alias("filings"), F.transform(fs, key).alias("keys")))
+    return bind(with_keys, firsts)
 
 
 def normalize_hits(hits: DataFrame, observed_at: str) -> DataFrame:
