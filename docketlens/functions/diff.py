@@ -9,17 +9,27 @@ from docketlens.functions.text import json_value, short_hash
 
 
 def field_changes(before: dict[str, Column], after: dict[str, Column]) -> Column:
-    """Array of (field, before, after) JSON texts for fields that differ, in field-name order."""
+    """Array of (field, before, after) JSON texts for fields that differ, in field-name order.
+
+    A field only one side has counts as null on the other.
+    """
+
+    def side(fields: dict[str, Column], name: str) -> Column:
+        return json_value(fields[name]) if name in fields else F.lit("null")
+
+    def differs(name: str) -> Column:
+        if name in before and name in after:
+            return ~before[name].eqNullSafe(after[name])
+        return (before if name in before else after)[name].isNotNull()
+
     entries = [
         F.when(
-            ~before[name].eqNullSafe(after[name]),
+            differs(name),
             F.struct(
-                F.lit(name).alias("field"),
-                json_value(before[name]).alias("before"),
-                json_value(after[name]).alias("after"),
+                F.lit(name).alias("field"), side(before, name).alias("before"), side(after, name).alias("after")
             ),
         )
-        for name in sorted(set(before) & set(after))
+        for name in sorted(set(before) | set(after))
     ]
     return F.array_compact(F.array(*entries))
 

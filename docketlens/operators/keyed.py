@@ -68,7 +68,7 @@ def previous_row(
     across = Window.partitionBy(*keys).orderBy("_block")
     ends = placed.filter("_last").select(*keys, "_block", F.lag(_row(columns)).over(across).alias("_carry"))
     return (
-        placed.join(ends, [*keys, "_block"])
+        placed.join(ends, [*keys, "_block"], "left")
         .withColumn(into, F.when(F.col("_first"), F.col("_carry")).otherwise(F.col("_prev")))
         .drop("_block", "_prev", "_first", "_last", "_carry")
     )
@@ -124,7 +124,7 @@ def fill_forward(
         *keys, "_block", *[F.last(c, ignorenulls=True).over(before).alias(f"_carry_{c}") for c in columns]
     )
     return (
-        filled.join(ends, [*keys, "_block"])
+        filled.join(ends, [*keys, "_block"], "left")
         .withColumns({c: F.coalesce(F.col(c), F.col(f"_carry_{c}")) for c in columns})
         .drop("_block", "_last", *[f"_carry_{c}" for c in columns])
     )

@@ -117,7 +117,7 @@ def screened_candidates(spark, folder):
     marked = orders.filter((F.col("o_orderpriority") == "1-URGENT") & (F.col("session_id") % 2 == 0))
     return M.screen_claims(
         catalog(spark, folder), people, answers.drop("o_orderkey", "o_orderpriority"), marked, F.lit(AS_OF).cast("timestamp_ntz")
-    ).select("session_id", "case_id", "answer", "recognized", "score", "signal", "reason", F.size("questions").alias("n_questions"))
+    ).orderBy("session_id", *M.match_order()).select("session_id", "case_id", "answer", "recognized", "score", "signal", "reason", F.size("questions").alias("n_questions"))
 
 
 QUERIES = {

@@ -63,7 +63,7 @@ def refreshed(spark, folder, report_recovery=True):
 
 
 def snapshot_lifecycle(spark, folder):
-    return L.current_records(refreshed(spark, folder))
+    return L.current_records(refreshed(spark, folder)).orderBy(*L.record_order("source_id"))
 
 
 def lifecycle_events(spark, folder):
