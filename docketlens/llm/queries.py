@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docketlens.llm import chat_format, secret_scan
-from docketlens.llm.common import crc_class, table
+from docketlens.llm import chat_format, decontaminate, language_id, packing, secret_scan
+from docketlens.llm.common import UPPER, crc_class, table
 
 
 def op1_chat_format(spark: SparkSession, folder: str) -> DataFrame:
@@ -38,6 +39,44 @@ FROM marked GROUP BY conv_id
 """
 
 
+def op2_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
+    found = decontaminate.find_contamination(table(spark, folder, "documents"), "text", table(spark, folder, "benchmark"), carry=["doc_id"])
+    n_hit, contaminated = decontaminate.hits(found)
+    return found.select(
+        "doc.doc_id", F.col("n_words").cast("long").alias("n_words"), n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), contaminated.alias("contaminated"),
+    )
+
+
+_WORDS_SQL = rf"regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{UPPER.lower()}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+OP2_SQL = f"""
+WITH d AS (SELECT doc_id, {_WORDS_SQL} AS w FROM documents),
+b AS (SELECT coalesce(item_id::VARCHAR, '') AS item_id, {_WORDS_SQL} AS w FROM benchmark),
+phrases AS (
+  SELECT DISTINCT item_id, w[i : i + least({decontaminate.WINDOW}, len(w)) - 1] AS g
+  FROM (SELECT *, unnest(range(1, greatest(1, len(w) - {decontaminate.WINDOW - 1}) + 1)) AS i FROM b WHERE len(w) > 0)
+), places AS (
+  SELECT doc_id, i, n, w[i : i + n - 1] AS g
+  FROM (SELECT *, unnest(range(1, len(w) - n + 2)) AS i FROM d, (SELECT DISTINCT len(g) AS n FROM phrases))
+), found AS (SELECT doc_id, i, n, item_id FROM places JOIN phrases USING (g)),
+words AS (SELECT doc_id, count(DISTINCT j) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS j FROM found) GROUP BY doc_id),
+items AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids
+  FROM (SELECT DISTINCT doc_id, item_id FROM found) GROUP BY doc_id
+)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * n_hit >= len(w) AS contaminated
+FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
+"""
+
+
+def op3_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text", "lang", (crc_class("doc_id", 5) == 0).alias("held_out"))
+    dictionaries = language_id.learn(docs.where("not held_out"), "lang", "text")
+    found = language_id.identify(docs, "text", dictionaries, carry=["doc_id", "held_out"])
+    return found.select("doc.doc_id", "doc.held_out", "lang_pred", "score", "rejected")
+
+
 def op8_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     found = secret_scan.scan(docs, "doc_id", "text", repo=F.concat_ws("/", "source", "lang"), owner=F.col("source"))
@@ -86,5 +125,18 @@ SELECT doc_id, coalesce(a, 0) AS n_assign, coalesce(k, 0) AS n_access, coalesce(
 FROM docs LEFT JOIN told USING (doc_id)
 """
 
-QUERIES = {"op1_chat_format": op1_chat_format, "op8_secret_scan": op8_secret_scan}
-ORACLES = {"op1_chat_format": OP1_SQL, "op8_secret_scan": OP8_SQL}
+def op9_packing(spark: SparkSession, folder: str) -> DataFrame:
+    path = public_tokenizers.path("word_bpe_49k.json")
+    return packing.pack(table(spark, folder, "documents"), "text", ["doc_id"], path, with_ids=False).select(
+        "doc.doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"
+    )
+
+
+QUERIES = {
+    "op1_chat_format": op1_chat_format,
+    "op2_decontaminate": op2_decontaminate,
+    "op3_language_id": op3_language_id,
+    "op8_secret_scan": op8_secret_scan,
+    "op9_packing": op9_packing,
+}
+ORACLES = {"op1_chat_format": OP1_SQL, "op2_decontaminate": OP2_SQL, "op8_secret_scan": OP8_SQL}
