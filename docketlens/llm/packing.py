@@ -27,7 +27,7 @@ WINDOW = 4096
 OPEN_WINDOWS = 16
 END_ID = 2
 #: Tasks whose open windows are merged together; bounds the rows of a merge.
-MERGE_TASKS = 64
+MERGE_TASKS = 8
 #: Entries of a worker's table of known words; a full table starts anew.
 CACHE_WORDS = 700_000
 _MERGED = 1 << 62

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docketlens.llm import chat_format, decontaminate, language_id, packing, secret_scan
+from docketlens.llm import chat_format, decontaminate, language_id, packing, secret_scan, toxicity
 from docketlens.llm.common import UPPER, crc_class, table
 
 
@@ -77,6 +77,14 @@ def op3_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc.doc_id", "doc.held_out", "lang_pred", "score", "rejected")
 
 
+def op5_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text", "lang", (crc_class("doc_id", 5) == 0).alias("held_out"))
+    labels = table(spark, folder, "labels").where(crc_class("doc_id", 5) != 0)
+    network = toxicity.train(*toxicity.draw_training(docs.where("not held_out"), labels, "doc_id", "text", "lang", "toxic"))
+    found = toxicity.score(docs, "text", network, carry=["doc_id", "held_out"])
+    return found.select("doc.doc_id", "doc.held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op8_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     found = secret_scan.scan(docs, "doc_id", "text", repo=F.concat_ws("/", "source", "lang"), owner=F.col("source"))
@@ -136,6 +144,7 @@ QUERIES = {
     "op1_chat_format": op1_chat_format,
     "op2_decontaminate": op2_decontaminate,
     "op3_language_id": op3_language_id,
+    "op5_toxicity": op5_toxicity,
     "op8_secret_scan": op8_secret_scan,
     "op9_packing": op9_packing,
 }
