@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docketlens.llm import chat_format, decontaminate, language_id, packing, secret_scan, toxicity
+from docketlens.llm import chat_format, decontaminate, interpolated_lm, language_id, packing, secret_scan, toxicity
 from docketlens.llm.common import UPPER, crc_class, table
 
 
@@ -85,6 +85,12 @@ def op5_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc.doc_id", "doc.held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op6_interpolated_lm(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text", (crc_class("doc_id", 7) == 2).alias("held_out"))
+    found = interpolated_lm.score(docs, "text", ~F.col("held_out"), carry=["doc_id", "held_out"])
+    return found.select("doc.doc_id", "doc.held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op8_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     found = secret_scan.scan(docs, "doc_id", "text", repo=F.concat_ws("/", "source", "lang"), owner=F.col("source"))
@@ -145,6 +151,7 @@ QUERIES = {
     "op2_decontaminate": op2_decontaminate,
     "op3_language_id": op3_language_id,
     "op5_toxicity": op5_toxicity,
+    "op6_interpolated_lm": op6_interpolated_lm,
     "op8_secret_scan": op8_secret_scan,
     "op9_packing": op9_packing,
 }
