@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docketlens.llm import chat_format, decontaminate, interpolated_lm, language_id, packing, secret_scan, toxicity
+from docketlens.llm import chat_format, decontaminate, interpolated_lm, language_id, packing, secret_scan, suffix_dedup, toxicity
 from docketlens.llm.common import UPPER, crc_class, table
 
 
@@ -77,6 +77,14 @@ def op3_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc.doc_id", "doc.held_out", "lang_pred", "score", "rejected")
 
 
+def op4_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    cut = suffix_dedup.remove_repeats(table(spark, folder, "documents"), "text", ["doc_id"])
+    return cut.select(
+        "doc.doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 def op5_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text", "lang", (crc_class("doc_id", 5) == 0).alias("held_out"))
     labels = table(spark, folder, "labels").where(crc_class("doc_id", 5) != 0)
@@ -150,6 +158,7 @@ QUERIES = {
     "op1_chat_format": op1_chat_format,
     "op2_decontaminate": op2_decontaminate,
     "op3_language_id": op3_language_id,
+    "op4_suffix_dedup": op4_suffix_dedup,
     "op5_toxicity": op5_toxicity,
     "op6_interpolated_lm": op6_interpolated_lm,
     "op8_secret_scan": op8_secret_scan,
