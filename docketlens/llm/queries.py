@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docketlens.llm import chat_format, decontaminate, interpolated_lm, language_id, packing, secret_scan, suffix_dedup, toxicity
+from docketlens.llm import chat_format, dart_minhash, decontaminate, interpolated_lm, language_id, packing, secret_scan, suffix_dedup, toxicity, voronoi_knn
 from docketlens.llm.common import UPPER, crc_class, table
 
 
@@ -99,6 +99,23 @@ def op6_interpolated_lm(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc.doc_id", "doc.held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def op7_voronoi_knn(spark: SparkSession, folder: str) -> DataFrame:
+    return voronoi_knn.top_k(table(spark, folder, "embeddings"), "vec_id", "embedding", F.col("id") % 100 == 0)
+
+
+OP7_SQL = """
+WITH valid AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+  SELECT q.vec_id AS query_id, d.vec_id, list_dot_product(q.v, d.v)::BIGINT AS score
+  FROM valid q JOIN valid d ON q.vec_id % 100 = 0 AND q.vec_id <> d.vec_id
+)
+SELECT query_id, rank::INTEGER AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored) WHERE rank <= 10
+"""
+
+
 def op8_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     found = secret_scan.scan(docs, "doc_id", "text", repo=F.concat_ws("/", "source", "lang"), owner=F.col("source"))
@@ -154,6 +171,11 @@ def op9_packing(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op10_dart_minhash(spark: SparkSession, folder: str) -> DataFrame:
+    found = dart_minhash.near_duplicates(table(spark, folder, "documents"), "doc_id", "text")
+    return found.select(F.col("id").alias("doc_id"), "class_id", "class_size", F.col("keeps").alias("kept"))
+
+
 QUERIES = {
     "op1_chat_format": op1_chat_format,
     "op2_decontaminate": op2_decontaminate,
@@ -161,7 +183,9 @@ QUERIES = {
     "op4_suffix_dedup": op4_suffix_dedup,
     "op5_toxicity": op5_toxicity,
     "op6_interpolated_lm": op6_interpolated_lm,
+    "op7_voronoi_knn": op7_voronoi_knn,
     "op8_secret_scan": op8_secret_scan,
     "op9_packing": op9_packing,
+    "op10_dart_minhash": op10_dart_minhash,
 }
-ORACLES = {"op1_chat_format": OP1_SQL, "op2_decontaminate": OP2_SQL, "op8_secret_scan": OP8_SQL}
+ORACLES = {"op1_chat_format": OP1_SQL, "op2_decontaminate": OP2_SQL, "op7_voronoi_knn": OP7_SQL, "op8_secret_scan": OP8_SQL}

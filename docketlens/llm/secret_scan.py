@@ -124,10 +124,12 @@ def written_spans(found: Column) -> Column:
 def redact(
     docs: DataFrame, id_column: str, text_column: str, repo: Column, owner: Column,
     live_mark: str = "[SECRET]", example_mark: str = "[EXAMPLE KEY]", example_owners: int = EXAMPLE_OWNERS,
+    length_column: str | None = None,
 ) -> DataFrame:
     """``docs`` with every span replaced: a run of touching spans by ``live_mark`` if any of them is live, else ``example_mark``.
 
-    Columns and all text outside spans are as before; a null text stays null.
+    Columns and all text outside spans are as before, but for ``length_column``, which gets the new length of a changed
+    text; a null text stays null.
     """
     spans = classified(docs, id_column, text_column, repo, owner, example_owners).where("stays")
     spans = spans.select("key", "start", "end", "live").distinct()
@@ -149,4 +151,9 @@ def redact(
     )
     last = F.substring("text", (F.element_at("runs", -1)["end"] + 1).cast("int"), F.length("text"))
     text = F.when(F.col("runs").isNull(), F.col("text")).otherwise(F.concat(F.array_join(parts, ""), last))
-    return joined.select(*[(text if c == text_column else F.col(f"doc.`{c}`")).alias(c) for c in docs.columns])
+    changed = joined.select("doc", "runs", text.alias("text"))
+    value = {text_column: F.col("text")}
+    if length_column:
+        old = F.col(f"doc.`{length_column}`")
+        value[length_column] = F.when(F.col("runs").isNull(), old).otherwise(F.length("text").cast(docs.schema[length_column].dataType))
+    return changed.select(*[value.get(c, F.col(f"doc.`{c}`")).alias(c) for c in docs.columns])
