@@ -7,9 +7,11 @@ coordinate, some k ln k in all, whatever the size of the text. Two texts agree i
 their weighted Jaccard similarity, so bands of coordinates find candidate pairs, and an exact comparison of the shingle
 sets decides.
 
-Equal texts are one node. In each bucket of a band the members are compared with the bucket's least member and with its
-largest one; members that are connected by then need no more comparisons, and all other pairs of the bucket are compared
-one by one. Classes are the connected components of the pairs that are similar enough.
+Equal texts are one node. In each bucket of a band the members are compared with the one that has most company in all its
+buckets, as the original of many edited copies has. Buckets whose members are connected by then are done. The others go
+as blocks of shingle sets to tasks that compare all members of different components by an index of their shingles and
+report only links that join components, so that pairs never become rows. Classes are the connected components of the
+pairs that are similar enough.
 
 With the default bands a pair of similarity 0.8 shares no bucket with probability 4e-8. Defined results: a null text is
 empty; a text of fewer than five words is one shingle; texts without words are alike only if they are equal; repeated
@@ -32,6 +34,8 @@ SHINGLE_WORDS = 5
 SIMILARITY = (4, 5)  # at least 4/5
 BANDS = 24
 BAND_ROWS = 3
+#: Members of a bucket that one task compares with each other.
+BLOCK_MEMBERS = 1024
 _CACHE_WORDS = 500_000
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
@@ -156,27 +160,30 @@ def _signed(batches, bands: int, rows: int, counted: bool):
         yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("text_key"), arrays], names=["id", "text_key", "buckets"])
 
 
+def shingle_set(shingles: np.ndarray, counted: bool) -> np.ndarray:
+    """A sorted set of 32-bit hashes for the exact comparison; the n-th copy of a shingle is an element of its own, if counted."""
+    if not counted:
+        return np.unique(shingles.astype(np.uint32))
+    ordered = np.sort(shingles)
+    heads = np.flatnonzero(np.diff(ordered, prepend=~ordered[:1]) != 0) if len(ordered) else np.empty(0, np.int64)
+    copy = np.arange(len(ordered)) - np.repeat(heads, np.diff(heads, append=len(ordered)))
+    return np.unique(_mix(ordered + _GOLDEN * copy.astype(np.uint64)).astype(np.uint32))
+
+
 def _sets(batches, counted: bool):
-    """Shingle sets as sorted 32-bit hashes (with multiplicity, if counted), for the exact comparison."""
     shingler = Shingler()
     for batch in batches:
-        sets = [np.sort((s if counted else np.unique(s)).astype(np.uint32)).tobytes() for s in map(shingler.shingles, batch.column("text").cast(pa.binary()).to_pylist())]
+        sets = [shingle_set(shingler.shingles(t), counted).tobytes() for t in batch.column("text").cast(pa.binary()).to_pylist()]
         yield pa.RecordBatch.from_arrays([batch.column("text_key"), pa.array(sets, pa.binary())], names=["node", "shingles"])
 
 
 def similar(one: np.ndarray, other: np.ndarray, least: tuple[int, int] = SIMILARITY) -> bool:
-    """Whether the Jaccard similarity of two sorted (multi)sets is at least the ratio."""
+    """Whether the Jaccard similarity of two sorted sets is at least the ratio."""
     small, large = sorted((len(one), len(other)))
     if small * least[1] < large * least[0]:
         return False
     both = np.sort(np.concatenate([one, other]), kind="stable")
-    if (np.diff(one) == 0).any() or (np.diff(other) == 0).any():
-        a, na = np.unique(one, return_counts=True)
-        b, nb = np.unique(other, return_counts=True)
-        _, x, y = np.intersect1d(a, b, assume_unique=True, return_indices=True)
-        common = int(np.minimum(na[x], nb[y]).sum())
-    else:
-        common = int((both[1:] == both[:-1]).sum())
+    common = int((both[1:] == both[:-1]).sum())
     return common * least[1] >= (small + large - common) * least[0]
 
 
@@ -187,6 +194,45 @@ def _verify(batches, least: tuple[int, int]):
         yield pa.RecordBatch.from_arrays([batch.column("u"), batch.column("v")], names=["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
 
+def joining_links(sets: list[np.ndarray], components: list, sides: list[int] | None, least: tuple[int, int] = SIMILARITY) -> list[tuple[int, int]]:
+    """Links (places in ``sets``) that join components, found by an index of shingles; ``sides``: only pairs across them."""
+    sizes = np.array([len(x) for x in sets])
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    _, shingle = np.unique(np.concatenate(sets), return_inverse=True)
+    order = np.argsort(shingle, kind="stable")
+    holders, begin = owner[order], np.concatenate([[0], np.cumsum(np.bincount(shingle))])
+    names = {c: k for k, c in enumerate(dict.fromkeys(components))}
+    group = np.array([names[c] for c in components])
+    starts = np.concatenate([[0], np.cumsum(sizes)])
+    found = []
+    for i in range(len(sets)):
+        apart = group != group[i]
+        if sides is not None:
+            apart &= np.array(sides) != sides[i]
+        apart[: i + 1] = False
+        if not apart.any():
+            continue
+        mine = shingle[starts[i] : starts[i + 1]]
+        lengths = begin[mine + 1] - begin[mine]
+        at = np.repeat(begin[mine] - np.concatenate([[0], np.cumsum(lengths)[:-1]]), lengths) + np.arange(int(lengths.sum()))
+        common = np.bincount(holders[at], minlength=len(sets))
+        for j in np.flatnonzero(apart & (common * least[1] >= (sizes + sizes[i] - common) * least[0])).tolist():
+            if group[j] != group[i]:
+                found.append((i, j))
+                group[group == group[j]] = group[i]
+    return found
+
+
+def _compare_block(table: pa.Table, least: tuple[int, int]) -> pa.Table:
+    nodes = table.column("node").combine_chunks()
+    sets = [np.frombuffer(x, np.uint32) for x in table.column("shingles").to_pylist()]
+    components = [(c["a"], c["b"]) for c in table.column("component").to_pylist()]
+    across = table.column("i")[0].as_py() != table.column("j")[0].as_py()
+    links = joining_links(sets, components, table.column("block").to_pylist() if across else None, least)
+    u, v = pa.array([a for a, _ in links], pa.int64()), pa.array([b for _, b in links], pa.int64())
+    return pa.table({"u": nodes.take(u), "v": nodes.take(v)})
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, least: tuple[int, int]) -> DataFrame:
     """The pairs (u, v) whose shingle sets are similar enough."""
     left = pairs.join(sets.select(F.col("node").alias("u"), F.col("shingles").alias("one")), "u")
@@ -210,10 +256,11 @@ def near_duplicates(
     )
     texts = written_once(signed.groupBy("text_key").agg(F.min("id").alias("id"), F.count("*").alias("copies"), F.first("buckets").alias("buckets")), "signed-texts")
     placed = texts.select(F.col("text_key").alias("node"), F.explode("buckets").alias("bucket"))
-    ends = placed.groupBy("bucket").agg(F.min("node").alias("first"), F.max("node").alias("last")).where("first <> last")
-    shared = written_once(placed.join(ends, "bucket"), "shared-buckets")
-    pair = lambda u, v: shared.where(f"{u} <> {v}").select(F.greatest(u, v).alias("u"), F.least(u, v).alias("v"))
-    stars = pair("node", "first").unionByName(pair("node", "last")).distinct()
+    crowd = placed.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
+    shared = written_once(placed.join(crowd, "bucket"), "shared-buckets")
+    company = shared.groupBy("node").agg(F.sum("n").alias("company"))
+    centers = shared.join(company, "node").groupBy("bucket").agg(F.max_by("node", F.struct("company", "node")).alias("center"))
+    stars = shared.join(centers, "bucket").where("node <> center").select(F.col("node").alias("u"), F.col("center").alias("v")).distinct()
 
     wanted = shared.select(F.col("node").alias("text_key")).distinct()
     with_text = rows.select("text_key", "text").join(wanted, "text_key", "left_semi")
@@ -221,14 +268,16 @@ def near_duplicates(
     links = written_once(_verified(stars, sets, least), "star-links")
     found = connected_components(links)
 
-    # What the stars left apart: pairs of one bucket in different components that were not compared yet.
-    joined = shared.select("bucket", "node").join(found, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component"))
+    # What the stars left apart: members of one bucket in different components.
+    joined = shared.select("bucket", "node", "n").join(found, "node", "left").select("bucket", "node", "n", F.coalesce("component", "node").alias("component"))
     apart = joined.groupBy("bucket").agg(F.min("component").alias("c1"), F.max("component").alias("c2")).where("c1 <> c2").select("bucket")
-    open_ = written_once(joined.join(apart, "bucket", "left_semi"), "open-buckets")
-    one, other = open_.alias("x"), open_.alias("y")
-    rest = one.join(other, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.node") > F.col("y.node")) & (F.col("x.component") != F.col("y.component")))
-    rest = rest.select(F.col("x.node").alias("u"), F.col("y.node").alias("v")).distinct().join(stars, ["u", "v"], "left_anti")
-    more = written_once(_verified(rest, sets, least), "other-links")
+    blocks = F.ceil(F.col("n") / BLOCK_MEMBERS).cast("int")
+    dealt = joined.join(apart, "bucket", "left_semi").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    # A block meets itself and each other block of its bucket once.
+    dealt = dealt.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("bucket", "node", "component", "block", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"))
+    met = dealt.join(sets, "node").groupBy("bucket", "i", "j")
+    more = written_once(met.applyInArrow(lambda t: _compare_block(t, least), links.schema), "other-links")
     classes = connected_components(links.unionByName(more)) if more.limit(1).count() else found
 
     named = texts.join(classes.withColumnRenamed("node", "text_key"), "text_key", "left")
