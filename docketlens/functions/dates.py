@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from docketlens.functions.text import bind, clean_text
+from docketlens.functions.text import bind, clean_text, strip
 
 # Month names in calendar order, and mean days per month (365.2425 / 12).
 MONTHS = [
@@ -22,7 +22,7 @@ def extract_date(value: Column) -> Column:
     Both shapes are rearranged to ISO text and cast: the cast checks the calendar and, unlike a
     pattern parser, does not raise and catch an exception for each bad value.
     """
-    text = F.trim(value)
+    text = strip(value)
     iso = F.when(
         text.rlike(r"^\d{2}/\d{2}/(?!00)\d{4}$"),
         F.concat(text.substr(7, 4), F.lit("-"), text.substr(1, 2), F.lit("-"), text.substr(4, 2)),

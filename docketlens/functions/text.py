@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 # Fixed value: the whitespace class of the reference's regular expressions, as a Java character class.
+WHITE = "\t\n\x0b\x0c\r \u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
 WHITESPACE = r"[\s\x{00a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]"
 
 # ASCII word boundaries. Java's \b treats accented letters as word characters, so it is spelled out.
@@ -18,6 +19,12 @@ WORD_START = r"(?<![A-Za-z0-9_])"
 WORD_END = r"(?![A-Za-z0-9_])"
 
 
+
+def strip(value: Column) -> Column:
+    """Without white space of any kind at both ends; ``F.trim`` removes U+0020 alone."""
+    return F.btrim(value, F.lit(WHITE))
+
+
 def words(pattern: str) -> str:
     """Wrap ``pattern`` (which starts and ends with a word character) in ASCII word boundaries."""
     return f"{WORD_START}(?:{pattern}){WORD_END}"

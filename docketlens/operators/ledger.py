@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docketlens.functions.text import null_if_blank
+from docketlens.functions.text import null_if_blank, strip
 from docketlens.operators.keyed import fill_forward, keep_first, keep_last, only_keys, previous_row, top_k, without_keys
 
 # Statuses and their classes.
@@ -16,6 +16,7 @@ FINISHED = ["paid", "denied", "closed", "withdrawn"]
 NEEDS_UPDATE = ["tracking", "started", "unknown"]
 EVENT_LIMIT = (1, 500)
 MAX_SAFE_CENTS = 2**53 - 1
+CONFIRMATION_LENGTH = 250
 VERSION_COLUMNS = [
     "personal_status", "status_provenance", "confirmation_number", "submitted_at", "approved_at",
     "approved_amount_cents", "paid_at", "received_amount_cents", "amount_source", "private_note",
@@ -39,14 +40,25 @@ def status_tone(status: Column) -> Column:
 
 
 def to_cents(amount: Column) -> Column:
-    """Amount text to whole cents; blank, unreadable and negative amounts are null."""
-    text = F.trim(amount)
+    """Amount text to whole cents; blank, unreadable and negative amounts and those beyond exact cents are null."""
+    text = strip(amount)
     number = F.when(text.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"), text.try_cast("double"))
-    return F.when(number >= 0, F.floor(number * 100 + 0.5).cast("bigint"))
+    cents = F.floor(number * 100 + 0.5)
+    return F.when((number >= 0) & (number <= MAX_SAFE_CENTS / 100), F.when(cents <= MAX_SAFE_CENTS, cents.cast("bigint")))
 
 
 def invalid_amount(amount: Column) -> Column:
-    return (F.trim(amount) != "") & to_cents(amount).isNull()
+    return (strip(amount) != "") & to_cents(amount).isNull()
+
+
+def refusal(invalid_amount: Column) -> Column:
+    """Why an operation is refused, null if it is accepted: an amount that is none, a confirmation without a number."""
+    number = F.coalesce(strip(F.col("confirmation")), F.lit(""))
+    return (
+        F.when(invalid_amount, "invalid_amount")
+        .when((F.col("operation") == "confirmation") & (number == ""), "confirmation_required")
+        .when(F.length(number) > CONFIRMATION_LENGTH, "confirmation_too_long")
+    )
 
 
 # ---- patches and versions ----
@@ -64,7 +76,7 @@ def operation_patches() -> dict[str, dict[str, Column]]:
     received_cents, source, note. Where occurred_on is null the time of the operation counts.
     """
     given = lambda name, default: F.coalesce(F.col(name), default)
-    confirmation = null_if_blank(F.trim("confirmation"))
+    confirmation = null_if_blank(strip(F.col("confirmation")))
     amount_source = F.when(
         F.col("approved_cents").isNotNull() | F.col("received_cents").isNotNull(), F.col("source")
     )
@@ -92,7 +104,7 @@ def operation_patches() -> dict[str, dict[str, Column]]:
             "paid_at": given("occurred_on", F.col("at")), "received_amount_cents": F.col("received_cents"),
             "amount_source": F.col("source"),
         },
-        "note": {"private_note": null_if_blank(F.trim("note"))},
+        "note": {"private_note": null_if_blank(strip(F.col("note")))},
         # approved_at and paid_at of an outcome keep the first value, see apply_operations.
         "outcome": {
             "personal_status": F.col("status"), "status_provenance": provenance,

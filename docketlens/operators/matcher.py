@@ -94,17 +94,24 @@ def allowed_kind(goal: Column, kind: Column, window_status: Column) -> Column:
 
 def keyword_tables(sessions: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(texts, tokens) of sessions with a ``keywords`` text column."""
-    texts = sessions.select("session_id", N.normalize(F.col("keywords")).alias("text"))
+    # Years are looked for in the words as they were typed: normalizing would part "alpha_2021".
+    texts = sessions.select("session_id", N.normalize(F.col("keywords")).alias("text"), F.col("keywords").alias("raw"))
     tokens = sessions.select("session_id", F.posexplode(F.array_distinct(N.tokenize(F.col("keywords")))).alias("position", "token"))
     return texts, tokens
 
 
+def alias_reach(cases: DataFrame) -> int:
+    """The tokens of the longest normalized alias of a catalog: one number, for ``keyword_chunks``."""
+    longest = F.array_max(F.transform("aliases", lambda a: F.size(F.split(N.normalize(a), " "))))
+    return cases.agg(F.max(longest).alias("n")).first()["n"] or 1
+
+
 def keyword_chunks(tokens: DataFrame, longest_alias: int, size: int = 64) -> DataFrame:
     """Keyword texts of sessions given as token rows, in overlapping chunks of bounded size.
 
     An alias of at most ``longest_alias`` tokens that occurs in the whole text occurs in a chunk.
     """
-    at = F.col("position")
+    at, size = F.col("position"), max(size, longest_alias)
     chunk = F.floor(at / size)
     spill = F.when((at % size < longest_alias - 1) & (chunk > 0), chunk - 1)
     placed = tokens.select(
@@ -118,7 +125,7 @@ def keyword_chunks(tokens: DataFrame, longest_alias: int, size: int = 64) -> Dat
 def _years(texts: DataFrame) -> DataFrame:
     """Distinct years (1900-2099, so at most 200) of each session."""
     return (
-        texts.select("session_id", F.explode(N.years_of(F.col("text"))).alias("year")).distinct()
+        texts.select("session_id", F.explode(N.years_of(F.col("raw" if "raw" in texts.columns else "text"))).alias("year")).distinct()
         .groupBy("session_id").agg(F.sort_array(F.collect_set("year")).alias("years"))
     )
 

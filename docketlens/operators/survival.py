@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docketlens.functions.dates import days_to_months, extract_date
+from docketlens.functions.text import strip
 from docketlens.operators.keyed import computed_once
 
 # Fixed values of the court extract.
@@ -53,12 +54,20 @@ def snapshot_literal(snapshot: str) -> Column:
     return F.lit(dt.date.fromisoformat(snapshot))
 
 
+def class_rows(rows: DataFrame) -> DataFrame:
+    """The rows of the class filter alone, of an extract whose cells are stripped, as ``read_court_extract`` returns it.
+
+    A plain comparison before anything is derived, so that the scan can apply it.
+    """
+    return rows.filter(F.col("CLASSACT") == "1")
+
+
 def classify_rows(rows: DataFrame, snapshot: str) -> DataFrame:
     """Trimmed class rows with parsed dates and ``row_status``; the first failing check names the row.
 
     Rows outside the class filter keep the status ``not_class``.
     """
-    field = lambda name: F.trim(F.coalesce(F.col(name), F.lit("")))
+    field = lambda name: strip(F.coalesce(F.col(name), F.lit("")))
     end = snapshot_literal(snapshot)
     is_class = field("CLASSACT") == "1"
     pending = (field("STATUSCD") == "S") | (field("TAPEYEAR") == "2099")
@@ -66,8 +75,9 @@ def classify_rows(rows: DataFrame, snapshot: str) -> DataFrame:
         rows,
         is_class=is_class,
         pending=pending,
-        filed=extract_date(F.col("FILEDATE")),
-        terminated=F.when(~pending, extract_date(F.col("TERMDATE"))),
+        # Dates are parsed for class rows only, a fiftieth of a real extract.
+        filed=F.when(is_class, extract_date(F.col("FILEDATE"))),
+        terminated=F.when(is_class & ~pending, extract_date(F.col("TERMDATE"))),
         raw_termination=field("TERMDATE"),
     )
     blank = F.col("raw_termination").isin("", "-8")
@@ -94,7 +104,7 @@ def collapse_dockets(classified: DataFrame, order: list[str], snapshot: str) ->
     ``order`` names the columns that give file order; the earliest row wins ties on the latest
     termination. All aggregates are partial, so a docket with many rows collapses map-side.
     """
-    field = lambda name: F.trim(F.coalesce(F.col(name), F.lit("")))
+    field = lambda name: strip(F.coalesce(F.col(name), F.lit("")))
     disposition = field("DISP")
     mdl = field("MDLDOCK")
     end = snapshot_literal(snapshot)
@@ -239,9 +249,11 @@ def censor_reasons(observed: DataFrame) -> DataFrame:
 def survival_curve(buckets: DataFrame, groups: list[str]) -> DataFrame:
     """Product-limit curve for each bucketed day. Windows see one row for each day, not each docket."""
     by_day = Window.partitionBy(*groups).orderBy("days")
-    from_here = by_day.rowsBetween(0, Window.unboundedFollowing)
     to_here = by_day.rowsBetween(Window.unboundedPreceding, 0)
-    at_risk = F.sum(F.col("events") + F.col("censored")).over(from_here)
+    # All of the group less those before: linear, where a frame to the end is read anew for each row.
+    left = F.col("events") + F.col("censored")
+    before = F.coalesce(F.sum(left).over(by_day.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    at_risk = F.sum(left).over(Window.partitionBy(*groups)) - before
     return buckets.withColumn("at_risk", at_risk).withColumn(
         "survival", F.product(1 - F.col("events") / F.col("at_risk")).over(to_here)
     )

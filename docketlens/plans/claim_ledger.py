@@ -26,8 +26,8 @@ def _block():
     return F.date_trunc("HOUR", F.col("at"))
 
 
-def operations(spark, folder):
-    """Each event is one operation on one of four claims of its user."""
+def submitted(spark, folder):
+    """Each event is one operation on one of four claims of its user; ``refusal`` says why it is not accepted."""
     k = F.get_json_object("props", "$.k").cast("int")
     text = F.col("value").cast("string")
     amount = (
@@ -51,7 +51,16 @@ def operations(spark, folder):
         L.invalid_amount(amount).alias("invalid_amount"),
         F.when(k % 4 != 0, "payment_record").alias("source"),
         F.concat(F.lit(" note "), k).alias("note"),
-    ).filter(~F.col("invalid_amount")).drop("invalid_amount")
+    ).withColumn("refusal", L.refusal(F.col("invalid_amount"))).drop("invalid_amount")
+
+
+def operations(spark, folder):
+    return submitted(spark, folder).filter(F.col("refusal").isNull()).drop("refusal")
+
+
+def rejected_operations(spark, folder):
+    """What was refused; no version of a claim comes of it."""
+    return submitted(spark, folder).filter(F.col("refusal").isNotNull()).select("claim_id", "seq", "operation", "refusal")
 
 
 def versions(spark, folder):
@@ -226,6 +235,7 @@ def quality_violations(spark, folder):
 QUERIES = {
     "ledger_apply": ledger_apply,
     "claim_activity": claim_activity,
+    "rejected_operations": rejected_operations,
     "ledger_current": ledger_current,
     "ledger_stats": ledger_stats,
     "ledger_view": ledger_view,
@@ -247,14 +257,16 @@ WITH named AS (
   SELECT *, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events),
 amounted AS (
   SELECT *, CASE k % 6 WHEN 0 THEN CAST(value AS VARCHAR) WHEN 1 THEN ' ' || value || ' ' WHEN 2 THEN '' WHEN 3 THEN 'abc' WHEN 4 THEN '-5' ELSE '1e2' END AS amount FROM named),
-ops AS (
+given AS (
   SELECT user_id || '-' || (event_id % 4) AS claim_id, CAST(user_id AS VARCHAR) AS user_id, 'case-' || ((user_id * 4 + event_id % 4) % 300) AS case_id, event_id AS seq, ts AS at_,
     {sql_pick(f'k % {len(OPERATIONS)}', OPERATIONS)} AS op, {sql_pick(f'k // 8 % {len(OUTCOMES)}', OUTCOMES)} AS status,
     coalesce(CASE WHEN k % 3 = 0 THEN 'official_claim_portal' END, 'user_reported') AS prov, CASE WHEN k % 3 = 0 THEN 'official_claim_portal' ELSE 'confirmation_email' END AS mail_prov,
     nullif(trim({sql_pick(f'event_id % {len(CONFIRMATIONS)}', CONFIRMATIONS)}), '') AS conf, CASE WHEN k % 2 = 0 THEN date_trunc('day', ts) END AS submitted_on,
     CASE WHEN k % 5 = 0 THEN date_trunc('day', ts) ELSE ts END AS happened, CASE WHEN k % 2 = 0 THEN {_CENTS.format('amount')} END AS approved, {_CENTS.format('amount')} AS received,
     CASE WHEN k % 4 <> 0 THEN 'payment_record' END AS source, trim(' note ' || k) AS note
-  FROM amounted WHERE trim(amount) = '' OR {_CENTS.format('amount')} IS NOT NULL),
+    , trim(amount) <> '' AND {_CENTS.format('amount')} IS NULL AS bad_amount
+  FROM amounted),
+ops AS (SELECT * FROM given WHERE NOT bad_amount AND NOT (op = 'confirmation' AND conf IS NULL)),
 sets AS (
   SELECT *,
     CASE op WHEN 'status' THEN {{'v': status}} WHEN 'submission' THEN {{'v': CASE WHEN conf IS NOT NULL THEN 'confirmation_recorded' ELSE 'submitted' END}} WHEN 'confirmation' THEN {{'v': 'confirmation_recorded'}}
@@ -338,6 +350,10 @@ _RULES = " UNION ALL ".join(
 )
 
 ORACLES = {
+    "rejected_operations": _OPS[: _OPS.index("sets AS (")].rstrip().rstrip(",")
+    + """
+SELECT claim_id, seq, op AS operation, CASE WHEN bad_amount THEN 'invalid_amount' ELSE 'confirmation_required' END AS refusal
+FROM given WHERE bad_amount OR (op = 'confirmation' AND conf IS NULL)""",
     "ledger_apply": _OPS + f'\nSELECT * REPLACE ({sql_stamp(chr(34) + "at" + chr(34))} AS "at", {_TIMES}) FROM vers',
     "claim_activity": _ACTIVITY + f"\nSELECT * EXCLUDE (occurred), {sql_stamp('occurred')} AS occurred_at FROM kinded",
     "ledger_current": _CURRENT + f'\nSELECT * EXCLUDE ("at") REPLACE ({_TIMES}), {sql_stamp(chr(34) + "at" + chr(34))} AS updated_at FROM claims',

@@ -61,7 +61,7 @@ def classified(spark, folder):
 
 
 def lifecycles(spark, folder):
-    return S.collapse_dockets(classified(spark, folder), ORDER, SNAPSHOT)
+    return S.collapse_dockets(S.classify_rows(S.class_rows(extract_rows(spark, folder)), SNAPSHOT), ORDER, SNAPSHOT)
 
 
 def members(spark, folder):

@@ -92,7 +92,8 @@ def conversation_matches(spark, folder):
     tokens = written_once(
         S.session_keywords(parsed, "conv_id", "turn").withColumnRenamed("conv_id", "session_id"), "session-keywords"
     )
-    ready = M.prepare(catalog(spark, folder), people, M.keyword_chunks(tokens, longest_alias=4), tokens)
+    cases = catalog(spark, folder)
+    ready = M.prepare(cases, people, M.keyword_chunks(tokens, M.alias_reach(cases)), tokens)
     return M.rank_cases(ready, TOP, hot_df=16).select("session_id", "rank", "case_id", "score", "signal")
 
 

@@ -78,8 +78,8 @@ def page_dedupe_members(spark, folder):
 
 
 WORDINGS = [
-    "Eligible consumers were identified; no action is needed. Checks of $1,250.50 and $ 40 were sent",
-    "Only consumers who are contacted by the administrator may respond. $1,250.50 each, $1,250.50 in all",
+    "Buyers of the heater need not write: no action is needed. We mailed $1,250.50 or $ 40 to each home",
+    "Only consumers who are contacted may respond, by post. A share is $1,250.50 and again $1,250.50",
     "The claim window has closed.", "Submit a claim by mail.", "See the agency page.",
     "If you received a notice, claim form is open",
 ]

@@ -14,6 +14,10 @@ from docketlens.functions.text import clean_text
 # Text near a page's own modification date.
 MODIFIED_CONTEXT = r"(?i)last\s+(?:modified|reviewed|updated)"
 
+# Common character references.
+ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&nbsp;", "\u00a0"), ("&amp;", "&")]
+_HREF = r"""href\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
+
 ELEMENT = (
     "page_id bigint, kind string, table_at int, at int, headers array<string>, cells array<string>, "
     "hrefs array<string>, link_texts array<string>, context string, block_ids array<string>"
@@ -66,16 +70,23 @@ def extract_elements(pages: DataFrame) -> DataFrame:
                 self.node["items"].append(data)
 
         def text(node):
-            if isinstance(node, str):
-                return node
-            return "" if node["tag"] in ("script", "style") else "".join(text(i) for i in node["items"])
+            parts, waiting = [], [node]
+            while waiting:
+                at = waiting.pop()
+                if isinstance(at, str):
+                    parts.append(at)
+                elif at["tag"] not in ("script", "style"):
+                    waiting.extend(reversed(at["items"]))
+            return "".join(parts)
 
         def find(node, *tags):
-            for item in node["items"]:
+            waiting = list(reversed(node["items"]))
+            while waiting:
+                item = waiting.pop()
                 if not isinstance(item, str):
                     if not tags or item["tag"] in tags:
                         yield item
-                    yield from find(item, *tags)
+                    waiting.extend(reversed(item["items"]))
 
         def enclosing(node, test):
             at = node
@@ -111,24 +122,40 @@ def extract_elements(pages: DataFrame) -> DataFrame:
 
         names = ["page_id", "kind", "table_at", "at", "headers", "cells", "hrefs", "link_texts", "context", "block_ids"]
         for batch in batches:
-            found = [e for page_id, html in zip(batch["page_id"], batch["html"]) for e in page_elements(page_id, html)]
+            found = []
+            for page_id, html in zip(batch["page_id"], batch["html"]):
+                found.extend(page_elements(page_id, html))
+                if len(found) > 5000:
+                    yield pd.DataFrame(found, columns=names)
+                    found = []
             yield pd.DataFrame(found, columns=names)
 
     return pages.select("page_id", "html").mapInPandas(run, ELEMENT)
 
 
 def anchors_of(html: Column) -> Column:
-    """Array of (href, text) by pattern: the JVM path for pages whose anchors hold plain text."""
-    found = F.regexp_extract_all(html, F.lit(r'(?is)<a\s[^>]*?href\s*=\s*"[^"]*"[^>]*>.*?</a>'), F.lit(0))
+    """Array of (href, text) by pattern: the JVM path for pages whose anchors hold plain text.
+
+    Links in double, single or no quotes count, links in comments do not; the common entities are decoded.
+    """
+    shown = F.regexp_replace(html, r"(?s)<!--.*?-->", "")
+    found = F.regexp_extract_all(shown, F.lit(rf"(?is)<a\s(?:[^>]*?\s)?{_HREF}[^>]*>.*?</a>"), F.lit(0))
     return F.transform(
         found,
         lambda a: F.struct(
-            F.regexp_extract(a, r'(?is)href\s*=\s*"([^"]*)"', 1).alias("href"),
-            clean_text(F.regexp_replace(F.regexp_extract(a, r"(?is)^<a\s[^>]*>(.*)</a>$", 1), r"<[^>]*>", "")).alias("text"),
+            decoded(F.concat(*[F.regexp_extract(a, rf"(?is)^<a\s(?:[^>]*?\s)?{_HREF}", n) for n in (1, 2, 3)])).alias("href"),
+            clean_text(decoded(F.regexp_replace(F.regexp_extract(a, r"(?is)^<a\s[^>]*>(.*)</a>$", 1), r"<[^>]*>", ""))).alias("text"),
         ),
     )
 
 
+def decoded(text: Column) -> Column:
+    """Common character references as characters; the ampersand last, so that nothing is decoded twice."""
+    for name, character in ENTITIES:
+        text = F.replace(text, F.lit(name), F.lit(character))
+    return text
+
+
 def page_modified_dates(elements: DataFrame) -> DataFrame:
     """(page_id, modified): the first dated element whose surroundings say last modified/reviewed/updated."""
     stamped = elements.filter((F.col("kind") == "time") & clean_text(F.col("context")).rlike(MODIFIED_CONTEXT))

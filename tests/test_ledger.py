@@ -153,3 +153,11 @@ def test_snapshots(spark, tmp_path):
     catalog.write_text('{"schemaVersion": 7, "records": [{"id": "a", "n": 3}]}')
     with pytest.raises(Exception, match="unsupported schema version"):
         read_json_catalog(spark, str(catalog), "id string, n int").collect()
+
+
+def test_refused_amounts_and_confirmations(spark):
+    amounts = spark.createDataFrame([("1e300",), ("90071992547409.5",), ("90071992547500",), ("\u00a05\t",), ("",)], "a string")
+    got = [(r["c"], r["bad"]) for r in amounts.select(L.to_cents(F.col("a")).alias("c"), L.invalid_amount(F.col("a")).alias("bad")).collect()]
+    assert got == [(None, True), (9007199254740950, False), (None, True), (500, False), (None, False)]
+    ops = spark.createDataFrame([("confirmation", " \u00a0"), ("confirmation", None), ("submission", ""), ("confirmation", "A-1"), ("outcome", "x" * 251)], "operation string, confirmation string")
+    assert [r[0] for r in ops.select(L.refusal(F.lit(False))).collect()] == ["confirmation_required", "confirmation_required", None, None, "confirmation_too_long"]
