@@ -40,7 +40,7 @@ from docketlens.session import written_once
 END = b"\n"  # no word can hold it
 MIN_COUNT = 16
 #: Tokens of a block; bounds a task's memory.
-BLOCK_TOKENS = 3_000_000
+BLOCK_TOKENS = 1_500_000
 EM_ROUNDS = 60
 _RARE = 0  # the code of the class of rare and unseen words
 
