@@ -36,7 +36,7 @@ BANDS = 24
 BAND_ROWS = 3
 #: Members of a bucket that one task compares with each other.
 BLOCK_MEMBERS = 1024
-_CACHE_WORDS = 500_000
+_CACHE_WORDS = 250_000
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 

@@ -11,6 +11,7 @@ rows are packed each; no rows give no sequences. Sequences are as long as their
 
 from __future__ import annotations
 
+import functools
 import os
 import zlib
 
@@ -28,20 +29,26 @@ OPEN_WINDOWS = 16
 END_ID = 2
 #: Tasks whose open windows are merged together; bounds the rows of a merge.
 MERGE_TASKS = 8
-#: Entries of a worker's table of known words; a full table starts anew.
-CACHE_WORDS = 700_000
+#: Entries of a task's table of known words; a full table starts anew.
+CACHE_WORDS = 350_000
 _MERGED = 1 << 62
 
 
+@functools.cache
+def _loaded(path: str):
+    """The tokenizer, read once by each worker process. The known words are a task's own, so that idle workers hold none."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path)
+
+
 class CachedTokenizer:
     """Ids of whole texts. No token of the tokenizer spans ASCII white space, so texts are encoded by the strings
     between it, and strings that were met before are looked up."""
 
     def __init__(self, path: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer = _loaded(path)
         self.known: dict[bytes, bytes] = {}
 
     def encode(self, texts: list[bytes | None], end_id: int = END_ID) -> list[bytes]:
@@ -60,16 +67,6 @@ class CachedTokenizer:
         return [b"".join(map(get, words)) + end for words in split]
 
 
-_tokenizers: dict[str, CachedTokenizer] = {}
-
-
-def tokenizer_at(path: str) -> CachedTokenizer:
-    """One for each worker process, kept between tasks."""
-    if path not in _tokenizers:
-        _tokenizers[path] = CachedTokenizer(path)
-    return _tokenizers[path]
-
-
 class Packer:
     """Open windows as lists of (document, start, ids); emitted ones go to ``closed``."""
 
@@ -191,7 +188,7 @@ def pack(
 
     def run(batches):
         task = TaskContext.get().partitionId()
-        tokenizer, packer, number, doc_type = tokenizer_at(tokenizer_path), Packer(window, open_windows), 0, None
+        tokenizer, packer, number, doc_type = CachedTokenizer(tokenizer_path), Packer(window, open_windows), 0, None
         for batch in batches:
             doc_type = batch.column("doc").type
             for at in range(0, batch.num_rows, 1000):
