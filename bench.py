@@ -14,6 +14,7 @@ import time
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from docketlens.plans import registry
+from docketlens.plans.tables import SPREAD
 from docketlens.session import build_session
 
 HEADLINE = [
@@ -34,7 +35,7 @@ def main() -> None:
         **{
             "spark.sql.shuffle.partitions": cpus, "spark.driver.memory": "8g",
             # Small tables on one machine: let a scan use every core.
-            "spark.sql.files.maxPartitionBytes": "4m", "spark.sql.files.openCostInBytes": "1m",
+            "spark.sql.files.maxPartitionBytes": "4m", "spark.sql.files.openCostInBytes": "1m", SPREAD: cpus,
         },
     )
     spark.sparkContext.setLogLevel("ERROR")

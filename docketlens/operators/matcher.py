@@ -80,15 +80,6 @@ def is_reviewed_open(as_of: Column) -> Column:
     )
 
 
-def allowed_kind(goal: Column, kind: Column, window_status: Column) -> Column:
-    return (
-        F.when(goal == "open_claims", (kind == CLAIM) & (window_status == "open"))
-        .when(goal == "government_redress", kind == AGENCY)
-        .when(goal == "watch_cases", kind == DOCKET)
-        .otherwise(kind != INTAKE)
-    )
-
-
 # ---- session tables ----
 
 

@@ -8,7 +8,7 @@ from docketlens.operators import expectations as E
 from docketlens.operators import ledger as L
 from docketlens.operators.keyed import keep_first
 from docketlens.plans.finder_matching import catalog as part_cases
-from docketlens.plans.tables import pick, sql_pick, sql_stamp, stamp, table
+from docketlens.plans.tables import pick, row_count, sql_pick, sql_stamp, stamp, table
 from docketlens.session import written_once
 
 SPLIT = "2024-01-16"
@@ -38,7 +38,7 @@ def submitted(spark, folder):
     return table(spark, folder, "events").select(
         F.concat_ws("-", "user_id", place).alias("claim_id"),
         F.col("user_id").cast("string").alias("user_id"),
-        F.concat(F.lit("case-"), (F.col("user_id") * 4 + place) % 300).alias("case_id"),
+        F.concat(F.lit("case-"), 1 + (F.col("user_id") * 4 + place) % row_count(spark, folder, "part")).alias("case_id"),
         F.col("event_id").alias("seq"), F.col("ts").alias("at"),
         pick(k % len(OPERATIONS), OPERATIONS).alias("operation"),
         pick(F.floor(k / 8) % len(OUTCOMES), OUTCOMES).alias("status"),
@@ -114,7 +114,7 @@ def openings(spark, folder, later=True):
     events = table(spark, folder, "events")
     half = F.col("ts") >= F.lit(SPLIT).cast("timestamp_ntz")
     return events.filter(half if later else ~half).select(
-        F.col("user_id").cast("string").alias("user_id"), F.concat(F.lit("case-"), F.col("event_id") % 100).alias("case_id"),
+        F.col("user_id").cast("string").alias("user_id"), F.concat(F.lit("case-"), 1 + F.col("event_id") % row_count(spark, folder, "part")).alias("case_id"),
         "event_id", F.col("event_type").alias("personal_status"), F.round("value", 2).alias("value"),
     )
 
@@ -258,7 +258,7 @@ WITH named AS (
 amounted AS (
   SELECT *, CASE k % 6 WHEN 0 THEN CAST(value AS VARCHAR) WHEN 1 THEN ' ' || value || ' ' WHEN 2 THEN '' WHEN 3 THEN 'abc' WHEN 4 THEN '-5' ELSE '1e2' END AS amount FROM named),
 given AS (
-  SELECT user_id || '-' || (event_id % 4) AS claim_id, CAST(user_id AS VARCHAR) AS user_id, 'case-' || ((user_id * 4 + event_id % 4) % 300) AS case_id, event_id AS seq, ts AS at_,
+  SELECT user_id || '-' || (event_id % 4) AS claim_id, CAST(user_id AS VARCHAR) AS user_id, 'case-' || (1 + (user_id * 4 + event_id % 4) % (SELECT count(*) FROM part)) AS case_id, event_id AS seq, ts AS at_,
     {sql_pick(f'k % {len(OPERATIONS)}', OPERATIONS)} AS op, {sql_pick(f'k // 8 % {len(OUTCOMES)}', OUTCOMES)} AS status,
     coalesce(CASE WHEN k % 3 = 0 THEN 'official_claim_portal' END, 'user_reported') AS prov, CASE WHEN k % 3 = 0 THEN 'official_claim_portal' ELSE 'confirmation_email' END AS mail_prov,
     nullif(trim({sql_pick(f'event_id % {len(CONFIRMATIONS)}', CONFIRMATIONS)}), '') AS conf, CASE WHEN k % 2 = 0 THEN date_trunc('day', ts) END AS submitted_on,
@@ -309,7 +309,7 @@ _TODO = "personal_status IN ('tracking', 'started', 'unknown')"
 _KIND = "CASE WHEN p_partkey % 50 = 9 THEN 'legal_counsel_intake' WHEN p_partkey % 5 = 3 THEN 'government_redress' WHEN p_partkey % 5 = 4 THEN 'potential_class_case' ELSE 'settlement_claims_open' END"
 _OPENED = f"""
 WITH opened AS (
-  SELECT CAST(user_id AS VARCHAR) AS user_id, 'case-' || (event_id % 100) AS case_id, event_id, event_type AS personal_status, round(value, 2) AS value, ts >= TIMESTAMP '{SPLIT}' AS later FROM events),
+  SELECT CAST(user_id AS VARCHAR) AS user_id, 'case-' || (1 + event_id % (SELECT count(*) FROM part)) AS case_id, event_id, event_type AS personal_status, round(value, 2) AS value, ts >= TIMESTAMP '{SPLIT}' AS later FROM events),
 started AS (SELECT * EXCLUDE (later) FROM opened WHERE NOT later QUALIFY row_number() OVER (PARTITION BY user_id, case_id ORDER BY event_id) = 1),
 first_new AS (SELECT * EXCLUDE (later) FROM opened WHERE later QUALIFY row_number() OVER (PARTITION BY user_id, case_id ORDER BY event_id) = 1),
 last_new AS (SELECT * EXCLUDE (later) FROM opened WHERE later QUALIFY row_number() OVER (PARTITION BY user_id, case_id ORDER BY event_id DESC) = 1)"""
@@ -377,7 +377,7 @@ SELECT * FROM started UNION ALL SELECT * FROM first_new n WHERE NOT EXISTS (SELE
 SELECT * FROM last_new UNION ALL SELECT * FROM started s WHERE NOT EXISTS (SELECT 1 FROM last_new n WHERE s.user_id = n.user_id AND s.case_id = n.case_id)""",
     "purge_subjects": _CURRENT + f""",
 gone AS (SELECT CAST(c_custkey AS VARCHAR) AS user_id FROM customer WHERE c_nationkey % 3 = 0),
-saved AS (SELECT DISTINCT CAST(user_id AS VARCHAR) AS user_id, event_id % 100 AS case_id FROM events WHERE ts < TIMESTAMP '{SPLIT}')
+saved AS (SELECT DISTINCT CAST(user_id AS VARCHAR) AS user_id, 1 + event_id % (SELECT count(*) FROM part) AS case_id FROM events WHERE ts < TIMESTAMP '{SPLIT}')
 SELECT 'profiles' AS table_name, count(*) AS rows_left, count(DISTINCT c_custkey) AS users_left FROM customer WHERE c_nationkey % 3 <> 0
 UNION ALL SELECT 'saved_cases', count(*), count(DISTINCT user_id) FROM saved WHERE user_id NOT IN (SELECT user_id FROM gone)
 UNION ALL SELECT 'claims', count(*), count(DISTINCT user_id) FROM claims WHERE user_id NOT IN (SELECT user_id FROM gone)
@@ -401,6 +401,6 @@ odd_claims AS (
   SELECT *, repeat(case_id, CAST(user_id AS BIGINT) % 60) AS title, CASE WHEN CAST(user_id AS BIGINT) % 5 = 0 THEN submitted_at + INTERVAL 20 DAY ELSE submitted_at END AS sub,
     CASE WHEN CAST(user_id AS BIGINT) % 7 = 0 THEN -received_amount_cents ELSE received_amount_cents END AS rec FROM claims),
 odd_activity AS (SELECT *, CASE WHEN CAST(user_id AS BIGINT) % 3 = 0 THEN NULL ELSE amount_kind END AS odd_kind FROM kinded),
-saved AS (SELECT CAST(user_id AS VARCHAR) AS user_id, 'case-' || (event_id % 100) AS case_id FROM events WHERE ts >= TIMESTAMP '{SPLIT}')
+saved AS (SELECT CAST(user_id AS VARCHAR) AS user_id, 'case-' || (1 + event_id % (SELECT count(*) FROM part)) AS case_id FROM events WHERE ts >= TIMESTAMP '{SPLIT}')
 """ + _RULES,
 }

@@ -8,7 +8,7 @@ from docketlens.functions import finder as N
 from docketlens.operators import matcher as M
 from docketlens.operators import sessions as S
 from docketlens.operators.keyed import keep_last
-from docketlens.plans.tables import pick, sql_list, sql_pick, table
+from docketlens.plans.tables import pick, row_count, sql_list, sql_pick, table
 from docketlens.plans.text_classifiers import _SESSIONS, messages
 from docketlens.session import written_once
 
@@ -51,7 +51,7 @@ def sessions(spark, folder):
     """Customers with wishes; their keywords name the product of the same number."""
     key, nation = F.col("c_custkey"), F.col("c_nationkey")
     parts = table(spark, folder, "part").select("p_partkey", "p_name", "p_brand")
-    joined = table(spark, folder, "customer").join(parts, key % 200 == F.col("p_partkey"), "left")
+    joined = table(spark, folder, "customer").join(parts, 1 + key % row_count(spark, folder, "part") == F.col("p_partkey"), "left")
     keywords = F.when(key % 7 == 0, "act now").otherwise(
         F.concat_ws(
             " ", "p_name", F.when(key % 3 == 0, F.col("p_brand")), F.when(key % 4 == 0, "medium large"),
@@ -105,7 +105,7 @@ def situation_candidates(spark, folder):
 def screened_candidates(spark, folder):
     """Orders as answers about cases: the latest answer of a customer about a case counts."""
     orders = table(spark, folder, "orders").select(
-        F.col("o_custkey").alias("session_id"), F.concat(F.lit("case-"), F.col("o_orderkey") % 2000).alias("case_id"),
+        F.col("o_custkey").alias("session_id"), F.concat(F.lit("case-"), 1 + F.col("o_orderkey") % row_count(spark, folder, "part")).alias("case_id"),
         F.when(F.col("o_orderstatus") == "O", "yes").when(F.col("o_orderstatus") == "P", "unsure").otherwise("no").alias("answer"),
         "o_orderkey", "o_orderpriority",
     )
@@ -152,7 +152,7 @@ _PEOPLE = f"""people AS (
     CASE WHEN c_custkey % 4 = 0 THEN {sql_pick('c_nationkey % 5', SAID_PLACES)} ELSE '' END AS said, {sql_pick('c_nationkey % 5', WISHES)} AS proof,
     {_norm('''CASE WHEN c_custkey % 7 = 0 THEN 'act now' ELSE concat_ws(' ', p_name, CASE WHEN c_custkey % 3 = 0 THEN p_brand END, CASE WHEN c_custkey % 4 = 0 THEN 'medium large' END,
       CASE WHEN c_custkey % 6 = 1 THEN '1995 2003' END, CASE WHEN c_custkey % 6 = 2 THEN '1992' END) END''')} AS words
-  FROM customer LEFT JOIN part ON p_partkey = c_custkey % 200)"""
+  FROM (SELECT *, 1 + c_custkey % (SELECT count(*) FROM part) AS part_no FROM customer) LEFT JOIN part ON p_partkey = part_no)"""
 
 
 def _sql_ranked(people: str) -> str:
@@ -230,7 +230,7 @@ WITH {_CASES} SELECT DISTINCT unnest(list_append(situations, 'not_sure')) AS sit
     "screened_candidates": f"""
 WITH {_CASES},
 orders_ AS (
-  SELECT o_custkey AS session_id, 'case-' || (o_orderkey % 2000) AS case_id, CASE o_orderstatus WHEN 'O' THEN 'yes' WHEN 'P' THEN 'unsure' ELSE 'no' END AS answer, o_orderkey, o_orderpriority FROM orders),
+  SELECT o_custkey AS session_id, 'case-' || (1 + o_orderkey % (SELECT count(*) FROM part)) AS case_id, CASE o_orderstatus WHEN 'O' THEN 'yes' WHEN 'P' THEN 'unsure' ELSE 'no' END AS answer, o_orderkey, o_orderpriority FROM orders),
 answers AS (SELECT * FROM orders_ QUALIFY row_number() OVER (PARTITION BY session_id, case_id ORDER BY o_orderkey DESC) = 1),
 marked AS (SELECT DISTINCT session_id, case_id FROM orders_ WHERE o_orderpriority = '1-URGENT' AND session_id % 2 = 0),
 people AS (

@@ -6,20 +6,19 @@ from pyspark.sql import functions as F
 
 from docketlens.operators.survival import observations
 from docketlens.plans import claim_ledger, docket_survival
-from docketlens.plans.tables import day, pick, sql_pick, table
+from docketlens.plans.tables import day, pick, sql_pick, table, within
 from docketlens.session import run_dir
 from docketlens.streaming.activity_stream import ActivityStream
 from docketlens.streaming.docket_stream import DocketStream
 from docketlens.streaming.survival_stream import SurvivalStream
 
-BOUNDS = ["2024-01-01", "2024-01-11", "2024-01-21", "2024-02-01"]
+BOUNDS = [None, "2024-01-11", "2024-01-21", None]
 STAMPS = ["2024-01-11T00:00:00Z", "2024-01-21T00:00:00Z", "2024-02-01T00:00:00Z"]
 DESCRIPTIONS = ["Class Action Complaint", "Complaint (CLASS ACTION)", "Motion to dismiss", "Amended complaint for class action relief"]
 
 
 def hit_pages(spark, folder, period: int):
     """The events of a period as search-hit pages."""
-    start, end = (F.lit(d).cast("timestamp_ntz") for d in BOUNDS[period:period + 2])
     k = F.get_json_object("props", "$.k").cast("int")
     event, ended = F.col("event_id"), F.col("event_type") == "purchase"
     none = F.lit(None).cast("string")
@@ -35,13 +34,13 @@ def hit_pages(spark, folder, period: int):
         F.when(F.col("event_type").isin("click", "view"), "Browsing").otherwise("Other").alias("cause"), none.alias("suitNature"),
         none.alias("docket_absolute_url"), F.array(document).alias("recap_documents"),
     )
-    rows = table(spark, folder, "events").filter((F.col("ts") >= start) & (F.col("ts") < end))
+    rows = table(spark, folder, "events").filter(within(F.col("ts"), *BOUNDS[period:period + 2]))
     return rows.select(
         "event_id", F.lit(1).cast("bigint").alias("count"), none.alias("next"), none.alias("previous"), F.array(hit).alias("results")
     )
 
 
-def run_docket_stream(spark, folder, degraded_batch: int | None = 2) -> DocketStream:
+def run_docket_stream(spark, folder, degraded_period: int | None = 2) -> DocketStream:
     """Three periods arriving one after the other; the last run is degraded."""
     root = run_dir(spark, "docket-stream")
     stream = DocketStream(f"{root}/state")
@@ -49,7 +48,10 @@ def run_docket_stream(spark, folder, degraded_batch: int | None = 2) -> DocketSt
         pages = hit_pages(spark, folder, period)
         # Files in range order keep the hits of a period in event order.
         pages.repartitionByRange("event_id").sortWithinPartitions("event_id").drop("event_id").write.json(f"{root}/pages/p{period}")
-        stream.run(spark, f"{root}/pages/*", lambda batch: STAMPS[batch], lambda batch: batch == degraded_batch, max_files=100_000)
+        # Each call processes the files of its period, in however many batches they come.
+        stream.run(
+            spark, f"{root}/pages/*", lambda _batch, at=STAMPS[period]: at, lambda _batch, bad=period == degraded_period: bad, max_files=100_000
+        )
     return stream
 
 
@@ -79,8 +81,7 @@ def activity_stream(spark, folder):
     written = spark.read.parquet(f"{root}/all")
     stream = ActivityStream(f"{root}/state")
     for period in range(3):
-        start, end = (F.lit(d).cast("timestamp_ntz") for d in BOUNDS[period:period + 2])
-        written.filter((F.col("at") >= start) & (F.col("at") < end)).write.parquet(f"{root}/versions/p{period}")
+        written.filter(within(F.col("at"), *BOUNDS[period:period + 2])).write.parquet(f"{root}/versions/p{period}")
         stream.run(spark, f"{root}/versions/*", max_files=100_000)
     return claim_ledger.shown(stream.events(spark))
 

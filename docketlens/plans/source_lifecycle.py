@@ -6,20 +6,19 @@ from pyspark.sql import functions as F
 
 from docketlens.operators import lifecycle as L
 from docketlens.operators.keyed import keep_last
-from docketlens.plans.tables import sql_stamp, stamp, table
+from docketlens.plans.tables import sql_stamp, stamp, table, within
 
 CHECKED_AT = "2024-01-31T00:00:00.000Z"
-PERIODS = [("2024-01-01", "2024-01-11"), ("2024-01-11", "2024-01-21"), ("2024-01-21", "2024-02-01")]
+PERIODS = [(None, "2024-01-11"), ("2024-01-11", "2024-01-21"), ("2024-01-21", None)]
 CONTENT = ["title", "benefit", "summary"]
 # The error source parses only rows above this value, so its check fails.
 PARSE_FLOOR = 40.0
 
 
 def period_rows(spark, folder, period: int):
-    start, end = (F.lit(d).cast("timestamp_ntz") for d in PERIODS[period])
     k = F.get_json_object("props", "$.k").cast("int")
     place = F.col("event_id") % 20
-    return table(spark, folder, "events").filter((F.col("ts") >= start) & (F.col("ts") < end)).select(
+    return table(spark, folder, "events").filter(within(F.col("ts"), *PERIODS[period])).select(
         F.col("event_type").alias("source_id"),
         F.concat_ws("-", "event_type", "user_id", place).alias("record_id"),
         F.concat(F.lit('Program "'), F.col("user_id"), F.lit('" '), place).alias("title"),

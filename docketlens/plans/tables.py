@@ -10,16 +10,29 @@ from pyspark.sql import functions as F
 SPREAD_KEYS = {"lineitem": "l_orderkey", "documents": "doc_id", "pages": "page_id", "conversations": "conv_id"}
 
 
+# A setting for one machine, whose tables are files of a single split: over how many parts they are spread.
+SPREAD = "spark.docketlens.spread"
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """A table; one of fewer splits than cores is spread over the cores by its key.
+    """A table, scanned as its files are split, without a shuffle.
 
-    A large table has more splits than that and is scanned as it is, without a shuffle.
+    Only where the session asks for it, as the benchmark does, tables of costly rows are spread by their key.
     """
     rows = spark.read.parquet(f"{folder}/{name}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    if name in SPREAD_KEYS and rows.rdd.getNumPartitions() < cores:
-        return rows.repartition(cores, SPREAD_KEYS[name])
-    return rows
+    parts = spark.conf.get(SPREAD, None)
+    return rows.repartition(int(parts), SPREAD_KEYS[name]) if parts and name in SPREAD_KEYS else rows
+
+
+def row_count(spark: SparkSession, folder: str, name: str) -> int:
+    """The rows of a table, out of its file footers; keys of the given tables run from 1 to it."""
+    return table(spark, folder, name).count()
+
+
+def within(at: Column, start: str | None, end: str | None) -> Column:
+    """Whether a time lies in a period; a side without a bound is open."""
+    bound = lambda day: F.lit(day).cast("timestamp_ntz")
+    return (at >= bound(start) if start else at.isNotNull()) & (at < bound(end) if end else F.lit(True))
 
 
 def pick(at: Column, values: list) -> Column:
