@@ -89,14 +89,14 @@ def ownership(found: DataFrame) -> DataFrame:
     return owners.groupBy("value_hash").agg(F.sum("repos").alias("n_repos"), F.count("*").alias("n_owners"), F.sum("n").alias("n_seen"))
 
 
-def classified(docs: DataFrame, id_column: str, text_column: str, repo: Column, owner: Column, example_owners: int = EXAMPLE_OWNERS) -> DataFrame:
-    """``candidates`` with ``live``: true where fewer than ``example_owners`` owners hold the value.
+def classified(found: DataFrame, example_owners: int = EXAMPLE_OWNERS) -> DataFrame:
+    """The located candidates of ``found`` with ``live``: true where fewer than ``example_owners`` owners hold the value.
 
     Base candidates all stay; opaque ones stay only where they are live and touch no base span of their document.
-    The located candidates are written once, as counting and reporting both read them.
+    Rows without a candidate take no part, so that documents without any meet in no join.
     """
-    found = written_once(candidates(docs, id_column, text_column, repo, owner), "secret-candidates")
-    spans = found.join(ownership(found), "value_hash", "left").withColumn("live", F.col("n_owners") < example_owners)
+    located = found.where(F.col("value_hash").isNotNull())
+    spans = located.join(ownership(located), "value_hash").withColumn("live", F.col("n_owners") < example_owners)
     # Spans of one document by start: an opaque span touches a base span that starts before its end and ends after its start.
     before = Window.partitionBy("row").orderBy("start").rangeBetween(Window.unboundedPreceding, Window.currentRow)
     after = Window.partitionBy("row").orderBy(F.col("start").desc()).rangeBetween(Window.unboundedPreceding, Window.currentRow)
@@ -108,11 +108,17 @@ def classified(docs: DataFrame, id_column: str, text_column: str, repo: Column,
 
 
 def scan(docs: DataFrame, id_column: str, text_column: str, repo: Column, owner: Column, example_owners: int = EXAMPLE_OWNERS) -> DataFrame:
-    """One row for each document: (id, key, found), ``found`` being its spans by start and kind with their verdicts."""
-    spans = classified(docs, id_column, text_column, repo, owner, example_owners)
-    span = F.struct("start", "kind_no", "kind", "end", "live", "n_repos", "n_owners")
-    return spans.groupBy("row").agg(
-        F.first("id").alias("id"), F.first("key").alias("key"), F.array_sort(F.collect_list(F.when(F.col("stays"), span))).alias("found")
+    """One row for each document: (id, key, found), ``found`` being its spans by start and kind with their verdicts.
+
+    The located candidates are written once, as counting and reporting both read them.
+    """
+    found = written_once(candidates(docs, id_column, text_column, repo, owner), "secret-candidates")
+    spans = classified(found, example_owners).where("stays")
+    told = spans.select("row", "id", "key", F.struct("start", "kind_no", "kind", "end", "live", "n_repos", "n_owners").alias("span"))
+    # Every document keeps a row, whether or not a span of it stays.
+    every = found.select("row", "id", "key", F.lit(None).cast(told.schema["span"].dataType).alias("span"))
+    return told.unionByName(every).groupBy("row").agg(
+        F.first("id").alias("id"), F.first("key").alias("key"), F.array_sort(F.collect_list("span")).alias("found")
     ).drop("row")
 
 
@@ -131,7 +137,8 @@ def redact(
     Columns and all text outside spans are as before, but for ``length_column``, which gets the new length of a changed
     text; a null text stays null.
     """
-    spans = classified(docs, id_column, text_column, repo, owner, example_owners).where("stays")
+    found = written_once(candidates(docs, id_column, text_column, repo, owner), "secret-candidates")
+    spans = classified(found, example_owners).where("stays")
     spans = spans.select("key", "start", "end", "live").distinct()
     by_start = Window.partitionBy("key").orderBy("start", "end")
     reach = F.max("end").over(by_start.rowsBetween(Window.unboundedPreceding, -1))
