@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docketlens.functions.text import null_if_blank, strip
-from docketlens.operators.keyed import fill_forward, keep_first, keep_last, only_keys, previous_row, top_k, without_keys
+from docketlens.operators.keyed import fill_forward, keep_first, keep_last, only_keys, previous_row, running_position, top_k, without_keys
 
 # Statuses and their classes.
 OPENED_STATUSES = [
@@ -17,6 +17,7 @@ NEEDS_UPDATE = ["tracking", "started", "unknown"]
 EVENT_LIMIT = (1, 500)
 MAX_SAFE_CENTS = 2**53 - 1
 CONFIRMATION_LENGTH = 250
+NOTE_LENGTH = 5000
 VERSION_COLUMNS = [
     "personal_status", "status_provenance", "confirmation_number", "submitted_at", "approved_at",
     "approved_amount_cents", "paid_at", "received_amount_cents", "amount_source", "private_note",
@@ -233,6 +234,24 @@ def newest_events(events: DataFrame, limit: int = 200) -> DataFrame:
     return top_k(events, ["user_id", "claim_id"], [F.col("occurred_at").desc(), F.col("event_id").desc()], limit)
 
 
+def newest_first(rows: DataFrame, time: str, tie: str) -> DataFrame:
+    """Add ``position``: the place of each row among its owner's, the newest first; days are counted apart."""
+    day = F.datediff(F.lit("9999-12-31").cast("date"), F.coalesce(F.to_date(time), F.lit("0001-01-01").cast("date")))
+    return running_position(rows, ["user_id"], [F.col(time).desc(), F.col(tie)], day, "position")
+
+
+def note_events(notes: DataFrame) -> DataFrame:
+    """Activity of a note for each row with a ``note``, or its ``refusal``; the note is stored stripped.
+
+    A refused note has no event, hence null event columns.
+    """
+    stripped = notes.withColumn("note", strip(F.coalesce(F.col("note"), F.lit(""))))
+    size = F.length("note")
+    told = stripped.withColumn("refusal", F.when(size == 0, "note_required").when(size > NOTE_LENGTH, "note_too_long"))
+    accepted = lambda value: F.when(F.col("refusal").isNull(), value)
+    return told.withColumns({"event_type": accepted(F.lit("note_added")), "provenance": accepted(F.lit("user_reported")), "note": accepted(F.col("note"))})
+
+
 def orphan_events(events: DataFrame, claims: DataFrame) -> DataFrame:
     """Events whose (claim, owner) pair does not exist."""
     return without_keys(events, claims, ["claim_id", "user_id"])

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docketlens.functions import finder as N
-from docketlens.operators.keyed import top_k
+from docketlens.operators.keyed import only_keys, top_k, without_keys
 from docketlens.session import written_once
 
 # Kinds in rank order, reasons, labels, weights and bands.
@@ -54,6 +54,10 @@ SITUATION_LABELS = {
     "professional_services": "i used or interacted with credit-counseling, accounting, or legal services",
     "not_sure": "i’m not sure — show me the possibilities",
 }
+ANSWERED = {
+    "yes": "You said the source-reviewed facts sound true",
+    "unsure": "You marked the source-reviewed facts as not sure",
+}
 CONFIRM = {
     "yes": ["Review the complete official class definition before taking any action."],
     "unsure": [
@@ -69,7 +73,12 @@ def kind_rank(kind: Column) -> Column:
 
 def match_order(score: str = "score") -> list[Column]:
     """Best score, kind rank, earliest deadline (none last), id."""
-    return [F.col(score).desc(), kind_rank(F.col("kind")), F.col("deadline").asc_nulls_last(), F.col("case_id")]
+    return [F.col(score).desc(), kind_rank(F.col("kind")), *deadline_order()]
+
+
+def deadline_order() -> list[Column]:
+    """Earliest deadline (none last), id as a reader sorts it."""
+    return [F.col("deadline").asc_nulls_last(), F.collate(F.col("case_id"), "UNICODE"), F.col("case_id")]
 
 
 def is_reviewed_open(as_of: Column) -> Column:
@@ -143,8 +152,11 @@ def _profiles(sessions: DataFrame, texts: DataFrame, tokens: DataFrame) -> DataF
 # ---- reviewed claims ----
 
 
-def _claim_slots(cases: DataFrame, k: int) -> DataFrame:
-    """The best ``k`` claims of each (state, year, alias, class)."""
+def _claim_slots(cases: DataFrame, lookups: DataFrame, hits: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
+    """(by class, by alias): the best ``k`` claims of each (state, year, class), and of each (alias, state, year, class).
+
+    Only states, years and aliases that some session looks up are spread out.
+    """
     claims = cases.filter((F.col("kind") == CLAIM) & F.col("has_criteria"))
     start, end = (F.substring(c, 1, 4).try_cast("int") for c in ("covered_start", "covered_end"))
     bounded = F.sequence(F.greatest(start, F.lit(1900)), F.least(end, F.lit(2099)))
@@ -159,15 +171,19 @@ def _claim_slots(cases: DataFrame, k: int) -> DataFrame:
     keyed = claims.select(
         "case_id", "kind", "deadline", F.array_sort("issue_types").alias("issue_types"), "proof",
         F.coalesce("notice_required", F.lit(False)).alias("notice_required"), "freshness", "window_status", aliases.alias("_aliases"), years.alias("_years"),
-        F.explode(F.concat(F.array(F.lit(ANY)), states)).alias("state_key"),
+        states.alias("_states"),
     )
-    keyed = keyed.withColumn("year_key", F.explode(F.concat(F.array(F.lit(ANY)), F.col("_years")))).drop("_years")
-    # A null alias key stands for the claim without regard to its aliases.
-    keyed = keyed.withColumn(
-        "alias_key", F.explode(F.concat(F.array(F.lit(None).cast("string")), F.col("_aliases")))
-    ).drop("_aliases")
-    slot = ["state_key", "year_key", "alias_key", "issue_types", "proof", "notice_required", "freshness", "window_status"]
-    return top_k(keyed, slot, [F.col("deadline").asc_nulls_last(), F.col("case_id")], k)
+    slot = ["state_key", "year_key", "issue_types", "proof", "notice_required", "freshness", "window_status"]
+
+    def spread(rows: DataFrame) -> DataFrame:
+        for key, values in (("state_key", "_states"), ("year_key", "_years")):
+            rows = rows.withColumn(key, F.explode(F.concat(F.array(F.lit(ANY)), F.col(values)))).drop(values)
+            rows = only_keys(rows, lookups, [key])
+        return rows
+
+    named = keyed.withColumn("alias_key", F.explode("_aliases")).drop("_aliases")
+    by_class = top_k(spread(keyed.drop("_aliases")), slot, deadline_order(), k)
+    return by_class, top_k(spread(only_keys(named, hits, ["alias_key"])), ["alias_key", *slot], deadline_order(), k)
 
 
 def _lookup_keys(profiles: DataFrame) -> DataFrame:
@@ -252,7 +268,6 @@ def alias_hits(texts: DataFrame, cases: DataFrame) -> DataFrame:
 
 
 def _claim_matches(profiled: DataFrame, hits: DataFrame, cases: DataFrame, k: int) -> DataFrame:
-    slots = _claim_slots(cases, k)
     columns = ["goal", "experiences", "location", "proof", "years"]
     distinct = (
         profiled.filter(F.col("goal").isin("open_claims", "explore"))
@@ -260,14 +275,13 @@ def _claim_matches(profiled: DataFrame, hits: DataFrame, cases: DataFrame, k: in
         .withColumnRenamed("proof", "proof_wanted")
     )
     lookups = _lookup_keys(distinct)
-    plain = _score_claims(
-        lookups.join(slots.filter(F.col("alias_key").isNull()), ["state_key", "year_key"]), alias_hit=False
-    )
+    by_class, by_name = _claim_slots(cases, lookups, hits, k)
+    plain = _score_claims(lookups.join(by_class, ["state_key", "year_key"]), alias_hit=False)
     by_profile = _best(plain, ["profile"], k)
     session_hits = profiled.select("session_id", "profile").join(hits, "session_id")
     wanted = session_hits.select("profile", "alias_key").distinct()
     named = _score_claims(
-        wanted.join(lookups, "profile").join(slots, ["alias_key", "state_key", "year_key"]), alias_hit=True
+        wanted.join(lookups, "profile").join(by_name, ["alias_key", "state_key", "year_key"]), alias_hit=True
     )
     by_alias = _best(named, ["profile", "alias_key"], k)
     columns = ["session_id", "case_id", "score", "kind", "deadline"]
@@ -309,7 +323,8 @@ def _related_matches(profiled: DataFrame, tokens: DataFrame, cases: DataFrame, k
     related = _related_cases(cases)
     seekers = profiled.filter(F.col("goal_explicit") & (F.col("goal") != "open_claims")).select("session_id", "goal")
     wanted = tokens.select("session_id", "token").join(seekers.select("session_id"), "session_id", "left_semi")
-    case_tokens = related.select("case_id", F.explode("identity").alias("token"))
+    # Tokens that no session asks for are left out, so that sets are built over few tokens of a case.
+    case_tokens = only_keys(related.select("case_id", F.explode("identity").alias("token")), wanted, ["token"])
     frequency = case_tokens.groupBy("token").agg((F.count(F.lit(1)) > hot_df).alias("hot"))
     tagged = case_tokens.join(frequency, "token")
     session_tokens = wanted.join(frequency, "token")
@@ -324,7 +339,7 @@ def _related_matches(profiled: DataFrame, tokens: DataFrame, cases: DataFrame, k
     slots = written_once(
         top_k(
             sets.join(related.drop("identity"), "case_id"), ["set_key", "kind", "freshness"],
-            [F.col("deadline").asc_nulls_last(), F.col("case_id")], k,
+            deadline_order(), k,
         ).select("set_key", "case_id"),
         "related-slots",
     )
@@ -493,6 +508,29 @@ def situation_candidates(cases: DataFrame, as_of: Column) -> DataFrame:
     )
 
 
+def session_candidates(
+    cases: DataFrame, sessions: DataFrame, recognized: DataFrame, as_of: Column, size: int
+) -> DataFrame:
+    """(session_id, rank, case_id, deadline): the first ``size`` prompted cases of each session in deadline order.
+
+    ``sessions`` has session_id and situations. A session that recognized cases is shown only those. The others
+    share one page for each distinct choice of situations, so no session meets the whole catalog.
+    """
+    prompts = situation_candidates(cases, as_of)
+    chosen = sessions.select("session_id", F.array_sort(coerce_situations(F.col("situations"))).alias("chosen"))
+    choices = chosen.select("chosen").distinct().select("chosen", F.explode("chosen").alias("situation"))
+    # A case stands in a page once, whichever of its situations were chosen.
+    first = top_k(prompts, ["situation"], deadline_order(), size)
+    offered = choices.join(first, "situation").select("chosen", "case_id", "deadline").distinct()
+    pages = top_k(offered, ["chosen"], deadline_order(), size, "rank")
+    shared = without_keys(chosen, recognized, ["session_id"]).join(pages, "chosen")
+    marked = recognized.select("session_id", "case_id").distinct().join(chosen, "session_id")
+    admitted = marked.select("session_id", "case_id", F.explode("chosen").alias("situation")).join(prompts, ["situation", "case_id"])
+    own = top_k(admitted.select("session_id", "case_id", "deadline").distinct(), ["session_id"], deadline_order(), size, "rank")
+    columns = ["session_id", "rank", "case_id", "deadline"]
+    return shared.select(*columns).unionByName(own.select(*columns))
+
+
 def screen_claims(
     cases: DataFrame, sessions: DataFrame, answers: DataFrame, recognized: DataFrame, as_of: Column
 ) -> DataFrame:
@@ -517,12 +555,15 @@ def screen_claims(
     admitted = rows.filter(prompted & (F.col("_has").isNull() | F.col("recognized")))
     yes = F.col("answer") == "yes"
     labels = F.create_map(*[F.lit(x) for pair in SITUATION_LABELS.items() for x in pair])
+    why = (
+        F.when(F.col("recognized"), F.concat(F.lit("You recognized "), F.col("recognition_label"), F.lit(" from the prompted list")))
+        .when(F.arrays_overlap("chosen", "situations"), F.concat(F.lit("You selected: "), F.array_join(F.transform(F.array_intersect("situations", "chosen"), lambda s: labels[s]), "; ")))
+        .otherwise("You asked to review every prompted possibility")
+    )
     return admitted.select(
         "session_id", "case_id", "kind", "deadline", "answer", "recognized",
         (F.when(yes, 100).otherwise(50) + F.when(F.col("recognized"), 20).otherwise(0)).alias("score"),
         F.when(yes, "Worth reviewing").otherwise("Needs confirmation").alias("signal"),
-        F.when(F.col("recognized"), F.concat(F.lit("You recognized "), F.col("recognition_label"), F.lit(" from the prompted list")))
-        .when(F.arrays_overlap("chosen", "situations"), F.concat(F.lit("You selected: "), F.array_join(F.transform(F.array_intersect("situations", "chosen"), lambda s: labels[s]), "; ")))
-        .otherwise("You asked to review every prompted possibility").alias("reason"),
+        F.array(why, F.when(yes, ANSWERED["yes"]).otherwise(ANSWERED["unsure"])).alias("reasons"),
         F.when(yes, F.array(*[F.lit(q) for q in CONFIRM["yes"]])).otherwise(F.array(*[F.lit(q) for q in CONFIRM["unsure"]])).alias("questions"),
     )

@@ -181,6 +181,12 @@ def check_accounting(accounting: DataFrame) -> None:
         raise ValueError("pending rows produced no censored dockets")
 
 
+def check_lifecycles(lifecycles: DataFrame) -> None:
+    """Raise when a docket that is not pending has no end (reads one row at most)."""
+    if lifecycles.filter(~F.col("pending") & F.col("final_terminated_at").isNull()).select("docket_key").head(1):
+        raise ValueError("a docket that is not pending has no end")
+
+
 def with_cohorts(lifecycles: DataFrame, definitions: list[tuple[str, Column]]) -> DataFrame:
     """One row for each (docket, cohort it belongs to)."""
     members = F.array_compact(F.array(*[F.when(cond, F.lit(name)) for name, cond in definitions]))

@@ -181,6 +181,28 @@ def owner_scope(spark, folder):
     return rows.withColumn("occurred_at", stamp(F.col("occurred_at")))
 
 
+def claim_listing(spark, folder):
+    """The claims of each owner, the last changed first."""
+    claims = current_claims(spark, folder).select("user_id", "claim_id", "case_id", "personal_status", "updated_at")
+    return shown(L.newest_first(claims, "updated_at", "claim_id"))
+
+
+def saved_listing(spark, folder):
+    """The bookmarks of each owner, the newest first; saving a case again leaves its bookmark as it was."""
+    saves = table(spark, folder, "events").select(
+        F.col("user_id").cast("string").alias("user_id"), F.concat(F.lit("case-"), 1 + F.col("event_id") % row_count(spark, folder, "part")).alias("case_id"),
+        "event_id", F.col("ts").alias("created_at"),
+    )
+    kept = keep_first(saves, ["user_id", "case_id"], [F.col("event_id")]).drop("event_id")
+    return L.newest_first(kept, "created_at", "case_id").withColumn("created_at", stamp(F.col("created_at")))
+
+
+def note_events(spark, folder):
+    """Documents as notes on the claim of their number: an event for each, or why it is refused."""
+    notes = table(spark, folder, "documents").select(F.col("doc_id").alias("claim_id"), F.col("text").alias("note"))
+    return L.note_events(notes).select("claim_id", "event_type", "provenance", F.length("note").alias("note_chars"), F.sha2("note", 256).alias("note_sha256"), "refusal")
+
+
 def profile_users(spark, folder):
     key = F.col("c_custkey")
     meta = (
@@ -245,6 +267,9 @@ QUERIES = {
     "purge_subjects": purge_subjects,
     "delete_owned": delete_owned,
     "owner_scope": owner_scope,
+    "claim_listing": claim_listing,
+    "saved_listing": saved_listing,
+    "note_events": note_events,
     "profile_seed": profile_seed,
     "quality_violations": quality_violations,
 }
@@ -388,6 +413,16 @@ SELECT claim_id, user_id, personal_status FROM claims WHERE NOT (ends_with(claim
     "owner_scope": f"""
 SELECT claim_id, user_id, event_id, {sql_stamp('ts')} AS occurred_at FROM ({_LOGGED}) WHERE user_id IN (SELECT CAST(c_custkey AS VARCHAR) FROM customer WHERE c_nationkey % 3 = 1)
 QUALIFY row_number() OVER (PARTITION BY user_id, claim_id ORDER BY ts DESC, event_id DESC) <= 5""",
+    "claim_listing": _CURRENT + f"""
+SELECT user_id, claim_id, case_id, personal_status, {sql_stamp('"at"')} AS updated_at, row_number() OVER (PARTITION BY user_id ORDER BY "at" DESC, claim_id) AS position FROM claims""",
+    "saved_listing": f"""
+SELECT owner_ AS user_id, case_id, {sql_stamp('ts')} AS created_at, row_number() OVER (PARTITION BY owner_ ORDER BY ts DESC, case_id) AS position FROM (
+  SELECT CAST(user_id AS VARCHAR) AS owner_, 'case-' || (1 + event_id % (SELECT count(*) FROM part)) AS case_id, event_id, ts FROM events QUALIFY row_number() OVER (PARTITION BY owner_, case_id ORDER BY event_id) = 1)""",
+    "note_events": r"""
+SELECT claim_id, CASE WHEN refusal IS NULL THEN 'note_added' END AS event_type, CASE WHEN refusal IS NULL THEN 'user_reported' END AS provenance,
+  CASE WHEN refusal IS NULL THEN CAST(length(note) AS INTEGER) END AS note_chars, CASE WHEN refusal IS NULL THEN sha256(note) END AS note_sha256, refusal FROM (
+  SELECT *, CASE WHEN note = '' THEN 'note_required' WHEN length(note) > 5000 THEN 'note_too_long' END AS refusal FROM (
+    SELECT doc_id AS claim_id, regexp_replace(coalesce(text, ''), '^\s+|\s+$', '', 'g') AS note FROM documents))""",
     "profile_seed": """
 SELECT CAST(c_custkey AS VARCHAR) AS user_id, CASE WHEN c_custkey % 4 IN (0, 1) THEN c_name ELSE '' END AS full_name,
   CASE WHEN c_custkey % 5 IN (0, 1) THEN '' ELSE 'u' || c_custkey || '@example.org' END AS contact_email FROM customer""",

@@ -20,6 +20,8 @@ SAID_PLACES = ["WA", " Texas ", "new york", "OH", "utah"]
 SITUATIONS = list(M.SITUATION_LABELS)[:6]
 WISHES = ["No documents stated", "Notice or ID", "Records may be requested", "Any", "Any"]
 TOP = 3
+#: Cases on a page of prompts.
+PROMPTED = 12
 
 
 def catalog(spark, folder):
@@ -102,23 +104,41 @@ def situation_candidates(spark, folder):
     return M.situation_candidates(catalog(spark, folder), as_of).select("situation", "case_id").orderBy("situation", "case_id")
 
 
-def screened_candidates(spark, folder):
-    """Orders as answers about cases: the latest answer of a customer about a case counts."""
-    orders = table(spark, folder, "orders").select(
+def order_answers(spark, folder):
+    """Orders as answers of customers about cases."""
+    return table(spark, folder, "orders").select(
         F.col("o_custkey").alias("session_id"), F.concat(F.lit("case-"), 1 + F.col("o_orderkey") % row_count(spark, folder, "part")).alias("case_id"),
         F.when(F.col("o_orderstatus") == "O", "yes").when(F.col("o_orderstatus") == "P", "unsure").otherwise("no").alias("answer"),
         "o_orderkey", "o_orderpriority",
     )
-    answers = keep_last(orders, ["session_id", "case_id"], [F.col("o_orderkey")])
+
+
+def screened_people(spark, folder):
     nation = F.col("c_nationkey")
-    people = table(spark, folder, "customer").select(
+    return table(spark, folder, "customer").select(
         F.col("c_custkey").alias("session_id"),
         F.array_compact(F.array(pick(nation % 6, SITUATIONS), pick((nation + 2) % 6, SITUATIONS), F.when(nation % 4 == 0, "not_sure"))).alias("situations"),
     )
-    marked = orders.filter((F.col("o_orderpriority") == "1-URGENT") & (F.col("session_id") % 2 == 0))
+
+
+def recognized_cases(spark, folder):
+    return order_answers(spark, folder).filter((F.col("o_orderpriority") == "1-URGENT") & (F.col("session_id") % 2 == 0)).select("session_id", "case_id")
+
+
+def session_candidates(spark, folder):
+    """The first page of prompted cases of each customer."""
+    as_of = F.lit(AS_OF).cast("timestamp_ntz")
+    found = M.session_candidates(catalog(spark, folder), screened_people(spark, folder), recognized_cases(spark, folder), as_of, PROMPTED)
+    return found.select("session_id", "rank", "case_id")
+
+
+def screened_candidates(spark, folder):
+    """The latest answer of a customer about a case counts."""
+    orders = order_answers(spark, folder)
+    answers = keep_last(orders, ["session_id", "case_id"], [F.col("o_orderkey")])
     return M.screen_claims(
-        catalog(spark, folder), people, answers.drop("o_orderkey", "o_orderpriority"), marked, F.lit(AS_OF).cast("timestamp_ntz")
-    ).orderBy("session_id", *M.match_order()).select("session_id", "case_id", "answer", "recognized", "score", "signal", "reason", F.size("questions").alias("n_questions"))
+        catalog(spark, folder), screened_people(spark, folder), answers.drop("o_orderkey", "o_orderpriority"), recognized_cases(spark, folder), F.lit(AS_OF).cast("timestamp_ntz")
+    ).orderBy("session_id", *M.match_order()).select("session_id", "case_id", "answer", "recognized", "score", "signal", F.array_join("reasons", " / ").alias("reasons"), F.size("questions").alias("n_questions"))
 
 
 QUERIES = {
@@ -126,6 +146,7 @@ QUERIES = {
     "ranked_followups": ranked_followups,
     "conversation_matches": conversation_matches,
     "situation_candidates": situation_candidates,
+    "session_candidates": session_candidates,
     "screened_candidates": screened_candidates,
 }
 
@@ -220,6 +241,13 @@ people AS (
 _OPEN = f"kind = 'settlement_claims_open' AND window_status = 'open' AND freshness = 'current' AND has_criteria AND (deadline IS NULL OR deadline >= TIMESTAMP '{AS_OF}')"
 _LABELS = "CASE s " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in M.SITUATION_LABELS.items()) + " END"
 
+_ANSWERED = f"""orders_ AS (
+  SELECT o_custkey AS session_id, 'case-' || (1 + o_orderkey % (SELECT count(*) FROM part)) AS case_id, CASE o_orderstatus WHEN 'O' THEN 'yes' WHEN 'P' THEN 'unsure' ELSE 'no' END AS answer, o_orderkey, o_orderpriority FROM orders),
+answers AS (SELECT * FROM orders_ QUALIFY row_number() OVER (PARTITION BY session_id, case_id ORDER BY o_orderkey DESC) = 1),
+marked AS (SELECT DISTINCT session_id, case_id FROM orders_ WHERE o_orderpriority = '1-URGENT' AND session_id % 2 = 0),
+people AS (
+  SELECT c_custkey AS session_id, CASE WHEN c_nationkey % 4 = 0 THEN ['not_sure'] ELSE [{sql_pick('c_nationkey % 6', SITUATIONS)}, {sql_pick('(c_nationkey + 2) % 6', SITUATIONS)}] END AS chosen FROM customer),"""
+
 ORACLES = {
     "ranked_matches": _sql_ranked(_PEOPLE) + "\nSELECT session_id, rank, case_id, score, kind, signal, layer FROM told",
     "ranked_followups": _sql_ranked(_PEOPLE) + """
@@ -227,14 +255,18 @@ SELECT session_id, rank, case_id, layer, array_to_string(reasons, ' / ') AS reas
     "conversation_matches": _sql_ranked(_CONVERSATIONS) + "\nSELECT session_id, rank, case_id, score, signal FROM told",
     "situation_candidates": f"""
 WITH {_CASES} SELECT DISTINCT unnest(list_append(situations, 'not_sure')) AS situation, case_id FROM cases WHERE {_OPEN}""",
+    "session_candidates": f"""
+WITH {_CASES},
+{_ANSWERED}
+prompted AS (
+  SELECT p.session_id, c.case_id, c.deadline FROM people p, cases c
+  WHERE {_OPEN} AND (list_contains(chosen, 'not_sure') OR list_has_any(situations, chosen))
+    AND (NOT EXISTS (SELECT 1 FROM marked m WHERE m.session_id = p.session_id) OR EXISTS (SELECT 1 FROM marked m WHERE m.session_id = p.session_id AND m.case_id = c.case_id)))
+SELECT session_id, CAST(row_number() OVER w AS INTEGER) AS rank, case_id FROM prompted
+WINDOW w AS (PARTITION BY session_id ORDER BY deadline NULLS LAST, case_id) QUALIFY rank <= {PROMPTED}""",
     "screened_candidates": f"""
 WITH {_CASES},
-orders_ AS (
-  SELECT o_custkey AS session_id, 'case-' || (1 + o_orderkey % (SELECT count(*) FROM part)) AS case_id, CASE o_orderstatus WHEN 'O' THEN 'yes' WHEN 'P' THEN 'unsure' ELSE 'no' END AS answer, o_orderkey, o_orderpriority FROM orders),
-answers AS (SELECT * FROM orders_ QUALIFY row_number() OVER (PARTITION BY session_id, case_id ORDER BY o_orderkey DESC) = 1),
-marked AS (SELECT DISTINCT session_id, case_id FROM orders_ WHERE o_orderpriority = '1-URGENT' AND session_id % 2 = 0),
-people AS (
-  SELECT c_custkey AS session_id, CASE WHEN c_nationkey % 4 = 0 THEN ['not_sure'] ELSE [{sql_pick('c_nationkey % 6', SITUATIONS)}, {sql_pick('(c_nationkey + 2) % 6', SITUATIONS)}] END AS chosen FROM customer),
+{_ANSWERED}
 rows_ AS (
   SELECT a.*, c.*, p.chosen, m.case_id IS NOT NULL AS recognized, a.session_id IN (SELECT session_id FROM marked) AS any_marked,
     list_filter(list_distinct_(situations), lambda s: list_contains(chosen, s)) AS selected
@@ -243,7 +275,7 @@ rows_ AS (
 SELECT session_id, case_id, answer, recognized, CAST(CASE answer WHEN 'yes' THEN 100 ELSE 50 END + CASE WHEN recognized THEN 20 ELSE 0 END AS INTEGER) AS score,
   CASE answer WHEN 'yes' THEN 'Worth reviewing' ELSE 'Needs confirmation' END AS signal,
   CASE WHEN recognized THEN 'You recognized ' || recognition || ' from the prompted list' WHEN len(selected) > 0 THEN 'You selected: ' || array_to_string(list_transform(selected, lambda s: {_LABELS}), '; ')
-    ELSE 'You asked to review every prompted possibility' END AS reason, CASE answer WHEN 'yes' THEN 1 ELSE 2 END AS n_questions
+    ELSE 'You asked to review every prompted possibility' END || CASE answer WHEN 'yes' THEN ' / You said the source-reviewed facts sound true' ELSE ' / You marked the source-reviewed facts as not sure' END AS reasons, CASE answer WHEN 'yes' THEN 1 ELSE 2 END AS n_questions
 FROM rows_ WHERE (list_contains(chosen, 'not_sure') OR len(selected) > 0) AND (NOT any_marked OR recognized)""".replace(
         "list_distinct_(situations)", "(CASE WHEN situations[1] = situations[2] THEN situations[1:1] ELSE situations END)"
     ).replace("a.*, c.*", "a.session_id, a.answer, c.*"),

@@ -161,3 +161,16 @@ def test_refused_amounts_and_confirmations(spark):
     assert got == [(None, True), (9007199254740950, False), (None, True), (500, False), (None, False)]
     ops = spark.createDataFrame([("confirmation", " \u00a0"), ("confirmation", None), ("submission", ""), ("confirmation", "A-1"), ("outcome", "x" * 251)], "operation string, confirmation string")
     assert [r[0] for r in ops.select(L.refusal(F.lit(False))).collect()] == ["confirmation_required", "confirmation_required", None, None, "confirmation_too_long"]
+
+
+def test_listings_are_newest_first_and_notes_are_checked(spark):
+    rows = [("u", "a", "2024-01-01 10:00:00"), ("u", "c", "2024-01-02 09:00:00"), ("u", "b", "2024-01-02 09:00:00"), ("u", "d", None), ("v", "e", "2023-01-01 00:00:00")]
+    claims = spark.createDataFrame(rows, "user_id string, claim_id string, at string").withColumn("at", F.col("at").cast("timestamp_ntz"))
+    listed = L.newest_first(claims, "at", "claim_id").orderBy("user_id", "position").collect()
+    assert [(r["claim_id"], r["position"]) for r in listed] == [("b", 1), ("c", 2), ("a", 3), ("d", 4), ("e", 1)]
+    notes = spark.createDataFrame([(1, " kept\n"), (2, " \u00a0"), (3, None), (4, "x" * 5001), (5, "x" * 5000)], "claim_id int, note string")
+    found = {r["claim_id"]: (r["event_type"], r["refusal"], len(r["note"] or "")) for r in L.note_events(notes).collect()}
+    assert found == {
+        1: ("note_added", None, 4), 2: (None, "note_required", 0), 3: (None, "note_required", 0),
+        4: (None, "note_too_long", 0), 5: ("note_added", None, 5000),
+    }
