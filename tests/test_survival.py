@@ -167,3 +167,10 @@ def test_unreconciled_rows_raise(spark):
 def test_extract_dates(spark, text, expected):
     date = spark.createDataFrame([(text,)], "t string").select(extract_date(F.col("t")).cast("string")).first()[0]
     assert date == expected
+
+
+def test_a_docket_that_is_not_pending_must_have_an_end(spark):
+    lives = spark.createDataFrame([("a", False, "2020-01-01"), ("b", True, None)], "docket_key string, pending boolean, final_terminated_at string")
+    S.check_lifecycles(lives)
+    with pytest.raises(ValueError, match="has no end"):
+        S.check_lifecycles(lives.withColumn("pending", F.lit(False)))
