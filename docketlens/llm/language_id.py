@@ -23,6 +23,8 @@ from docketlens.llm.common import WORD_BYTES
 UNKNOWN = "und"
 #: Bytes of normalized text in each dictionary.
 DICTIONARY_BYTES = 256 * 1024
+#: Binary digits of the hash in whose order texts are drawn.
+DRAW_BITS = 30
 #: Languages that may be learned; more are an error, as each costs one encoding of every text.
 MOST_LANGUAGES = 500
 BLOCK_BYTES = 32 * 1024
@@ -44,24 +46,45 @@ def normalized(text: str) -> bytes:
 def learn(labelled: DataFrame, lang_column: str, text_column: str, dictionary_bytes: int = DICTIONARY_BYTES) -> list[tuple[str, bytes]]:
     """(language, dictionary), languages with more text first.
 
-    Counts cover all labelled rows; of each language so many rows are drawn, by a hash of their text, as hold about
-    twice the dictionary's bytes. Only those come to the driver.
+    Bytes are counted over distinct texts of all labelled rows. Each language's texts are taken in the order of a hash,
+    until their normalized bytes fill the dictionary or all are taken, so that every language with text has one.
+    Only the first ``dictionary_bytes`` of those texts come to the driver.
     """
     rows = labelled.select(F.col(lang_column).alias("lang"), F.col(text_column).alias("text")).where("lang is not null and text is not null")
-    sizes = rows.groupBy("lang").agg(F.sum(F.octet_length("text")).cast("long").alias("n")).limit(MOST_LANGUAGES + 1).collect()
-    if len(sizes) > MOST_LANGUAGES:
+    digest = F.xxhash64(F.lit("draw"), "text")
+    draw = F.pmod(digest, F.lit(1 << DRAW_BITS))
+    # A copied text counts and is drawn once, however often it stands in the corpus.
+    texts = rows.groupBy("lang", digest.alias("digest"), F.length(F.bin(draw)).alias("bits")).agg(F.max(F.octet_length("text")).alias("n"))
+    # One row for each language and binary digits of the draw, so the limit holds more rows than MOST_LANGUAGES can have.
+    told = texts.groupBy("lang", "bits").agg(F.sum("n").cast("long").alias("n")).limit((MOST_LANGUAGES + 1) * DRAW_BITS).collect()
+    below: dict[str, list[int]] = {}
+    for r in told:
+        below.setdefault(r["lang"], [0] * (DRAW_BITS + 1))[r["bits"]] = r["n"]
+    if len(below) > MOST_LANGUAGES:
         raise ValueError(f"more than {MOST_LANGUAGES} languages")
-    if not sizes:
-        return []
-    draw = F.pmod(F.xxhash64(F.lit("draw"), "text"), F.lit(1 << 30))
-    share = F.create_map(*[x for r in sizes for x in (F.lit(r["lang"]), F.lit(min(1 << 30, (2 * dictionary_bytes << 30) // max(1, r["n"]) + 1)))])
-    # A copied text is one candidate of the draw, however often it stands in the corpus.
-    drawn = rows.where(draw < F.element_at(share, F.col("lang"))).select("lang", "text", draw.alias("draw")).distinct().collect()
-    parts: dict[str, list[bytes]] = {}
-    for r in sorted(drawn, key=lambda r: (r["lang"], r["draw"], r["text"])):
-        parts.setdefault(r["lang"], []).append(normalized(r["text"]))
-    order = sorted(sizes, key=lambda r: (-r["n"], r["lang"]))
-    return [(r["lang"], b" ".join(parts[r["lang"]])[:dictionary_bytes]) for r in order if parts.get(r["lang"])]
+    sizes = {name: sum(n) for name, n in below.items()}
+    # The fewest binary digits below which a language's texts hold a little more than its dictionary.
+    wanted = dictionary_bytes * 5 // 4
+    bits = {name: next((b for b in range(DRAW_BITS) if sum(n[: b + 1]) >= wanted), DRAW_BITS) for name, n in below.items()}
+    parts: dict[str, bytes] = {}
+    while bits:
+        share = F.create_map(*[x for name, b in bits.items() for x in (F.lit(name), F.lit(1 << b))])
+        drawn = rows.select("lang", "text", draw.alias("draw")).where(F.col("draw") < F.element_at(share, F.col("lang"))).distinct()
+
+        def run(batches):
+            for batch in batches:
+                found = [normalized(t.as_py())[:dictionary_bytes] for t in batch.column("text")]
+                yield pa.RecordBatch.from_arrays([batch.column("lang"), batch.column("draw"), pa.array(found, pa.binary())], names=["lang", "draw", "content"])
+
+        held: dict[str, list[bytes]] = {name: [] for name in bits}
+        kind = drawn.select("lang", "draw", F.lit(b"").alias("content")).schema
+        for r in sorted(drawn.mapInArrow(run, kind).collect(), key=lambda r: (r["lang"], r["draw"], r["content"])):
+            held[r["lang"]].append(r["content"])
+        parts.update((name, b" ".join(filter(None, contents))[:dictionary_bytes]) for name, contents in held.items())
+        # Texts of much punctuation fill less than their bytes: those languages draw twice as many.
+        bits = {name: b + 1 for name, b in bits.items() if b < DRAW_BITS and len(parts[name]) < dictionary_bytes}
+    order = sorted(sizes, key=lambda name: (-sizes[name], name))
+    return [(name, parts[name]) for name in order if parts[name]]
 
 
 class Detector:
@@ -69,8 +92,10 @@ class Detector:
         self.names, self.encoders = [], []
         settings = zstandard.ZstdCompressionParameters(**ENCODING)
         for name, content in dictionaries:
-            if len(content) < 8:  # the shortest raw dictionary there is
+            if not content:
                 continue
+            if len(content) < 8:  # the shortest raw dictionary there is
+                content = b" ".join([content] * 8)
             held = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
             held.precompute_compress(compression_params=settings)
             self.names.append(name)

@@ -95,6 +95,18 @@ def test_language_odd_rows(spark, rows):
     assert language_id.identify(docs.limit(0), "text", dictionaries).count() == 0
 
 
+def test_language_of_few_long_texts_or_many_copies(spark):
+    long = [("few", f"wenige lange texte {i} " * 2000) for i in range(3)]
+    copied = [("copied", "immer gleich " * 200)] * 400 + [("copied", f"ein anderer satz {i}") for i in range(100)]
+    rows = [*long, *copied, ("tiny", "oui"), ("marks", "a!?" + "?" * 300), *[("marks", "!" * i + "bc") for i in range(50, 90)]]
+    dictionaries = dict(language_id.learn(spark.createDataFrame(rows, "lang string, text string"), "lang", "text", dictionary_bytes=1500))
+    # Every language has text: as much as fits, or all there is of it.
+    assert {k: len(v) for k, v in dictionaries.items()} == {"few": 1500, "copied": 1500, "tiny": 3, "marks": 1 + 40 * 3}
+    assert language_id.Detector([(k, v) for k, v in dictionaries.items()]).names == list(dictionaries)
+    whole = dict(language_id.learn(spark.createDataFrame(rows, "lang string, text string"), "lang", "text"))
+    assert len(whole["copied"]) == sum(len(t.strip()) + 1 for t in {t for k, t in copied}) - 1
+
+
 def test_suffix_dedup_odd_rows(spark, rows):
     from test_queries import repeats
 
