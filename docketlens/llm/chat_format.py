@@ -7,7 +7,7 @@ template whose control strings are escaped inside roles and texts, so that the f
 
 Everything here is a column expression. Defined results: a null or missing text is an empty text, a null role an empty
 role; a record that is null, no JSON or of no known fingerprint gets a null ``layout`` and null turns and stays in the
-output; a record with an empty list of turns is formatted as an empty text; repeated records stay repeated.
+output; a record has no limit of size below a row's two gigabytes, but a single turn above 128 MiB is an error; a record with an empty list of turns is formatted as an empty text; repeated records stay repeated.
 """
 
 from __future__ import annotations
@@ -23,6 +23,10 @@ CONTROLS = (START, SEP, END, "<|endoftext|>", "<s>", "</s>", "[INST]", "[/INST]"
 _OPEN = r"(<\|(?:im_start|im_sep|im_end|endoftext)\||</?s|\[/?INST|<</?SYS>)"
 _CLOSE = r"(\\*)([>\]])"
 TURNS = "array<struct<role:string,text:string>>"
+#: Bytes from which on a record may exceed what one variant holds (128 MiB, strings of 20,000,000 characters).
+LARGE_BYTES = 20_000_000
+_NO_LIMIT = {"mode": "FAILFAST", "maxStringLen": str((1 << 31) - 1)}
+_SCALAR = r"(?:STRING|VOID|VARIANT|BOOLEAN|BIGINT|DOUBLE|FLOAT|DECIMAL\(\d+,\s*\d+\))"
 
 
 @dataclass(frozen=True)
@@ -73,9 +77,8 @@ def shape_of_paths(paths: tuple[str, ...]) -> str:
 
 def shape_of_record(record: Column) -> Column:
     """The nested field paths of a JSON text, without value types; null for what is no JSON."""
-    scalar = r"(?:STRING|VOID|VARIANT|BOOLEAN|BIGINT|DOUBLE|FLOAT|DECIMAL\(\d+,\s*\d+\))"
-    shape = F.regexp_replace(F.schema_of_variant(F.try_parse_json(record)), rf": {scalar}(?=[,>])", "")
-    return F.regexp_replace(shape, f"ARRAY<{scalar}>", "ARRAY")
+    shape = F.regexp_replace(F.schema_of_variant(F.try_parse_json(record)), rf": {_SCALAR}(?=[,>])", "")
+    return F.regexp_replace(shape, f"ARRAY<{_SCALAR}>", "ARRAY")
 
 
 def fingerprint(shape: Column) -> Column:
@@ -89,8 +92,10 @@ def _string(value: Column, path: str) -> Column:
 def _mapped(value: Column, m: Mapping) -> Column:
     if m.fixed:
         return F.array(*[F.struct(F.lit(role).alias("role"), _string(value, f"$.{path}").alias("text")) for role, path in m.fixed])
-    items = F.try_variant_get(value, f"$.{m.turns}", "array<variant>")
+    return _turns_of(F.try_variant_get(value, f"$.{m.turns}", "array<variant>"), m)
 
+
+def _turns_of(items: Column, m: Mapping) -> Column:
     def turn(item: Column) -> Column:
         role = _string(item, f"$.{m.role}")
         for old, new in m.aliases:
@@ -100,15 +105,55 @@ def _mapped(value: Column, m: Mapping) -> Column:
     return F.transform(items, turn)
 
 
+def _is_scalar(value: Column) -> Column:
+    return F.coalesce(F.schema_of_variant(value).rlike(f"^{_SCALAR}$"), F.lit(True))
+
+
+def _large(record: Column, m: Mapping) -> tuple[Column, Column]:
+    """(whether a large record has the layout's paths, its turns), by a variant for each turn instead of one for the record.
+
+    A turn that no variant can hold is an error, not a null.
+    """
+    keys = sorted({path.split(".")[0].removesuffix("[]") for path in m.paths})
+    fits = F.array_sort(F.json_object_keys(record)) == F.array(*map(F.lit, keys))
+    if m.fixed:
+        if any("." in path or "[]" in path for path in m.paths):
+            return fits, F.raise_error(F.lit(f"a record of more than {LARGE_BYTES} bytes in the nested layout {m.name}")).cast(TURNS)
+        read = F.from_json(record, "struct<" + ",".join(f"`{k}`:variant" for k in keys) + ">", _NO_LIMIT)
+        for k in keys:
+            fits = F.when(fits, _is_scalar(read[k]))
+        return fits, F.array(*[F.struct(F.lit(role).alias("role"), _string(read[path], "$").alias("text")) for role, path in m.fixed])
+    inner = sorted(path.removeprefix(f"{m.turns}[].") for path in m.paths)
+    if keys != [m.turns] or any("." in path or "[]" in path for path in inner):
+        return fits, F.raise_error(F.lit(f"a record of more than {LARGE_BYTES} bytes in the nested layout {m.name}")).cast(TURNS)
+    listed = F.json_array_length(F.from_json(record, f"struct<`{m.turns}`:string>", _NO_LIMIT)[m.turns]).isNotNull()
+    items = F.from_json(record, f"struct<`{m.turns}`:array<variant>>", _NO_LIMIT)[m.turns]
+    # A null among the turns says nothing about their paths; turns may lack a path that others have.
+    told = F.filter(items, lambda v: ~F.coalesce(F.is_variant_null(v), F.lit(True)))
+    fields = F.transform(told, lambda v: F.try_variant_get(v, "$", "map<string,variant>"))
+    plain = F.forall(fields, lambda f: f.isNotNull() & F.forall(F.map_values(f), _is_scalar))
+    found = F.array_sort(F.array_distinct(F.flatten(F.transform(fields, F.map_keys))))
+    fits = F.when(F.when(fits, listed), plain & (found == F.array(*map(F.lit, inner))))
+    return fits, _turns_of(items, m)
+
+
 def canonical_turns(records: DataFrame, id_column: str, record_column: str, mappings: tuple[Mapping, ...] = MAPPINGS) -> DataFrame:
-    """(id, fingerprint, layout, turns) for records of JSON text; ``layout`` is null where no mapping has the fingerprint."""
+    """(id, fingerprint, layout, turns) for records of JSON text; ``layout`` is null where no mapping has the fingerprint.
+
+    Records of LARGE_BYTES and more are compared with the mappings path by path; of no known layout, their fingerprint is null.
+    """
     rows = records.select(F.col(id_column).alias("id"), F.col(record_column).alias("record"))
-    rows = rows.select("id", F.try_parse_json("record").alias("value"), fingerprint(shape_of_record(F.col("record"))).alias("fingerprint"))
-    layout, turns = F.lit(None).cast("string"), F.lit(None).cast(TURNS)
+    large = F.octet_length("record") >= LARGE_BYTES
+    known, none = F.lit(None).cast("long"), F.lit(None).cast("string")
+    for m in mappings:
+        known = F.when(F.coalesce(_large(F.col("record"), m)[0], F.lit(False)), fingerprint(F.lit(shape_of_paths(m.paths)))).otherwise(known)
+    marked = F.when(large, known).otherwise(fingerprint(shape_of_record(F.when(~large, F.col("record")))))
+    rows = rows.select("id", F.when(large, F.col("record")).alias("large"), F.try_parse_json(F.when(~large, F.col("record"))).alias("value"), marked.alias("fingerprint"))
+    layout, turns = none, F.lit(None).cast(TURNS)
     for m in mappings:
         chosen = F.col("fingerprint") == fingerprint(F.lit(shape_of_paths(m.paths)))
         layout = F.when(chosen, F.lit(m.name)).otherwise(layout)
-        turns = F.when(chosen, _mapped(F.col("value"), m)).otherwise(turns)
+        turns = F.when(chosen & F.col("large").isNotNull(), _large(F.col("large"), m)[1]).when(chosen, _mapped(F.col("value"), m)).otherwise(turns)
     return rows.select("id", "fingerprint", layout.alias("layout"), turns.alias("turns"))
 
 

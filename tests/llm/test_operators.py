@@ -43,6 +43,25 @@ def test_chat_layouts(spark):
     assert "<s>" not in read["formatted"] and chat_format.canonical_turns(df.limit(0), "k", "rec").count() == 0
 
 
+def test_chat_large_records(spark):
+    x = lambda n: F.repeat(F.lit("x"), F.lit(n))
+    long = 20_000_100
+    turns = lambda n, size, more="": F.concat(F.lit('{"messages": [null, {"role": "user"}, '), F.array_join(F.array_repeat(F.concat(F.lit('{"content": "'), x(size), F.lit('", "role": "assistant"}')), n), ","), F.lit(f"{more}]}}"))
+    fixed = lambda more="": F.concat(F.lit('{"output": "'), x(long), F.lit(f'", "instruction": 1.50{more}}}'))
+    records = {
+        "many": turns(1400, 100_000), "long": turns(1, long), "fixed": fixed(), "nested": turns(1, long, ', {"content": {"a": 1}}'), "other": fixed(', "x": 1'),
+        "text": F.concat(F.lit('{"messages": "'), x(long), F.lit('"}')), "bad": F.concat(F.lit('{"prompt": "'), x(long)),
+    }
+    for k, record in records.items():
+        got = chat_format.canonical_turns(spark.range(1).select(F.lit(k).alias("k"), record.alias("rec")), "k", "rec")
+        sizes = F.transform("turns", lambda t: F.concat_ws(":", t["role"], F.length(t["text"])))
+        found = got.select("layout", sizes.alias("sizes")).first()
+        said = {"many": [":0", "user:0"] + ["assistant:100000"] * 1400, "long": [":0", "user:0", f"assistant:{long}"], "fixed": ["user:3", f"assistant:{long}"]}.get(k)
+        assert (k, found["layout"]) == (k, {"many": "messages", "long": "messages", "fixed": "instruction"}.get(k)) and found["sizes"] == said
+    with pytest.raises(Exception, match="(?i)malformed"):
+        chat_format.canonical_turns(spark.range(1).select("id", turns(1, 140_000_000).alias("rec")), "id", "rec").select(F.size("turns")).collect()
+
+
 def test_escape_is_reversible(spark):
     r = random.Random(2)
     parts = [*chat_format.CONTROLS, "\\", "<", "|", ">", "[", "]", "/", "s", "<<SYS\\>>", "[/INST\\\\]"]
