@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docketlens.functions import finder as N
-from docketlens.operators.keyed import only_keys, top_k, without_keys
+from docketlens.operators.keyed import only_keys, running_position, top_k, without_keys
 from docketlens.session import written_once
 
 # Kinds in rank order, reasons, labels, weights and bands.
@@ -508,25 +508,57 @@ def situation_candidates(cases: DataFrame, as_of: Column) -> DataFrame:
     )
 
 
+def _choices(sessions: DataFrame) -> DataFrame:
+    return sessions.select("session_id", F.array_sort(coerce_situations(F.col("situations"))).alias("chosen"))
+
+
+def _recognized_prompts(prompts: DataFrame, chosen: DataFrame, recognized: DataFrame) -> DataFrame:
+    """(session_id, case_id, deadline): the prompted ones of the cases that a session recognized."""
+    marked = recognized.select("session_id", "case_id").distinct().join(chosen, "session_id")
+    admitted = marked.select("session_id", "case_id", F.explode("chosen").alias("situation")).join(prompts, ["situation", "case_id"])
+    return admitted.select("session_id", "case_id", "deadline").distinct()
+
+
+def _deadline_block() -> Column:
+    """A number that does not decrease along ``deadline_order``: the day of the deadline, none last."""
+    return F.coalesce(F.unix_date(F.to_date("deadline")), F.lit((1 << 31) - 1))
+
+
+def candidate_lists(
+    cases: DataFrame, sessions: DataFrame, recognized: DataFrame, as_of: Column
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """All prompted cases of all sessions in deadline order, without a cap, as three tables.
+
+    (chosen, rank, case_id, deadline): the list of each distinct choice of situations; (session_id, chosen): whose list it
+    is, for sessions that recognized no case; (session_id, rank, case_id, deadline): the others' recognized cases. Lists are
+    numbered day by day of the deadline, and no session is multiplied by the catalog.
+    """
+    prompts, chosen = situation_candidates(cases, as_of), _choices(sessions)
+    choices = without_keys(chosen, recognized, ["session_id"])
+    # A case stands in a list once, whichever of its situations were chosen.
+    offered = choices.select("chosen").distinct().select("chosen", F.explode("chosen").alias("situation")).join(prompts, "situation")
+    lists = running_position(offered.select("chosen", "case_id", "deadline").distinct(), ["chosen"], deadline_order(), _deadline_block(), "rank")
+    own = running_position(_recognized_prompts(prompts, chosen, recognized), ["session_id"], deadline_order(), _deadline_block(), "rank")
+    return lists, choices, own
+
+
 def session_candidates(
     cases: DataFrame, sessions: DataFrame, recognized: DataFrame, as_of: Column, size: int
 ) -> DataFrame:
     """(session_id, rank, case_id, deadline): the first ``size`` prompted cases of each session in deadline order.
 
     ``sessions`` has session_id and situations. A session that recognized cases is shown only those. The others
-    share one page for each distinct choice of situations, so no session meets the whole catalog.
+    share one page for each distinct choice of situations, so no session meets the whole catalog. ``candidate_lists``
+    has all cases.
     """
-    prompts = situation_candidates(cases, as_of)
-    chosen = sessions.select("session_id", F.array_sort(coerce_situations(F.col("situations"))).alias("chosen"))
+    prompts, chosen = situation_candidates(cases, as_of), _choices(sessions)
     choices = chosen.select("chosen").distinct().select("chosen", F.explode("chosen").alias("situation"))
     # A case stands in a page once, whichever of its situations were chosen.
     first = top_k(prompts, ["situation"], deadline_order(), size)
     offered = choices.join(first, "situation").select("chosen", "case_id", "deadline").distinct()
     pages = top_k(offered, ["chosen"], deadline_order(), size, "rank")
     shared = without_keys(chosen, recognized, ["session_id"]).join(pages, "chosen")
-    marked = recognized.select("session_id", "case_id").distinct().join(chosen, "session_id")
-    admitted = marked.select("session_id", "case_id", F.explode("chosen").alias("situation")).join(prompts, ["situation", "case_id"])
-    own = top_k(admitted.select("session_id", "case_id", "deadline").distinct(), ["session_id"], deadline_order(), size, "rank")
+    own = top_k(_recognized_prompts(prompts, chosen, recognized), ["session_id"], deadline_order(), size, "rank")
     columns = ["session_id", "rank", "case_id", "deadline"]
     return shared.select(*columns).unionByName(own.select(*columns))
 

@@ -132,6 +132,26 @@ def session_candidates(spark, folder):
     return found.select("session_id", "rank", "case_id")
 
 
+def _candidate_lists(spark, folder):
+    as_of = F.lit(AS_OF).cast("timestamp_ntz")
+    return M.candidate_lists(catalog(spark, folder), screened_people(spark, folder), recognized_cases(spark, folder), as_of)
+
+
+def candidate_lists(spark, folder):
+    """All prompted cases of each distinct choice of situations."""
+    return _candidate_lists(spark, folder)[0].select(F.array_join("chosen", ",").alias("choice"), F.col("rank").cast("int").alias("rank"), "case_id")
+
+
+def candidate_choices(spark, folder):
+    """Which of ``candidate_lists`` each customer sees who recognized no case."""
+    return _candidate_lists(spark, folder)[1].select("session_id", F.array_join("chosen", ",").alias("choice"))
+
+
+def recognized_candidates(spark, folder):
+    """All prompted cases of the customers who recognized some."""
+    return _candidate_lists(spark, folder)[2].select("session_id", F.col("rank").cast("int").alias("rank"), "case_id")
+
+
 def screened_candidates(spark, folder):
     """The latest answer of a customer about a case counts."""
     orders = order_answers(spark, folder)
@@ -147,6 +167,9 @@ QUERIES = {
     "conversation_matches": conversation_matches,
     "situation_candidates": situation_candidates,
     "session_candidates": session_candidates,
+    "candidate_lists": candidate_lists,
+    "candidate_choices": candidate_choices,
+    "recognized_candidates": recognized_candidates,
     "screened_candidates": screened_candidates,
 }
 
@@ -264,6 +287,20 @@ prompted AS (
     AND (NOT EXISTS (SELECT 1 FROM marked m WHERE m.session_id = p.session_id) OR EXISTS (SELECT 1 FROM marked m WHERE m.session_id = p.session_id AND m.case_id = c.case_id)))
 SELECT session_id, CAST(row_number() OVER w AS INTEGER) AS rank, case_id FROM prompted
 WINDOW w AS (PARTITION BY session_id ORDER BY deadline NULLS LAST, case_id) QUALIFY rank <= {PROMPTED}""",
+    "candidate_lists": f"""
+WITH {_CASES},
+{_ANSWERED}
+choices AS (SELECT DISTINCT list_sort(chosen) AS chosen FROM people WHERE session_id NOT IN (SELECT session_id FROM marked))
+SELECT array_to_string(chosen, ',') AS choice, CAST(row_number() OVER (PARTITION BY chosen ORDER BY deadline NULLS LAST, case_id) AS INTEGER) AS rank, case_id
+FROM choices, cases WHERE {_OPEN} AND (list_contains(chosen, 'not_sure') OR list_has_any(situations, chosen))""",
+    "candidate_choices": f"""
+WITH {_ANSWERED[:-1]}
+SELECT session_id, array_to_string(list_sort(chosen), ',') AS choice FROM people WHERE session_id NOT IN (SELECT session_id FROM marked)""",
+    "recognized_candidates": f"""
+WITH {_CASES},
+{_ANSWERED[:-1]}
+SELECT session_id, CAST(row_number() OVER (PARTITION BY session_id ORDER BY deadline NULLS LAST, case_id) AS INTEGER) AS rank, case_id
+FROM marked JOIN people USING (session_id) JOIN cases USING (case_id) WHERE {_OPEN} AND (list_contains(chosen, 'not_sure') OR list_has_any(situations, chosen))""",
     "screened_candidates": f"""
 WITH {_CASES},
 {_ANSWERED}
