@@ -6,7 +6,7 @@ counts: each training token is held out in turn, that is, taken off the counts t
 
     p(w | v) = l2(v) * p2(w | v) + l1(v) * c(w) / N + l0(v) / (V + 1)
 
-Words below ``min_count`` share one class in the bigrams: p2(w | v) = c(v, class) / c(v) * c(w) / c(class). Counts are exact
+Every training word has its own place in the bigrams; words below a larger ``min_count`` share one class: p2(w | v) = c(v, class) / c(v) * c(w) / c(class). Counts are exact
 and cover the whole corpus; the tables grow with it, and no machine ever holds them:
 
 1. Each task turns its documents into blocks of word numbers, and asks, for each slice of the hash space, for the counts
@@ -38,7 +38,7 @@ from docketlens.llm.common import LOWER_BYTES
 from docketlens.session import written_once
 
 END = b"\n"  # no word can hold it
-MIN_COUNT = 16
+MIN_COUNT = 1
 #: Tokens of a block; bounds a task's memory.
 BLOCK_TOKENS = 1_500_000
 EM_ROUNDS = 60

@@ -183,6 +183,13 @@ def test_lm_is_a_distribution(spark):
     assert all(-20 < v < 0 for v in got.values()) and got[100] > got[104]
 
 
+def test_lm_counts_bigrams_of_rare_words(spark):
+    rows = [(i, "new york" if i < 5 else f"some words {i % 7}", "t") for i in range(40)] + [(50, "new york", "h"), (51, "york new", "h")]
+    docs = spark.createDataFrame(rows, "id long, text string, part string")
+    found = {r["doc"]["id"]: r["score"] for r in interpolated_lm.score(docs, "text", F.col("part") == "t").collect()}
+    assert found[50] > found[51] + 0.5
+
+
 def test_em_prefers_the_better_estimate():
     weights = interpolated_lm.learn_weights([(3, 40, 4, 90.0), (3, -999, 4, 10.0), (0, -999, 8, 5.0)])
     assert weights[3][0] > 0.7 and weights[0][0] < 1e-6 and sum(weights[3]) == pytest.approx(1)
