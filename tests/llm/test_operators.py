@@ -165,6 +165,17 @@ def test_toxicity_odd_rows(spark, rows):
     assert 0 <= toxicity.Scorer(toxicity.train([], [], [], 0.0)).score(None) <= 1
 
 
+def test_toxicity_learns_every_language():
+    r = random.Random(4)
+    words = {k: [f"{chr(97 + k)}{r.randint(100, 999)}w" for _ in range(30)] for k in range(13)}
+    rows = [(k, n % 2, " ".join(r.choices(words[k], k=8)) + (" vile" if n % 2 else " calm")) for k in range(12) for n in range(200 - k)] + [(12, 0, " ".join(words[12]))] * 3
+    net = toxicity.train([t.encode() for _, _, t in rows], [y for _, y, _ in rows], [f"l{k}" for k, _, _ in rows], 0.5, epochs=1)
+    assert set(net.languages) == {f"l{k}" for k in range(12)} | {toxicity.OTHERS} and "l11" in net.cuts and toxicity.OTHERS not in net.cuts
+    guess = toxicity.Scorer(net).logit_and_language
+    assert [guess(" ".join(words[k][:6]).encode())[1] for k in (0, 11, 12)] == ["l0", "l11", toxicity.OTHERS]
+    assert guess(b"zzz unseen qqq")[1] is None
+
+
 def test_lm_odd_rows(spark, rows):
     docs = odd(spark, rows)
     small = interpolated_lm.score(docs, "text", F.col("doc_id") > 5, ["doc_id"], min_count=2, block_tokens=500)
