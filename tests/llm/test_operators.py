@@ -127,7 +127,7 @@ def test_language_of_few_long_texts_or_many_copies(spark):
 
 
 def test_suffix_dedup_odd_rows(spark, rows):
-    from test_queries import repeats
+    from test_llm_queries import repeats
 
     docs = odd(spark, rows)
     for length, most in ((200, 4096), (64, 4096), (64, 2)):
