@@ -6,7 +6,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docketlens.llm import chat_format, dart_minhash, decontaminate, interpolated_lm, language_id, packing, secret_scan, suffix_dedup, toxicity, voronoi_knn
+from docketlens.llm import (
+    chat_format, dart_minhash, decontaminate, interpolated_lm, language_id, merkle, packing, secret_scan, suffix_dedup, toxicity, voronoi_knn,
+)
 from docketlens.llm.common import UPPER, crc_class, table
 
 
@@ -176,6 +178,81 @@ def op10_dart_minhash(spark: SparkSession, folder: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "class_id", "class_size", F.col("keeps").alias("kept"))
 
 
+def op11_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    fields = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars", "text")]
+    tampered = F.when(crc_class("doc_id", 3) == 0, F.translate("text", UPPER, UPPER.lower())).otherwise(F.col("text"))
+    found = merkle.manifest(docs, F.col("lang"), fields, [*fields[:-1], tampered], "doc_id")
+    return found.withColumnRenamed("id", "doc_id").withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+def _crc_step(value: int) -> int:
+    for _ in range(8):
+        value = value >> 1 ^ 0xEDB88320 * (value & 1)
+    return value
+
+
+_CRC_TABLE = [_crc_step(i) for i in range(256)]
+
+
+def _crc32_sql(text: str) -> str:
+    """CRC-32 of an ASCII text."""
+    codes = f"list_transform(regexp_extract_all({text}, '.'), lambda c: ascii(c)::UBIGINT)"
+    step = f"xor(c >> 8, ({_CRC_TABLE}::UBIGINT[])[(xor(c, b) & 255)::INT + 1])"
+    return f"xor(list_reduce(list_prepend(4294967295::UBIGINT, {codes}), lambda c, b: {step}), 4294967295::UBIGINT)"
+
+
+#: Levels of a tree that the SQL below climbs at most; enough for 8^9 leaves.
+_SQL_LEVELS = 9
+
+
+def _climb_sql(start: str) -> str:
+    """CTEs up0..: (tree, pos, h) of the nodes at each level, s0..: the siblings of a node and its run. A tree's root stays as it is."""
+    parts = [f"{start}up0 AS (SELECT *, count(*) OVER (PARTITION BY tree) AS n FROM {start}leaves)"]
+    for k in range(_SQL_LEVELS):
+        parts.append(f"""{start}up{k + 1} AS (
+          SELECT tree, CASE WHEN any_value(n) = 1 THEN any_value(h) ELSE sha256(string_agg(h, '' ORDER BY pos)) END AS h, pos // 8 AS pos,
+            (any_value(n) + 7) // 8 AS n FROM {start}up{k} GROUP BY tree, pos // 8)""")
+    return ", ".join(parts)
+
+
+def _proof_sql(start: str, leaf: str) -> str:
+    """CTEs walk0..: for each leaf the proof text so far and the folded digest so far, one level after the other."""
+    parts = [f"{start}walk0 AS (SELECT *, pos AS here FROM {leaf})"]
+    for k in range(_SQL_LEVELS):
+        parts.append(f"""{start}runs{k} AS (
+          SELECT tree, pos, n, coalesce(string_agg(h, '') OVER (r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS left_side,
+            coalesce(string_agg(h, '') OVER (r ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS right_side
+          FROM {start}up{k} WINDOW r AS (PARTITION BY tree, pos // 8 ORDER BY pos)),
+        {start}walk{k + 1} AS (
+          SELECT w.* EXCLUDE (proof, folded, here), proof || left_side || right_side AS proof, here // 8 AS here,
+            CASE WHEN r.n = 1 THEN folded ELSE sha256(left_side || folded || right_side) END AS folded
+          FROM {start}walk{k} w JOIN {start}runs{k} r ON w.tree = r.tree AND w.here = r.pos)""")
+    return ", ".join(parts)
+
+
+_FIELD_SQL = lambda c: f"coalesce(strlen({c}::VARCHAR) || ':' || {c}::VARCHAR, '-')"
+_LEAF_SQL = lambda text: f"sha256({' || '.join(map(_FIELD_SQL, ['doc_id', 'source', 'lang', 'n_chars', text]))})"
+OP11_SQL = f"""
+WITH docs AS (
+  SELECT doc_id, coalesce('=' || lang, '') AS tree, {_LEAF_SQL("text")} AS h,
+    CASE WHEN {_crc32_sql("coalesce(doc_id::VARCHAR, '')")} % 3 = 0 THEN {_LEAF_SQL(f"translate(text, '{UPPER}', '{UPPER.lower()}')")}
+      ELSE {_LEAF_SQL("text")} END AS now
+  FROM documents
+), d_leaves AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, h) - 1 AS pos FROM docs),
+{_climb_sql("d_")},
+t_leaves AS (SELECT '' AS tree, tree AS name, h, row_number() OVER (ORDER BY tree) - 1 AS pos FROM d_up{_SQL_LEVELS}),
+{_climb_sql("t_")},
+first AS (SELECT tree, doc_id, h AS leaf, pos, '' AS proof, now AS folded FROM d_leaves),
+{_proof_sql("d_", "first")},
+second AS (
+  SELECT doc_id, leaf, t.h AS subroot, proof, folded, '' AS tree, t.pos FROM d_walk{_SQL_LEVELS} w JOIN t_leaves t ON w.tree = t.name
+), {_proof_sql("t_", "second")}
+SELECT doc_id, leaf, subroot, r.h AS root, sha256(proof) AS proof_sha256, folded AS folded_root, folded = r.h AS verified
+FROM t_walk{_SQL_LEVELS}, (SELECT h FROM t_up{_SQL_LEVELS}) r
+"""
+
+
 QUERIES = {
     "op1_chat_format": op1_chat_format,
     "op2_decontaminate": op2_decontaminate,
@@ -187,5 +264,6 @@ QUERIES = {
     "op8_secret_scan": op8_secret_scan,
     "op9_packing": op9_packing,
     "op10_dart_minhash": op10_dart_minhash,
+    "op11_merkle_manifest": op11_merkle_manifest,
 }
-ORACLES = {"op1_chat_format": OP1_SQL, "op2_decontaminate": OP2_SQL, "op7_voronoi_knn": OP7_SQL, "op8_secret_scan": OP8_SQL}
+ORACLES = {"op1_chat_format": OP1_SQL, "op2_decontaminate": OP2_SQL, "op7_voronoi_knn": OP7_SQL, "op8_secret_scan": OP8_SQL, "op11_merkle_manifest": OP11_SQL}
