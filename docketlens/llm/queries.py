@@ -7,7 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docketlens.llm import (
-    chat_format, dart_minhash, decontaminate, interpolated_lm, language_id, merkle, packing, secret_scan, suffix_dedup, toxicity, voronoi_knn,
+    chat_format, dart_minhash, decontaminate, interpolated_lm, language_id, merkle, packing, secret_scan, sharding, suffix_dedup,
+    toxicity, voronoi_knn,
 )
 from docketlens.llm.common import UPPER, crc_class, table
 
@@ -253,6 +254,13 @@ FROM t_walk{_SQL_LEVELS}, (SELECT h FROM t_up{_SQL_LEVELS}) r
 """
 
 
+def op12_sharding(spark: SparkSession, folder: str) -> DataFrame:
+    text = F.coalesce("text", F.lit(""))
+    carry = [F.col("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32")]
+    found = sharding.assign(table(spark, folder, "documents"), text, carry)
+    return found.select("doc.*", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 QUERIES = {
     "op1_chat_format": op1_chat_format,
     "op2_decontaminate": op2_decontaminate,
@@ -265,5 +273,6 @@ QUERIES = {
     "op9_packing": op9_packing,
     "op10_dart_minhash": op10_dart_minhash,
     "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_sharding": op12_sharding,
 }
 ORACLES = {"op1_chat_format": OP1_SQL, "op2_decontaminate": OP2_SQL, "op7_voronoi_knn": OP7_SQL, "op8_secret_scan": OP8_SQL, "op11_merkle_manifest": OP11_SQL}
