@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from docketlens.llm import (
     chat_format, dart_minhash, decontaminate, interpolated_lm, language_id, merkle, packing, secret_scan, sharding, suffix_dedup,
-    toxicity, voronoi_knn,
+    toxicity, turn_repair, voronoi_knn,
 )
 from docketlens.llm.common import UPPER, crc_class, table
 
@@ -261,6 +261,67 @@ def op12_sharding(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc.*", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op13_turn_repair(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "conversations")
+    damaged = turn_repair.damage(rows, "conv_id", "turn", "role", "text")
+    return turn_repair.repair_all(damaged, rows.select(F.col("conv_id").alias("conv"))).withColumnRenamed("conv", "conv_id")
+
+
+# Plain form of the repair: the least (cost, letters) to each state, row by row, with the repaired lines beside it.
+OP13_SQL = rf"""
+WITH RECURSIVE cases AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    ({_crc32_sql("coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ')")} % 20)::INT AS c
+  FROM conversations
+), damaged AS (
+  SELECT conv_id, turn, CASE c WHEN 4 THEN 'user' ELSE role END AS role,
+    CASE c WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(CASE c WHEN 3 THEN 2 ELSE 1 END)) AS again
+  FROM cases WHERE c <> 0
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i, count(*) OVER (PARTITION BY conv_id) AS n FROM damaged
+), judged AS (
+  SELECT *, substr(role, 1, 1) AS ini, lead(substr(role, 1, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS then_ini,
+    CASE WHEN NOT regexp_matches(text, '[^ 	-]') THEN 'blank'
+      WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate'
+      WHEN NOT regexp_matches(text, '[.!?][ 	-]*$') THEN 'truncated' ELSE '' END AS fault
+  FROM placed
+), counts AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank,
+    count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+    count(*) FILTER (then_ini IS NOT NULL AND ini || then_ini NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM judged GROUP BY conv_id
+), steps(st, mid, pre, lines) AS (
+  VALUES ('0', '0', '', []::VARCHAR[]), ('0', 'u', 'I', ['user:']), ('0', 'a', 'II', ['user:', 'assistant:']), ('s', 's', '', []), ('s', 'u', 'I', ['user:']),
+    ('s', 'a', 'II', ['user:', 'assistant:']), ('u', 'u', '', []), ('u', 'a', 'I', ['assistant:']), ('u', 'u', 'II', ['assistant:', 'user:']),
+    ('a', 'a', '', []), ('a', 'u', 'I', ['user:']), ('a', 'a', 'II', ['user:', 'assistant:'])
+), moves(mid, op, ini, aft, said, price) AS (
+  VALUES ('0', 'K', 's', 's', NULL, 0), ('0', 'K', 'u', 'u', NULL, 0), ('s', 'K', 'u', 'u', NULL, 0), ('u', 'K', 'a', 'a', NULL, 0), ('a', 'K', 'u', 'u', NULL, 0),
+    ('0', 'R', NULL, 'u', 'user', 2), ('s', 'R', NULL, 'u', 'user', 2), ('u', 'R', NULL, 'a', 'assistant', 2), ('a', 'R', NULL, 'u', 'user', 2),
+    ('0', 'D', NULL, '0', NULL, 3), ('s', 'D', NULL, 's', NULL, 3), ('u', 'D', NULL, 'u', NULL, 3), ('a', 'D', NULL, 'a', NULL, 3)
+), walk AS (
+  SELECT DISTINCT conv_id, 0::BIGINT AS i, '0' AS st, 0 AS cost, '' AS audit, []::VARCHAR[] AS lines FROM judged
+  UNION ALL
+  SELECT conv_id, i, st, best.cost, best.audit, best.lines FROM (
+    SELECT w.conv_id, r.i, m.aft AS st, min({{
+      'cost': w.cost + 2 * length(s.pre)::INT + m.price + (m.op <> 'D' AND r.fault = 'truncated')::INT, 'audit': w.audit || s.pre || m.op,
+      'lines': CASE m.op WHEN 'D' THEN w.lines || s.lines ELSE list_append(w.lines || s.lines, coalesce(m.said, r.role) || ':' || r.text) END}}) AS best
+    FROM walk w JOIN judged r ON w.conv_id IS NOT DISTINCT FROM r.conv_id AND r.i = w.i + 1 JOIN steps s ON s.st = w.st
+      JOIN moves m ON m.mid = s.mid AND (m.ini IS NULL OR m.ini = r.ini) AND (m.op = 'D' OR r.fault NOT IN ('blank', 'duplicate'))
+    GROUP BY w.conv_id, r.i, m.aft)
+), ended AS (
+  SELECT w.conv_id, min({{'cost': w.cost + 2 * length(t.pre)::INT, 'audit': w.audit || t.pre, 'lines': w.lines || t.lines}}) AS best
+  FROM walk w JOIN (SELECT DISTINCT conv_id, n FROM judged) c ON w.conv_id IS NOT DISTINCT FROM c.conv_id AND w.i = c.n
+    JOIN (VALUES ('0', '', []::VARCHAR[]), ('s', 'II', ['user:', 'assistant:']), ('u', 'I', ['assistant:']), ('a', '', [])) t(st, pre, lines) ON t.st = w.st
+  GROUP BY w.conv_id
+)
+SELECT o.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+  coalesce(illegal, 0) AS illegal, coalesce(best.cost, 0)::BIGINT AS cost, coalesce(best.audit, '') AS audit,
+  sha256(coalesce(array_to_string(best.lines, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN counts c ON o.conv_id IS NOT DISTINCT FROM c.conv_id
+  LEFT JOIN ended e ON o.conv_id IS NOT DISTINCT FROM e.conv_id
+"""
+
+
 QUERIES = {
     "op1_chat_format": op1_chat_format,
     "op2_decontaminate": op2_decontaminate,
@@ -274,5 +335,6 @@ QUERIES = {
     "op10_dart_minhash": op10_dart_minhash,
     "op11_merkle_manifest": op11_merkle_manifest,
     "op12_sharding": op12_sharding,
+    "op13_turn_repair": op13_turn_repair,
 }
-ORACLES = {"op1_chat_format": OP1_SQL, "op2_decontaminate": OP2_SQL, "op7_voronoi_knn": OP7_SQL, "op8_secret_scan": OP8_SQL, "op11_merkle_manifest": OP11_SQL}
+ORACLES = {"op1_chat_format": OP1_SQL, "op2_decontaminate": OP2_SQL, "op7_voronoi_knn": OP7_SQL, "op8_secret_scan": OP8_SQL, "op11_merkle_manifest": OP11_SQL, "op13_turn_repair": OP13_SQL}
