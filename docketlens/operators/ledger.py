@@ -161,7 +161,11 @@ def claim_activity(
 
     ``extra`` names columns of the versions to keep.
     """
-    rows = previous_row(versions, ["claim_id"], order, block, VERSION_COLUMNS, "_old")
+    return version_events(previous_row(versions, ["claim_id"], order, block, VERSION_COLUMNS, "_old"), extra)
+
+
+def version_events(rows: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
+    """The event of each version that has the one before it as ``_old``; null for a claim's first."""
     old = lambda c: F.col(f"_old.{c}")
     differs = lambda *cs: ~F.struct(*cs).eqNullSafe(F.struct(*[old(c).alias(c) for c in cs]))
     kind = (
@@ -184,7 +188,7 @@ def claim_activity(
         .when(event == "submission_recorded", F.col("submitted_at"))
     )
     return named.select(
-        *[c for c in ("user_id", "claim_id") if c in versions.columns], *extra,
+        *[c for c in ("user_id", "claim_id") if c in rows.columns], *extra,
         "event_type", "personal_status", F.col("status_provenance").alias("provenance"), "confirmation_number",
         amount.alias("amount_cents"),
         F.when(amount.isNotNull(), F.when(event == "payment_recorded", "received").otherwise("approved")).alias("amount_kind"),

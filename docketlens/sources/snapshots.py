@@ -26,6 +26,18 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
 
 
+def existing_paths(spark: SparkSession, pattern: str) -> list[str]:
+    """Paths that match a pattern, in the file system the pattern names."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(pattern)
+    found = target.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(target)
+    return sorted(status.getPath().toString() for status in found or [])
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def read_snapshot(
     spark: SparkSession, path: str, schema: str, schema_version: int = SCHEMA_VERSION
 ) -> DataFrame:

@@ -1,13 +1,15 @@
-"""Claim activity from a stream of row versions: each claim's last version is carried between batches."""
+"""Claim activity from a stream of row versions: a state store keeps each claim's last version between batches."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from collections.abc import Iterator
+
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from docketlens.operators import ledger as L
-from docketlens.operators.keyed import keep_last
-from docketlens.streaming.state import DeltaState, run_available
+from docketlens.streaming.state import rocksdb_store
 
 VERSION = (
     "claim_id string, user_id string, case_id string, seq bigint, at timestamp_ntz, personal_status string, "
@@ -19,27 +21,46 @@ ACTIVITY = (
     "user_id string, claim_id string, event_type string, personal_status string, provenance string, "
     "confirmation_number string, amount_cents bigint, amount_kind string, occurred_at timestamp_ntz"
 )
+_PAIR = "claim_id string, version string, before string"
+_TIMES = {"timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
+
+
+class PreviousVersion(StatefulProcessor):
+    """Pairs each version with the one before it. The state of a claim is its last version; a batch's versions of a claim are ordered in memory."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.last = handle.getValueState("last", "version string")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:  # noqa: N802, N803
+        before = self.last.get()[0] if self.last.exists() else None
+        for row in sorted(rows, key=lambda r: r.seq):
+            yield Row(claim_id=key[0], version=row.version, before=before)
+            before = row.version
+        self.last.update((before,))
+
+    def close(self) -> None:
+        pass
 
 
 class ActivityStream:
     def __init__(self, root: str):
         self.root = root
-        self.last = DeltaState(f"{root}/last", VERSION, ["claim_id"])
-        self.activity = DeltaState(f"{root}/activity", ACTIVITY, ["claim_id"])
-
-    def log_batch(self, versions: DataFrame, batch_id: int) -> None:
-        order: list[Column] = [F.col("seq")]
-        block = F.date_trunc("HOUR", F.col("at"))
-        carried = self.last.current(versions.sparkSession, batch_id, versions).drop("batch")
-        rows = versions.withColumn("_carried", F.lit(False)).unionByName(carried.withColumn("_carried", F.lit(True)))
-        events = L.claim_activity(rows, order, block, ("_carried",)).filter(~F.col("_carried")).drop("_carried")
-        self.activity.write(events, batch_id)
-        self.last.write(keep_last(versions, ["claim_id"], order), batch_id)
-
-    def run(self, spark: SparkSession, versions_path: str, max_files: int = 100) -> None:
+
+    def run(self, spark: SparkSession, versions_path: str, max_files: int = 100) -> StreamingQuery:
+        """Log the events of all versions not yet read. The file sink lists what each batch wrote, so a retried batch adds nothing twice."""
         versions = spark.readStream.schema(VERSION).option("maxFilesPerTrigger", max_files).parquet(versions_path)
-        run_available(versions, self.log_batch, f"{self.root}/checkpoint")
+        written = versions.select("claim_id", "seq", F.to_json(F.struct(*versions.columns), _TIMES).alias("version"))
+        pairs = written.groupBy("claim_id").transformWithState(PreviousVersion(), _PAIR, "append", "none")
+        read = lambda name: F.from_json(name, VERSION, _TIMES)
+        rows = pairs.select(read("version").alias("v"), read("before").alias("_old")).select("v.*", "_old")
+        with rocksdb_store(spark):
+            query = (
+                L.version_events(rows).writeStream.format("parquet").outputMode("append").option("path", f"{self.root}/activity")
+                .option("checkpointLocation", f"{self.root}/checkpoint").trigger(availableNow=True).start()
+            )
+        query.awaitTermination()
+        return query
 
     def events(self, spark: SparkSession) -> DataFrame:
         """The whole append-only log."""
-        return self.activity.deltas(spark).drop("batch")
+        return spark.read.schema(ACTIVITY).parquet(f"{self.root}/activity")

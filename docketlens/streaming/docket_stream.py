@@ -1,4 +1,4 @@
-"""Incremental docket upsert: search-hit files stream in, merged dockets accumulate as deltas."""
+"""Incremental docket upsert: search-hit files stream in, merged dockets accumulate by buckets of dockets."""
 
 from __future__ import annotations
 
@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from docketlens.operators import dockets as D
 from docketlens.sources.schemas import DOCKET, DOCKET_FILING
 from docketlens.sources.search_hits import hits_of, stream_pages
-from docketlens.streaming.state import DeltaState, run_available
+from docketlens.streaming.state import BucketedState, DeltaState, run_available
 
 RUN = "run int, observed_at string, degraded boolean, raw_results_seen bigint, accepted_results bigint"
 
@@ -20,8 +20,8 @@ class DocketStream:
 
     def __init__(self, root: str):
         self.root = root
-        self.records = DeltaState(f"{root}/records", DOCKET, ["docket_id"])
-        self.filings = DeltaState(f"{root}/filings", DOCKET_FILING, ["docket_id"])
+        self.records = BucketedState(f"{root}/records", DOCKET, ["docket_id"])
+        self.filings = BucketedState(f"{root}/filings", DOCKET_FILING, ["docket_id"])
         self.runs = DeltaState(f"{root}/runs", RUN, ["run"])
 
     def merge_batch(self, pages: DataFrame, batch_id: int, observed_at: str, degraded: bool = False) -> None:

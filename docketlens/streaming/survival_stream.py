@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from docketlens.operators import survival as S
-from docketlens.streaming.state import DeltaState, run_available
+from docketlens.streaming.state import BucketedState, run_available
 
 OBSERVATION = "cohort string, clock string, days int, event boolean, reason string"
 GROUPS = ["cohort", "clock"]
@@ -14,7 +14,7 @@ GROUPS = ["cohort", "clock"]
 class SurvivalStream:
     def __init__(self, root: str):
         self.root = root
-        self.state = DeltaState(
+        self.state = BucketedState(
             f"{root}/buckets", "cohort string, clock string, days int, events bigint, censored bigint", [*GROUPS, "days"]
         )
 
