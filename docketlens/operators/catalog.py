@@ -303,6 +303,24 @@ def stats(catalog: DataFrame) -> DataFrame:
     )
 
 
+def published_totals(catalog: DataFrame) -> DataFrame:
+    """Totals of what is served, out of a catalog of ``layer`` (curated, docket, agency), ``kind``, ``active`` and ``freshness``.
+
+    Curated and agency records are served while active and dockets always; stale ones are counted of agency records only.
+    """
+    layer, active = F.col("layer"), F.coalesce("active", F.lit(False))
+    docket = layer == "docket"
+    served = active & ~docket
+    return catalog.agg(
+        (F.count_if(layer == "curated") + F.count_if(docket) + F.count_if((layer == "agency") & active)).alias("record_count"),
+        (F.count_if(served) + F.count_if(docket)).alias("active_record_count"),
+        F.count_if(served & (F.col("kind") == "settlement_claims_open")).alias("open_claim_count"),
+        F.count_if(served & (F.col("kind") == "legal_counsel_intake")).alias("legal_intake_count"),
+        F.count_if(docket).alias("potential_case_count"),
+        F.count_if(served & (F.col("kind") == "government_redress")).alias("government_redress_count"),
+        F.count_if((layer == "agency") & (F.col("freshness") == "stale")).alias("stale_count"),
+    )
+
 def categories(catalog: DataFrame) -> DataFrame:
     return catalog.select("category").distinct().orderBy(F.collate(F.col("category"), "UNICODE"))
 

@@ -99,19 +99,26 @@ def current_records(refreshed: DataFrame) -> DataFrame:
     return refreshed.filter(F.col("transition") != "deactivated").drop("changes")
 
 
+def is_event(transition: Column) -> Column:
+    return transition.isin("discovered", "changed", "reactivated", "deactivated")
+
+
+def event_snapshot(content: list[str]) -> Column:
+    """A record as its event keeps it."""
+    return canonical_json({c: F.col(c) for c in ["record_id", "source_id", *content, *STATE, *STAMPS]})
+
+
 def lifecycle_events(refreshed: DataFrame, content: list[str], checked_at: str) -> DataFrame:
     """Append-only events of the run: discovered, changed, reactivated and deactivated."""
-    kinds = ["discovered", "changed", "reactivated", "deactivated"]
     now = F.lit(checked_at)
-    snapshot = {c: F.col(c) for c in ["record_id", "source_id", *content, *STATE, *STAMPS]}
-    return refreshed.filter(F.col("transition").isin(kinds)).select(
+    return refreshed.filter(is_event(F.col("transition"))).select(
         lifecycle_event_id(F.col("record_id"), F.col("transition"), now, F.col("changes")).alias("event_id"),
         "record_id",
         "source_id",
         F.col("transition").alias("type"),
         now.alias("occurred_at"),
         "changes",
-        canonical_json(snapshot).alias("snapshot"),
+        event_snapshot(content).alias("snapshot"),
     )
 
 

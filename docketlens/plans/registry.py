@@ -10,11 +10,12 @@ from docketlens.plans import (
     finder_matching,
     incremental,
     page_listings,
+    published,
     source_lifecycle,
     text_classifiers,
 )
 
-_MODULES = [docket_survival, docket_merging, source_lifecycle, page_listings, text_classifiers, finder_matching, catalog_browsing, claim_ledger, incremental]
+_MODULES = [docket_survival, docket_merging, source_lifecycle, page_listings, text_classifiers, finder_matching, catalog_browsing, claim_ledger, incremental, published]
 
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: sql for module in _MODULES for name, sql in module.ORACLES.items()}

@@ -25,6 +25,8 @@ DOCKET = (
 )
 DOCKET_FILING = f"docket_id bigint, {FILING}"
 
+CHANGES = "array<struct<field:string,before:string,after:string>>"
+
 FINDER_CASE = (
     "id string, company string, title string, kind string, window_status string, freshness string, "
     "deadline timestamp, proof string, aliases array<string>, issue_types array<string>, "

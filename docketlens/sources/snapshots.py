@@ -17,10 +17,6 @@ def write_snapshot(df: DataFrame, path: str, schema_version: int = SCHEMA_VERSIO
     df.withColumn("schema_version", F.lit(schema_version)).write.mode("overwrite").parquet(path)
 
 
-def append_history(events: DataFrame, path: str) -> None:
-    events.write.mode("append").parquet(path)
-
-
 def path_exists(spark: SparkSession, path: str) -> bool:
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
@@ -38,6 +34,18 @@ def delete_path(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """Write a small file whole or not at all: under another name first. A file that is there already is an error."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    target, draft = hadoop.Path(path), hadoop.Path(f"{path}.draft")
+    system = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    out = system.create(draft, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+    if system.exists(target) or not system.rename(draft, target):
+        raise FileExistsError(path)
+
+
 def read_snapshot(
     spark: SparkSession, path: str, schema: str, schema_version: int = SCHEMA_VERSION
 ) -> DataFrame:
