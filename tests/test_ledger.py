@@ -74,7 +74,9 @@ def test_activity_stream_equals_the_batch(spark, tmp_path):
     stream, files = ActivityStream(str(tmp_path / "state")), str(tmp_path / "versions")
     for low, high in ((0, 2), (2, 3), (3, 5)):
         log.filter((F.col("seq") >= low) & (F.col("seq") < high)).coalesce(1).write.mode("append").parquet(files)
-        stream.run(spark, files)
+        query = stream.run(spark, files)
+        # One row of state for the one claim, however many batches there were.
+        assert [o["numRowsTotal"] for p in query.recentProgress for o in p["stateOperators"]][-1] == 1
     streamed = sorted(tuple(r) for r in stream.events(spark).select("event_type", "occurred_at").collect())
     assert streamed == sorted((e["event_type"], e["occurred_at"]) for e in events(log))
 
