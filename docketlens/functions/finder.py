@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from docketlens.functions.text import WHITESPACE, WORD_END, WORD_START, bind, matches_any, words
+from docketlens.functions.text import WHITESPACE, WORD_END, WORD_START, bind, matches_any, strip, words
 from docketlens.functions.wording import first_match
 
 # Word lists, state names and patterns, in deciding order.
@@ -95,9 +95,9 @@ def identity_tokens(value: Column) -> Column:
 
 def normalize_location(value: Column) -> Column:
     """A state abbreviation becomes its name; other text is normalized."""
-    code = F.upper(F.trim(value))
+    code = F.upper(strip(value))
     names = F.create_map(*[F.lit(x) for pair in STATES.items() for x in pair])
-    return F.coalesce(F.try_element_at(names, code), normalize(F.trim(value)))
+    return F.coalesce(F.try_element_at(names, code), normalize(strip(value)))
 
 
 def location_of(message: Column) -> Column:

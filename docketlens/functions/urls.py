@@ -10,7 +10,12 @@ from docketlens.functions.text import bind, clean_text
 # Query parameters dropped besides those starting with utm_.
 TRACKING_PARAMETERS = ["fbclid", "gclid", "mc_cid", "mc_eid", "ref", "source"]
 
+# Ports left out of a URL, by scheme.
+DEFAULT_PORTS = {"http": 80, "https": 443, "ws": 80, "wss": 443, "ftp": 21}
+
 _PARTS = r"^([A-Za-z][A-Za-z0-9+.\-]*):/*([^/?#]*)([^?#]*)(\?[^#]*)?(#.*)?$"
+#: Scheme, authority with its slashes, path; for schemes in which slashes are not optional.
+_OTHER = r"^([A-Za-z][A-Za-z0-9+.\-]*):(//[^/?#]*)?([^?#]*)"
 _PATH_SAFE = r"[^\x21\x24-\x3b\x3d\x40-\x5f\x61-\x7a\x7c\x7e]"
 
 
@@ -107,40 +112,57 @@ def resolve_url(value: Column, base: Column | None = None) -> Column:
 
 
 def canonical_url(value: Column, base: Column | None = None) -> Column:
-    """Canonical http(s) URL: no fragment, tracking parameters, default port or trailing slash."""
+    """Canonical URL: no fragment, tracking parameters, default port or trailing slash. Schemes without a host keep their path as it is."""
+
+    def read(url: Column) -> Column:
+        parts = F.struct(
+            F.lower(_part(url, 1)).alias("scheme"), _part(url, 2).alias("authority"),
+            _part(url, 3).alias("path"), F.substring(_part(url, 4), 2, 1 << 30).alias("query"),
+            F.regexp_extract(url, _OTHER, 2).alias("slashes"), F.regexp_extract(url, _OTHER, 3).alias("rest"),
+        )
+        return bind(parts, lambda u: F.when(u["scheme"].isin(list(DEFAULT_PORTS)), _canonical(u)).otherwise(_canonical_other(u)))
+
+    return bind(resolve_url(value, base), read)
+
+
+def _query_text(query: Column) -> Column:
     return bind(
-        bind(
-            resolve_url(value, base),
-            lambda url: F.struct(
-                F.lower(_part(url, 1)).alias("scheme"), _part(url, 2).alias("authority"),
-                _part(url, 3).alias("path"), F.substring(_part(url, 4), 2, 1 << 30).alias("query"),
-            ),
-        ),
-        _canonical,
+        F.when(query == "", "").otherwise(_canonical_query(query)), lambda q: F.when(q == "", "").otherwise(F.concat(F.lit("?"), q))
     )
 
 
+def _without_port(authority: Column, scheme: Column) -> Column:
+    ports = F.coalesce(*[F.when(scheme == name, f":({port})?$") for name, port in DEFAULT_PORTS.items()])
+    return F.lower(F.regexp_replace(F.regexp_replace(authority, "^.*@", ""), ports, ""))
+
+
 def _canonical(u: Column) -> Column:
+    """A URL with a host of a scheme that has a default port."""
     scheme = u["scheme"]
     user = F.regexp_extract(u["authority"], "^(.*@)", 1)
-    port = F.when(scheme == "http", ":(80)?$").otherwise(":(443)?$")
-    host = F.lower(F.regexp_replace(F.regexp_replace(u["authority"], "^.*@", ""), port, ""))
     path = bind(F.when(u["path"] == "", "/").otherwise(u["path"]), _encode_path)
     path = bind(bind(path, _drop_dots), lambda p: F.when(p == "/", p).otherwise(F.regexp_replace(p, "/+$", "")))
     path = bind(path, lambda p: F.when(p == "", "/").otherwise(p))
-    query = bind(
-        F.when(u["query"] == "", "").otherwise(_canonical_query(u["query"])),
-        lambda q: F.when(q == "", "").otherwise(F.concat(F.lit("?"), q)),
-    )
     return bind(
-        host,
+        _without_port(u["authority"], scheme),
         lambda h: F.when(
-            scheme.isin("http", "https") & (h != "") & ~h.rlike(r"[\s<>\\^|%]"),
-            F.concat(scheme, F.lit("://"), user, h, path, query),
+            (h != "") & ~h.rlike(r"[\s<>\\^|%]"), F.concat(scheme, F.lit("://"), user, h, path, _query_text(u["query"]))
         ),
     )
 
 
+def _canonical_other(u: Column) -> Column:
+    """A URL of any other scheme: with an authority or a path that begins with a slash it has segments, else its path is opaque."""
+    host = F.lower(F.regexp_extract(u["slashes"], r"^//(.*)$", 1))
+    segments = (u["slashes"] != "") | u["rest"].startswith("/")
+    path = bind(bind(u["rest"], _encode_path), lambda p: F.when(p.startswith("/"), _drop_dots(p)).otherwise(p))
+    trimmed = bind(path, lambda p: F.when(p == "/", p).otherwise(F.regexp_replace(p, "/+$", "")))
+    start = F.when(u["slashes"] == "", F.lit("")).otherwise(F.concat(F.lit("//"), host))
+    return F.when(
+        u["scheme"] != "", F.concat(u["scheme"], F.lit(":"), start, F.when(segments, trimmed).otherwise(u["rest"]), _query_text(u["query"]))
+    )
+
+
 def url_host(url: Column) -> Column:
     return F.regexp_extract(url, _PARTS, 2)
 

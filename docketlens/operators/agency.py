@@ -37,6 +37,8 @@ class ListingSource:
     program_date: Callable[[], Column] = lambda: F.lit(None).cast("string")
     preference: Callable[[], Column] = lambda: F.lit(0)
     accept: Callable[[], Column] = lambda: F.lit(True)
+    #: What a record reproduces from its page besides title and URL: a name and whether the entry has it.
+    confidence: Callable[[], dict[str, Column]] = dict
     minimum_records: int = 1
     minimum_share: float = 0.8
     required: bool = True
@@ -85,6 +87,7 @@ def refund_source(minimum_records: int = 3) -> ListingSource:
         contact=lambda: null_if_blank(cell(2)),
         program_date=lambda: month_date(cell(1)),
         accept=lambda: F.size("cells") >= 2,
+        confidence=lambda: {"activeProgramListMembership": F.lit(True), "programDate": cell(1) != "", "contact": cell(2) != ""},
         minimum_records=minimum_records,
     )
 
@@ -106,6 +109,7 @@ def payments_source(minimum_records: int = 3) -> ListingSource:
         compensation=kind,
         preference=lambda: F.when(ongoing(), 0).otherwise(1),
         accept=lambda: F.size("cells") >= 2,
+        confidence=lambda: {"ongoingCaseListMembership": F.lit(True), "compensationType": kind().isNotNull(), "sourcePageModifiedDate": F.col("modified").isNotNull()},
         minimum_records=minimum_records,
     )
 
@@ -126,6 +130,7 @@ def distributions_source(minimum_records: int = 10) -> ListingSource:
         summary=lambda: F.lit("The SEC lists this matter on its distributions-to-harmed-investors page."),
         compensation=lambda: F.lit("SEC harmed-investor distribution"),
         accept=lambda: ~title().rlike("(?i)archive|search cases"),
+        confidence=lambda: {"distributionListMembership": F.lit(True), "sourcePageModifiedDate": F.col("modified").isNotNull()},
         minimum_records=minimum_records, minimum_share=0.0,
     )
 
@@ -161,6 +166,13 @@ def agency_records(
     else:
         parsed = parsed.join(modified, "page_id", "left")
     compensation = source.compensation()
+    scope = {"title": F.lit(True), "programUrl": F.lit(True), **source.confidence()}
+    date = lambda kind, value, precision, raw: F.when(
+        value.isNotNull(), F.struct(F.lit(kind).alias("kind"), value.alias("value"), F.lit(precision).alias("precision"), raw.alias("raw"))
+    )
+    modified_day = F.date_format("modified", "yyyy-MM-dd")
+    parsed = parsed.withColumn("page_modified", modified_day) if "modified_raw" in parsed.columns else parsed.withColumns({"page_modified": modified_day, "modified_raw": F.lit(None).cast("string")})
+    action = F.concat(F.lit("View "), F.lit(source.agency_code), F.lit(" program"))
     records = parsed.select(
         "page_id", "table_at", "at",
         F.concat_ws(
@@ -186,7 +198,20 @@ def agency_records(
         compensation.alias("compensation_type"),
         source.contact().alias("contact"),
         source.program_date().alias("program_date"),
-        F.date_format("modified", "yyyy-MM-dd").alias("page_modified"),
+        "page_modified",
+        F.array_compact(F.array(
+            date("program_date", source.program_date(), "month", cell(1)),
+            date("source_page_modified", F.col("page_modified"), "day", F.col("modified_raw")),
+        )).alias("dates"),
+        F.struct(action.alias("label"), F.col("program_url").alias("url"), F.lit("agency_program_page").alias("url_role")).alias("action"),
+        F.struct(
+            F.lit("agency_source_only").alias("state"), F.lit("agency_program_page").alias("authority"), F.lit("HIGH").alias("confidence"),
+            F.array_compact(F.array(*[F.when(holds, F.lit(name)) for name, holds in scope.items()])).alias("confidence_scope"),
+        ).alias("verification"),
+        F.array(F.struct(
+            F.lit(source.source_id).alias("source_id"), F.lit(source.agency).alias("source_name"), F.lit(source.url).alias("source_url"),
+            F.col("program_url").alias("record_url"), F.lit("agency_program_page").alias("source_type"), F.lit(checked_at).alias("observed_at"),
+        )).alias("provenance"),
         dollar_amounts(F.col("wording")).alias("amounts"),
         F.lit(checked_at).alias("first_seen_at"),
         F.lit(checked_at).alias("last_seen_at"),

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docketlens.functions.text import strip
+
 # Allowed codes and lengths.
 STATUSES = [
     "tracking", "started", "submitted", "confirmation_recorded", "under_review", "approved", "denied",
@@ -41,7 +43,7 @@ def between(column: str, low: int, high: int) -> Column:
 
 def profile_rules() -> dict[str, Column]:
     rules = {f"{name}_length": at_most(name, length) for name, length in PROFILE_LENGTHS.items()}
-    return rules | {"country_code_format": F.col("country_code").rlike(COUNTRY), "user_id_uuid": F.trim("user_id").rlike(UUID)}
+    return rules | {"country_code_format": F.col("country_code").rlike(COUNTRY), "user_id_uuid": strip(F.col("user_id")).rlike(UUID)}
 
 
 def saved_case_rules() -> dict[str, Column]:
@@ -77,12 +79,26 @@ def claim_event_rules() -> dict[str, Column]:
         "provenance_check": F.col("provenance").isin(PROVENANCES),
         "confirmation_length": at_most("confirmation_number", 250),
         "amount_nonnegative": amount >= 0,
+        "note_length": at_most("note", 5000),
+        "metadata_object": F.when(F.col("metadata").isNotNull(), F.json_object_keys("metadata").isNotNull()),
         "amount_kind_check": F.when(amount.isNull(), kind.isNull()).otherwise(F.coalesce(kind.isin(AMOUNT_KINDS), F.lit(False))),
     }
 
 
-def required_text(column: str, length: int) -> Column:
-    return (F.trim(column) != "") & (F.length(F.trim(column)) <= length)
+def text_refusal(text: Column, name: str, maximum: int) -> Column:
+    """Why a stripped text is refused, null if it is not."""
+    return F.when(text == "", f"{name} is required").when(F.length(text) > maximum, f"{name} must be {maximum} characters or fewer")
+
+
+def checked_write(rows: DataFrame, required: dict[str, int], uuids: tuple[str, ...] = ()) -> DataFrame:
+    """``rows`` as they may be written, texts stripped, with the first ``refusal`` in the order of ``uuids`` and ``required``; null if none.
+
+    ``required`` gives the longest text of each column that must not be blank; ``uuids`` must be UUIDs of version 1 to 8.
+    """
+    stripped = rows.withColumns({c: strip(F.coalesce(F.col(c), F.lit(""))) for c in [*uuids, *required]})
+    refusals = [F.when(~F.col(c).rlike(UUID), f"{c} must be a UUID") for c in uuids]
+    refusals += [text_refusal(F.col(c), c, maximum) for c, maximum in required.items()]
+    return stripped.withColumn("refusal", F.coalesce(*refusals))
 
 
 def violated(rule: Column) -> Column:

@@ -322,7 +322,7 @@ def action_gate(openings: DataFrame, catalog: DataFrame, claims: DataFrame) -> D
 
 def seed_profiles(users: DataFrame, synthetic_suffix: str) -> DataFrame:
     """Profiles of new users (user_id, email, metadata JSON): first non-blank name, synthetic e-mail blanked."""
-    name = lambda path: null_if_blank(F.trim(F.get_json_object("metadata", path)))
+    name = lambda path: null_if_blank(strip(F.get_json_object("metadata", path)))
     email = F.coalesce("email", F.lit(""))
     return users.select(
         "user_id",

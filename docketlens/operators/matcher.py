@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docketlens.functions import finder as N
+from docketlens.functions.text import strip
 from docketlens.operators.keyed import only_keys, running_position, top_k, without_keys
 from docketlens.session import written_once
 
@@ -133,7 +134,7 @@ def _years(texts: DataFrame) -> DataFrame:
 def _profiles(sessions: DataFrame, texts: DataFrame, tokens: DataFrame) -> DataFrame:
     """Sessions with any specific wish, their years, and a ``profile`` text naming all but the keywords."""
     worded = tokens.groupBy("session_id").agg(F.lit(True).alias("_worded"))
-    wishes = (F.size("experiences") > 0) | (F.trim("location") != "") | (F.col("proof") != "Any")
+    wishes = (F.size("experiences") > 0) | (strip(F.col("location")) != "") | (F.col("proof") != "Any")
     specific = sessions.join(worded, "session_id", "left").filter(wishes | F.col("_worded").isNotNull())
     joined = specific.join(_years(texts), "session_id", "left").select(
         "session_id", "goal", "goal_explicit", "experiences",

@@ -221,6 +221,25 @@ def profile_seed(spark, folder):
     return L.seed_profiles(profile_users(spark, folder), "@accounts.example.invalid")
 
 
+#: Event metadata as it may arrive; only objects are admitted.
+METADATA = ["{}", '{"a": [1]}', "[1]", '"x"', None, "7"]
+#: White space around the texts of a write, and what a user id may look like.
+AROUND = ["", " ", "\t", "\u00a0"]
+USER_IDS = ["0000000a-0000-4000-8000-00000000", "0000000A-0000-9000-8000-00000000", "user "]
+
+
+def write_checks(spark, folder):
+    """Claims as they arrive to be saved: texts with white space around them, blank and too long ones, ids that are none."""
+    event, user = F.col("event_id"), F.col("user_id")
+    around = pick(event % len(AROUND), AROUND)
+    rows = table(spark, folder, "events").select(
+        "event_id", F.concat(around, pick(event % len(USER_IDS), USER_IDS), F.lpad((user % 10000).cast("string"), 4, "0"), around).alias("owner_id"),
+        F.concat(around, F.repeat(F.lit("c"), (event * 7 % 300).cast("int")), around).alias("case_id"),
+        F.concat(around, F.when(event % 11 == 0, "").otherwise(F.col("event_type")), around).alias("title"),
+    )
+    return E.checked_write(rows, {"case_id": 256, "title": 500}, ("owner_id",))
+
+
 def quality_violations(spark, folder):
     """Violations of the ledger's rules over claims, events, profiles and saved cases."""
     key = F.col("c_custkey")
@@ -239,7 +258,10 @@ def quality_violations(spark, folder):
     )
     activity = L.claim_activity(all_versions, _order(), _block()).withColumn(
         "amount_kind", F.when(F.col("user_id").cast("bigint") % 3 == 0, F.lit(None)).otherwise(F.col("amount_kind"))
-    )
+    ).withColumns({
+        "note": F.repeat(F.lit("n"), (F.col("user_id").cast("bigint") * 97 % 6000).cast("int")),
+        "metadata": pick(F.col("user_id").cast("bigint") % len(METADATA), METADATA),
+    })
     saved = openings(spark, folder).select("user_id", "case_id", F.col("case_id").alias("case_title_snapshot"), F.lit(None).cast("string").alias("source_url_snapshot"))
     orphans = L.orphan_events(_events(spark, folder), claims).agg(F.count(F.lit(1)).alias("violations")).select(
         F.lit("claim_events").alias("table_name"), F.lit("claim_owner_fk").alias("rule"), "violations"
@@ -272,6 +294,7 @@ QUERIES = {
     "note_events": note_events,
     "profile_seed": profile_seed,
     "quality_violations": quality_violations,
+    "write_checks": write_checks,
 }
 
 # ---- the same in SQL ----
@@ -364,6 +387,7 @@ _RULES = " UNION ALL ".join(
         _rule(n, "claim_events", c, "odd_activity") for n, c in {
             "type_check": "true", "status_check": "personal_status IN ('" + "','".join(E.STATUSES) + "')", "provenance_check": "provenance IN ('" + "','".join(E.PROVENANCES) + "')",
             "confirmation_length": "length(confirmation_number) <= 250", "amount_nonnegative": "amount_cents >= 0",
+            "note_length": "CAST(user_id AS BIGINT) * 97 % 6000 <= 5000", "metadata_object": f"CAST(user_id AS BIGINT) % {len(METADATA)} NOT IN (2, 3, 5)",
             "amount_kind_check": "CASE WHEN amount_cents IS NULL THEN odd_kind IS NULL ELSE coalesce(odd_kind IN ('approved', 'received'), false) END",
         }.items()
     ]
@@ -375,6 +399,13 @@ _RULES = " UNION ALL ".join(
 )
 
 ORACLES = {
+    "write_checks": f"""
+SELECT event_id, owner_id, case_id, title, CASE
+    WHEN NOT regexp_full_match(lower(owner_id), '[0-9a-f]{{8}}-[0-9a-f]{{4}}-[1-8][0-9a-f]{{3}}-[89ab][0-9a-f]{{3}}-[0-9a-f]{{12}}') THEN 'owner_id must be a UUID'
+    WHEN case_id = '' THEN 'case_id is required' WHEN length(case_id) > 256 THEN 'case_id must be 256 characters or fewer' WHEN title = '' THEN 'title is required' END AS refusal
+FROM (
+  SELECT event_id, trim({sql_pick(f'event_id % {len(USER_IDS)}', USER_IDS)} || lpad(CAST(user_id % 10000 AS VARCHAR), 4, '0')) AS owner_id,
+    repeat('c', event_id * 7 % 300) AS case_id, CASE WHEN event_id % 11 = 0 THEN '' ELSE event_type END AS title FROM events)""",
     "rejected_operations": _OPS[: _OPS.index("sets AS (")].rstrip().rstrip(",")
     + """
 SELECT claim_id, seq, op AS operation, CASE WHEN bad_amount THEN 'invalid_amount' ELSE 'confirmation_required' END AS refusal

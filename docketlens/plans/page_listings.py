@@ -11,7 +11,7 @@ from docketlens.operators import identity as I
 from docketlens.operators.lifecycle import check_sources
 from docketlens.plans.tables import pick, sql_pick, table
 from docketlens.session import written_once
-from docketlens.sources.pages import anchors_of, extract_elements, page_modified_dates
+from docketlens.sources.pages import extract_elements, page_modified_dates, register_page_elements
 
 CHECKED_AT = "2024-01-31T00:00:00.000Z"
 
@@ -33,15 +33,34 @@ def url_canonical(spark, folder):
     return pages.select("page_id", "raw_url", canonical_url(F.col("raw_url")).alias("canonical_url"))
 
 
+def links_of(pages):
+    """(page_id, url, pos, href, text) of every link of pages (page_id, url, html), as an HTML parser finds them."""
+    found = extract_elements(pages, ("url",)).filter(F.col("kind") == "anchor")
+    return found.select("page_id", "url", F.col("at").alias("pos"), F.col("hrefs")[0].alias("href"), clean_text(F.col("link_texts")[0]).alias("text"))
+
+
 def links(spark, folder):
-    pages = table(spark, folder, "pages")
-    return pages.select("page_id", "url", F.posexplode(anchors_of(F.col("html"))).alias("pos", "a")).select(
-        "page_id", "url", "pos", "a.href", "a.text"
-    )
+    # Written, as the queries read them more than once and parsing is the costly step.
+    return written_once(links_of(table(spark, folder, "pages")), "page-links")
+
+
+#: Markup beside that of the given pages, with the links it holds.
+ODD_PAGES = [
+    ("<p><a href=/1>x <a href='/2'>y</a></p>", [("/1", "x"), ("/2", "y")]),
+    ("<p><a href='/open'>never closed", [("/open", "never closed")]),
+    ("<a title=\"a>b\" href=\"/quoted\">q</a><!-- <a href='/no'>no</a> --><a name=here>none</a>", [("/quoted", "q")]),
+    ("<a href='/a&#47;b?x=1&amp;y=2'>It&#8217;s &eacute;t&eacute;&mdash;now&nbsp;!</a>", [("/a/b?x=1&y=2", "It\u2019s \u00e9t\u00e9\u2014now !")]),
+    ("<a href=/s>before<script>var a = '<a href=/t>t</a>';</script><style>a{}</style> after</a><area href=/area>", [("/s", "before after")]),
+    ("<div>" * 5000 + "<a class=deep href=/deep>deep</a>", [("/deep", "deep")]),
+]
+ODD_URL = "https://odd.example.org/dir/page"
+ODD_ID = 10**15
 
 
 def page_links(spark, folder):
-    return links(spark, folder).select(
+    odd = spark.createDataFrame([(ODD_ID + i, ODD_URL, html) for i, (html, _) in enumerate(ODD_PAGES)], "page_id bigint, url string, html string")
+    pages = table(spark, folder, "pages").select("page_id", "url", "html").unionByName(odd)
+    return links_of(pages).select(
         "page_id", "pos", "href", "text", canonical_url(F.col("href"), F.col("url")).alias("link_url")
     )
 
@@ -100,14 +119,16 @@ def listing_source() -> A.ListingSource:
 
 def listing_pages(spark, folder):
     """Each page's own links rendered as a refund-program table with a dated footer."""
-    pages = table(spark, folder, "pages")
     page = F.col("page_id")
+    # The links of one page, each an element of its markup.
+    anchors = links(spark, folder).groupBy("page_id").agg(F.sort_array(F.collect_list(F.struct("pos", "href", "text"))).alias("anchors"))
+    pages = table(spark, folder, "pages").select("page_id").join(anchors, "page_id", "left")
     rows = F.transform(
-        anchors_of(F.col("html")),
-        lambda a, pos: F.concat(
+        F.coalesce("anchors", F.array().cast("array<struct<pos:int,href:string,text:string>>")),
+        lambda a: F.concat(
             F.lit('<tr><td><a href="'), a["href"], F.lit('">'), a["text"], F.lit("</a></td><td>"),
-            pick((page + pos) % len(MONTHS), MONTHS), F.lit("</td><td>"),
-            pick((page * 5 + pos) % len(WORDINGS), WORDINGS), F.lit("</td>"),
+            pick((page + a["pos"]) % len(MONTHS), MONTHS), F.lit("</td><td>"),
+            pick((page * 5 + a["pos"]) % len(WORDINGS), WORDINGS), F.lit("</td>"),
         ),
     )
     footer = F.when(
@@ -214,6 +235,9 @@ WITH found AS (
 links AS (
   SELECT page_id, url, CAST(pos AS INTEGER) AS pos, regexp_extract(a, '(?is)href\\s*=\\s*"([^"]*)"', 1) AS href,
     {sql_clean("regexp_replace(regexp_extract(a, '(?is)^<a[^>]*>(.*)</a>$', 1), '<[^>]*>', '', 'g')")} AS text FROM found)"""
+_ODD_LINKS = ", ".join(
+    f"({ODD_ID + i}, {pos}, '{href}', '{text}', 'https://odd.example.org{href}')" for i, (_, found) in enumerate(ODD_PAGES) for pos, (href, text) in enumerate(found)
+)
 _ORIGIN = "regexp_extract(url, '^([A-Za-z]+://[^/?#]*)', 1)"
 _IDENTITIES = _LINKS + f""",
 ids AS (
@@ -264,7 +288,8 @@ SELECT page_id, raw_url, {sql_canonical('raw_url')} AS canonical_url FROM (
     WHEN 3 THEN '  ' || regexp_replace(url, '[?#].*', '') || '//?gclid=1&q=a+b&q=A%zz&Source=1'
     ELSE regexp_replace(url, '^(https?)://([^/]*)', '\\1://\\2:443') END AS raw_url FROM pages)""",
     "page_links": _LINKS + f"""
-SELECT page_id, pos, href, text, {sql_canonical(f"{_ORIGIN} || href")} AS link_url FROM links""",
+SELECT page_id, pos, href, text, {sql_canonical(f"{_ORIGIN} || href")} AS link_url FROM links
+UNION ALL SELECT * FROM (VALUES {_ODD_LINKS})""",
     "page_dedupe": _IDENTITIES + f"""
 SELECT identity_key, arg_min(page_id, (page_id, pos)) AS page_id, arg_min(pos, (page_id, pos)) AS pos, arg_min(href, (page_id, pos)) AS href,
   {_sql_longest('summary')}, {_sql_longest('eligibility')}, {_sql_longest('benefit')}, count(*) AS merged_count FROM shown GROUP BY identity_key""",
