@@ -221,6 +221,17 @@ def agency_records(
     return keep_first(records, ["page_id", "record_id"], [F.col("table_at"), F.col("at")]).drop("table_at", "at")
 
 
+def page_counts(entries: DataFrame, records: DataFrame, pages: DataFrame, source: ListingSource) -> DataFrame:
+    """Raw and parsed rows of each of the source's ``pages``, for ``check_sources``; a page without entries counts zero."""
+    sides = pages.select("page_id", F.lit(0).alias("raw"), F.lit(0).alias("parsed")).unionByName(
+        entries.select("page_id", F.lit(1).alias("raw"), F.lit(0).alias("parsed"))
+    ).unionByName(records.select("page_id", F.lit(0).alias("raw"), F.lit(1).alias("parsed")))
+    return sides.groupBy("page_id").agg(F.sum("raw").alias("raw_rows"), F.sum("parsed").alias("parsed_rows")).select(
+        "page_id", F.lit(source.source_id).alias("source_id"), F.lit(source.required).alias("required"),
+        F.lit(source.minimum_records).alias("minimum_records"), "raw_rows", "parsed_rows",
+    )
+
+
 def listing_counts(entries: DataFrame, records: DataFrame, source: ListingSource) -> DataFrame:
     """Raw and parsed rows of a source, for ``check_sources``; a source without entries counts zero."""
     sides = entries.select(F.lit(1).alias("raw"), F.lit(0).alias("parsed")).unionByName(

@@ -8,6 +8,7 @@ from docketlens.functions.text import clean_text, slugify
 from docketlens.functions.urls import canonical_url, url_host
 from docketlens.operators import agency as A
 from docketlens.operators import identity as I
+from docketlens.operators.catalog import unify
 from docketlens.operators.lifecycle import check_sources
 from docketlens.plans.tables import pick, sql_pick, table
 from docketlens.session import written_once
@@ -167,6 +168,64 @@ def listing_checks(spark, folder):
     return check_sources(counts).select("source_id", "raw_rows", "parsed_rows", "status", "error")
 
 
+_SEC_FOLDER = "/enforcement-litigation/distributions-harmed-investors"
+
+
+def agency_pages(spark, folder):
+    """(page_id, source_id, html): each page's own links in the markup of one of the three agencies."""
+    page = F.col("page_id")
+    anchors = links(spark, folder).groupBy("page_id").agg(F.sort_array(F.collect_list(F.struct("pos", "href", "text"))).alias("anchors"))
+    link = lambda a, folder="": F.concat(F.lit(f'<a href="{folder}'), a["href"], F.lit('">'), a["text"], F.lit("</a>"))
+    worded = lambda a: pick((page * 5 + a["pos"]) % len(WORDINGS), WORDINGS)
+    month = lambda a: pick((page + a["pos"]) % len(MONTHS), MONTHS)
+    listed = lambda each: F.array_join(F.transform("anchors", each), "")
+    table_rows = lambda cells: listed(lambda a: F.concat(F.lit("<tr>"), *[F.concat(F.lit("<td>"), c, F.lit("</td>")) for c in cells(a)], F.lit("</tr>")))
+    refunds = F.concat(F.lit("<table><thead><tr><th>Refund program<th>Date<th>Contact</thead><tbody>"), table_rows(lambda a: [link(a), month(a), worded(a)]), F.lit("</tbody></table>"))
+    payments = F.concat(
+        F.lit('<div class="block"><h2 id="ongoing-cases">Ongoing</h2><table><tbody>'), table_rows(lambda a: [link(a), worded(a)]), F.lit("</tbody></table></div>")
+    )
+    items = listed(lambda a: F.concat(F.lit("<li>"), link(a, _SEC_FOLDER), F.lit(" "), worded(a), F.lit("</li>")))
+    distributions = F.concat(F.lit(f'<a href="{_SEC_FOLDER}/archive-completed-distributions">Archive</a><ul>'), items, F.lit('</ul><a href="/about">About</a>'))
+    footer = F.when(
+        page % 2 == 0, F.concat(F.lit('<p>Last updated <time datetime="2024-01-'), F.lpad((page % 28 + 1).cast("string"), 2, "0"), F.lit('">January</time></p>'))
+    ).otherwise("")
+    ids = [s.source_id for s in agency_adapters()]
+    html = F.when(page % 3 == 0, refunds).when(page % 3 == 1, payments).otherwise(distributions)
+    return anchors.select("page_id", pick(page % 3, ids).alias("source_id"), F.concat(html, footer).alias("html"))
+
+
+def agency_adapters():
+    return [A.refund_source(), A.payments_source(), A.distributions_source(5)]
+
+
+def _agency(spark, folder):
+    """For each adapter its pages, entries and records; elements come from the table function, in SQL."""
+    register_page_elements(spark)
+    pages = written_once(agency_pages(spark, folder), "agency-pages")
+    lateral = spark.sql("SELECT p.page_id, p.source_id, e.* FROM {pages} p, LATERAL page_elements(p.html) e", pages=pages)
+    elements = written_once(lateral, "agency-elements")
+    for source in agency_adapters():
+        own = elements.filter(F.col("source_id") == source.source_id).drop("source_id")
+        entries = A.listing_entries(own, source)
+        yield source, pages.filter(F.col("source_id") == source.source_id), entries, A.agency_records(entries, source, CHECKED_AT, page_modified_dates(own))
+
+
+def agency_page_checks(spark, folder):
+    """Each page's row counts against its adapter's minimum and parse share."""
+    counts = [A.page_counts(entries, records, pages, source) for source, pages, entries, records in _agency(spark, folder)]
+    return check_sources(unify(*counts)).select("page_id", "source_id", "raw_rows", "parsed_rows", "status", "error")
+
+
+def agency_source_records(spark, folder):
+    """Records of the three adapters with their dates, what they reproduce of the page, and where they come from."""
+    dates = F.array_join(F.transform("dates", lambda d: F.concat_ws(":", d["kind"], d["value"], d["precision"], d["raw"])), ";")
+    return unify(*[records for *_, records in _agency(spark, folder)]).select(
+        "page_id", "source_id", "record_id", "title", "program_url", "program_status", dates.alias("dates"),
+        F.array_join("verification.confidence_scope", ",").alias("confidence_scope"), "verification.state", "action.label", F.col("action.url_role").alias("url_role"),
+        F.col("provenance")[0]["record_url"].alias("record_url"), F.col("provenance")[0]["observed_at"].alias("observed_at"),
+    )
+
+
 def page_slugs(spark, folder):
     return links(spark, folder).select("page_id", "pos", slugify(F.col("text")).alias("slug"), clean_text(F.col("text")).alias("text"))
 
@@ -179,6 +238,8 @@ QUERIES = {
     "agency_records": agency_listing,
     "listing_checks": listing_checks,
     "page_slugs": page_slugs,
+    "agency_page_checks": agency_page_checks,
+    "agency_source_records": agency_source_records,
 }
 
 # ---- the same in SQL ----
@@ -280,7 +341,33 @@ recs AS (
       lambda a: a || '=' || CAST(CAST(replace(replace(a, '$', ''), ',', '') AS DECIMAL(18, 2)) AS VARCHAR)), ';') AS amounts FROM moded
   QUALIFY row_number() OVER (PARTITION BY page_id, record_id ORDER BY pos) = 1)"""
 
+_SEC_SOURCE = "sec_distributions_harmed_investors"
+_AGENCY = _LINKS + f""",
+placed AS (
+  SELECT *, page_id % 3 AS s, {sql_pick(f'(page_id + pos) % {len(MONTHS)}', MONTHS)} AS month_, {sql_pick("page_id % 3", ["ftc_refunds", "cfpb_payments_by_case", _SEC_SOURCE])} AS source_id,
+    {sql_pick("page_id % 3", ["FTC", "CFPB", "SEC"])} AS code, CASE WHEN page_id % 2 = 0 THEN '2024-01-' || lpad(CAST(page_id % 28 + 1 AS VARCHAR), 2, '0') END AS modified,
+    {sql_canonical("CASE page_id % 3 WHEN 0 THEN 'https://www.ftc.gov' || href WHEN 1 THEN 'https://www.consumerfinance.gov' || href ELSE 'https://www.sec.gov" + _SEC_FOLDER + "' || href END")} AS program_url FROM links),
+agency_found AS (
+  SELECT *, 'gov-' || lower(code) || '-' || substr({sql_slug('text')}, 1, 72) || '-' || substr(sha256(source_id || '|' || program_url || '|' || text), 1, 8) AS record_id,
+    CASE month_ WHEN 'July 2026' THEN '2026-07' WHEN 'june 2025' THEN '2025-06' WHEN 'March  2024' THEN '2024-03' END AS program_date
+  FROM placed WHERE text <> '' AND NOT (s = 2 AND regexp_matches(lower(text), 'archive|search cases'))
+  QUALIFY row_number() OVER (PARTITION BY page_id, record_id ORDER BY pos) = 1)"""
+
 ORACLES = {
+    "agency_page_checks": _AGENCY + """,
+counted AS (
+  SELECT page_id, any_value(source_id) AS source_id, any_value(s) AS s, count(*) AS raw_rows, (SELECT count(*) FROM agency_found f WHERE f.page_id = p.page_id) AS parsed_rows FROM placed p GROUP BY page_id),
+judged AS (
+  SELECT *, CASE WHEN least(raw_rows, parsed_rows) < (CASE s WHEN 2 THEN 5 ELSE 3 END) THEN 'too few rows' WHEN parsed_rows < 0.8 * raw_rows THEN 'extraction was incomplete' END AS error FROM counted)
+SELECT page_id, source_id, raw_rows, parsed_rows, CASE WHEN error IS NULL THEN 'ok' ELSE 'failed' END AS status, error FROM judged""",
+    "agency_source_records": _AGENCY + f"""
+SELECT page_id, source_id, record_id, text AS title, program_url, CASE s WHEN 0 THEN 'active_refund_program' WHEN 1 THEN 'ongoing_payment_case' ELSE 'listed_distribution_matter' END AS program_status,
+  concat_ws(';', CASE WHEN s = 0 AND program_date IS NOT NULL THEN 'program_date:' || program_date || ':month:' || {sql_clean('month_')} END,
+    CASE WHEN modified IS NOT NULL THEN 'source_page_modified:' || modified || ':day:January' END) AS dates,
+  'title,programUrl,' || CASE s WHEN 0 THEN 'activeProgramListMembership' || CASE WHEN month_ <> '' THEN ',programDate' ELSE '' END || ',contact'
+    WHEN 1 THEN 'ongoingCaseListMembership,compensationType' || CASE WHEN modified IS NOT NULL THEN ',sourcePageModifiedDate' ELSE '' END
+    ELSE 'distributionListMembership' || CASE WHEN modified IS NOT NULL THEN ',sourcePageModifiedDate' ELSE '' END END AS confidence_scope,
+  'agency_source_only' AS state, 'View ' || code || ' program' AS label, 'agency_program_page' AS url_role, program_url AS record_url, '{CHECKED_AT}' AS observed_at FROM agency_found""",
     "url_canonical": f"""
 SELECT page_id, raw_url, {sql_canonical('raw_url')} AS canonical_url FROM (
   SELECT page_id, CASE page_id % 5 WHEN 0 THEN url WHEN 1 THEN url || '&utm_medium=x&b'
