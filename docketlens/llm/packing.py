@@ -29,44 +29,76 @@ OPEN_WINDOWS = 16
 END_ID = 2
 #: Tasks whose open windows are merged together; bounds the rows of a merge.
 MERGE_TASKS = 8
-#: Entries of a task's table of known words; a full table starts anew.
-CACHE_WORDS = 700_000
+#: Entries of a worker's table of known words. It outlives a task; of a full table the words not met for longest go.
+KNOWN_WORDS = 600_000
+#: Stands between words that are encoded together. Its id cuts the result; words that hold it are encoded alone.
+SEPARATOR = "\x1f"
+#: Words of one such text, and of one call; long texts are slower for each word, and so are single words.
+_TOGETHER, _CALL = 512, 20_480
 _MERGED = 1 << 62
 
 
-@functools.cache
-def _loaded(path: str):
-    """The tokenizer, read once by each worker process. The known words are a task's own, so that idle workers hold none."""
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
-
-    return Tokenizer.from_file(path)
-
-
 class CachedTokenizer:
     """Ids of whole texts. No token of the tokenizer spans ASCII white space, so texts are encoded by the strings
-    between it, and strings that were met before are looked up."""
+    between it, and strings that were met before are looked up.
+
+    Words met lately are in ``known``, those before them in ``older``: when ``known`` holds half of what the table may, it becomes
+    ``older``, and what is met again moves back. New words go to the tokenizer many at a time, as one text with separators.
+    """
+
+    def __init__(self, path: str, most: int = KNOWN_WORDS):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
 
-    def __init__(self, path: str):
-        self.tokenizer = _loaded(path)
+        self.tokenizer, self.most = Tokenizer.from_file(path), most
         self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
+        cut = self.tokenizer.encode(SEPARATOR, add_special_tokens=False).ids
+        self.cut = cut[0] if len(cut) == 1 else None
+
+    def _alone(self, words: list[bytes]) -> list[bytes]:
+        encoded = self.tokenizer.encode_batch([w.decode() for w in words], add_special_tokens=False)
+        return [np.array(e.ids, dtype="<u4").tobytes() for e in encoded]
+
+    def _together(self, words: list[bytes]) -> list[bytes]:
+        glue = f" {SEPARATOR} ".encode()
+        texts = [glue.join(words[at : at + _TOGETHER]).decode() for at in range(0, len(words), _TOGETHER)]
+        out = []
+        for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False):
+            ids = np.array(e.ids, dtype="<u4")
+            cuts = 4 * np.flatnonzero(ids == self.cut)
+            raw, starts, ends = ids.tobytes(), [0, *(cuts + 4).tolist()], [*cuts.tolist(), 4 * len(ids)]
+            out += [raw[a:b] for a, b in zip(starts, ends)]
+        return out
+
+    def _learn(self, words: list[bytes]) -> None:
+        mark = SEPARATOR.encode()
+        alone = [w for w in words if mark in w] if self.cut is not None else words
+        for encode, these in ((self._alone, alone), (self._together, [w for w in words if mark not in w] if alone is not words else [])):
+            for at in range(0, len(these), _CALL):
+                part = these[at : at + _CALL]
+                self.known.update(zip(part, encode(part), strict=True))
 
     def encode(self, texts: list[bytes | None], end_id: int = END_ID) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text, with the end id."""
         end = np.array([end_id], dtype="<u4").tobytes()
         split = [t.split() if t else [] for t in texts]
-        if len(self.known) > CACHE_WORDS:
-            self.known.clear()
-        missing = list(set().union(*split).difference(self.known))
-        for at in range(0, len(missing), 20_000):
-            part = missing[at : at + 20_000]
-            encoded = self.tokenizer.encode_batch([w.decode() for w in part], add_special_tokens=False)
-            for w, e in zip(part, encoded, strict=True):
-                self.known[w] = np.array(e.ids, dtype="<u4").tobytes()
+        if 2 * len(self.known) > self.most:
+            self.known, self.older = {}, self.known
+        wanted = set().union(*split).difference(self.known)
+        again = wanted.intersection(self.older)
+        self.known.update((w, self.older[w]) for w in again)
+        self._learn(list(wanted.difference(again)))
         get = self.known.__getitem__
         return [b"".join(map(get, words)) + end for words in split]
 
 
+@functools.cache
+def worker_tokenizer(path: str) -> CachedTokenizer:
+    """The tokenizer of this worker process, with its known words."""
+    return CachedTokenizer(path)
+
+
 class Packer:
     """Open windows as lists of (document, start, ids); emitted ones go to ``closed``."""
 
@@ -188,7 +220,7 @@ def pack(
 
     def run(batches):
         task = TaskContext.get().partitionId()
-        tokenizer, packer, number, doc_type = CachedTokenizer(tokenizer_path), Packer(window, open_windows), 0, None
+        tokenizer, packer, number, doc_type = worker_tokenizer(tokenizer_path), Packer(window, open_windows), 0, None
         for batch in batches:
             doc_type = batch.column("doc").type
             for at in range(0, batch.num_rows, 1000):
