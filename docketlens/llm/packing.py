@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import functools
 import os
+import string
 import zlib
 
 import numpy as np
@@ -30,7 +31,7 @@ END_ID = 2
 #: Tasks whose open windows are merged together; bounds the rows of a merge.
 MERGE_TASKS = 8
 #: Entries of a worker's table of known words. It outlives a task; of a full table the words not met for longest go.
-KNOWN_WORDS = 600_000
+KNOWN_WORDS = 1_000_000
 #: Stands between words that are encoded together. Its id cuts the result; words that hold it are encoded alone.
 SEPARATOR = "\x1f"
 #: Words of one such text, and of one call; long texts are slower for each word, and so are single words.
@@ -55,6 +56,9 @@ class CachedTokenizer:
         self.older: dict[bytes, bytes] = {}
         cut = self.tokenizer.encode(SEPARATOR, add_special_tokens=False).ids
         self.cut = cut[0] if len(cut) == 1 else None
+        # A tokenizer that folds A-Z knows a word in any case.
+        ids = lambda text: self.tokenizer.encode(text, add_special_tokens=False).ids
+        self.folds = all(ids(word) == ids(word.lower()) for word in (*string.ascii_uppercase, string.ascii_uppercase, "aBc"))
 
     def _alone(self, words: list[bytes]) -> list[bytes]:
         encoded = self.tokenizer.encode_batch([w.decode() for w in words], add_special_tokens=False)
@@ -82,7 +86,7 @@ class CachedTokenizer:
     def encode(self, texts: list[bytes | None], end_id: int = END_ID) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text, with the end id."""
         end = np.array([end_id], dtype="<u4").tobytes()
-        split = [t.split() if t else [] for t in texts]
+        split = [(t.lower() if self.folds else t).split() if t else [] for t in texts]
         if 2 * len(self.known) > self.most:
             self.known, self.older = {}, self.known
         wanted = set().union(*split).difference(self.known)
