@@ -34,8 +34,10 @@ LENGTH = 200
 GRAM = 32
 #: Different contexts of one anchor that one task sorts together.
 MOST_CONTEXTS = 4096
-#: Suffixes that are sorted at a time, in whole anchors.
-SORT_SUFFIXES = 600_000
+#: Suffixes that are sorted at a time, in whole anchors; an anchor with more is sorted alone.
+SORT_SUFFIXES = 150_000
+#: Bytes of contexts that go out together.
+SENT_BYTES = 4 << 20
 _BASE = 0x2545F4914F6CDD1D  # odd, so it has an inverse modulo 2**64
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
@@ -124,7 +126,7 @@ class SuffixSorter:
 
     def extension(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Common extension of suffixes a and b, ``length`` at most: the longest equal hash, by binary search."""
-        low, high = np.zeros(len(a), np.int64), np.full(len(a), self.length, np.int64)
+        low, high = np.zeros(len(a), np.int32), np.full(len(a), self.length, np.int32)
         # Bring both hashes to one power of the base: that of the later suffix.
         later = np.maximum(a, b)
         lift_a, lift_b = self.up[later - a], self.up[later - b]
@@ -149,11 +151,14 @@ class SuffixSorter:
             first = (first << np.uint64(8)) | self.data[suffixes + k]
         begin = np.argsort(first, kind="stable")
         order, first = suffixes[begin], first[begin]
-        heads = np.flatnonzero(np.concatenate([[True], first[1:] != first[:-1]])) if len(first) else np.empty(0, np.int64)
-        sizes = np.diff(heads, append=len(first))
+        del begin
+        # Places fit 32 bits: a task holds far fewer bytes.
+        heads = (np.flatnonzero(np.concatenate([[True], first[1:] != first[:-1]])) if len(first) else np.empty(0)).astype(np.int32)
+        sizes = np.diff(heads, append=np.int32(len(first)))
+        del first
         head, size = np.repeat(heads, sizes), np.repeat(sizes, sizes)
-        width = 1
-        active = np.flatnonzero(size > width)
+        width = np.int32(1)
+        active = np.flatnonzero(size > width).astype(np.int32)
         while len(active):
             within = active - head[active]
             run = within // width
@@ -163,7 +168,7 @@ class SuffixSorter:
             low = np.where(left, np.minimum(pair + width, end), pair)
             high = np.where(left, np.minimum(pair + 2 * width, end), np.minimum(pair + width, end))
             other = low.copy()
-            open_ = np.flatnonzero(low < high)
+            open_ = np.flatnonzero(low < high).astype(np.int32)
             while len(open_):
                 middle = (low[open_] + high[open_]) >> 1
                 # Elements of the left run go before equal ones of the right run.
@@ -172,10 +177,10 @@ class SuffixSorter:
                 high[open_] = np.where(before, high[open_], middle)
                 open_ = open_[low[open_] < high[open_]]
             own = within - run * width
-            merged = order.copy()
-            merged[pair + own + (low - other)] = order[active]
-            order = merged
-            width *= 2
+            moved = order[active]
+            order = order.copy()
+            order[pair + own + (low - other)] = moved
+            width = np.int32(2 * width)
             active = active[size[active] > width]
         return order
 
@@ -186,10 +191,10 @@ class SuffixSorter:
             return np.empty(0, np.int64)
         equal = self.extension(order[:-1], order[1:]) == self.length
         pairs = np.flatnonzero(equal)
-        span = np.arange(self.length)
+        span = np.arange(self.length, dtype=np.int32)
         wrong = []
-        for at in range(0, len(pairs), 20_000):
-            p = pairs[at : at + 20_000]
+        for at in range(0, len(pairs), 4000):
+            p = pairs[at : at + 4000]
             match = (self.data[order[p][:, None] + span] == self.data[order[p + 1][:, None] + span]).all(axis=1)
             wrong += p[~match].tolist()
         mark = np.zeros(len(order), bool)
@@ -247,13 +252,20 @@ def _sort_rows(batches, length: int, most: int):
     """Contexts with their bytes; those of an anchor that is split come as the digests of their windows, by salt."""
     for batch in batches:
         texts = batch.column("doc").field("text").cast(pa.binary())
-        rows = []
+        kinds = [pa.int64(), pa.int32(), batch.column("key").type, pa.int32(), pa.int32(), pa.bool_(), pa.binary()]
+        rows, size = [], 0
+
+        def sent(rows, kinds=kinds):
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)],
+                                              names=["anchor", "salt", "key", "start", "n", "settled", "content"])
+
         for key, text, listed in zip(batch.column("key").to_pylist(), texts, batch.column("listed"), strict=True):
             text = text.as_py()
             for c in listed.as_py():
                 start, n, settled = c["start"], c["n"], c["n_same"] > 1
                 if c["n_digests"] <= most:
                     rows.append((c["anchor"], -1, key, start, n, settled, text[start : start + n - 1 + length]))
+                    size += n + length
                     continue
                 salts = -(-c["n_digests"] // most)
                 by: dict[int, list[bytes]] = {}
@@ -261,10 +273,12 @@ def _sort_rows(batches, length: int, most: int):
                     digest = hashlib.blake2b(text[s : s + length], digest_size=16).digest()
                     by.setdefault(int.from_bytes(digest[:6], "little") % salts, []).append(digest + s.to_bytes(8, "little"))
                 rows += [(c["anchor"], salt, key, start, n, settled, b"".join(d)) for salt, d in by.items()]
+                size += 24 * n
+                if size >= SENT_BYTES:
+                    yield sent(rows)
+                    rows, size = [], 0
         if rows:
-            kinds = [pa.int64(), pa.int32(), batch.column("key").type, pa.int32(), pa.int32(), pa.bool_(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)],
-                                             names=["anchor", "salt", "key", "start", "n", "settled", "content"])
+            yield sent(rows)
 
 
 def _sorted_spans(rows: list[dict], length: int):
@@ -275,7 +289,7 @@ def _sorted_spans(rows: list[dict], length: int):
         starts = np.cumsum([0, *(len(r["content"]) for r in whole)])
         sorter = SuffixSorter(b"".join(r["content"] for r in whole), length)
         counts = np.array([r["n"] for r in whole])
-        suffixes = np.concatenate([np.arange(a, a + n) for a, n in zip(starts[:-1].tolist(), counts.tolist(), strict=True)])
+        suffixes = np.concatenate([np.arange(a, a + n, dtype=np.int32) for a, n in zip(starts[:-1].tolist(), counts.tolist(), strict=True)])
         found = sorter.repeated(suffixes)
         cuts = np.searchsorted(found, starts)
         for k, r in enumerate(whole):
@@ -301,7 +315,8 @@ def _sorted_spans(rows: list[dict], length: int):
 
 def _suffix_sort(batches, length: int):
     """Sorts in chunks of whole (anchor, salt) groups; rows come ordered by them."""
-    held, size, key_type = [], 0, None
+    held, size, key_type = [], 0, None  # whole groups
+    group, group_size = [], 0  # the one that comes in
 
     def emit(rows):
         spans = _sorted_spans(rows, length)
@@ -312,14 +327,21 @@ def _suffix_sort(batches, length: int):
 
     for batch in batches:
         key_type = batch.column("key").type
-        for r in batch.to_pylist():
-            if size >= SORT_SUFFIXES and (held[-1]["anchor"], held[-1]["salt"]) != (r["anchor"], r["salt"]):
-                yield emit(held)
-                held, size = [], 0
-            held.append(r)
-            size += r["n"]
-    if held:
+        for at in range(0, batch.num_rows, 1000):
+            for r in batch.slice(at, 1000).to_pylist():
+                if group and (group[-1]["anchor"], group[-1]["salt"]) != (r["anchor"], r["salt"]):
+                    if held and size + group_size > SORT_SUFFIXES:
+                        yield emit(held)
+                        held, size = [], 0
+                    held += group
+                    size, group, group_size = size + group_size, [], 0
+                group.append(r)
+                group_size += r["n"]
+    if held and size + group_size > SORT_SUFFIXES:
         yield emit(held)
+        held = []
+    if held or group:
+        yield emit(held + group)
 
 
 def _cut(batches, length: int):
