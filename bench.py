@@ -9,6 +9,7 @@ from __future__ import annotations
 import json
 import os
 import sys
+import tempfile
 import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
@@ -30,10 +31,11 @@ def main() -> None:
     cpus = os.environ.get("BENCH_CPUS", "8")
     chosen = os.environ.get("BENCH_QUERIES", "")
     names = list(registry.QUERIES) if chosen == "all" else chosen.split(",") if chosen else HEADLINE
+    shared = tempfile.TemporaryDirectory(prefix="docketlens-bench-")
     spark = build_session(
         f"local[{cpus}]", "bench",
         **{
-            "spark.sql.shuffle.partitions": cpus, "spark.driver.memory": "8g",
+            "spark.checkpoint.dir": shared.name, "spark.sql.shuffle.partitions": cpus, "spark.driver.memory": "8g",
             # Small tables on one machine: let a scan use every core.
             "spark.sql.files.maxPartitionBytes": "4m", "spark.sql.files.openCostInBytes": "1m", SPREAD: cpus,
         },
@@ -52,6 +54,7 @@ def main() -> None:
         "cpus": int(cpus), "spark": spark.version,
     }))
     spark.stop()
+    shared.cleanup()
 
 
 if __name__ == "__main__":

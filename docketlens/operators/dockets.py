@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from docketlens.functions.dates import iso_date
 from docketlens.functions.text import bind, clean_text, null_if_blank, words
 from docketlens.functions.urls import pinned_url
-from docketlens.operators.keyed import computed_once, keep_first, without_keys
+from docketlens.operators.keyed import computed_once, keep_first, only_keys, without_keys
 
 # Fixed values of the docket source.
 ORIGIN = "https://www.courtlistener.com"
@@ -35,6 +35,7 @@ FILING = [
     "document_id", "docket_entry_id", "document_number", "entry_date_filed", "description",
     "document_type", "available_in_recap", "url",
 ]
+DIGEST = "filings_digest"
 FILING_KEY = ["docket_id", "document_id", "docket_entry_id"]
 
 
@@ -161,13 +162,14 @@ def dedupe_dockets(records: DataFrame, order: str = "hit_order", recompute_activ
     return merged.drop("_known")
 
 
-def _changed_filings(previous: DataFrame, observed: DataFrame) -> DataFrame:
-    """Dockets whose set of filings differs, found by counting sides of each distinct filing row."""
-    sides = previous.select("docket_id", *FILING, F.lit(1).alias("old"), F.lit(0).alias("new")).unionByName(
-        observed.select("docket_id", *FILING, F.lit(0).alias("old"), F.lit(1).alias("new"))
-    )
-    per_filing = sides.groupBy("docket_id", *FILING).agg(F.max("old").alias("old"), F.max("new").alias("new"))
-    return per_filing.groupBy("docket_id").agg(F.bool_or(F.col("old") != F.col("new")).alias("_filings_differ"))
+def filings_digest(filings: DataFrame) -> DataFrame:
+    """(docket_id, filings_digest) of distinct filing rows: their number and two sums of hashes, the same in any order.
+
+    A partial aggregate, so a docket of any number of filings is one row for each task.
+    """
+    hashed = lambda seed: F.sum(F.xxhash64(F.lit(seed), *FILING).cast("decimal(38,0)")).cast("string")
+    digest = F.concat_ws(":", F.count(F.lit(1)).cast("string"), hashed(1), hashed(2))
+    return filings.select("docket_id", *FILING).distinct().groupBy("docket_id").agg(digest.alias(DIGEST))
 
 
 def merge_dockets(
@@ -181,13 +183,15 @@ def merge_dockets(
     """Merge a deduplicated batch into the previous records; returns (records, filings).
 
     Absence never deactivates, a reported termination is sticky, filings are replaced by the
-    incoming ones, and in a degraded run unseen records turn stale.
+    incoming ones, and in a degraded run unseen records turn stale. Records carry a digest of their filings, so whether these changed is
+    known without the previous ones; where previous records have none yet, only filings of observed dockets are read for it.
     """
-    old = previous.select("docket_id", F.struct(*SEMANTIC, *LIFECYCLE).alias("o"))
-    new = observed.select("docket_id", F.struct(*SEMANTIC, *LIFECYCLE).alias("n"))
-    joined = old.join(new, "docket_id", "full_outer").join(
-        _changed_filings(previous_filings, observed_filings), "docket_id", "left"
-    )
+    if DIGEST not in previous.columns:
+        previous = previous.join(filings_digest(only_keys(previous_filings, observed, ["docket_id"])), "docket_id", "left")
+    observed = observed.join(filings_digest(observed_filings), "docket_id", "left")
+    old = previous.select("docket_id", F.struct(*SEMANTIC, *LIFECYCLE, DIGEST).alias("o"))
+    new = observed.select("docket_id", F.struct(*SEMANTIC, *LIFECYCLE, DIGEST).alias("n"))
+    joined = old.join(new, "docket_id", "full_outer")
     seen, known = F.col("n").isNotNull(), F.col("o").isNotNull()
     keep_end = F.col("o.date_terminated").isNotNull() & F.col("n.date_terminated").isNull()
 
@@ -201,7 +205,7 @@ def merge_dockets(
 
     table = joined.select(
         "docket_id", "o", "n", *[merged(name).alias(name) for name in SEMANTIC],
-        F.coalesce("_filings_differ", F.lit(False)).alias("_filings_differ"),
+        (~F.col(f"o.{DIGEST}").eqNullSafe(F.col(f"n.{DIGEST}"))).alias("_filings_differ"),
     )
     same = F.struct(*SEMANTIC).eqNullSafe(F.struct(*[F.col(f"o.{name}").alias(name) for name in SEMANTIC]))
     changed = ~same | F.col("_filings_differ")
@@ -218,6 +222,7 @@ def merge_dockets(
         .when(seen, F.col("n.last_changed_at")).otherwise(F.col("o.last_changed_at")).alias("last_changed_at"),
         F.when(seen & known, F.lit("current")).when(seen, F.col("n.freshness"))
         .otherwise(unseen_freshness).alias("freshness"),
+        F.when(seen, F.col(f"n.{DIGEST}")).otherwise(F.col(f"o.{DIGEST}")).alias(DIGEST),
     )
     filings = without_keys(previous_filings, observed, ["docket_id"]).unionByName(observed_filings)
     return records, filings

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from docketlens.operators import dockets as D
+from docketlens.operators.keyed import global_position
 from docketlens.plans.tables import day, pick, sql_pick, table
 from docketlens.session import run_dir, written_once
 from docketlens.sources.search_hits import read_hits
@@ -67,7 +68,7 @@ def docket_merge(spark, folder):
         "docket_id", "case_name", "court_id", day(F.col("date_filed")).alias("date_filed"),
         day(F.col("date_terminated")).alias("date_terminated"), "termination_state", "active",
         "active_status_caveat", "cause", "first_seen_at", "last_seen_at", "last_changed_at", "freshness",
-    ).orderBy(*D.docket_order())
+    ).transform(lambda rows: global_position(rows, D.docket_order()))
 
 
 def docket_filings(spark, folder):
@@ -90,7 +91,7 @@ def docket_recomputed_active(spark, folder):
 DESCRIPTIONS = [
     "Class Action Complaint.",
     "COMPLAINT of two tenants against a landlord (CLASS ACTION), with # 1 Lease",
-    "Complaint referencing a possible class in another action.",
+    "Complaint over rent; a class of tenants is named elsewhere.",
     "Third Amended Complaint for wages, collective and class action;",
     "Motion to dismiss.",
     "Second amended complaint - class and collective claims.",
@@ -252,7 +253,7 @@ SELECT docket_id, 'Matter ' || user_id AS case_name, 'court' || (user_id % 5) AS
   CASE WHEN NOT known THEN '{AFTER}' WHEN NOT seen THEN '{BEFORE}'
     WHEN m_end IS DISTINCT FROM o_end OR m_ended <> o_ended OR m_active = o_ended OR m_cause <> o_cause OR NOT same THEN '{AFTER}'
     ELSE '{BEFORE}' END AS last_changed_at,
-  CASE WHEN seen THEN 'current' ELSE 'stale' END AS freshness FROM merged""",
+  CASE WHEN seen THEN 'current' ELSE 'stale' END AS freshness, row_number() OVER (ORDER BY docket_id) AS position FROM merged""",
     "docket_filings": _EVENTS + f"""
 SELECT docket_id, document_id, docket_entry_id, document_number, available_in_recap, '{D.ORIGIN}/docket/' || docket_id || '/' AS url
 FROM filed WHERE later OR docket_id NOT IN (SELECT docket_id FROM n)""",

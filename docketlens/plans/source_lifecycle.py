@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from docketlens.operators import lifecycle as L
-from docketlens.operators.keyed import keep_last
+from docketlens.operators.keyed import global_position, keep_last
 from docketlens.plans.tables import sql_stamp, stamp, table, within
 
 CHECKED_AT = "2024-01-31T00:00:00.000Z"
@@ -62,7 +62,7 @@ def refreshed(spark, folder, report_recovery=True):
 
 
 def snapshot_lifecycle(spark, folder):
-    return L.current_records(refreshed(spark, folder)).orderBy(*L.record_order("source_id"))
+    return global_position(L.current_records(refreshed(spark, folder)), [*L.record_order("source_id")])
 
 
 def lifecycle_events(spark, folder):
@@ -162,7 +162,7 @@ SELECT 'event-' || substr(sha256(record_id || '|' || transition || '|{CHECKED_AT
 FROM final WHERE transition IN ('discovered', 'changed', 'reactivated', 'deactivated')"""
 
 ORACLES = {
-    "snapshot_lifecycle": _sql(True) + "\nSELECT * EXCLUDE (changes) FROM final WHERE transition <> 'deactivated'",
+    "snapshot_lifecycle": _sql(True) + "\nSELECT * EXCLUDE (changes), row_number() OVER (ORDER BY source_id, lower(title), record_id) AS position FROM final WHERE transition <> 'deactivated'",
     "lifecycle_events": _sql(True) + _EVENT_SQL,
     "lifecycle_without_recovery": _sql(False) + """
 SELECT source_id, transition AS type, count(*) AS events FROM final

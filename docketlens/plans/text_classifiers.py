@@ -33,7 +33,7 @@ WORDINGS = [
 ]
 INTENTS = [
     "Please list open claims that I may file today", "A letter told me of a data breach at my clinic in West  Virginia", "We paid two phone companies in WA in 2021 and 2022",
-    "Any claims where no documents are needed?", "I did not receive a notice about the breach", "watch the lawsuit docket in New York",
+    "Any claims where no documents are needed?", "My landlord did not receive a notice after the breach", "watch the lawsuit docket in New York",
     "official refund from the FTC, my bank in TX", "every catalog about hospital jobs 1999", "I have an invoice and my e-mail is a.b@example.com",
     "my SSN is 123-45-6789", "call me at (212) 555-0100", "card 4111 1111 1111 1111", "claim number A7", "id 123456 applied", "the password",
     "I live at 12 Main Street", "my diagnosis is private", "I live in Kansas, not arkansas; XX OK", "",

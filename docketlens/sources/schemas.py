@@ -21,7 +21,7 @@ DOCKET = (
     "docket_id bigint, case_name string, docket_number string, docket_url string, court string, "
     "court_id string, date_filed date, date_terminated date, termination_state string, active boolean, "
     "active_status_caveat string, cause string, suit_nature string, first_seen_at string, "
-    "last_seen_at string, last_changed_at string, freshness string"
+    "last_seen_at string, last_changed_at string, freshness string, filings_digest string"
 )
 DOCKET_FILING = f"docket_id bigint, {FILING}"
 

@@ -32,8 +32,9 @@ class DocketStream:
         accepted = D.normalize_hits(hits, observed_at).persist()
         observed, filings = D.dedupe_dockets(accepted), D.filings_of(accepted)
         before = self.records.current(spark, batch_id, observed).drop("batch")
-        before_filings = self.filings.current(spark, batch_id, observed).drop("batch")
-        records, merged_filings = D.merge_dockets(before, before_filings, observed, filings, observed_at)
+        # An observed docket's filings replace its earlier ones, and its digest tells whether they differ: none are read.
+        none = spark.createDataFrame([], DOCKET_FILING)
+        records, merged_filings = D.merge_dockets(before, none, observed, filings, observed_at)
         self.records.write(records, batch_id)
         self.filings.write(merged_filings, batch_id)
         counts = D.run_metrics(hits, accepted).select(

@@ -1,5 +1,6 @@
 import os
 import sys
+import tempfile
 
 import pytest
 
@@ -10,7 +11,9 @@ from docketlens.session import build_session
 
 @pytest.fixture(scope="session")
 def spark():
-    session = build_session("local[4]", "tests", **{"spark.sql.shuffle.partitions": "4", "spark.driver.memory": "4g"})
-    session.sparkContext.setLogLevel("ERROR")
-    yield session
-    session.stop()
+    with tempfile.TemporaryDirectory(prefix="docketlens-tests-") as shared:
+        conf = {"spark.sql.shuffle.partitions": "4", "spark.driver.memory": "4g", "spark.checkpoint.dir": shared}
+        session = build_session("local[4]", "tests", **conf)
+        session.sparkContext.setLogLevel("ERROR")
+        yield session
+        session.stop()

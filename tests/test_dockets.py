@@ -34,7 +34,7 @@ def normalized(spark, *hits, at="t1"):
     ("Class Action Complaint", True),
     ("CLASS AND COLLECTIVE ACTION COMPLAINT for damages", True),
     ("Second Amended  Class Action Complaint", True),
-    ("Complaint referencing a possible class in another action", False),
+    ("Complaint over rent; a class of tenants is named elsewhere", False),
     ("COMPLAINT by a Customer. (CLASS ACTION) (Attachments: # 1 Summons)", True),
     ("Complaint (Attachments: # 1 class action exhibit)", False),
     ("First amended complaint, collective and R. 23 class action", True),
