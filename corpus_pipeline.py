@@ -1,6 +1,10 @@
 """Cleaning and packing of the documents table: five stages, each one operator of docketlens.llm.
 
 Every stage but the last returns the columns of documents; each is written as Parquet and read again by the next.
+
+Defined results: a text that is null, empty or without a letter has no language and leaves with the first stage; rows that repeat each
+other are near duplicates, of which one stays; rows of a null id are documents like others; an empty table gives no pieces. Columns besides those
+of documents pass through every stage but the last, whatever their names. Texts of any length are read whole.
 """
 
 from __future__ import annotations
