@@ -125,3 +125,26 @@ def test_packed(stages):
         ends = [0, *np.cumsum([n for _, n in sorted(listed)]).tolist()]
         assert [a for a, _ in sorted(listed)] == ends[:-1] and ends[-1] == total
     assert all(sum(n for _, n in v) <= 4096 for v in by_sequence.values())
+
+
+def test_odd_rows(spark, tmp_path):
+    given = spark.read.parquet(f"{FOLDER}/documents.parquet").limit(40)
+    more = [(None, "en", None), (900, "en", ""), (901, None, " \n"), (902, "en", "%%% 123"), (None, "en", "plain words of a text without an id")]
+    odd = spark.createDataFrame([(i, t, lang, None, 0) for i, lang, t in more], given.schema)
+    docs = given.unionByName(odd).unionByName(given.limit(3))
+    names = ["doc", "key", "runs", "text_key", "id", "spans", "kept_id", "found", "content", "lang_pred"]
+    docs = docs.withColumns({name: F.lit(name) for name in names})
+    read = docs.count()
+    for (name, stage) in corpus_pipeline.STAGES:
+        for rows, place in ((docs, name), (docs.limit(0), f"{name}-none")):
+            out = stage(spark, rows, FOLDER)
+            assert name == "packed" or out.columns == docs.columns
+            out.write.parquet(str(tmp_path / place))
+            assert place == name or spark.read.parquet(str(tmp_path / place)).count() == 0
+        docs = spark.read.parquet(str(tmp_path / name))
+        if name == "language":
+            assert docs.count() < read and {r["doc_id"] for r in docs.collect()}.isdisjoint({900, 901, 902}) and docs.where("text is null").count() == 0
+        if name == "near_duplicates":
+            assert docs.count() == docs.select("text").distinct().count()
+        if name != "packed":
+            assert all(r[n] == n for r in docs.collect() for n in names)
