@@ -33,4 +33,4 @@ def read_hits(spark: SparkSession, path: str) -> DataFrame:
 
 def stream_pages(spark: SparkSession, path: str, max_files: int = 100) -> DataFrame:
     """The same pages as a stream; ``max_files`` bounds the work of one micro-batch."""
-    return _placed(spark.readStream.schema(HIT_PAGE).option("maxFilesPerTrigger", max_files).json(path))
+    return _placed(spark.readStream.schema(HIT_PAGE).option("mode", "FAILFAST").option("maxFilesPerTrigger", max_files).json(path))
