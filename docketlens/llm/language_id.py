@@ -35,6 +35,8 @@ ENCODING = dict(
 )
 #: A decision is rejected if the runner-up's encoding is larger by less than this share.
 MARGIN = 0.004
+#: What ``normalized`` keeps something of: a letter, a digit or anything beyond ASCII.
+_KEPT = r"[0-9A-Za-z\x{80}-\x{10FFFF}]"
 _LETTER = regex.compile(r"\p{L}")
 
 
@@ -51,6 +53,8 @@ def learn(labelled: DataFrame, lang_column: str, text_column: str, dictionary_by
     Only the first ``dictionary_bytes`` of those texts come to the driver.
     """
     rows = labelled.select(F.col(lang_column).alias("lang"), F.col(text_column).alias("text")).where("lang is not null and text is not null")
+    # Texts of marks alone leave nothing for a dictionary, however many are drawn.
+    rows = rows.where(F.col("text").rlike(_KEPT))
     digest = F.xxhash64(F.lit("draw"), "text")
     draw = F.pmod(digest, F.lit(1 << DRAW_BITS))
     # A copied text counts and is drawn once, however often it stands in the corpus.

@@ -306,3 +306,9 @@ def test_components(spark):
     edges = [(i, i + 1) for i in range(1, 30)] + [(100, i) for i in range(101, 140)] + [(5, 5), (None, 3), (200, 201), (201, 202), (202, 200)]
     got = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert got == {**{i: 1 for i in range(1, 31)}, **{i: 100 for i in range(100, 140)}, **{i: 200 for i in (200, 201, 202)}}
+
+
+def test_texts_of_marks_are_not_drawn(spark):
+    marks = [("en", "!?; " * (i % 7 + 1) + "-" * i) for i in range(300)] + [("en", "some words"), ("de", "ein paar"), ("zz", "..."), ("é", "é")]
+    found = language_id.learn(spark.createDataFrame(marks, "lang string, text string"), "lang", "text")
+    assert dict(found) == {"en": b"some words", "de": b"ein paar", "é": "é".encode()}
