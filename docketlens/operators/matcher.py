@@ -7,8 +7,8 @@ look slots up:
 * reviewed claims: slots of (state, covered year, alias, class), where the class holds the small
   attributes that enter the score. Sessions with equal preferences share one lookup.
 * related records (agency programs, dockets): the score grows with the number of shared identity
-  tokens, up to four. A token of at most ``hot_df`` cases is joined as it is; sets of one to four
-  of the remaining, frequent tokens form slots.
+  tokens, up to four. Each token is a slot; where a slot had to leave cases out, sets of its token with
+  further such tokens are slots as well, up to four tokens.
 
 In both cases a case left out of its slot is beaten by ``k`` cases of that slot, so the result is the
 same as ranking all pairs.
@@ -43,7 +43,9 @@ ISSUE_LABELS = {
 BANDS = [(34, "Several details line up"), (17, "Some details line up")]
 BROAD = "Broad catalog suggestion"
 NO_DOCUMENTS, NOTICE, NOT_STATED = "No documents stated", "Notice or ID", "Requirements not stated"
-GRAM = 3
+# Characters of a gram, of an anchor; tokens that count.
+GRAM, ANCHOR = 3, 8
+MOST_SHARED = 4
 # Slot keys no normalized text can equal.
 ANY, OPEN = "#any", "#open"
 SITUATION_LABELS = {
@@ -239,35 +241,55 @@ def _best(candidates: DataFrame, keys: list[str], k: int, rank: str | None = Non
 def alias_hits(texts: DataFrame, cases: DataFrame) -> DataFrame:
     """(session_id, alias_key): normalized aliases contained in a session's keyword text.
 
-    Each alias is looked up by the one of its short grams that the fewest texts hold, and verified.
+    Each alias has an anchor: at most ``ANCHOR`` of its characters, beginning with the gram that the
+    fewest texts hold. Normalized texts have 37 different characters, so there are at most
+    1 + 37 + 37**2 + 37**3 grams, and the tables of grams are broadcast whatever the catalog's size.
+    Of a text only the places where an anchor may begin are shuffled; equal texts are searched once.
     """
     aliases = (
         cases.filter((F.col("kind") == CLAIM) & F.col("has_criteria"))
         .select(F.explode(F.transform("aliases", N.normalize)).alias("alias_key")).distinct()
     )
-
-    def grams(text: Column, size: Column) -> Column:
-        last = F.greatest(F.length(text) - size + 1, F.lit(1))
-        return F.array_distinct(F.transform(F.sequence(F.lit(1), last), lambda i: F.substring(text, i, size)))
-
-    size = F.least(F.length("alias_key"), F.lit(GRAM))
-    alias_grams = aliases.select("alias_key", F.explode(grams(F.col("alias_key"), size)).alias("gram"))
-    wanted = alias_grams.select("gram").distinct()
-    all_sizes = F.concat(F.array(F.lit("")), *[grams(F.col("text"), F.lit(n)) for n in range(1, GRAM + 1)])
-    text_grams = texts.select("session_id", "text", F.explode(F.array_distinct(all_sizes)).alias("gram")).join(
-        wanted, "gram", "left_semi"
+    searched = texts.select("text").distinct().withColumn("text_id", F.xxhash64("text"))
+    size, reach = (F.least(F.length("alias_key"), F.lit(n)) for n in (GRAM, ANCHOR))
+    starts = F.sequence(F.lit(1), F.length("alias_key") - reach + 1)
+    begun = aliases.select("alias_key", F.explode(starts).alias("at")).select(
+        "alias_key", F.substring("alias_key", F.col("at"), size).alias("gram"),
+        F.substring("alias_key", F.col("at"), reach).alias("anchor"),
     )
-    frequency = text_grams.groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
+    wanted = F.broadcast(begun.select("gram").distinct())
+    frequency = (
+        searched.select(F.explode(F.array_distinct(_grams(F.col("text"))["gram"])).alias("gram"))
+        .join(wanted, "gram", "left_semi").groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
+    )
+    # An alias with a gram that no text holds is in no text.
     rarest = (
-        alias_grams.join(frequency, "gram", "left").groupBy("alias_key")
-        .agg(F.min_by("gram", F.struct(F.coalesce("df", F.lit(0)), "gram")).alias("gram"))
+        begun.join(frequency, "gram", "left").groupBy("alias_key")
+        .agg(F.min_by(F.struct("gram", "anchor"), F.struct(F.coalesce("df", F.lit(0)), "gram", "anchor")).alias("_a"), F.min(F.coalesce("df", F.lit(0))).alias("df"))
+        .filter("df > 0").select("alias_key", "_a.*")
+    )
+    anchored = written_once(rarest, "alias-anchors")
+    chosen = F.broadcast(anchored.select("gram", F.length("anchor").alias("reach")).distinct())
+    places = (
+        searched.select("text_id", "text", F.inline(_grams(F.col("text")))).join(chosen, "gram")
+        .select("text_id", F.substring("text", F.col("at"), F.col("reach")).alias("anchor")).distinct()
     )
+    candidates = places.join(anchored.select("anchor", "alias_key"), "anchor").select("text_id", "alias_key").distinct()
     return (
-        text_grams.join(rarest, "gram").filter(F.col("text").contains(F.col("alias_key")))
-        .select("session_id", "alias_key").distinct()
+        texts.select("session_id", "text", F.xxhash64("text").alias("text_id")).join(candidates, "text_id")
+        .filter(F.col("text").contains(F.col("alias_key"))).select("session_id", "alias_key").distinct()
     )
 
 
+def _grams(text: Column) -> Column:
+    """(at, gram) for every place of a text and every size up to ``GRAM``, and the empty gram once."""
+    def sized(n: int) -> Column:
+        places = F.sequence(F.lit(1), F.greatest(F.length(text) - n + 1, F.lit(1)))
+        return F.transform(places, lambda i: F.struct(i.alias("at"), F.substring(text, i, F.lit(n)).alias("gram")))
+
+    return F.concat(F.array(F.struct(F.lit(1).alias("at"), F.lit("").alias("gram"))), *[sized(n) for n in range(1, GRAM + 1)])
+
+
 def _claim_matches(profiled: DataFrame, hits: DataFrame, cases: DataFrame, k: int) -> DataFrame:
     columns = ["goal", "experiences", "location", "proof", "years"]
     distinct = (
@@ -302,53 +324,66 @@ def _related_cases(cases: DataFrame) -> DataFrame:
     )
 
 
-def _known_sets(tokens: DataFrame, known: DataFrame) -> DataFrame:
-    """(session_id, set_key): the known sets of one to four tokens that each session holds.
+def _set_slots(postings: DataFrame, k: int) -> list[DataFrame]:
+    """(prefix, token, set_key, case_id) for each size of token sets: the best ``k`` cases of each set, kind and freshness.
 
-    A set is extended only while it is known; a subset of a known set is known, so none is missed.
+    A set is made longer only where its slot left cases out: any other slot has all cases of its set.
+    Sets go from rare to frequent tokens, so that few sets begin with a token that most cases hold.
     """
-    level = tokens.select("session_id", F.col("token").alias("set_key"), F.col("token").alias("last"))
-    found = None
-    for size in range(1, 5):
-        if size > 1:
-            level = level.join(tokens, "session_id").filter(F.col("token") > F.col("last")).select(
-                "session_id", F.concat_ws(" ", "set_key", "token").alias("set_key"), F.col("token").alias("last")
-            )
-        level = level.join(known, "set_key", "left_semi")
-        sized = level.select("session_id", "set_key")
-        found = sized if found is None else found.unionByName(sized)
-    return found
-
-
-def _related_matches(profiled: DataFrame, tokens: DataFrame, cases: DataFrame, k: int, hot_df: int) -> DataFrame:
-    related = _related_cases(cases)
+    group, own = ["kind", "freshness"], ["case_id", "kind", "freshness", "deadline"]
+    level = postings.select(*own, F.lit("").alias("prefix"), "token", "df", F.col("token").alias("set_key"))
+    slots, further = [], None
+    while True:
+        level = written_once(level, "related-sets")
+        best = top_k(level, ["set_key", *group], deadline_order(), k + 1, "_rank")
+        ranked = written_once(best.select("prefix", "token", "set_key", "case_id", *group, "_rank"), "related-slots")
+        slots.append(ranked.filter(F.col("_rank") <= k).select("prefix", "token", "set_key", "case_id"))
+        cut = ranked.filter(F.col("_rank") > k)
+        if len(slots) == MOST_SHARED or cut.isEmpty():
+            return slots
+        longer = only_keys(level, cut, ["set_key", *group])
+        if further is None:
+            further = longer.select("case_id", F.col("token").alias("_token"), F.col("df").alias("_df"))
+        after = (F.col("_df") > F.col("df")) | ((F.col("_df") == F.col("df")) & (F.col("_token") > F.col("token")))
+        level = longer.join(further, "case_id").filter(after).select(
+            *own, F.col("set_key").alias("prefix"), F.col("_token").alias("token"), F.col("_df").alias("df"),
+            F.concat_ws(" ", "set_key", "_token").alias("set_key"),
+        )
+
+
+def _slot_cases(tokens: DataFrame, slots: list[DataFrame]) -> DataFrame:
+    """(session_id, case_id): the cases in the slots of the sets that each session's tokens hold."""
+    held, found = tokens.select("session_id", F.col("token").alias("set_key")), None
+    for level in slots:
+        if found is not None:
+            steps = level.select("prefix", "token", "set_key").distinct()
+            grown = held.select("session_id", F.col("set_key").alias("prefix")).join(steps, "prefix")
+            held = only_keys(grown, tokens, ["session_id", "token"]).select("session_id", "set_key")
+        read = held.join(level.select("set_key", "case_id"), "set_key").select("session_id", "case_id")
+        found = read if found is None else found.unionByName(read)
+    return found.distinct()
+
+
+def _related_matches(profiled: DataFrame, tokens: DataFrame, cases: DataFrame, k: int) -> DataFrame:
+    """Session, case and score of related records; a case left out has ``k`` better ones for the session.
+
+    Say a case shares n tokens with a session. Adding them one by one, either a slot on the way holds all
+    cases of its set, or the slot of min(n, 4) of them is reached: what is left out there is beaten by
+    ``k`` cases of the same kind and freshness that share as many.
+    """
+    # Cases with the same tokens score alike, however many they are.
+    related = top_k(
+        _related_cases(cases).withColumn("_same", F.array_sort("identity")), ["_same", "kind", "freshness"], deadline_order(), k
+    ).drop("_same")
+    related = written_once(related, "related-cases")
     seekers = profiled.filter(F.col("goal_explicit") & (F.col("goal") != "open_claims")).select("session_id", "goal")
-    wanted = tokens.select("session_id", "token").join(seekers.select("session_id"), "session_id", "left_semi")
+    wanted = written_once(only_keys(tokens.select("session_id", "token"), seekers, ["session_id"]).distinct(), "related-tokens")
     # Tokens that no session asks for are left out, so that sets are built over few tokens of a case.
-    case_tokens = only_keys(related.select("case_id", F.explode("identity").alias("token")), wanted, ["token"])
-    frequency = case_tokens.groupBy("token").agg((F.count(F.lit(1)) > hot_df).alias("hot"))
-    tagged = case_tokens.join(frequency, "token")
-    session_tokens = wanted.join(frequency, "token")
-
-    rare = session_tokens.filter(~F.col("hot")).select("session_id", "token").join(
-        tagged.filter(~F.col("hot")).select("token", "case_id"), "token"
-    ).select("session_id", "case_id").distinct()
-
-    # The sets of a case come from its own few tokens; the sets of a session only extend known ones.
-    hot_case = tagged.filter("hot").groupBy("case_id").agg(F.array_sort(F.collect_set("token")).alias("_hot"))
-    sets = hot_case.select("case_id", F.explode(_subsets(F.col("_hot"))).alias("set_key"))
-    slots = written_once(
-        top_k(
-            sets.join(related.drop("identity"), "case_id"), ["set_key", "kind", "freshness"],
-            deadline_order(), k,
-        ).select("set_key", "case_id"),
-        "related-slots",
-    )
-    known = slots.select("set_key").distinct()
-    session_sets = _known_sets(session_tokens.filter("hot").select("session_id", "token"), known)
-    frequent = session_sets.join(slots, "set_key").select("session_id", "case_id").distinct()
-
-    candidates = rare.unionByName(frequent).distinct().join(related, "case_id").join(seekers, "session_id")
+    postings = only_keys(related.select("case_id", "kind", "freshness", "deadline", F.explode("identity").alias("token")), wanted, ["token"])
+    frequency = postings.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+    slots = _set_slots(postings.join(frequency, "token"), k)
+
+    candidates = _slot_cases(wanted, slots).join(related, "case_id").join(seekers, "session_id")
     candidates = candidates.filter(
         F.when(F.col("goal") == "government_redress", F.col("kind") == AGENCY)
         .when(F.col("goal") == "watch_cases", F.col("kind") == DOCKET).otherwise(F.lit(True))
@@ -362,22 +397,6 @@ def _related_matches(profiled: DataFrame, tokens: DataFrame, cases: DataFrame, k
     return shared.select("session_id", "case_id", score.cast("int").alias("score"), "kind", "deadline")
 
 
-def _subsets(tokens: Column) -> Column:
-    """Space-joined subsets of one to four elements of a sorted array."""
-    after = lambda kept: F.filter(tokens, lambda t: t > F.element_at(F.split(kept, " "), -1))
-    extend = lambda sets: F.flatten(
-        F.transform(sets, lambda s: F.transform(after(s), lambda t: F.concat(s, F.lit(" "), t)))
-    )
-    grown = F.aggregate(
-        F.sequence(F.lit(2), F.lit(4)),
-        F.struct(tokens.alias("all"), tokens.alias("last")),
-        lambda acc, _i: F.struct(
-            F.concat(acc["all"], extend(acc["last"])).alias("all"), extend(acc["last"]).alias("last")
-        ),
-    )
-    return grown["all"]
-
-
 # ---- ranking ----
 
 
@@ -406,14 +425,14 @@ def prepare(cases: DataFrame, sessions: DataFrame, texts: DataFrame, tokens: Dat
     )
 
 
-def rank_cases(inputs: MatchInputs, k: int = 3, hot_df: int = 256) -> DataFrame:
+def rank_cases(inputs: MatchInputs, k: int = 3) -> DataFrame:
     """The best ``k`` cases of each session: session_id, rank, case_id, score, kind, signal, layer.
 
     A session without any specific wish has no rows.
     """
     k = max(1, k)
     claims = _claim_matches(inputs.profiled, inputs.hits, inputs.cases, k)
-    related = _related_matches(inputs.profiled, inputs.tokens, inputs.cases, k, hot_df)
+    related = _related_matches(inputs.profiled, inputs.tokens, inputs.cases, k)
     best = _best(claims.unionByName(related), ["session_id"], k, "rank")
     signal = F.lit(BROAD)
     for floor, label in reversed(BANDS):

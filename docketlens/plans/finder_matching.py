@@ -96,7 +96,7 @@ def conversation_matches(spark, folder):
     )
     cases = catalog(spark, folder)
     ready = M.prepare(cases, people, M.keyword_chunks(tokens, M.alias_reach(cases)), tokens)
-    return M.rank_cases(ready, TOP, hot_df=16).select("session_id", "rank", "case_id", "score", "signal")
+    return M.rank_cases(ready, TOP).select("session_id", "rank", "case_id", "score", "signal")
 
 
 def situation_candidates(spark, folder):
