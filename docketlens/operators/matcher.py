@@ -7,8 +7,8 @@ look slots up:
 * reviewed claims: slots of (state, covered year, alias, class), where the class holds the small
   attributes that enter the score. Sessions with equal preferences share one lookup.
 * related records (agency programs, dockets): the score grows with the number of shared identity
-  tokens, up to four. Each token is a slot; where a slot had to leave cases out, sets of its token with
-  further such tokens are slots as well, up to four tokens.
+  tokens, up to four. Each token is a slot; where its slot left cases out that a session may still need,
+  sets of the token with further such tokens are slots as well, up to four tokens.
 
 In both cases a case left out of its slot is beaten by ``k`` cases of that slot, so the result is the
 same as ranking all pairs.
@@ -18,12 +18,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docketlens.functions import finder as N
 from docketlens.functions.text import strip
-from docketlens.operators.keyed import only_keys, running_position, top_k, without_keys
+from docketlens.operators.keyed import global_position, only_keys, running_position, top_k, without_keys
 from docketlens.session import written_once
 
 # Kinds in rank order, reasons, labels, weights and bands.
@@ -324,77 +324,88 @@ def _related_cases(cases: DataFrame) -> DataFrame:
     )
 
 
-def _set_slots(postings: DataFrame, k: int) -> list[DataFrame]:
-    """(prefix, token, set_key, case_id) for each size of token sets: the best ``k`` cases of each set, kind and freshness.
+CLASS = ["kind", "freshness"]
+SEEKER = ["session_id", *CLASS]
 
-    A set is made longer only where its slot left cases out: any other slot has all cases of its set.
-    Sets go from rare to frequent tokens, so that few sets begin with a token that most cases hold.
+
+def _related_score(shared: Column) -> Column:
+    """The score of a related record that shares that many tokens; a row's ``freshness`` counts."""
+    points = F.lit(26) + F.least(F.lit(10), shared * 3) - F.when(F.col("freshness") == "stale", 20).otherwise(0)
+    return points.cast("int")
+
+
+def _best_related(sought: DataFrame, postings: DataFrame, k: int) -> DataFrame:
+    """(session_id, kind, freshness, case_id, deadline, place, score): the best ``k`` cases of each session.
+
+    ``sought`` is (session_id, kind, token), ``postings`` (case_id, kind, freshness, deadline, place, token, df); cases of equal score
+    go by place. The slot of a set of tokens is the first ``k`` of its cases in each class. A case that is in no slot of one
+    token of a session has only tokens whose slots left cases out: it shares at most as many as the session has of
+    those, which bounds its score, and it comes after the last of each of these slots. A session that knows ``k`` cases no such
+    case can beat goes no further; else its sets grow by one token, up to four, from rare to frequent tokens, so that few sets begin
+    with a token that most cases hold.
     """
-    group, own = ["kind", "freshness"], ["case_id", "kind", "freshness", "deadline"]
-    level = postings.select(*own, F.lit("").alias("prefix"), "token", "df", F.col("token").alias("set_key"))
-    slots, further = [], None
-    while True:
-        level = written_once(level, "related-sets")
-        best = top_k(level, ["set_key", *group], deadline_order(), k + 1, "_rank")
-        ranked = written_once(best.select("prefix", "token", "set_key", "case_id", *group, "_rank"), "related-slots")
-        slots.append(ranked.filter(F.col("_rank") <= k).select("prefix", "token", "set_key", "case_id"))
-        cut = ranked.filter(F.col("_rank") > k)
-        if len(slots) == MOST_SHARED or cut.isEmpty():
-            return slots
-        longer = only_keys(level, cut, ["set_key", *group])
-        if further is None:
-            further = longer.select("case_id", F.col("token").alias("_token"), F.col("df").alias("_df"))
+    of_set = ["set_key", *CLASS]
+    tokens = postings.select("token", *CLASS).distinct()
+    held = sought.join(tokens, ["token", "kind"]).select(*SEEKER, F.col("token").alias("set_key"))
+    level, best, further = postings.withColumn("set_key", F.col("token")), None, None
+    for size in range(1, MOST_SHARED + 1):
+        slots = written_once(top_k(level, of_set, [F.col("place")], k + 1, "_rank").select(*of_set, "case_id", "place", "_rank"), "related-slots")
+        read = held.join(slots.filter(F.col("_rank") <= k), of_set).select(*SEEKER, "case_id").distinct()
+        if best is not None:
+            read = without_keys(read, best, ["session_id", "case_id"])
+        counted = (
+            read.join(postings.select("case_id", "deadline", "place", "token"), "case_id").join(sought, ["session_id", "kind", "token"])
+            .groupBy(*SEEKER, "case_id", "deadline", "place").agg(F.count(F.lit(1)).alias("n")).withColumn("score", _related_score(F.col("n"))).drop("n")
+        )
+        known = counted if best is None else best.select(*counted.columns).unionByName(counted)
+        best = written_once(top_k(known, ["session_id"], [F.col("score").desc(), F.col("place")], k, "_rank"), "related-best")
+        if size == MOST_SHARED:
+            break
+        cut = slots.groupBy(*of_set).agg(F.max("_rank").alias("_n"), F.max(F.when(F.col("_rank") == k, F.col("place"))).alias("last")).filter(F.col("_n") > k)
+        left_out = held.join(cut, of_set)
+        if size == 1:
+            left_out = left_out.withColumn("most", F.least(F.count(F.lit(1)).over(Window.partitionBy(*SEEKER)), F.lit(MOST_SHARED)))
+        bar = best.filter(F.col("_rank") == k).select("session_id", F.col("score").alias("_score"), F.col("place").alias("_place"))
+        most = _related_score(F.col("most"))
+        beaten = (F.col("_score") > most) | ((F.col("_score") == most) & (F.col("_place") <= F.col("last")))
+        unsure = written_once(
+            left_out.filter(F.col("most") > size).join(bar, "session_id", "left").filter(~F.coalesce(beaten, F.lit(False))).select(*SEEKER, "set_key", "most"),
+            "related-unsure",
+        )
+        if size == 1:
+            # A case no session can do without has several tokens of which the same session is unsure.
+            further = only_keys(level, unsure, of_set).select("case_id", F.col("token").alias("_token"), F.col("df").alias("_df"))
         after = (F.col("_df") > F.col("df")) | ((F.col("_df") == F.col("df")) & (F.col("_token") > F.col("token")))
-        level = longer.join(further, "case_id").filter(after).select(
-            *own, F.col("set_key").alias("prefix"), F.col("_token").alias("token"), F.col("_df").alias("df"),
-            F.concat_ws(" ", "set_key", "_token").alias("set_key"),
+        level = written_once(
+            only_keys(level, unsure, of_set).join(further, "case_id").filter(after).select(
+                "case_id", *CLASS, "place", F.col("set_key").alias("prefix"), F.col("_token").alias("token"), F.col("_df").alias("df"),
+                F.concat_ws(" ", "set_key", "_token").alias("set_key"),
+            ),
+            "related-sets",
         )
-
-
-def _slot_cases(tokens: DataFrame, slots: list[DataFrame]) -> DataFrame:
-    """(session_id, case_id): the cases in the slots of the sets that each session's tokens hold."""
-    held, found = tokens.select("session_id", F.col("token").alias("set_key")), None
-    for level in slots:
-        if found is not None:
-            steps = level.select("prefix", "token", "set_key").distinct()
-            grown = held.select("session_id", F.col("set_key").alias("prefix")).join(steps, "prefix")
-            held = only_keys(grown, tokens, ["session_id", "token"]).select("session_id", "set_key")
-        read = held.join(level.select("set_key", "case_id"), "set_key").select("session_id", "case_id")
-        found = read if found is None else found.unionByName(read)
-    return found.distinct()
+        if level.isEmpty():
+            break
+        steps = level.select("prefix", "token", *of_set).distinct()
+        grown = unsure.withColumnRenamed("set_key", "prefix").join(steps, ["prefix", *CLASS])
+        held = only_keys(grown, sought, ["session_id", "kind", "token"]).select(*SEEKER, "set_key", "most")
+    return best.drop("_rank")
 
 
 def _related_matches(profiled: DataFrame, tokens: DataFrame, cases: DataFrame, k: int) -> DataFrame:
-    """Session, case and score of related records; a case left out has ``k`` better ones for the session.
-
-    Say a case shares n tokens with a session. Adding them one by one, either a slot on the way holds all
-    cases of its set, or the slot of min(n, 4) of them is reached: what is left out there is beaten by
-    ``k`` cases of the same kind and freshness that share as many.
-    """
+    """The ``k`` best related records of each session, with their scores."""
     # Cases with the same tokens score alike, however many they are.
-    related = top_k(
-        _related_cases(cases).withColumn("_same", F.array_sort("identity")), ["_same", "kind", "freshness"], deadline_order(), k
-    ).drop("_same")
-    related = written_once(related, "related-cases")
-    seekers = profiled.filter(F.col("goal_explicit") & (F.col("goal") != "open_claims")).select("session_id", "goal")
-    wanted = written_once(only_keys(tokens.select("session_id", "token"), seekers, ["session_id"]).distinct(), "related-tokens")
+    related = top_k(_related_cases(cases).withColumn("_same", F.array_sort("identity")), ["_same", *CLASS], deadline_order(), k)
+    related = global_position(related.drop("_same"), [kind_rank(F.col("kind")), *deadline_order()], "place")
+    kinds = F.when(F.col("goal") == "government_redress", F.array(F.lit(AGENCY))).when(
+        F.col("goal") == "watch_cases", F.array(F.lit(DOCKET))
+    ).otherwise(F.array(F.lit(AGENCY), F.lit(DOCKET)))
+    seekers = profiled.filter(F.col("goal_explicit") & (F.col("goal") != "open_claims")).select("session_id", F.explode(kinds).alias("kind"))
+    sought = written_once(tokens.select("session_id", "token").join(seekers, "session_id").distinct(), "related-tokens")
     # Tokens that no session asks for are left out, so that sets are built over few tokens of a case.
-    postings = only_keys(related.select("case_id", "kind", "freshness", "deadline", F.explode("identity").alias("token")), wanted, ["token"])
+    postings = only_keys(related.withColumn("token", F.explode("identity")).drop("identity"), sought, ["kind", "token"])
     frequency = postings.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-    slots = _set_slots(postings.join(frequency, "token"), k)
-
-    candidates = _slot_cases(wanted, slots).join(related, "case_id").join(seekers, "session_id")
-    candidates = candidates.filter(
-        F.when(F.col("goal") == "government_redress", F.col("kind") == AGENCY)
-        .when(F.col("goal") == "watch_cases", F.col("kind") == DOCKET).otherwise(F.lit(True))
-    )
-    shared = (
-        candidates.select("session_id", "case_id", "kind", "freshness", "deadline", F.explode("identity").alias("token"))
-        .join(wanted, ["session_id", "token"])
-        .groupBy("session_id", "case_id", "kind", "freshness", "deadline").agg(F.count(F.lit(1)).alias("n"))
-    )
-    score = F.lit(26) + F.least(F.lit(10), F.col("n") * 3) - F.when(F.col("freshness") == "stale", 20).otherwise(0)
-    return shared.select("session_id", "case_id", score.cast("int").alias("score"), "kind", "deadline")
+    best = _best_related(sought, written_once(postings.join(frequency, "token"), "related-postings"), k)
+    return best.select("session_id", "case_id", "score", "kind", "deadline")
 
 
 # ---- ranking ----
