@@ -213,6 +213,26 @@ def unify(*layers: DataFrame) -> DataFrame:
     return whole
 
 
+CRITERIA_COLUMNS = [
+    "aliases", "issue_types", "situations", "eligible_states", "covered_start", "covered_end", "notice_required", "recognition_label",
+]
+
+
+def finder_cases(catalog: DataFrame, criteria: DataFrame) -> DataFrame:
+    """The unified catalog as the finder's cases: FINDER_CASE with ``id`` as ``case_id``.
+
+    ``criteria`` has at most one row for each reviewed case: its ``id`` and the columns of ``CRITERIA_COLUMNS``. A case
+    without one, as every agency record and docket, is never matched by aliases, places, years or situations. A deadline that is no
+    time counts as none.
+    """
+    reviewed = criteria.select(F.col("id").alias("_id"), *CRITERIA_COLUMNS)
+    cases = catalog.select("id", "company", "title", "kind", "window_status", "freshness", F.col("deadline").try_cast("timestamp").alias("deadline"), "proof")
+    return cases.join(reviewed, cases["id"] == reviewed["_id"], "left").select(
+        F.col("id").alias("case_id"), *cases.columns[1:], *[c for c in CRITERIA_COLUMNS if c not in ("notice_required", "recognition_label")],
+        F.coalesce("notice_required", F.lit(False)).alias("notice_required"), F.col("_id").isNotNull().alias("has_criteria"), "recognition_label",
+    )
+
+
 # ---- browsing ----
 
 SEARCHED = ["company", "title", "category", "eligibility", "jurisdiction", "case_number", "discovery_source_name", "kind"]

@@ -199,10 +199,10 @@ _PEOPLE = f"""people AS (
   FROM (SELECT *, 1 + c_custkey % (SELECT count(*) FROM part) AS part_no FROM customer) LEFT JOIN part ON p_partkey = part_no)"""
 
 
-def _sql_ranked(people: str) -> str:
+def _sql_ranked(people: str, cases: str = _CASES) -> str:
     label = "CASE e " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in M.ISSUE_LABELS.items()) + " END"
     return f"""
-WITH {people}, {_CASES},
+WITH {people}, {cases},
 prefs AS (
   SELECT *, coalesce({_CODES}[upper(trim(said))], {_norm('trim(said)')}) AS place,
     list_filter(all_tokens, lambda t, i: list_position(all_tokens, t) = i) AS tokens,
