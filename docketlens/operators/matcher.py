@@ -533,10 +533,12 @@ def coerce_situations(situations: Column) -> Column:
 
 def situation_candidates(cases: DataFrame, as_of: Column) -> DataFrame:
     """(situation, case_id, deadline) of reviewed open claims; ``not_sure`` admits all of them."""
+    return _prompts(cases.filter(is_reviewed_open(as_of)).select("case_id", "deadline", "situations"))
+
+
+def _prompts(offered: DataFrame) -> DataFrame:
     every = F.array_union(F.col("situations"), F.array(F.lit("not_sure")))
-    return cases.filter(is_reviewed_open(as_of)).select(
-        F.explode(every).alias("situation"), "case_id", "deadline"
-    )
+    return offered.withColumn("situation", F.explode(every)).select("situation", *[c for c in offered.columns if c != "situations"])
 
 
 def _choices(sessions: DataFrame) -> DataFrame:
@@ -544,33 +546,30 @@ def _choices(sessions: DataFrame) -> DataFrame:
 
 
 def _recognized_prompts(prompts: DataFrame, chosen: DataFrame, recognized: DataFrame) -> DataFrame:
-    """(session_id, case_id, deadline): the prompted ones of the cases that a session recognized."""
+    """The prompted ones of the cases that a session recognized: session_id and the columns of a prompt's case."""
     marked = recognized.select("session_id", "case_id").distinct().join(chosen, "session_id")
     admitted = marked.select("session_id", "case_id", F.explode("chosen").alias("situation")).join(prompts, ["situation", "case_id"])
-    return admitted.select("session_id", "case_id", "deadline").distinct()
-
-
-def _deadline_block() -> Column:
-    """A number that does not decrease along ``deadline_order``: the day of the deadline, none last."""
-    return F.coalesce(F.unix_date(F.to_date("deadline")), F.lit((1 << 31) - 1))
+    return admitted.select("session_id", *[c for c in prompts.columns if c != "situation"]).distinct()
 
 
 def candidate_lists(
-    cases: DataFrame, sessions: DataFrame, recognized: DataFrame, as_of: Column
+    cases: DataFrame, sessions: DataFrame, recognized: DataFrame, as_of: Column, block: int = 1 << 16
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """All prompted cases of all sessions in deadline order, without a cap, as three tables.
 
     (chosen, rank, case_id, deadline): the list of each distinct choice of situations; (session_id, chosen): whose list it
-    is, for sessions that recognized no case; (session_id, rank, case_id, deadline): the others' recognized cases. Lists are
-    numbered day by day of the deadline, and no session is multiplied by the catalog.
+    is, for sessions that recognized no case; (session_id, rank, case_id, deadline): the others' recognized cases. The open
+    cases are placed in one order first, and lists are numbered by ``block`` places at a time, so that no day of deadlines, nor the
+    cases without one, is one task's work; no session is multiplied by the catalog.
     """
-    prompts, chosen = situation_candidates(cases, as_of), _choices(sessions)
+    offers = cases.filter(is_reviewed_open(as_of)).select("case_id", "deadline", "situations")
+    prompts, chosen = _prompts(global_position(offers, deadline_order(), "_place")), _choices(sessions)
     choices = without_keys(chosen, recognized, ["session_id"])
     # A case stands in a list once, whichever of its situations were chosen.
     offered = choices.select("chosen").distinct().select("chosen", F.explode("chosen").alias("situation")).join(prompts, "situation")
-    lists = running_position(offered.select("chosen", "case_id", "deadline").distinct(), ["chosen"], deadline_order(), _deadline_block(), "rank")
-    own = running_position(_recognized_prompts(prompts, chosen, recognized), ["session_id"], deadline_order(), _deadline_block(), "rank")
-    return lists, choices, own
+    offered = offered.drop("situation").distinct()
+    numbered = lambda rows, key: running_position(rows, [key], [F.col("_place")], F.floor(F.col("_place") / block), "rank").drop("_place")
+    return numbered(offered, "chosen"), choices, numbered(_recognized_prompts(prompts, chosen, recognized), "session_id")
 
 
 def session_candidates(
