@@ -9,18 +9,19 @@ from docketlens.functions.text import WHITESPACE, WORD_END, WORD_START, bind, ma
 from docketlens.functions.wording import first_match
 
 # Word lists, state names and patterns, in deciding order.
-STOP_WORDS = (
-    "a about an and are case cases claim claims connected do find for from had have i in is me my of "
-    "on or please relevant show that the to used want what which with"
-).split()
-GENERIC_WORDS = (
-    "act action now received notice documents needed need everything government refund redress "
-    "lawsuit watch open settlement data breach"
-).split()
-GENERIC_IDENTITY_WORDS = (
-    "action bank case class company complaint consumer corp corporation federal group inc lawsuit llc "
-    "privacy service services settlement"
-).split()
+STOP_WORDS = [
+    "a", "about", "an", "and", "are", "case", "cases", "claim", "claims", "connected", "do", "find", "for",
+    "from", "had", "have", "i", "in", "is", "me", "my", "of", "on", "or", "please", "relevant", "show",
+    "that", "the", "to", "used", "want", "what", "which", "with",
+]
+GENERIC_WORDS = [
+    "act", "action", "now", "received", "notice", "documents", "needed", "need", "everything", "government",
+    "refund", "redress", "lawsuit", "watch", "open", "settlement", "data", "breach",
+]
+GENERIC_IDENTITY_WORDS = [
+    "action", "bank", "case", "class", "company", "complaint", "consumer", "corp", "corporation", "federal",
+    "group", "inc", "lawsuit", "llc", "privacy", "service", "services", "settlement",
+]
 STATES = {
     "AL": "alabama", "AK": "alaska", "AZ": "arizona", "AR": "arkansas", "CA": "california",
     "CO": "colorado", "CT": "connecticut", "DE": "delaware", "DC": "district of columbia",
