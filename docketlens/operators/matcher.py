@@ -399,13 +399,23 @@ def _related_matches(profiled: DataFrame, tokens: DataFrame, cases: DataFrame, k
     kinds = F.when(F.col("goal") == "government_redress", F.array(F.lit(AGENCY))).when(
         F.col("goal") == "watch_cases", F.array(F.lit(DOCKET))
     ).otherwise(F.array(F.lit(AGENCY), F.lit(DOCKET)))
-    seekers = profiled.filter(F.col("goal_explicit") & (F.col("goal") != "open_claims")).select("session_id", F.explode(kinds).alias("kind"))
-    sought = written_once(tokens.select("session_id", "token").join(seekers, "session_id").distinct(), "related-tokens")
+    seekers = profiled.filter(F.col("goal_explicit") & (F.col("goal") != "open_claims")).select("session_id", "goal")
+    # Sessions of one goal that hold the same tokens of cases share one search, that of the least of them.
+    held = only_keys(tokens.select("session_id", "token"), related.select(F.explode("identity").alias("token")), ["token"])
+    wishes = written_once(
+        held.join(seekers, "session_id").groupBy("session_id", "goal").agg(F.array_sort(F.collect_set("token")).alias("tokens")), "related-wishes"
+    )
+    asks = wishes.groupBy("goal", "tokens").agg(F.min("session_id").alias("ask"))
+    sought = written_once(
+        asks.select(F.col("ask").alias("session_id"), "tokens", F.explode(kinds).alias("kind")).withColumn("token", F.explode("tokens")).drop("tokens"),
+        "related-tokens",
+    )
     # Tokens that no session asks for are left out, so that sets are built over few tokens of a case.
     postings = only_keys(related.withColumn("token", F.explode("identity")).drop("identity"), sought, ["kind", "token"])
     frequency = postings.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
     best = _best_related(sought, written_once(postings.join(frequency, "token"), "related-postings"), k)
-    return best.select("session_id", "case_id", "score", "kind", "deadline")
+    members = wishes.join(asks, ["goal", "tokens"]).select("session_id", "ask")
+    return best.withColumnRenamed("session_id", "ask").join(members, "ask").select("session_id", "case_id", "score", "kind", "deadline")
 
 
 # ---- ranking ----
