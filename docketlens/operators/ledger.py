@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docketlens.functions.text import null_if_blank, strip
+from docketlens.functions.text import bind, null_if_blank, strip
 from docketlens.operators.keyed import fill_forward, keep_first, keep_last, only_keys, previous_row, running_position, top_k, without_keys
 
 # Statuses and their classes.
@@ -42,14 +42,20 @@ def status_tone(status: Column) -> Column:
 
 def to_cents(amount: Column) -> Column:
     """Amount text to whole cents; blank, unreadable and negative amounts and those beyond exact cents are null."""
-    text = strip(amount)
-    number = F.when(text.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"), text.try_cast("double"))
-    cents = F.floor(number * 100 + 0.5)
-    return F.when((number >= 0) & (number <= MAX_SAFE_CENTS / 100), F.when(cents <= MAX_SAFE_CENTS, cents.cast("bigint")))
 
+    def whole(number: Column) -> Column:
+        cents = F.floor(number * 100 + 0.5)
+        return F.when((number >= 0) & (number <= MAX_SAFE_CENTS / 100), F.when(cents <= MAX_SAFE_CENTS, cents.cast("bigint")))
 
-def invalid_amount(amount: Column) -> Column:
-    return (strip(amount) != "") & to_cents(amount).isNull()
+    def read(text: Column) -> Column:
+        return bind(F.when(text.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"), text.try_cast("double")), whole)
+
+    return bind(strip(amount), read)
+
+
+def invalid_amount(amount: Column, cents: Column | None = None) -> Column:
+    """Whether a text that is not blank is no amount; ``cents``: its ``to_cents``, where that is known already."""
+    return (strip(amount) != "") & (to_cents(amount) if cents is None else cents).isNull()
 
 
 def refusal(invalid_amount: Column) -> Column:
@@ -133,16 +139,14 @@ def apply_operations(operations: DataFrame, order: list[Column], block: Column)
                 chain = F.when(here, _set(sets[column])) if chain is None else chain.when(here, _set(sets[column]))
         return chain.alias(column)
 
-    position = F.struct(*order)
-    outcome = lambda status: F.when((F.col("operation") == "outcome") & (F.col("status") == status), position)
-    offers = operations.groupBy("claim_id").agg(
-        F.min(outcome("approved")).alias("_approved_from"), F.min_by("at", outcome("approved")).alias("_approved_at"),
-        F.min(outcome("paid")).alias("_paid_from"), F.min_by("at", outcome("paid")).alias("_paid_at"),
-    )
+    outcome = lambda status: F.when((F.col("operation") == "outcome") & (F.col("status") == status), _set(F.col("at")))
     kept = [c for c in ("claim_id", "user_id", "case_id", "seq", "at") if c in operations.columns]
-    rows = operations.select(*kept, *[patched(c) for c in VERSION_COLUMNS])
-    filled = fill_forward(rows, ["claim_id"], order, block, VERSION_COLUMNS).join(offers, "claim_id")
-    offered = lambda name: F.when(position >= F.col(f"_{name}_from"), F.col(f"_{name}_at"))
+    rows = operations.select(
+        *kept, *[patched(c) for c in VERSION_COLUMNS], outcome("approved").alias("_approved_offer"), outcome("paid").alias("_paid_offer")
+    )
+    # The first outcome of a kind offers its time to every version from there on.
+    filled = fill_forward(rows, ["claim_id"], order, block, VERSION_COLUMNS, ("_approved_offer", "_paid_offer"))
+    offered = lambda name: F.col(f"_{name}_offer.value")
     values = {c: F.col(f"{c}.value") for c in VERSION_COLUMNS}
     values["approved_at"] = F.coalesce(values["approved_at"], offered("approved"))
     values["paid_at"] = F.coalesce(values["paid_at"], offered("paid"))

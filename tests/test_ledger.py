@@ -176,3 +176,19 @@ def test_listings_are_newest_first_and_notes_are_checked(spark):
         1: ("note_added", None, 4), 2: (None, "note_required", 0), 3: (None, "note_required", 0),
         4: (None, "note_too_long", 0), 5: ("note_added", None, 5000),
     }
+
+
+def test_operations_are_parsed_once_a_scan(spark):
+    """Props and amounts are parsed in one place of the plan for each of two scans, and claims are joined with nothing but their blocks."""
+    from docketlens.plans import claim_ledger
+
+    plan = claim_ledger.ledger_apply(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("get_json_object(") == 2 and plan.count("try_cast") + plan.count("double") < 30
+    assert plan.count("Join ") == 1
+
+
+def test_first_outcome_offers_its_time_across_blocks(spark):
+    days = [{"operation": "outcome", "status": "approved", "approved_cents": 1, "source": "user_reported"}, *[{"operation": "note", "note": "n"}] * 30]
+    log = versions(spark, *days, {"operation": "outcome", "status": "approved"}, {"operation": "outcome", "status": "paid"}).orderBy("seq").collect()
+    assert {r["approved_at"] for r in log} == {at(0)}
+    assert [r["paid_at"] for r in log[-2:]] == [None, at(32)]
