@@ -11,7 +11,7 @@ from docketlens.operators import catalog as C
 from docketlens.operators import lifecycle as L
 from docketlens.operators import run_state as R
 from docketlens.operators import survival as S
-from docketlens.operators.audited import publish_lifecycles
+from docketlens.operators.audited import publish_staged, stage_rows
 from docketlens.operators.keyed import keep_last
 from docketlens.plans import catalog_browsing, docket_survival, source_lifecycle
 from docketlens.plans.source_lifecycle import CONTENT, PARSE_FLOOR, PERIODS, period_rows
@@ -87,6 +87,8 @@ def published_versions(spark, folder):
 
 # ---- audited lifecycles ----
 
+#: What a collapse reads of the classified rows, beside their order.
+CLASSIFIED = ["is_class", "pending", "filed", "terminated", "row_status", "docket_key", "DISP", "MDLDOCK", "TRCLACT", "ORIGIN"]
 LIFE = "docket_key string, filed_at date, final_terminated_at date, pending boolean, lifecycle_days int, settled boolean, n_rows bigint"
 
 
@@ -95,11 +97,13 @@ def audited_lifecycles(spark, folder):
     lost = lambda rows, *how: S.collapse_dockets(rows.filter(~((F.col("row_status") == "valid") & (F.col("l_linenumber") == 2))), *how)
     endless = lambda rows, *how: S.collapse_dockets(rows, *how).withColumn("final_terminated_at", F.when(F.col("n_rows") > 1, F.col("final_terminated_at")))
     catalog = Publication(f"{run_dir(spark, 'audited')}/lives", LIFE)
-    classified = S.classify_rows(S.class_rows(docket_survival.extract_rows(spark, folder)), docket_survival.SNAPSHOT)
+    rows = S.classify_rows(S.class_rows(docket_survival.extract_rows(spark, folder)), docket_survival.SNAPSHOT)
+    # The runs differ in their collapse alone, so the extract is joined, parsed and written once for them.
+    staged = stage_rows(rows.select(*CLASSIFIED, *docket_survival.ORDER), catalog, "extract")
     outcomes = []
     for run, collapse in (("good", S.collapse_dockets), ("lossy", lost), ("endless", endless)):
         try:
-            publish_lifecycles(classified, catalog, run, docket_survival.ORDER, docket_survival.SNAPSHOT, collapse)
+            publish_staged(staged, catalog, run, docket_survival.ORDER, docket_survival.SNAPSHOT, collapse)
             broken = ""
         except Refused as refused:
             broken = ",".join(refused.broken)
