@@ -7,7 +7,7 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docketlens.functions.dates import days_to_months, extract_date
+from docketlens.functions.dates import days_to_months, stripped_date
 from docketlens.functions.text import strip
 from docketlens.operators.keyed import computed_once
 
@@ -69,17 +69,20 @@ def classify_rows(rows: DataFrame, snapshot: str) -> DataFrame:
     """
     field = lambda name: strip(F.coalesce(F.col(name), F.lit("")))
     end = snapshot_literal(snapshot)
-    is_class = field("CLASSACT") == "1"
-    pending = (field("STATUSCD") == "S") | (field("TAPEYEAR") == "2099")
-    base = computed_once(
+    # Two generators: what is inside one is written out as often as it is named there.
+    stripped = computed_once(
         rows,
-        is_class=is_class,
-        pending=pending,
-        # Dates are parsed for class rows only, a fiftieth of a real extract.
-        filed=F.when(is_class, extract_date(F.col("FILEDATE"))),
-        terminated=F.when(is_class & ~pending, extract_date(F.col("TERMDATE"))),
+        is_class=field("CLASSACT") == "1",
+        pending=(field("STATUSCD") == "S") | (field("TAPEYEAR") == "2099"),
+        _filing=strip(F.col("FILEDATE")),
         raw_termination=field("TERMDATE"),
     )
+    base = computed_once(
+        stripped,
+        # Dates are parsed for class rows only, a fiftieth of a real extract.
+        filed=F.when(F.col("is_class"), stripped_date(F.col("_filing"))),
+        terminated=F.when(F.col("is_class") & ~F.col("pending"), stripped_date(F.col("raw_termination"))),
+    ).drop("_filing")
     blank = F.col("raw_termination").isin("", "-8")
     last = F.when(F.col("pending"), end).otherwise(F.col("terminated"))
     status = (

@@ -174,3 +174,14 @@ def test_a_docket_that_is_not_pending_must_have_an_end(spark):
     S.check_lifecycles(lives)
     with pytest.raises(ValueError, match="has no end"):
         S.check_lifecycles(lives.withColumn("pending", F.lit(False)))
+
+
+def test_rows_are_parsed_once(spark):
+    """Each raw cell is stripped once for all that is derived from it, and three audited runs join the extract once."""
+    from docketlens.plans import docket_survival, published
+
+    plan = docket_survival.lifecycles(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    generators = [line for line in plan.splitlines() if "Generate inline" in line]
+    assert len(generators) == 2 and all(line.count("btrim") + line.count("trim(both") <= 5 for line in generators)
+    told = published.audited_lifecycles(spark, "/root/testdata/sf0.001")
+    assert "Join" not in told._jdf.queryExecution().optimizedPlan().toString() and told.count() == 3
