@@ -312,3 +312,18 @@ def test_texts_of_marks_are_not_drawn(spark):
     marks = [("en", "!?; " * (i % 7 + 1) + "-" * i) for i in range(300)] + [("en", "some words"), ("de", "ein paar"), ("zz", "..."), ("é", "é")]
     found = language_id.learn(spark.createDataFrame(marks, "lang string, text string"), "lang", "text")
     assert dict(found) == {"en": b"some words", "de": b"ein paar", "é": "é".encode()}
+
+
+def test_toxicity_learns_from_every_labelled_row(spark, monkeypatch):
+    """No sample is drawn, every row that is not judged by is counted, and neither files nor tasks change the network."""
+    monkeypatch.setattr(toxicity, "draw_training", None)
+    monkeypatch.setattr(toxicity, "BLOCK_ROWS", 100)
+    docs = spark.range(400).selectExpr("id doc_id", "concat('word', id % 7, IF(id % 4 = 0, ' rude', ' kind'), ' only', id) text", "'en' lang")
+    labels = docs.selectExpr("doc_id", "int(doc_id % 4 = 0) toxic")
+    net = toxicity.fit(docs, labels, "doc_id", "text", "lang", "toxic")
+    again = toxicity.fit(docs.repartition(7, "text"), labels.repartition(3), "doc_id", "text", "lang", "toxic")
+    assert np.array_equal(net.table, again.table) and net.cuts == again.cuts and net.bias == again.bias
+    scorer = toxicity.Scorer(net)
+    assert scorer.score(b"word1 rude only9") > 0.5 > scorer.score(b"word1 kind only9")
+    seen = [net.known_words[toxicity.units(f"only{i}".encode())[0]] for i in range(400)]
+    assert 280 < sum(seen) < 320
