@@ -132,3 +132,12 @@ def test_stream_resumes_and_repeated_batches_take_effect_once(spark, tmp_path):
     (pages / "c.json").write_text(page())
     stream.run(spark, str(pages), lambda b: stamps[b], degraded=lambda b: b == 2)
     assert {r["freshness"] for r in stream.current(spark).collect()} == {"stale"}
+
+
+def test_descriptions_are_read_as_they_are(spark):
+    """Only a header is cleaned, however much white space it has; no whole text is folded or cleaned to be judged."""
+    assert "lower(" not in str(D.is_class_complaint(F.col("d")))
+    far = "Complaint" + " \t\n" * 3000 + "for a class  \taction"
+    cut = "Complaint " + "x" * 585 + " class action"
+    rows = spark.createDataFrame([(far,), (cut,), (" Third\n Amended  complaint, class action",), ("so a CLASS \t and\ncollective  Action　complaint",), ("subclass action complaint",), (None,)], "d string")
+    assert [r[0] for r in rows.select(D.is_class_complaint(F.col("d"))).collect()] == [True, False, True, True, False, False]
