@@ -133,7 +133,7 @@ class BucketedState:
 
 @contextlib.contextmanager
 def rocksdb_store(spark: SparkSession) -> Iterator[None]:
-    """Queries started inside keep their state in RocksDB, as ``transformWithState`` asks for."""
+    """Queries started inside keep their state in RocksDB, which does not hold it all in memory."""
     name = "spark.sql.streaming.stateStore.providerClass"
     before = spark.conf.get(name, None)
     spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")

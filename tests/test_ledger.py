@@ -81,6 +81,30 @@ def test_activity_stream_equals_the_batch(spark, tmp_path):
     assert streamed == sorted((e["event_type"], e["occurred_at"]) for e in events(log))
 
 
+def test_activity_stream_keeps_claims_by_buckets(spark, tmp_path, monkeypatch):
+    from docketlens.streaming import activity_stream
+
+    monkeypatch.setattr(activity_stream, "BUCKETS", 2)
+    log = versions(
+        spark, *[{"claim_id": f"k{i % 5}", "operation": "payment" if i % 3 else "status", "status": "started", "received_cents": i} for i in range(40)]
+    ).select(*[c.split()[0] for c in VERSION.split(", ")])
+    stream, files = ActivityStream(str(tmp_path / "state")), str(tmp_path / "versions")
+    for low, high in ((0, 3), (3, 25), (25, 40)):
+        log.filter((F.col("seq") >= low) & (F.col("seq") < high)).repartition(3).write.mode("append").parquet(files)
+        query = stream.run(spark, files)
+    assert [o["numRowsTotal"] for p in query.recentProgress for o in p["stateOperators"]][-1] == 2
+    shown = ["claim_id", "event_type", "amount_cents", "occurred_at"]
+    batch = L.claim_activity(log, [F.col("seq")], F.lit(0)).select(*shown)
+    assert sorted(map(repr, stream.events(spark).select(*shown).collect())) == sorted(map(repr, batch.collect()))
+
+
+def test_a_claim_is_few_blocks(spark):
+    from docketlens.plans import claim_ledger
+
+    operated = claim_ledger.operations(spark, "/root/testdata/sf0.001").select("claim_id", claim_ledger._block().alias("block"))
+    assert operated.distinct().count() == operated.select("claim_id").distinct().count()
+
+
 @pytest.mark.parametrize("text, cents", [("12.5", 1250), (" 3 ", 300), ("", None), ("abc", None), ("-1", None), ("1e2", 10000), ("0.005", 1), (None, None), ("12.5d", None)])
 def test_cents(spark, text, cents):
     assert spark.createDataFrame([(text,)], "t string").select(L.to_cents(F.col("t"))).first()[0] == cents
