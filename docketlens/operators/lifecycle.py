@@ -49,6 +49,15 @@ def refresh(
         .join(status, "source_id")
         .join(past, "record_id", "left")
     )
+    return label(joined, content, checked_at, report_recovery)
+
+
+def label(joined: DataFrame, content: list[str], checked_at: str, report_recovery: bool = True, extra: tuple[str, ...] = ()) -> DataFrame:
+    """The second half of ``refresh``, over KEY, ``status`` and a record as observed (``n``), in the prior snapshot (``p``) and in history (``h``).
+
+    ``extra`` names columns to keep.
+    """
+    fields = [*content, *STATE]
     new, had = F.col("n").isNotNull(), F.col("p").isNotNull()
     base = F.coalesce("p", "h")
     now = F.lit(checked_at)
@@ -92,6 +101,7 @@ def refresh(
         F.when(F.col("transition") == "changed", F.col("changes")).otherwise(
             F.expr("array()").cast("array<struct<field:string,before:string,after:string>>")
         ).alias("changes"),
+        *extra,
     )
 
 
@@ -108,8 +118,8 @@ def event_snapshot(content: list[str]) -> Column:
     return canonical_json({c: F.col(c) for c in ["record_id", "source_id", *content, *STATE, *STAMPS]})
 
 
-def lifecycle_events(refreshed: DataFrame, content: list[str], checked_at: str) -> DataFrame:
-    """Append-only events of the run: discovered, changed, reactivated and deactivated."""
+def lifecycle_events(refreshed: DataFrame, content: list[str], checked_at: str, snapshot: Column | None = None) -> DataFrame:
+    """Append-only events of the run: discovered, changed, reactivated and deactivated; ``snapshot``: their ``event_snapshot``, where it is known."""
     now = F.lit(checked_at)
     return refreshed.filter(is_event(F.col("transition"))).select(
         lifecycle_event_id(F.col("record_id"), F.col("transition"), now, F.col("changes")).alias("event_id"),
@@ -118,7 +128,7 @@ def lifecycle_events(refreshed: DataFrame, content: list[str], checked_at: str)
         F.col("transition").alias("type"),
         now.alias("occurred_at"),
         "changes",
-        event_snapshot(content).alias("snapshot"),
+        (event_snapshot(content) if snapshot is None else snapshot).alias("snapshot"),
     )
 
 

@@ -7,12 +7,13 @@ records and the events of its run under its own number: a retried batch reads th
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docketlens.operators import lifecycle as L
-from docketlens.operators.keyed import keep_last
+from docketlens.operators.keyed import computed_once
 from docketlens.operators.run_state import with_last_complete
+from docketlens.session import literal_rows, no_rows
 from docketlens.sources.publication import Publication
 from docketlens.sources.schemas import CHANGES
 from docketlens.streaming.state import DeltaState, run_available
@@ -46,27 +47,34 @@ class LifecycleStream:
         """Apply one check (``CHECK``) as a version."""
         now = check["checked_at"]
         before = self.catalog.latest(spark, version)
-        known = self.catalog.read(spark, before) if before is not None else spark.createDataFrame([], self.catalog.schema)
-        sources = spark.createDataFrame(check["sources"], SOURCE)
-        checked = L.check_sources(sources, self.minimum_share)
+        known = self.catalog.read(spark, before) if before is not None else no_rows(spark, self.catalog.schema)
+        checked = L.check_sources(literal_rows(spark, check["sources"], SOURCE), self.minimum_share)
         status = checked.select("source_id", "status")
         observed = spark.read.schema("source_id string, record_id string, " + ", ".join(f"{c} string" for c in self.content)).parquet(check["path"])
-        parsed = lambda c: F.from_json(c, self.state)
-        past = known.filter("event is not null").select("record_id", parsed("event").alias("e")).select("record_id", "e.*")
-        historical = keep_last(past, ["record_id"], [F.col("last_changed_at")])
-        refreshed = L.refresh(observed, known.filter("listed"), historical, status, self.content, now, self.report_recovery)
-        events = known.select(*L.KEY, F.col("event").alias("_event"))
-        told = refreshed.join(events, L.KEY, "left").withColumns({
-            "event": F.when(L.is_event(F.col("transition")), L.event_snapshot(self.content)).otherwise(F.col("_event")),
-            "listed": F.col("transition") != "deactivated",
-        }).drop("_event")
+        seen = observed.join(status.filter("status = 'ok'"), "source_id", "left_semi").select(*L.KEY, F.struct(*self.content).alias("n"))
+        old = known.select(*L.KEY, F.struct(*[c for c in known.columns if c not in L.KEY]).alias("k"))
+        # Every known record meets what is observed of it once; what its id was last told as, whatever the source, is looked for in the same rows.
+        met = seen.join(old, L.KEY, "full_outer").join(status, "source_id", "left")
+        told_at = F.when(F.col("k.event").isNotNull(), F.col("k.last_changed_at"))
+        held = F.when(F.col("k.listed") & F.col("status").isNotNull(), F.struct(*[F.col(f"k.{c}") for c in [*self.content, *L.STATE, *L.STAMPS]]))
+        met = met.withColumns({"p": held, "_told": F.max_by("k.event", told_at).over(Window.partitionBy("record_id"))})
+        # Only a record that comes is compared with its event: no other event is parsed.
+        comes = F.col("n").isNotNull() & F.col("p").isNull()
+        met = computed_once(met, h=F.from_json(F.when(comes, F.col("_told")), self.state))
         # What this check does not touch: records no longer listed, and those of a source it does not name, which leave the list.
-        rest = known.join(refreshed.select(*L.KEY), L.KEY, "left_anti").withColumns({"transition": F.lit("absent"), "listed": F.lit(False)})
+        met = met.withColumn("_absent", F.col("n").isNull() & F.col("p").isNull())
+        labelled = L.label(met, self.content, now, self.report_recovery, ("k", "_absent"))
+        kept = {c: F.when(F.col("_absent"), F.col(f"k.{c}")).otherwise(F.col(c)) for c in [*self.content, *L.STATE, *L.STAMPS, "changes"]}
+        transition = F.when(F.col("_absent"), "absent").otherwise(F.col("transition"))
+        labelled = labelled.withColumns({**kept, "transition": transition}).withColumns({
+            "event": F.when(L.is_event(F.col("transition")), L.event_snapshot(self.content)).otherwise(F.col("k.event")),
+            "listed": ~F.col("transition").isin("absent", "deactivated"),
+        })
         columns = ["source_id", "record_id", "transition", *self.content, *L.STATE, *L.STAMPS, "changes", "listed", "event"]
         kinds = ["discovered", "changed", "reactivated", "deactivated", "retained", "unchanged"]
         counts = {kind: F.count_if(F.col("transition") == kind) for kind in kinds}
-        staged, found = self.catalog.stage(told.select(*columns).unionByName(rest.select(*columns)), version, counts)
-        self.catalog.append_history(L.lifecycle_events(staged, self.content, now), f"check-{version}")
+        staged, found = self.catalog.stage(labelled.select(*columns), version, counts)
+        self.catalog.append_history(L.lifecycle_events(staged, self.content, now, F.col("event")), f"check-{version}")
         last = self.coverage.deltas(spark, version).filter(F.col("batch") == (-1 if before is None else before))
         covered = L.coverage(checked, staged.filter("transition <> 'absent'"), last, now)
         self.coverage.write(with_last_complete(covered, last, now).select(*[c.split()[0] for c in COVERAGE.split(", ")]), version)

@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from docketlens.operators.keyed import only_keys
+from docketlens.session import no_rows
 from docketlens.sources.snapshots import delete_path, existing_paths, path_exists
 
 
@@ -39,7 +40,7 @@ class DeltaState:
         """All rows ever written, with their ``batch``; only batches below ``before`` if given."""
         schema = f"{self.schema}, batch int"
         if not path_exists(spark, self.path):
-            return spark.createDataFrame([], schema)
+            return no_rows(spark, schema)
         rows = spark.read.schema(schema).parquet(self.path)
         return rows if before is None else rows.filter(F.col("batch") < before)
 
@@ -92,7 +93,7 @@ class BucketedState:
 
     def _read(self, spark: SparkSession, paths: list[str]) -> DataFrame:
         schema = f"{self.schema}, batch int"
-        return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
+        return spark.read.schema(schema).parquet(*paths) if paths else no_rows(spark, schema)
 
     def current(self, spark: SparkSession, before: int | None = None, only: DataFrame | None = None) -> DataFrame:
         """The newest rows of each key, with their ``batch``; ``only`` restricts the keys, and the buckets that are read."""

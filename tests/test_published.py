@@ -112,6 +112,23 @@ def source(source_id, raw, parsed):
     return {"source_id": source_id, "required": True, "minimum_records": 1, "raw_rows": raw, "parsed_rows": parsed}
 
 
+def test_a_check_meets_the_known_records_once(spark, tmp_path):
+    stream = LifecycleStream(str(tmp_path / "state"), ["title"])
+    tracker, ran = spark.sparkContext.statusTracker(), []
+    # An id that moves to another source is compared with what it was last told as.
+    for number, rows in enumerate([[("a", "x", "A"), ("b", "y", "B")], [("b", "y", "B")], [("b", "x", "A"), ("b", "y", "C")]]):
+        path = str(tmp_path / f"rows-{number}")
+        spark.createDataFrame(rows, "source_id string, record_id string, title string").write.parquet(path)
+        spark.sparkContext.setJobGroup(f"check-{number}", "")
+        stream.check(spark, {"checked_at": f"t{number}", "path": path, "sources": [source("a", 1, 1), source("b", 1, 1)]}, number)
+        ran.append(len(tracker.getJobIdsForGroup(f"check-{number}")))
+    spark.sparkContext.setJobGroup("after", "")
+    got = {(r["source_id"], r["record_id"]): (r["transition"], r["title"], r["first_seen_at"]) for r in stream.records(spark).collect()}
+    assert got == {("b", "x"): ("reactivated", "A", "t0"), ("b", "y"): ("changed", "C", "t0")}
+    # The known records are not read, joined and labelled again for those that a check leaves alone.
+    assert ran[2] <= 18, ran
+
+
 def test_a_failed_source_keeps_its_records_and_a_dropped_one_loses_them(spark, tmp_path):
     stream = LifecycleStream(str(tmp_path / "state"), ["title"])
     checks = tmp_path / "checks"
