@@ -546,9 +546,13 @@ def situation_candidates(cases: DataFrame, as_of: Column) -> DataFrame:
     return _prompts(cases.filter(is_reviewed_open(as_of)).select("case_id", "deadline", "situations"))
 
 
+def _admitting(situations: Column) -> Column:
+    """What a session may have chosen to be prompted with a case of these situations."""
+    return F.array_union(situations, F.array(F.lit("not_sure")))
+
+
 def _prompts(offered: DataFrame) -> DataFrame:
-    every = F.array_union(F.col("situations"), F.array(F.lit("not_sure")))
-    return offered.withColumn("situation", F.explode(every)).select("situation", *[c for c in offered.columns if c != "situations"])
+    return offered.withColumn("situation", F.explode(_admitting(F.col("situations")))).select("situation", *[c for c in offered.columns if c != "situations"])
 
 
 def _choices(sessions: DataFrame) -> DataFrame:
@@ -573,11 +577,14 @@ def candidate_lists(
     cases without one, is one task's work; no session is multiplied by the catalog.
     """
     offers = cases.filter(is_reviewed_open(as_of)).select("case_id", "deadline", "situations")
-    prompts, chosen = _prompts(global_position(offers, deadline_order(), "_place")), _choices(sessions)
-    choices = without_keys(chosen, recognized, ["session_id"])
-    # A case stands in a list once, whichever of its situations were chosen.
-    offered = choices.select("chosen").distinct().select("chosen", F.explode("chosen").alias("situation")).join(prompts, "situation")
-    offered = offered.drop("situation").distinct()
+    placed, chosen = global_position(offers, deadline_order(), "_place"), _choices(sessions)
+    prompts, choices = _prompts(placed), without_keys(chosen, recognized, ["session_id"])
+    # Distinct choices are sets of the questionnaire's few situations. They go to the cases: the other way round, a situation's cases, or all of
+    # them, are one task's work, as Spark sends the cases to the choices while it takes their file for small.
+    wanted = F.broadcast(choices.select("chosen").distinct().select("chosen", F.explode("chosen").alias("situation")))
+    # A case stands in a list once, for the first of its situations that were chosen.
+    placed = _prompts(placed.withColumn("_every", _admitting(F.col("situations"))))
+    offered = placed.join(wanted, "situation").filter(F.array_intersect("chosen", "_every")[0] == F.col("situation")).drop("situation", "_every")
     numbered = lambda rows, key: running_position(rows, [key], [F.col("_place")], F.floor(F.col("_place") / block), "rank").drop("_place")
     return numbered(offered, "chosen"), choices, numbered(_recognized_prompts(prompts, chosen, recognized), "session_id")
 
