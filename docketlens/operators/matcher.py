@@ -92,6 +92,11 @@ def is_reviewed_open(as_of: Column) -> Column:
     )
 
 
+def _of_sessions(rows: DataFrame) -> DataFrame:
+    """Rows by session for a join by session: never broadcast, as Spark would while it takes their compressed file for small."""
+    return rows.hint("merge")
+
+
 # ---- session tables ----
 
 
@@ -137,8 +142,8 @@ def _profiles(sessions: DataFrame, texts: DataFrame, tokens: DataFrame) -> DataF
     """Sessions with any specific wish, their years, and a ``profile`` text naming all but the keywords."""
     worded = tokens.groupBy("session_id").agg(F.lit(True).alias("_worded"))
     wishes = (F.size("experiences") > 0) | (strip(F.col("location")) != "") | (F.col("proof") != "Any")
-    specific = sessions.join(worded, "session_id", "left").filter(wishes | F.col("_worded").isNotNull())
-    joined = specific.join(_years(texts), "session_id", "left").select(
+    specific = sessions.join(_of_sessions(worded), "session_id", "left").filter(wishes | F.col("_worded").isNotNull())
+    joined = specific.join(_of_sessions(_years(texts)), "session_id", "left").select(
         "session_id", "goal", "goal_explicit", "experiences",
         N.normalize_location(F.col("location")).alias("location"), "proof",
         F.coalesce("years", F.expr("array()").cast("array<int>")).alias("years"),
@@ -155,6 +160,11 @@ def _profiles(sessions: DataFrame, texts: DataFrame, tokens: DataFrame) -> DataF
 # ---- reviewed claims ----
 
 
+def _alias_keys(cases: DataFrame) -> Column:
+    """The normalized aliases of each case, in order; ``prepare`` has written them."""
+    return F.col("_alias_keys") if "_alias_keys" in cases.columns else F.transform("aliases", N.normalize)
+
+
 def _claim_slots(cases: DataFrame, lookups: DataFrame, hits: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
     """(by class, by alias): the best ``k`` claims of each (state, year, class), and of each (alias, state, year, class).
 
@@ -170,7 +180,7 @@ def _claim_slots(cases: DataFrame, lookups: DataFrame, hits: DataFrame, k: int)
         ).otherwise(F.expr("array()").cast("array<string>"))
     )
     states = F.coalesce(F.array_distinct("eligible_states"), F.array(F.lit(OPEN)))
-    aliases = F.array_distinct(F.transform("aliases", N.normalize))
+    aliases = F.array_distinct(_alias_keys(cases))
     keyed = claims.select(
         "case_id", "kind", "deadline", F.array_sort("issue_types").alias("issue_types"), "proof",
         F.coalesce("notice_required", F.lit(False)).alias("notice_required"), "freshness", "window_status", aliases.alias("_aliases"), years.alias("_years"),
@@ -248,7 +258,7 @@ def alias_hits(texts: DataFrame, cases: DataFrame) -> DataFrame:
     """
     aliases = (
         cases.filter((F.col("kind") == CLAIM) & F.col("has_criteria"))
-        .select(F.explode(F.transform("aliases", N.normalize)).alias("alias_key")).distinct()
+        .select(F.explode(_alias_keys(cases)).alias("alias_key")).distinct()
     )
     searched = texts.select("text").distinct().withColumn("text_id", F.xxhash64("text"))
     size, reach = (F.least(F.length("alias_key"), F.lit(n)) for n in (GRAM, ANCHOR))
@@ -301,7 +311,7 @@ def _claim_matches(profiled: DataFrame, hits: DataFrame, cases: DataFrame, k: in
     by_class, by_name = _claim_slots(cases, lookups, hits, k)
     plain = _score_claims(lookups.join(by_class, ["state_key", "year_key"]), alias_hit=False)
     by_profile = _best(plain, ["profile"], k)
-    session_hits = profiled.select("session_id", "profile").join(hits, "session_id")
+    session_hits = profiled.select("session_id", "profile").join(_of_sessions(hits), "session_id")
     wanted = session_hits.select("profile", "alias_key").distinct()
     named = _score_claims(
         wanted.join(lookups, "profile").join(by_name, ["alias_key", "state_key", "year_key"]), alias_hit=True
@@ -317,8 +327,12 @@ def _claim_matches(profiled: DataFrame, hits: DataFrame, cases: DataFrame, k: in
 # ---- related records ----
 
 
+def _identity() -> Column:
+    return N.identity_tokens(F.concat_ws(" ", "company", "title"))
+
+
 def _related_cases(cases: DataFrame) -> DataFrame:
-    identity = N.identity_tokens(F.concat_ws(" ", "company", "title"))
+    identity = F.col("_identity") if "_identity" in cases.columns else _identity()
     return cases.filter(F.col("kind").isin(AGENCY, DOCKET)).select(
         "case_id", "kind", "freshness", "deadline", identity.alias("identity")
     )
@@ -354,7 +368,7 @@ def _best_related(sought: DataFrame, postings: DataFrame, k: int) -> DataFrame:
         if best is not None:
             read = without_keys(read, best, ["session_id", "case_id"])
         counted = (
-            read.join(postings.select("case_id", "deadline", "place", "token"), "case_id").join(sought, ["session_id", "kind", "token"])
+            read.join(postings.select("case_id", "deadline", "place", "token"), "case_id").join(_of_sessions(sought), ["session_id", "kind", "token"])
             .groupBy(*SEEKER, "case_id", "deadline", "place").agg(F.count(F.lit(1)).alias("n")).withColumn("score", _related_score(F.col("n"))).drop("n")
         )
         known = counted if best is None else best.select(*counted.columns).unionByName(counted)
@@ -369,7 +383,7 @@ def _best_related(sought: DataFrame, postings: DataFrame, k: int) -> DataFrame:
         most = _related_score(F.col("most"))
         beaten = (F.col("_score") > most) | ((F.col("_score") == most) & (F.col("_place") <= F.col("last")))
         unsure = written_once(
-            left_out.filter(F.col("most") > size).join(bar, "session_id", "left").filter(~F.coalesce(beaten, F.lit(False))).select(*SEEKER, "set_key", "most"),
+            left_out.filter(F.col("most") > size).join(_of_sessions(bar), "session_id", "left").filter(~F.coalesce(beaten, F.lit(False))).select(*SEEKER, "set_key", "most"),
             "related-unsure",
         )
         if size == 1:
@@ -403,7 +417,7 @@ def _related_matches(profiled: DataFrame, tokens: DataFrame, cases: DataFrame, k
     # Sessions of one goal that hold the same tokens of cases share one search, that of the least of them.
     held = only_keys(tokens.select("session_id", "token"), related.select(F.explode("identity").alias("token")), ["token"])
     wishes = written_once(
-        held.join(seekers, "session_id").groupBy("session_id", "goal").agg(F.array_sort(F.collect_set("token")).alias("tokens")), "related-wishes"
+        held.join(_of_sessions(seekers), "session_id").groupBy("session_id", "goal").agg(F.array_sort(F.collect_set("token")).alias("tokens")), "related-wishes"
     )
     asks = wishes.groupBy("goal", "tokens").agg(F.min("session_id").alias("ask"))
     sought = written_once(
@@ -438,6 +452,9 @@ def prepare(cases: DataFrame, sessions: DataFrame, texts: DataFrame, tokens: Dat
     session_id, goal, goal_explicit, experiences, location and proof; ``texts`` and ``tokens`` are the
     keyword tables.
     """
+    # Spread by case first: the files of a catalog may be few, and normalizing its texts is most of the work on them.
+    made = {"_alias_keys": _alias_keys(cases), "_identity": _identity()}
+    cases = written_once(cases.repartition("case_id").withColumns(made), "match-cases")
     return MatchInputs(
         cases,
         written_once(_profiles(sessions, texts, tokens), "match-profiles"),
@@ -469,24 +486,24 @@ def explain_matches(ranked: DataFrame, inputs: MatchInputs) -> DataFrame:
     ranked, cases, tokens = written_once(ranked, "match-ranked"), inputs.cases, inputs.tokens
     detail = (
         ranked.join(cases.drop("kind", "signal"), "case_id")
-        .join(inputs.profiled.drop("profile").withColumnRenamed("proof", "proof_wanted"), "session_id")
+        .join(_of_sessions(inputs.profiled.drop("profile").withColumnRenamed("proof", "proof_wanted")), "session_id")
     )
     alias = (
-        ranked.select("session_id", "case_id").join(cases.select("case_id", "kind", "aliases"), "case_id")
+        ranked.select("session_id", "case_id").join(cases.select("case_id", "kind", "aliases", "_alias_keys"), "case_id")
         .filter(F.col("kind") == CLAIM)
-        .select("session_id", "case_id", F.posexplode("aliases").alias("_at", "alias"))
-        .withColumn("alias_key", N.normalize(F.col("alias")))
-        .join(inputs.hits, ["session_id", "alias_key"])
+        .select("session_id", "case_id", F.posexplode(F.arrays_zip("aliases", "_alias_keys")).alias("_at", "_a"))
+        .select("session_id", "case_id", "_at", F.col("_a.aliases").alias("alias"), F.col("_a._alias_keys").alias("alias_key"))
+        .join(_of_sessions(inputs.hits), ["session_id", "alias_key"])
         .groupBy("session_id", "case_id").agg(F.min_by("alias", "_at").alias("alias"))
     )
     shared = (
         ranked.filter(F.col("kind").isin(AGENCY, DOCKET)).select("session_id", "case_id")
         .join(_related_cases(cases).select("case_id", F.explode("identity").alias("token")), "case_id")
-        .join(tokens, ["session_id", "token"])
+        .join(_of_sessions(tokens), ["session_id", "token"])
         .groupBy("session_id", "case_id")
         .agg(F.slice(F.array_sort(F.collect_list(F.struct("position", "token"))), 1, 3).alias("_shared"))
     )
-    rows = detail.join(alias, ["session_id", "case_id"], "left").join(shared, ["session_id", "case_id"], "left")
+    rows = detail.join(_of_sessions(alias), ["session_id", "case_id"], "left").join(_of_sessions(shared), ["session_id", "case_id"], "left")
     is_claim = F.col("kind") == CLAIM
     issues = F.slice(F.array_intersect("experiences", "issue_types"), 1, 2)
     labels = F.create_map(*[F.lit(x) for pair in ISSUE_LABELS.items() for x in pair])

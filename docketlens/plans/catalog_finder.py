@@ -10,7 +10,6 @@ from docketlens.operators.keyed import keep_last
 from docketlens.plans import catalog_browsing, finder_matching
 from docketlens.plans.catalog_browsing import _CATALOG
 from docketlens.plans.finder_matching import _CASES, _PEOPLE, _norm, _sql_ranked
-from docketlens.session import written_once
 
 AS_OF = finder_matching.AS_OF.replace(" ", "T") + "Z"
 
@@ -39,9 +38,8 @@ def sessions(spark, folder):
 
 def catalog_matches(spark, folder):
     """The best three cases of the whole catalog for each session, explained."""
-    people = sessions(spark, folder)
-    ready = M.prepare(written_once(cases(spark, folder), "catalog-cases"), people, *M.keyword_tables(people))
-    return M.explain_matches(M.rank_cases(ready, finder_matching.TOP), ready).select(
+    made = finder_matching.ready(cases(spark, folder), sessions(spark, folder))
+    return M.explain_matches(M.rank_cases(made, finder_matching.TOP), made).select(
         "session_id", "rank", "case_id", "score", "kind", "signal", F.array_join("reasons", " / ").alias("reasons"), F.array_join("questions", " / ").alias("questions")
     )
 

@@ -53,7 +53,7 @@ def sessions(spark, folder):
     """Customers with wishes; their keywords name the product of the same number."""
     key, nation = F.col("c_custkey"), F.col("c_nationkey")
     parts = table(spark, folder, "part").select("p_partkey", "p_name", "p_brand")
-    joined = table(spark, folder, "customer").join(parts, 1 + key % row_count(spark, folder, "part") == F.col("p_partkey"), "left")
+    joined = table(spark, folder, "customer").join(parts.hint("merge"), 1 + key % row_count(spark, folder, "part") == F.col("p_partkey"), "left")
     keywords = F.when(key % 7 == 0, "act now").otherwise(
         F.concat_ws(
             " ", "p_name", F.when(key % 3 == 0, F.col("p_brand")), F.when(key % 4 == 0, "medium large"),
@@ -70,9 +70,15 @@ def sessions(spark, folder):
     )
 
 
+def ready(cases, people):
+    """Cases and sessions with a ``keywords`` text; what ranking and explaining read several times is written, spread by session."""
+    people = written_once(people.repartition("session_id"), "finder-sessions")
+    texts, tokens = M.keyword_tables(people)
+    return M.prepare(cases, people, written_once(texts, "keyword-texts"), written_once(tokens, "keyword-tokens"))
+
+
 def inputs(spark, folder):
-    people = sessions(spark, folder)
-    return M.prepare(catalog(spark, folder), people, *M.keyword_tables(people))
+    return ready(catalog(spark, folder), sessions(spark, folder))
 
 
 def ranked_matches(spark, folder):
@@ -80,8 +86,8 @@ def ranked_matches(spark, folder):
 
 
 def ranked_followups(spark, folder):
-    ready = inputs(spark, folder)
-    return M.explain_matches(M.rank_cases(ready, TOP), ready).select(
+    made = inputs(spark, folder)
+    return M.explain_matches(M.rank_cases(made, TOP), made).select(
         "session_id", "rank", "case_id", "layer", F.array_join("reasons", " / ").alias("reasons"), F.array_join("questions", " / ").alias("questions")
     )
 
@@ -95,8 +101,8 @@ def conversation_matches(spark, folder):
         S.session_keywords(parsed, "conv_id", "turn").withColumnRenamed("conv_id", "session_id"), "session-keywords"
     )
     cases = catalog(spark, folder)
-    ready = M.prepare(cases, people, M.keyword_chunks(tokens, M.alias_reach(cases)), tokens)
-    return M.rank_cases(ready, TOP).select("session_id", "rank", "case_id", "score", "signal")
+    made = M.prepare(cases, people, M.keyword_chunks(tokens, M.alias_reach(cases)), tokens)
+    return M.rank_cases(made, TOP).select("session_id", "rank", "case_id", "score", "signal")
 
 
 def situation_candidates(spark, folder):
