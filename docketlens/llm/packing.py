@@ -11,13 +11,17 @@ rows are packed each; no rows give no sequences. Sequences are as long as their
 
 from __future__ import annotations
 
+import codecs
 import functools
+import json
 import os
+import re
 import string
 import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -36,20 +40,61 @@ KNOWN_WORDS = 1_000_000
 SEPARATOR = "\x1f"
 #: Words of one such text, and of one call; long texts are slower for each word, and so are single words.
 _TOGETHER, _CALL = 512, 20_480
+#: Bytes of texts that are looked up together, if they are more than one.
+_TEXT_BYTES = 8 << 20
 _MERGED = 1 << 62
 
+_CLASSES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: Settings of a tokenizer whose plain words (printable ASCII and the letters U+00C0 to U+00FF) are cut here, by ``PLAIN_PART``,
+#: which is much faster; of any other tokenizer, and for other words, normalizing and cutting are left to the tokenizer.
+PLAIN_RULES = {
+    "normalizer": {"type": "Sequence", "normalizers": [
+        {"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"},
+    ]},
+    "pre_tokenizer": {"type": "Sequence", "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": _CLASSES}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ]},
+    "post_processor": None, "truncation": None, "padding": None,
+    "model": {
+        "type": "BPE", "dropout": None, "unk_token": None, "continuing_subword_prefix": None, "end_of_word_suffix": "</w>",
+        "fuse_unk": False, "byte_fallback": False, "ignore_merges": False,
+    },
+}
+#: ``_CLASSES`` over the UTF-8 bytes of plain words, where each byte from 0x80 is half a letter; a space stands between words.
+PLAIN_PART = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z\x80-\xff]+|[0-9]|[^ a-z0-9\x80-\xff]+| ")
+_NOT_PLAIN = rb"[^!-~\x80-\xbf\xc3]|\xc3[\x97\xb7]"
+#: Byte table: lower case of the bytes of plain words; U+00C0 to U+00DE end in 0x80 to 0x9E.
+_PLAIN_LOWER = bytes(b + 32 if 65 <= b <= 90 or 0x80 <= b <= 0x9E else b for b in range(256))
+#: The character that a byte-level vocabulary has for each byte.
+_SHOWN = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+_HIDDEN = [b for b in range(256) if b not in _SHOWN]
+BYTE_CHARS = "".join(chr(256 + _HIDDEN.index(b)) if b in _HIDDEN else chr(b) for b in range(256))
+#: The same for parts with spaces between them, which stay spaces.
+_SPACED_CHARS = BYTE_CHARS[:32] + " " + BYTE_CHARS[33:]
+#: Ends a word where the parts of words are laid end to end; no id.
+_MARK = b"\xff" * 4
+
+
+def _cut(ids: np.ndarray, ends: np.ndarray, skip: int) -> list[bytes]:
+    """Bytes of the ids up to each place of ``ends``, each run but the first without the ``skip`` ids before it."""
+    raw, ends = ids.tobytes(), (4 * ends).tolist()
+    return [raw[a:b] for a, b in zip([0, *(e + 4 * skip for e in ends[:-1])], ends, strict=True)]
+
 
 class CachedTokenizer:
     """Ids of whole texts. No token of the tokenizer spans ASCII white space, so texts are encoded by the strings
     between it, and strings that were met before are looked up.
 
     Words met lately are in ``known``, those before them in ``older``: when ``known`` holds half of what the table may, it becomes
-    ``older``, and what is met again moves back. New words go to the tokenizer many at a time, as one text with separators.
+    ``older``, and what is met again moves back. New plain words are cut into parts (``PLAIN_RULES``), which the tokenizer's
+    model encodes as words of their own; other new words go to the tokenizer many at a time, as one text with separators.
     """
 
     def __init__(self, path: str, most: int = KNOWN_WORDS):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import CharDelimiterSplit
 
         self.tokenizer, self.most = Tokenizer.from_file(path), most
         self.known: dict[bytes, bytes] = {}
@@ -59,6 +104,18 @@ class CachedTokenizer:
         # A tokenizer that folds A-Z knows a word in any case.
         ids = lambda text: self.tokenizer.encode(text, add_special_tokens=False).ids
         self.folds = all(ids(word) == ids(word.lower()) for word in (*string.ascii_uppercase, string.ascii_uppercase, "aBc"))
+        # Added tokens are found in a text as it is, before it is folded.
+        self.added = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.not_plain = re.compile(b"|".join([_NOT_PLAIN, *map(re.escape, self.added)]))
+        self.parts = None
+        rules, vocabulary = json.loads(self.tokenizer.to_str()), self.tokenizer.get_vocab(with_added_tokens=False)
+        rules["model"] = {k: v for k, v in rules["model"].items() if k not in ("vocab", "merges")}
+        whole = all(c in vocabulary and c + "</w>" in vocabulary for c in BYTE_CHARS)
+        if whole and all(rules[k] == v for k, v in PLAIN_RULES.items()):
+            self.parts = Tokenizer(self.tokenizer.model)
+            self.parts.pre_tokenizer = CharDelimiterSplit(" ")
+            self.is_end = np.zeros(1 + max(vocabulary.values()), bool)
+            self.is_end[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
 
     def _alone(self, words: list[bytes]) -> list[bytes]:
         encoded = self.tokenizer.encode_batch([w.decode() for w in words], add_special_tokens=False)
@@ -70,31 +127,79 @@ class CachedTokenizer:
         out = []
         for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False):
             ids = np.array(e.ids, dtype="<u4")
-            cuts = 4 * np.flatnonzero(ids == self.cut)
-            raw, starts, ends = ids.tobytes(), [0, *(cuts + 4).tolist()], [*cuts.tolist(), 4 * len(ids)]
-            out += [raw[a:b] for a, b in zip(starts, ends)]
+            out += _cut(ids, np.append(np.flatnonzero(ids == self.cut), len(ids)), 1)
         return out
 
-    def _learn(self, words: list[bytes]) -> None:
-        mark = SEPARATOR.encode()
-        alone = [w for w in words if mark in w] if self.cut is not None else words
-        for encode, these in ((self._alone, alone), (self._together, [w for w in words if mark not in w] if alone is not words else [])):
-            for at in range(0, len(these), _CALL):
-                part = these[at : at + _CALL]
-                self.known.update(zip(part, encode(part), strict=True))
+    def _parts(self, parts: list[bytes]) -> list[bytes]:
+        texts = [b" ".join(parts[at : at + _TOGETHER]) for at in range(0, len(parts), _TOGETHER)]
+        texts = [codecs.charmap_decode(t, "strict", _SPACED_CHARS)[0] for t in texts]
+        out = []
+        for e in self.parts.encode_batch_fast(texts, add_special_tokens=False):
+            ids = np.array(e.ids, dtype="<u4")
+            out += _cut(ids, np.flatnonzero(self.is_end[ids]) + 1, 0)
+        return out
 
-    def encode(self, texts: list[bytes | None], end_id: int = END_ID) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text, with the end id."""
+    def _plain(self, words: list[bytes]) -> list[bytes]:
+        """Ids of plain words, by those of their parts. A part alone is cut as in its word, so parts are known words too."""
+        parts = PLAIN_PART.findall(b" ".join(words).translate(_PLAIN_LOWER))
+        different = list(set(parts).difference((b" ",)))
+        table = dict(zip(different, self._look_up(different, self._parts), strict=True))
+        table[b" "] = _MARK
+        ids = np.frombuffer(b"".join([*map(table.__getitem__, parts), _MARK]), "<u4")
+        return _cut(ids, np.flatnonzero(ids == 0xFFFFFFFF), 1)
+
+    def _learn(self, words: list[bytes]) -> list[bytes]:
+        """Ids of words, each in the way that it needs."""
+        mark, ways = SEPARATOR.encode(), {self._parts: [], self._plain: [], self._together: [], self._alone: []}
+        one_part, plain, together, alone = ways.values()
+        for w in words:
+            if self.parts and not self.not_plain.search(w):
+                (one_part if w.isalpha() and w.islower() else plain).append(w)
+            else:
+                (alone if self.cut is None or mark in w else together).append(w)
+        out: dict[bytes, bytes] = {}
+        for encode, these in ways.items():
+            if these:
+                out.update(zip(these, encode(these), strict=True))
+        return [out[w] for w in words]
+
+    def _look_up(self, words: list[bytes], encode) -> list[bytes]:
+        """Ids of different words, which ``known`` holds from then on: from ``older``, or by ``encode``."""
+        if self.older:
+            self.known.update([(w, self.older[w]) for w in words if w not in self.known and w in self.older])
+        new = [w for w in words if w not in self.known]
+        for at in range(0, len(new), _CALL):
+            part = new[at : at + _CALL]
+            self.known.update(zip(part, encode(part), strict=True))
+        return list(map(self.known.__getitem__, words))
+
+    def encode(self, texts: pa.Array | list[bytes | None], end_id: int = END_ID) -> list[bytes]:
+        """Little-endian unsigned 32-bit ids of each text (UTF-8), with the end id."""
         end = np.array([end_id], dtype="<u4").tobytes()
-        split = [(t.lower() if self.folds else t).split() if t else [] for t in texts]
+        texts = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.binary()).view(pa.string())
+        if self.folds:
+            lower = pc.ascii_lower(texts)
+            for added in self.added:
+                found = pc.match_substring(lower, added)
+                lower = pc.if_else(found, texts, lower) if pc.any(found).as_py() else lower
+            texts = lower
+        split = pc.ascii_split_whitespace(texts)
+        words = split.flatten().dictionary_encode()
+        different = words.dictionary.cast(pa.binary()).to_numpy(zero_copy_only=False).tolist()
         if 2 * len(self.known) > self.most:
             self.known, self.older = {}, self.known
-        wanted = set().union(*split).difference(self.known)
-        again = wanted.intersection(self.older)
-        self.known.update((w, self.older[w]) for w in again)
-        self._learn(list(wanted.difference(again)))
-        get = self.known.__getitem__
-        return [b"".join(map(get, words)) + end for words in split]
+        self.known[b""] = b""
+        ids = self._look_up(different, self._learn)
+        # The ids of the words, gathered from those of the different ones, which lie end to end.
+        lengths = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        at = words.indices.to_numpy()
+        starts, lengths = (np.cumsum(lengths) - lengths)[at], lengths[at]
+        ends = np.cumsum(lengths)
+        places = np.repeat(starts - (ends - lengths), lengths) + np.arange(lengths.sum())
+        raw = np.frombuffer(b"".join(ids), "<u4")[places].tobytes()
+        counts = pc.fill_null(pc.list_value_length(split), 0).to_numpy()
+        cuts = (4 * np.append(0, ends)[np.append(0, np.cumsum(counts))]).tolist()
+        return [raw[a:b] + end for a, b in zip(cuts, cuts[1:])]
 
 
 @functools.cache
@@ -227,11 +332,13 @@ def pack(
         tokenizer, packer, number, doc_type = worker_tokenizer(tokenizer_path), Packer(window, open_windows), 0, None
         for batch in batches:
             doc_type = batch.column("doc").type
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
+            ends, at = np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(), dtype=np.int64), 0
+            while at < batch.num_rows:
+                most = _TEXT_BYTES + (ends[at - 1] if at else 0)
+                part = batch.slice(at, max(1, int(np.searchsorted(ends, most, "right")) - at))
+                at += part.num_rows
                 values = part.column("doc").to_pylist()
-                texts = part.column("text").cast(pa.binary()).to_pylist()
-                for value, ids in zip(values, tokenizer.encode(texts, end_id), strict=True):
+                for value, ids in zip(values, tokenizer.encode(part.column("text"), end_id), strict=True):
                     packer.add((value, len(ids) // 4), ids)
                 done = [((task << 32) + number + i, w) for i, w in enumerate(packer.closed)]
                 number += len(done)

@@ -265,6 +265,38 @@ def test_cached_tokenizer_equals_plain():
         assert np.frombuffer(ids, "<u4").tolist() == [*plain.encode(t, add_special_tokens=False).ids, 2]
 
 
+def test_plain_words_are_cut_once_for_all_their_signs(monkeypatch):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    words = ["thatndor", "\u00c9nvile", "ci\u00f3n", "don'till", "o'S", "x</w>", "12a3"]
+    texts = [f"{sign}{w}{sign} {w.upper()}{sign}" for w in words for sign in ("", ",", ".", "$$$", ".***", "'", "<|")]
+    plain, tokenizer, parts = Tokenizer.from_file(path), packing.CachedTokenizer(path), []
+    assert tokenizer.parts is not None
+    encode = tokenizer._parts
+    monkeypatch.setattr(tokenizer, "_parts", lambda these: parts.extend(these) or encode(these))
+    for whole in ("_alone", "_together"):
+        monkeypatch.setattr(tokenizer, whole, lambda these: pytest.fail(f"{these} went through the whole tokenizer"))
+    for t, ids in zip(texts, tokenizer.encode([t.encode() for t in texts]), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == [*plain.encode(t, add_special_tokens=False).ids, 2], t
+    assert {b"thatndor", "\u00e9nvile".encode(), b"ill", b".***"} <= set(parts) and parts.count(b"thatndor") <= 2
+
+
+def test_added_tokens_are_found_before_folding():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    texts = ["A <|ENDOFTEXT|> b", "x<|EndOfText|>'S <|endoftext|>", None, "Plain <|", "\u00d7\u00c9\u00f7 e\u0301 <|startoftext|>A"]
+    plain = Tokenizer.from_file(path)
+    for most in (packing.KNOWN_WORDS, 4):
+        tokenizer = packing.CachedTokenizer(path, most)
+        for some in (texts, texts[::-1], []):
+            got = [np.frombuffer(ids, "<u4").tolist() for ids in tokenizer.encode([t and t.encode() for t in some])]
+            assert got == [[*plain.encode(t or "", add_special_tokens=False).ids, 2] for t in some]
+
+
 def test_near_duplicates_odd_rows(spark, rows):
     docs = odd(spark, rows)
     got = dart_minhash.near_duplicates(docs, "doc_id", "text").collect()
