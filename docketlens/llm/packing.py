@@ -41,7 +41,7 @@ SEPARATOR = "\x1f"
 #: Words of one such text, and of one call; long texts are slower for each word, and so are single words.
 _TOGETHER, _CALL = 512, 20_480
 #: Bytes of texts that are looked up together, if they are more than one.
-_TEXT_BYTES = 8 << 20
+_TEXT_BYTES = 4 << 20
 _MERGED = 1 << 62
 
 _CLASSES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -57,7 +57,7 @@ PLAIN_RULES = {
     ]},
     "post_processor": None, "truncation": None, "padding": None,
     "model": {
-        "type": "BPE", "dropout": None, "unk_token": None, "continuing_subword_prefix": None, "end_of_word_suffix": "</w>",
+        "dropout": None, "unk_token": None, "continuing_subword_prefix": None, "end_of_word_suffix": "</w>",
         "fuse_unk": False, "byte_fallback": False, "ignore_merges": False,
     },
 }
@@ -82,6 +82,16 @@ def _cut(ids: np.ndarray, ends: np.ndarray, skip: int) -> list[bytes]:
     return [raw[a:b] for a, b in zip([0, *(e + 4 * skip for e in ends[:-1])], ends, strict=True)]
 
 
+def _rules(tokenizer) -> dict:
+    """The settings that ``PLAIN_RULES`` names; its model's are of byte-pair encoding."""
+    steps = {n: getattr(tokenizer, n) for n in ("normalizer", "pre_tokenizer")}
+    return {
+        **{n: step and json.loads(step.__getstate__()) for n, step in steps.items()},
+        **{n: getattr(tokenizer, n) for n in ("post_processor", "truncation", "padding")},
+        "model": {n: getattr(tokenizer.model, n, "") for n in PLAIN_RULES["model"]},
+    }
+
+
 class CachedTokenizer:
     """Ids of whole texts. No token of the tokenizer spans ASCII white space, so texts are encoded by the strings
     between it, and strings that were met before are looked up.
@@ -108,10 +118,8 @@ class CachedTokenizer:
         self.added = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.not_plain = re.compile(b"|".join([_NOT_PLAIN, *map(re.escape, self.added)]))
         self.parts = None
-        rules, vocabulary = json.loads(self.tokenizer.to_str()), self.tokenizer.get_vocab(with_added_tokens=False)
-        rules["model"] = {k: v for k, v in rules["model"].items() if k not in ("vocab", "merges")}
-        whole = all(c in vocabulary and c + "</w>" in vocabulary for c in BYTE_CHARS)
-        if whole and all(rules[k] == v for k, v in PLAIN_RULES.items()):
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
+        if _rules(self.tokenizer) == PLAIN_RULES and all(c in vocabulary and c + "</w>" in vocabulary for c in BYTE_CHARS):
             self.parts = Tokenizer(self.tokenizer.model)
             self.parts.pre_tokenizer = CharDelimiterSplit(" ")
             self.is_end = np.zeros(1 + max(vocabulary.values()), bool)
@@ -140,10 +148,11 @@ class CachedTokenizer:
         return out
 
     def _plain(self, words: list[bytes]) -> list[bytes]:
-        """Ids of plain words, by those of their parts. A part alone is cut as in its word, so parts are known words too."""
+        """Ids of plain words, by those of their parts. A part alone is cut as in its word, so a known word may serve."""
         parts = PLAIN_PART.findall(b" ".join(words).translate(_PLAIN_LOWER))
-        different = list(set(parts).difference((b" ",)))
-        table = dict(zip(different, self._look_up(different, self._parts), strict=True))
+        table = {w: self.known.get(w) or self.older.get(w) for w in set(parts).difference((b" ",))}
+        new = [w for w, ids in table.items() if ids is None]
+        table.update(zip(new, self._parts(new), strict=True))
         table[b" "] = _MARK
         ids = np.frombuffer(b"".join([*map(table.__getitem__, parts), _MARK]), "<u4")
         return _cut(ids, np.flatnonzero(ids == 0xFFFFFFFF), 1)
@@ -163,14 +172,14 @@ class CachedTokenizer:
                 out.update(zip(these, encode(these), strict=True))
         return [out[w] for w in words]
 
-    def _look_up(self, words: list[bytes], encode) -> list[bytes]:
-        """Ids of different words, which ``known`` holds from then on: from ``older``, or by ``encode``."""
+    def _look_up(self, words: list[bytes]) -> list[bytes]:
+        """Ids of different words, which ``known`` holds from then on."""
         if self.older:
             self.known.update([(w, self.older[w]) for w in words if w not in self.known and w in self.older])
         new = [w for w in words if w not in self.known]
         for at in range(0, len(new), _CALL):
             part = new[at : at + _CALL]
-            self.known.update(zip(part, encode(part), strict=True))
+            self.known.update(zip(part, self._learn(part), strict=True))
         return list(map(self.known.__getitem__, words))
 
     def encode(self, texts: pa.Array | list[bytes | None], end_id: int = END_ID) -> list[bytes]:
@@ -189,17 +198,10 @@ class CachedTokenizer:
         if 2 * len(self.known) > self.most:
             self.known, self.older = {}, self.known
         self.known[b""] = b""
-        ids = self._look_up(different, self._learn)
-        # The ids of the words, gathered from those of the different ones, which lie end to end.
-        lengths = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-        at = words.indices.to_numpy()
-        starts, lengths = (np.cumsum(lengths) - lengths)[at], lengths[at]
-        ends = np.cumsum(lengths)
-        places = np.repeat(starts - (ends - lengths), lengths) + np.arange(lengths.sum())
-        raw = np.frombuffer(b"".join(ids), "<u4")[places].tobytes()
-        counts = pc.fill_null(pc.list_value_length(split), 0).to_numpy()
-        cuts = (4 * np.append(0, ends)[np.append(0, np.cumsum(counts))]).tolist()
-        return [raw[a:b] + end for a, b in zip(cuts, cuts[1:])]
+        ids = self._look_up(different)
+        at, counts = words.indices.to_numpy(), pc.fill_null(pc.list_value_length(split), 0).to_numpy()
+        cuts = np.append(0, np.cumsum(counts)).tolist()
+        return [b"".join(map(ids.__getitem__, at[a:b].tolist())) + end for a, b in zip(cuts, cuts[1:])]
 
 
 @functools.cache
@@ -345,6 +347,8 @@ def pack(
                 packer.closed = []
                 if done:
                     yield _batch(done, with_ids, doc_type, {"task": (task, pa.int64()), "closed": (True, pa.bool_())})
+        # The worker lives on, beside those of other operators.
+        pa.default_memory_pool().release_unused()
         if packer.open:
             left = [((task << 32) + number + i, pieces) for i, (_, pieces) in enumerate(packer.open)]
             yield _batch(left, True, doc_type, {"task": (task, pa.int64()), "closed": (False, pa.bool_())})
